@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline import fixed
@@ -59,14 +59,13 @@ def velocity_flags(calls: DataFrame, seconds: int = 60, limit: int = fixed.CALLS
     A token's history is cut into slots of the interval's length; every call also visits the following
     slot, so a busy token is counted slot by slot instead of in one window.
     """
-    from pyspark.sql import Window
-
-    at = F.col("called_at").cast("timestamp").cast("double")
-    slot = F.floor(at / seconds)
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col("called_at").cast("timestamp"))
+    slot = F.floor(at / width)
     visits = calls.withColumn("_at", at).withColumn(
         "_v", F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")),
                                 F.struct((slot + 1).alias("slot"), F.lit(False).alias("own")))))
-    frame = Window.partitionBy("token", "_v.slot").orderBy("_at").rangeBetween(-float(seconds) + 1e-6, 0)
+    frame = Window.partitionBy("token", "_v.slot").orderBy("_at").rangeBetween(1 - width, 0)
     counted = visits.withColumn("calls", F.count(F.lit(1)).over(frame)).where("_v.own")
     return counted.withColumn("flagged", F.col("calls") > limit).drop("_at", "_v")
 

@@ -267,7 +267,7 @@ STATUS = CAP + """, claims AS (SELECT seq, row_number() OVER (PARTITION BY campa
 statuses AS (SELECT c.*, CASE WHEN rn IS NULL THEN 'recorded' WHEN rn = 1 THEN 'accepted' ELSE 'duplicate' END AS status FROM captures c LEFT JOIN claims USING (seq)) """
 
 
-@query("capture_source", CAP + "SELECT campaign_id, gatherer_id, seq, verdict, matched_voter_id, epoch_ms(captured_at) AS captured_ms FROM captures")
+@query("capture_source", CAP + "SELECT campaign_id, gatherer_id, seq, verdict, matched_voter_id, epoch_us(captured_at) // 1000 AS captured_ms FROM captures")
 def capture_source(spark, d):
     """Captures posted as JSON batches and read back flat."""
     from turfline.streaming.captures import CAPTURE_BATCH, flatten_batches
@@ -275,7 +275,8 @@ def capture_source(spark, d):
     c = ft.captures(spark, d)
     posted = c.groupBy("campaign_id", "gatherer_id", F.floor(F.col("seq") / 500).alias("post")).agg(F.collect_list(F.struct(
         "seq", "name", "address", "verdict", F.col("matched_voter_id").alias("matchedVoterId"), "score",
-        F.unix_millis("captured_at").alias("capturedAt"))).alias("captures"))
+        F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("captured_at"))
+        .alias("capturedAt"))).alias("captures"))
     path = scratch(spark, "posts")
     posted.select(F.col("campaign_id").alias("campaignId"), F.col("gatherer_id").alias("gathererId"), "captures").write.json(path)
     return flatten_batches(spark.read.schema(CAPTURE_BATCH).json(path)).select(
@@ -481,7 +482,7 @@ def gatherer_value(spark, d):
     return out.withColumn("valid_per_hour", F.round("valid_per_hour", 6)).withColumn("value_per_hour", F.round("value_per_hour", 4))
 
 
-ZIPC = CAP + ", zc AS (SELECT campaign_id, regexp_extract(address, '\\b([0-9]{5})\\b\\s*$', 1) AS zip, count(*) FILTER (verdict = 'VALID') AS valid, count(*) AS total FROM captures GROUP BY ALL HAVING zip <> '') "
+ZIPC = CAP + ", zc AS (SELECT campaign_id, zip, count(*) FILTER (verdict = 'VALID') AS valid, count(*) AS total FROM (SELECT *, regexp_extract(address, '\\b([0-9]{5})\\b\\s*$', 1) AS zip FROM captures) WHERE zip <> '' GROUP BY 1, 2) "
 
 
 @query("zip_yield", ZIPC + "SELECT campaign_id, zip, CAST(sum(valid) AS BIGINT) AS valid, CAST(sum(total) AS BIGINT) AS total, round((sum(valid) + 7) / CAST(sum(total) + 10 AS DOUBLE), 6) AS rate FROM zc GROUP BY GROUPING SETS ((campaign_id, zip), (campaign_id))")

@@ -1 +1,77 @@
+"""Queries that run a stream over the event table to its end and return what it wrote.
 
+Each check query is the plain batch definition, so a match means stream == batch.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from turfline.plans.field_queries import CAP, STATUS, ZIPC, _history_counts
+from turfline.plans.registry import query
+from turfline.session import scratch
+from turfline.sources import field_tables as ft
+from turfline.streaming import captures as SC
+
+
+def _event_stream(spark, d):
+    """The event file as a file stream; the glob keeps the other tables out."""
+    schema = ft.read(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def _stream(spark, d):
+    return ft.capture_columns(_event_stream(spark, d))
+
+
+@query("stream_capture_dedup", STATUS + "SELECT campaign_id, seq, status FROM statuses")
+def stream_capture_dedup(spark, d):
+    out, ledger = scratch(spark, "statuses"), scratch(spark, "ledger")
+    SC.start_dedup(_stream(spark, d), ledger, out, scratch(spark, "log")).awaitTermination()
+    return spark.read.parquet(out).select("campaign_id", "seq", "status")
+
+
+@query("stream_zip_yield", ZIPC + "SELECT campaign_id, zip, valid, total FROM zc")
+def stream_zip_yield(spark, d):
+    out = scratch(spark, "yield")
+    SC.start_zip_counts(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
+    schema = "campaign_id string, zip string, valid long, total long"
+    return SC.latest(spark, out, spark.createDataFrame([], schema).schema)
+
+
+@query("stream_movement", STATUS + "SELECT campaign_id, count(*) AS accepted FROM statuses WHERE status = 'accepted' GROUP BY 1")
+def stream_movement(spark, d):
+    out = scratch(spark, "movement")
+    SC.start_movement(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
+    parts = spark.read.schema("campaign_id string, accepted long, batch long").parquet(out)
+    return parts.groupBy("campaign_id").agg(F.sum("accepted").alias("accepted"))
+
+
+@query("stream_posterior", CAP + """, c AS (SELECT 'g' || l_suppkey AS key, count(*) FILTER (l_returnflag <> 'R') AS valid, count(*) AS total FROM lineitem GROUP BY 1
+ UNION ALL SELECT gatherer_id, count(*) FILTER (verdict = 'VALID'), count(*) FROM captures GROUP BY 1)
+SELECT key, CAST(sum(total) AS BIGINT) AS n, round((0.8::DOUBLE * 8 + sum(valid)) / (8 + sum(total)), 6) AS rate FROM c GROUP BY 1""")
+def stream_posterior(spark, d):
+    out = scratch(spark, "posterior")
+    SC.start_posterior(_stream(spark, d), _history_counts(spark, d), out, scratch(spark, "log")).awaitTermination()
+    schema = "dim string, key string, n long, strength double, prior_rate double, rate double, source string"
+    latest = SC.latest(spark, out, spark.createDataFrame([], schema).schema)
+    return latest.select("key", "n", F.round("rate", 6).alias("rate"))
+
+
+@query("capture_velocity", CAP + """, w AS (SELECT gatherer_id, epoch_us(captured_at) // 900000000 - unnest([0, 1, 2, 3]) AS slot FROM captures)
+SELECT gatherer_id, slot * 900 AS started, count(*) AS captures FROM w GROUP BY ALL""")
+def capture_velocity(spark, d):
+    c = ft.captures(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    out = SC.capture_velocity(c)
+    return out.select("gatherer_id", F.unix_seconds("window.start").alias("started"), "captures")
+
+
+@query("stream_call_limit")
+def stream_call_limit(spark, d):
+    """At most two passed calls per gatherer in two hours."""
+    events = _event_stream(spark, d)
+    calls = events.select(
+        F.concat(F.lit("g"), "user_id").alias("token"), F.col("ts").cast("timestamp").alias("called_at"), F.col("event_id").alias("call_id"))
+    out = scratch(spark, "limited")
+    SC.start_limiter(calls, out, scratch(spark, "log"), seconds=7200.0, limit=2).awaitTermination()
+    return spark.read.schema(SC._LIMITED).parquet(out)

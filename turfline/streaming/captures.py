@@ -155,9 +155,9 @@ def limit_calls(calls: DataFrame, seconds: float = 60.0, limit: int = _LIMIT) ->
     """
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         passed = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["called_at", "call_id"])
+        rows = pd.concat([p for p in parts if len(p)]).sort_values(["called_at", "call_id"])
         allowed = []
-        for at in rows["called_at"].astype("int64") / (1e9 if str(rows["called_at"].dtype).startswith("datetime64[ns") else 1e6):
+        for at in (rows["called_at"] - pd.Timestamp(0)).dt.total_seconds():
             passed = [p for p in passed if at - p < seconds]
             allowed.append(len(passed) < limit)
             if allowed[-1]:
