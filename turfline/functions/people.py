@@ -9,13 +9,14 @@ from turfline import fixed
 from turfline.functions.text import basic, join_present, text, words, zip_anywhere
 
 
-def fold(word: Column, table: dict[str, str]) -> Column:
-    """Look a word up in a small literal table, keeping unknown words.
+def fold(word: str, table: dict[str, str]) -> str:
+    """SQL text of a lookup in a small fixed table that keeps unknown words.
 
-    The table is written as one string literal, which the optimizer folds to a map once per plan.
+    Map lookups scan their keys, so the hashed ``IN`` test keeps words outside the table from paying for one.
     """
-    literal = F.str_to_map(F.lit(" ".join(f"{k}:{v}" for k, v in table.items())), F.lit(" "), F.lit(":"))
-    return F.coalesce(F.element_at(literal, word), word)
+    keys = ", ".join(f"'{k}'" for k in table)
+    pairs = " ".join(f"{k}:{v}" for k, v in table.items())
+    return f"CASE WHEN {word} IN ({keys}) THEN element_at(str_to_map('{pairs}', ' ', ':'), {word}) ELSE {word} END"
 
 
 def name_words(raw) -> Column:
@@ -31,13 +32,14 @@ def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
     """Add ``first``, ``middle``, ``last`` and ``full``."""
     df = df.withColumn("_nw", name_words(name))
     size = F.size("_nw")
-    first = F.coalesce(fold(F.get("_nw", F.lit(0)), fixed.NICKNAMES), F.lit(""))
+    df = df.withColumn("_given", F.coalesce(F.get("_nw", F.lit(0)), F.lit("")))
+    first = F.expr(fold("_given", fixed.NICKNAMES))
     last = F.when(size > 1, F.get("_nw", size - 1)).otherwise("")
     middle = F.when(size > 2, F.array_join(F.slice("_nw", F.lit(2), size - 2), " ")).otherwise("")
     return (
         df.withColumn("first", first).withColumn("middle", middle).withColumn("last", last)
         .withColumn("full", join_present(" ", "first", "middle", "last"))
-        .drop("_nw")
+        .drop("_nw", "_given")
     )
 
 
@@ -54,9 +56,12 @@ def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
     head = F.coalesce(F.get("_aw", F.lit(0)), F.lit(""))
     numbered = head.rlike("^\\d+[a-z]?$")
     tail = F.when(numbered, F.slice("_aw", F.lit(2), F.greatest(F.size("_aw") - 1, F.lit(0)))).otherwise(F.col("_aw"))
-    street = F.array_join(F.transform(tail, lambda w: fold(w, fixed.STREET_WORDS)), " ")
     number = F.when(numbered, F.regexp_replace(head, "[a-z]$", "")).otherwise("")
-    return df.withColumn("number", number).withColumn("street", street).drop("_aw", "_line")
+    street = F.expr(f"array_join(transform(_tail, w -> {fold('w', fixed.STREET_WORDS)}), ' ')")
+    return (
+        df.withColumn("number", number).withColumn("_tail", tail).withColumn("street", street)
+        .drop("_aw", "_line", "_tail")
+    )
 
 
 def address_line() -> Column:
