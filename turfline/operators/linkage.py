@@ -16,7 +16,9 @@ The name joins go through the distinct names of a block (names repeat far more o
 only serve signers whose best same-number pair does not already beat the bound of the class.  A class
 may underrate a pair that also belongs to a better class; the maximum over all classes is exact.
 Both sides are reduced to distinct standardized people first, keeping the earliest roll position,
-which is also how ties are broken.  Hot partitions of the joins are split by the adaptive skew join.
+which is also how ties are broken.  Hot keys: the joins on people are large on their input side, so the
+adaptive skew join splits them; the join of distinct names has a small input and a quadratic output, which
+no size statistic shows, so it is salted explicitly (``salted_join``).
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from turfline import fixed
 from turfline.functions.people import standardize
 from turfline.functions.similarity import jaro_winkler
 from turfline.functions.text import zip_trailing, zip_trailing_plus4
+from turfline.operators.skew import salted_join
 from turfline.session import stage
 
 PERSON = ["block", "last", "first", "number", "street", "zip5"]
@@ -35,6 +38,7 @@ PLACE = ["block", "last", "first", "street", "zip5", "numbered"]
 NAME = ["block", "last", "first"]
 PAYLOAD = ["id", "status", "registered_on", "county", "district"]
 _SLACK = 1e-9
+NAMES_PER_TASK = 500  # signer names of one block that a single task compares with the block
 
 
 def _reach(number: float, zip_: float) -> float:
@@ -158,7 +162,8 @@ def name_neighbours(probe_names: DataFrame, roll_names: DataFrame) -> DataFrame:
     """Distinct names of a block that are close enough to reach the review band."""
     a = _prefixed(probe_names, NAME, "a_")
     b = _prefixed(roll_names, NAME, "b_")
-    pairs = a.join(b, F.col("a_block") == F.col("b_block")).withColumn("name_score", name_score())
+    pairs = salted_join(a.withColumn("b_block", F.col("a_block")), b, ["b_block"], NAMES_PER_TASK)
+    pairs = pairs.withColumn("name_score", name_score())
     return pairs.where(F.col("name_score") >= _name_floor(fixed.MISSING_PART, 1.0))
 
 
@@ -219,7 +224,8 @@ def _weak_pairs(probes: DataFrame, people: DataFrame) -> DataFrame:
     """Every pair of a block, for signers that have no pair in a band; reduced inside the join task."""
     a = _prefixed(probes, PERSON, "a_")
     b = _prefixed(people, PERSON, "b_", ("voter",))
-    return _scored(a.join(b, F.col("a_block") == F.col("b_block")), number_score())
+    pairs = salted_join(a.withColumn("b_block", F.col("a_block")), b, ["b_block"], NAMES_PER_TASK)
+    return _scored(pairs, number_score())
 
 
 def best_matches(signers_std: DataFrame, roll_std: DataFrame, weak_scores: bool = False) -> DataFrame:
@@ -248,10 +254,10 @@ def best_matches(signers_std: DataFrame, roll_std: DataFrame, weak_scores: bool
         | ((F.col("near.score") == F.col("best.score")) & (F.col("near.voter.row_pos") < F.col("best.voter.row_pos")))
     )
     best = both.withColumn("best", F.when(near_wins, F.col("near")).otherwise(F.col("best")))
-    if not weak_scores:
-        return best.where(F.col("best").isNotNull()).select(*PERSON, "best.*")
-    best = stage(best, "banded")
+    best = stage(best.select(*PERSON, "best"), "best")
     banded = best.where(F.col("best").isNotNull()).select(*PERSON, "best.*")
+    if not weak_scores:
+        return banded
     weak = _best_of(_weak_pairs(best.where(F.col("best").isNull()).select(*PERSON), people), [f"a_{c}" for c in PERSON])
     return banded.unionByName(weak.select(*[F.col(f"a_{c}").alias(c) for c in PERSON], "best.*"))
 
