@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def text(value) -> Column:
     """The column with null read as the empty string."""

@@ -9,6 +9,7 @@ from turfline import fixed
 from turfline.functions.people import standardize
 from turfline.functions.text import basic, words
 from turfline.operators.ordering import first_in_group
+from turfline.session import stage
 
 _SHAPE = ["first", "middle", "last", "street", "number", "active"]
 
@@ -30,17 +31,17 @@ def suggest_voters(queries: DataFrame, roll: DataFrame, limit: int = fixed.SUGGE
     distinct words of the roll, then distinct people shapes, and only the ranked shapes become voters.
     """
     std = standardize(roll).withColumn("active", F.col("status") == "active")
-    keyed = std.select("row_pos", "id", F.to_json(F.struct(*_SHAPE)).alias("shape"), *_SHAPE)
-    shapes = keyed.groupBy("shape").agg(*[F.first(c).alias(c) for c in _SHAPE])
+    keyed = stage(std.select("row_pos", "id", F.to_json(F.struct(*_SHAPE)).alias("shape"), *_SHAPE), "voters")
+    shapes = keyed.select("shape", *_SHAPE).distinct()
     asked = queries.select("query_id", F.posexplode(words(basic("query"))).alias("at", "word")).where("length(word) >= 2")
     numbers = asked.where(F.col("word").rlike("^\\d+$"))
     typed = asked.where(~F.col("word").rlike("^\\d+$"))
 
-    tokens = _tokens(shapes)
+    tokens = stage(_tokens(shapes), "tokens")
     vocabulary = tokens.select("token").distinct()
-    prefixes = vocabulary.select("token", F.explode(F.sequence(F.lit(2), F.length("token"))).alias("n")).where("n >= 2").select(
+    prefixes = vocabulary.where("length(token) >= 2").select(
+        "token", F.explode(F.sequence(F.lit(2), F.length("token"))).alias("n")).select(
         "token", F.substring("token", F.lit(1), F.col("n")).alias("word"))
-    prefixes = prefixes.where(F.length("word") >= 2)
     hits = typed.join(prefixes, "word").withColumn("points", F.when(F.col("word") == F.col("token"), 3).otherwise(2))
     per_word = hits.join(tokens, "token").groupBy("query_id", "shape", "field", "at").agg(F.max("points").alias("points"))
     scored = per_word.groupBy("query_id", "shape").agg(

@@ -61,9 +61,9 @@ def stream_posterior(spark, d):
 @query("capture_velocity", CAP + """, w AS (SELECT gatherer_id, epoch_us(captured_at) // 900000000 - unnest([0, 1, 2, 3]) AS slot FROM captures)
 SELECT gatherer_id, slot * 900 AS started, count(*) AS captures FROM w GROUP BY ALL""")
 def capture_velocity(spark, d):
-    c = ft.captures(spark, d).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    out = SC.capture_velocity(c)
-    return out.select("gatherer_id", F.unix_seconds("window.start").alias("started"), "captures")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return SC.capture_velocity(ft.captures(spark, d)).select(
+        "gatherer_id", F.timestamp_diff("SECOND", epoch, F.col("window.start")).alias("started"), "captures")
 
 
 @query("stream_call_limit")
