@@ -179,10 +179,15 @@ def near_name_pairs(open_probes: DataFrame, people: DataFrame) -> DataFrame:
     seats = _earliest(people.where("last <> ''").withColumn("numbered", F.col("number") != ""), PLACE)
     neighbours = stage(
         name_neighbours(open_probes.select(*NAME).distinct(), seats.select(*NAME).distinct()), "neighbours")
-    a = _prefixed(open_probes, PLACE, "a_", ("floor",)).join(neighbours, ["a_block", "a_last", "a_first"])
     name_key = ["b_block", "b_last", "b_first"]
     zero, half = F.lit(0.0), F.lit(fixed.MISSING_PART)
 
+    def meet(probes: DataFrame, names: DataFrame) -> DataFrame:
+        return _prefixed(probes, PLACE, "a_", ("floor",)).join(names, ["a_block", "a_last", "a_first"])
+
+    def near(number: float, zip_: float) -> DataFrame:
+        return neighbours.where(F.col("name_score") >= _name_floor(number, zip_))
+
     def reachable(number: Column, zip_: Column) -> Column:
         bound = total_score(F.col("name_score"), address_score(number, F.lit(1.0), zip_))
         return bound >= F.greatest(F.col("floor"), F.lit(fixed.REVIEW_AT)) - _SLACK
@@ -199,18 +204,19 @@ def near_name_pairs(open_probes: DataFrame, people: DataFrame) -> DataFrame:
     zip_seats = _prefixed(
         _earliest(seats.where("zip5 <> ''"), [*NAME, "zip5", "street"]), [*NAME, "zip5", "street"], "b_", ("voter",))
     same_zip = (
-        a.where((F.col("a_zip5") != "") & reachable(zero, F.lit(1.0)))
+        meet(open_probes.where("zip5 <> ''"), near(0.0, 1.0)).where(reachable(zero, F.lit(1.0)))
         .withColumn("b_zip5", F.col("a_zip5")).join(zip_seats, [*name_key, "b_zip5"])
     )
-    any_zip = a.where(reachable(zero, zero)).join(
-        _prefixed(_earliest(seats, [*NAME, "street"]), [*NAME, "street"], "b_", ("voter",)), name_key)
-    incomplete_a = (F.col("a_zip5") == "") | ~F.col("a_numbered")
-    incomplete_b = (F.col("b_zip5") == "") | ~F.col("b_numbered")
+    street_seats = _prefixed(_earliest(seats, [*NAME, "street"]), [*NAME, "street"], "b_", ("voter",))
+    any_zip = meet(open_probes, near(0.0, 0.0)).where(reachable(zero, zero)).join(street_seats, name_key)
+    incomplete = (F.col("zip5") == "") | ~F.col("numbered")
+    b, partial_b = (_prefixed(df, PLACE, "b_", ("voter",)) for df in (seats, seats.where(incomplete)))
     number = F.when(F.col("a_numbered") & F.col("b_numbered"), zero).otherwise(half)
-    b = _prefixed(seats, PLACE, "b_", ("voter",))
     missing = (
-        a.where(incomplete_a).join(b, name_key)
-        .unionByName(a.where(~incomplete_a).join(b.where(incomplete_b), name_key))
+        meet(open_probes.where(incomplete), neighbours).join(b, name_key)
+        .unionByName(
+            meet(open_probes.where(~incomplete), neighbours.join(partial_b.select(*name_key).distinct(), name_key, "left_semi"))
+            .join(partial_b, name_key))
         .where(reachable(number, zip_score()))
     )
     return (
