@@ -36,3 +36,50 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     from turfline.llm.substring_dedup import repeats
 
     return repeats(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    from turfline.llm.language_id import held_out, identify, learn
+
+    documents = table(spark, d, "documents")
+    said = identify(documents.select("doc_id", "text"), learn(documents))
+    return said.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def word_tokenizer() -> str:
+    """The public tokenizer file of the packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    from turfline.llm.packing import pack
+
+    return pack(table(spark, d, "documents"), word_tokenizer())
+
+
+_GOOD = "len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+OP1 = f"""WITH RECURSIVE good AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {_GOOD}),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(b, vec_id)) AS kept
+FROM embeddings LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id"""
+
+
+@query("op1_embedding_near_dedup", OP1)
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    from turfline.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, d, "embeddings"))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    from turfline.llm.hash_forest import nearest
+
+    vectors = table(spark, d, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
