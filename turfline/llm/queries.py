@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turfline.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +86,50 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
     vectors = table(spark, d, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op2_piece_encoding")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every text, and the digest of what they decode to."""
+    import public_tokenizers
+    from turfline.llm.piece_codec import encode, summary
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return summary(encode(table(spark, d, "documents"), path), path)
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    from turfline.llm.html_extract import extract
+
+    return extract(table(spark, d, "pages"))
+
+
+OP6 = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+k AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM k)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM f"""
+
+
+@query("op6_warc_archive", OP6)
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    from turfline.llm import warc_archive as W
+
+    folder = scratch(spark, "warc")
+    W.write(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("target"), F.col("html").alias("payload")), folder)
+    return W.read(spark, folder).select(
+        W.page_id("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
+        W.field("WARC-Type").alias("record_type"), W.page_id("WARC-Refers-To").alias("refers_to"))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op10_url_reputation")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    """A page is bad if the labelled document of its number is toxic or of low quality."""
+    from turfline.llm.url_reputation import judge
+
+    outcomes = table(spark, d, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return judge(table(spark, d, "pages"), outcomes, RULES)
