@@ -9,7 +9,7 @@ document, so:
 2. *Anchor and probe.*  Every non-overlapping block is an anchor, every rolling window of a block's length a probe.  Each
    chunk sends one entry of four bytes for each different probe hash, whatever its count; a task that holds a slice of
    the hash space answers which hashes meet an anchor elsewhere.
-3. *Extend.*  A hit is extended to all ``width``-word windows over it, compared by a 128-bit hash.  The union of the
+3. *Extend.*  A hit is extended to all ``width``-word windows over it, compared by a 96-bit hash.  The union of the
    windows that a smaller document also has is the maximal exact repeat.  Documents are never paired: a hash of
    thousands of documents is one entry for each chunk, and the answer is its smallest document id.
 
@@ -37,6 +37,7 @@ by_value(__name__)
 WIDTH = 50
 #: Probe entries that one task takes of the hash space.
 ENTRIES_PER_TASK = 4_000_000
+_LEVEL = 5  # of the compression of packed texts
 _TAIL = 30  # bits of a hash inside its slice; two more bits of an entry are flags
 _CHUNK = ("ids", "known", "words", "digests", "offsets", "texts")
 _CHUNK_SCHEMA = "chunk long, size long, " + ", ".join(f"{name} binary" for name in _CHUNK)
@@ -62,7 +63,7 @@ def pack(documents: DataFrame) -> DataFrame:
 
 def _row(chunk: int, size: int, ids, known, words, digests: bytes, offsets, raw: bytes, **more: bytes) -> pa.RecordBatch:
     blobs = [ids.tobytes(), known.astype(np.uint8).tobytes(), words.tobytes(), digests, offsets.tobytes(),
-             pa.compress(raw, codec="zstd", asbytes=True), *more.values()]
+             pa.Codec("zstd", _LEVEL).compress(raw, asbytes=True), *more.values()]
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)],
                                       ["chunk", "size", *_CHUNK, *more])
 
@@ -198,6 +199,7 @@ class _Marked(_Texts):
         marks = np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=len(self.starts)).astype(bool)
         self.at = np.flatnonzero(marks)
         h1, h2 = (Windows(self.hashes, base).of(self.at, width) for base in BASES)
+        h2 = (h2 >> np.uint64(32)).astype(np.uint32)
         part = (h1 >> np.uint64(32)) % np.uint64(slices)
         self.document = np.searchsorted(self.first, self.at, side="right") - 1
         self.ids = np.frombuffer(row["ids"], np.int64)
@@ -209,17 +211,23 @@ class _Marked(_Texts):
         self.entry[order] = np.cumsum(head) - 1
         self.part, self.h1, self.h2, self.least = part[head].astype(np.int64), h1[head], h2[head], ids[head]
 
+    def narrow_ids(self) -> np.ndarray:
+        """The smallest ids, in four bytes each if this chunk's fit."""
+        fits = not len(self.least) or (self.least.min() >= 0 and self.least.max() < 1 << 32)
+        return self.least.astype(np.uint32) if fits else self.least
+
 
 def _earlier(candidates: DataFrame, width: int, slices: int) -> DataFrame:
     """(chunk, slice, entries): which of a chunk's windows, numbered inside the slice, start in a smaller document elsewhere."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             m = _Marked(row, width, slices)
-            yield _slice_rows(row["chunk"], m.part, {"h1": m.h1, "h2": m.h2, "least": m.least})
+            yield _slice_rows(row["chunk"], m.part, {"h1": m.h1, "h2": m.h2, "least": m.narrow_ids()})
 
     def meet(table: pa.Table) -> pa.Table:
-        h1, h2, least = (np.frombuffer(b"".join(table[n].to_pylist()), k) for n, k in (("h1", np.uint64), ("h2", np.uint64), ("least", np.int64)))
+        h1, h2 = (np.frombuffer(b"".join(table[n].to_pylist()), k) for n, k in (("h1", np.uint64), ("h2", np.uint32)))
         sizes = [len(b) // 8 for b in table["h1"].to_pylist()]
+        least = np.concatenate([np.frombuffer(b, np.uint32 if len(b) == 4 * n else np.int64).astype(np.int64) for b, n in zip(table["least"].to_pylist(), sizes)])
         owner = np.repeat(np.arange(len(sizes)), sizes)
         inner = ranges(np.zeros(len(sizes), np.int64), np.array(sizes))
         order = np.lexsort((least, h2, h1))
