@@ -39,7 +39,7 @@ SEED = 42
 #: Entries of one tree row at most (nearly: parts of a split bin are dealt by hash).
 TREE_ENTRIES = 16_384
 #: All tree rows together, as bytes, up to which they are broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 #: Probe-node visits at most in one block of probes.
 VISITS = 2_000_000
 
