@@ -66,18 +66,19 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit multilinear hash of every word: each byte times a key of its place in the word."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: int = 1):
+    """A 64-bit multilinear hash of every (not empty) word: each byte times a key of its place in the word; or several."""
     lengths = ends - starts
-    keys = mixed(np.arange(1, int(lengths.max()) + 1, dtype=np.uint64) * np.uint64(BASES[0])) | np.uint64(1)
-    begin = np.zeros(len(starts), np.int64)
-    np.cumsum(lengths[:-1], out=begin[1:])
+    begin = np.cumsum(lengths) - lengths
+    most = int(lengths.max(initial=0))
     place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
-    values = data[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)
-    values *= keys[place]
-    return mixed(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
+    values = data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+    out = []
+    for base in BASES[:hashes]:
+        keys = mixed(np.arange(1, most + 1, dtype=np.uint64) * np.uint64(base)) | np.uint64(1)
+        sums = np.add.reduceat(values * keys[place], begin) if len(begin) else np.zeros(0, np.uint64)
+        out.append(mixed(sums + lengths.astype(np.uint64)))
+    return out[0] if hashes == 1 else out
 
 
 class Windows:

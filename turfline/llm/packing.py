@@ -16,6 +16,7 @@ Nulls: a null text is empty and gives the closing id alone; null ids are carried
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import by_value
-from turfline.llm.buffers import byte_column, chunk_rows, ranges
+from turfline.llm.buffers import byte_column, chunk_rows, mixed, ranges, word_bounds, word_hashes
 from turfline.session import stage
 
 by_value(__name__)
@@ -36,57 +37,132 @@ WINDOW = 2048
 UNIT = 16
 DEPTH = 3
 CLOSING = 1
-#: Different words whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 300_000
+#: Different parts of words that a worker remembers; beyond that it starts afresh.
+REMEMBERED = 2_000_000
+_LETTERS, _WHOLE, _TAIL, _NOTHING = range(4)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), 0xC3]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,;:!?$#*&%|")] = True
+
+
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, starts, ends, kinds, parts before each text): the words of texts as parts that are tokenized apart.
+
+    A word of ASCII and accented Latin-1 letters, then marks, is two pre-tokens: its letters, in lower case, and its
+    marks.  So words that differ in case or marks share a part.  Any other word is one part as it stands.
+    """
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    low, letter = _LOWER[data], _LETTER[data]
+    value = data[second]
+    low[second[(value <= 0x9E) & (value != 0x97)]] += 0x20
+    letter[second] = (value != 0x97) & (value != 0xB7)
+    starts, ends, first = word_bounds(data, offsets)
+    place = np.where(_MARKS[data], -1, np.arange(len(data)))
+    core = np.maximum(np.maximum.accumulate(place)[ends - 1] + 1, starts) if len(starts) else ends
+    strange = np.concatenate([[0], np.cumsum(~letter)])
+    simple = strange[core] == strange[starts]
+    n = len(data)
+    from_ = np.stack([np.where(simple, starts, starts + n), core + n], axis=1).ravel()
+    to = np.stack([np.where(simple, core, ends + n), ends + n], axis=1).ravel()
+    kind = np.stack([np.where(simple, _LETTERS, _WHOLE), np.where(simple, _TAIL, _NOTHING)], axis=1).ravel()
+    real = (to > from_) & (kind != _NOTHING)
+    before = np.concatenate([[0], np.cumsum(real)])[2 * first]
+    return np.concatenate([low, data]), from_[real], to[real], kind[real], before
 
 
 class WordIds:
-    """Token ids of texts by way of their words: no token of the tokenizer spans white space."""
+    """Token ids of texts by way of their words: no token of the tokenizer spans white space.
+
+    A worker remembers the ids of the parts that it saw by a 128-bit hash, in sorted arrays.  A part of letters has exactly
+    one token that ends a word, so new ones are encoded as one text.
+    """
 
     def __init__(self, path: str, closing: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.closing = Tokenizer.from_file(path), closing
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes | None, int] = {None: 0}
+        self.count = 1  # code 0 is the closing id
         self.ids = np.full(1 << 16, self.closing, np.uint32)
         self.bounds = np.zeros(1 << 16, np.int64)
         self.bounds[1] = self.used = 1
-
-    def _learn(self, words: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n = len(self.known)
-        while self.used + int(sizes.sum()) > len(self.ids):
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.shelves = [empty, empty]  # (hash in order, second hash, code): most, and what came since
+
+    def _learn(self, parts: list[bytes], letters: np.ndarray) -> None:
+        texts = [x.decode() for x in parts]
+        ids: list[np.ndarray] = [np.zeros(0, np.int64)]
+        sizes = np.zeros(len(texts), np.int64)
+        own = np.flatnonzero(letters)
+        for low in range(0, len(own), 10_000):
+            some = own[low:low + 10_000]
+            flat = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some.tolist()]), add_special_tokens=False).ids, np.int64)
+            sizes[some] = np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1)
+            ids.append(flat)
+        other = np.flatnonzero(~letters)
+        found = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in other.tolist()], add_special_tokens=False)] if len(other) else []
+        sizes[other] = [len(x) for x in found]
+        order = np.concatenate([own, other])
+        flat = np.concatenate([*ids, np.fromiter(itertools.chain.from_iterable(found), np.int64)])
+        sorted_sizes = sizes[order]
+        begin = np.empty(len(texts), np.int64)
+        begin[order] = np.cumsum(sorted_sizes) - sorted_sizes
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(found) + 1 > len(self.bounds):
+        while self.count + len(texts) + 1 > len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[self.used:self.used + int(sizes.sum())] = [i for ids in found for i in ids]
-        self.bounds[n + 1:n + len(found) + 1] = self.used + np.cumsum(sizes)
-        self.used += int(sizes.sum())
-        self.known.update(zip(words, range(n, n + len(found))))
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.ids[self.used:self.used + len(flat)] = flat[ranges(begin, sizes)]
+        self.bounds[self.count + 1:self.count + len(texts) + 1] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+        self.count += len(texts)
+
+    def _codes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        salt = mixed(kinds.astype(np.uint64) + np.uint64(1))
+        one, two = (h ^ salt for h in word_hashes(buffer, starts, ends, 2))
+        named, head, of = np.unique(one, return_index=True, return_inverse=True)
+        check = two[head]
+        if not np.array_equal(check[of], two):
+            raise RuntimeError("two words of a chunk share a hash")
+        codes = np.full(len(named), -1, np.int64)
+        for keys, second, code in self.shelves:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, named), len(keys) - 1)
+                same = (keys[at] == named) & (second[at] == check)
+                codes[same] = code[at[same]]
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            raw, begin, stop = buffer.tobytes(), starts[head[new]].tolist(), ends[head[new]].tolist()
+            codes[new] = np.arange(self.count, self.count + len(new))
+            self._learn([raw[a:b] for a, b in zip(begin, stop)], kinds[head[new]] == _LETTERS)
+            self.shelves[1] = self._joined(self.shelves[1], (named[new], check[new], codes[new]))
+            if 8 * len(self.shelves[1][0]) > len(self.shelves[0][0]):
+                self.shelves = [self._joined(*self.shelves), tuple(x[:0] for x in self.shelves[1])]
+        return codes[of]
+
+    @staticmethod
+    def _joined(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the closing id; ids of each text)."""
-        split = [t.split() for t in texts]
-        words: list[bytes | None] = []
-        for own in split:
-            words += own
-            words.append(None)
-        if len(self.known) > REMEMBERED:
+        if self.count > REMEMBERED:
             self._clear()
-        new = set(words).difference(self.known)
-        if new:
-            self._learn(list(new))
-        known = self.known
-        codes = np.array([known[w] for w in words], np.int64)
+        buffer, starts, ends, kinds, before = word_parts(data, offsets)
+        codes = self._codes(buffer, starts, ends, kinds) if len(starts) else np.zeros(0, np.int64)
+        codes = np.insert(codes, before[1:], 0)
         first, sizes = self.bounds[codes], self.bounds[codes + 1] - self.bounds[codes]
-        ends = np.cumsum([len(own) + 1 for own in split])
-        total = np.cumsum(sizes)[ends - 1]
+        total = np.cumsum(sizes)[before[1:] + np.arange(len(before) - 1)]
         return self.ids[ranges(first, sizes)], np.diff(total, prepend=0)
 
 
@@ -113,7 +189,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, window: int = WINDOW, unit
             data, at = byte_column(batch.column(1))
             ids = batch.column(0).cast(pa.int64())
             for low, high in chunk_rows(np.diff(at)):
-                flat, sizes = encoder.of([data[a:b].tobytes() for a, b in zip(at[low:high].tolist(), at[low + 1:high + 1].tolist())])
+                flat, sizes = encoder.of(data[at[low]:at[high]], at[low:high + 1] - at[low])
                 raw = memoryview(flat.astype("<u4").tobytes())
                 rows: list[tuple] = []
                 begin = 0
