@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import by_value
-from turfline.llm.buffers import byte_column, chunk_rows, mixed, ranges, word_bounds, word_hashes
+from turfline.llm.buffers import byte_column, chunk_rows, ranges, word_bounds
+from turfline.llm.part_ids import PartIds
 from turfline.session import stage
 
 by_value(__name__)
@@ -37,8 +38,6 @@ WINDOW = 2048
 UNIT = 16
 DEPTH = 3
 CLOSING = 1
-#: Different parts of words that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 2_000_000
 _LETTERS, _WHOLE, _TAIL, _NOTHING = range(4)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -76,94 +75,43 @@ def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class WordIds:
     """Token ids of texts by way of their words: no token of the tokenizer spans white space.
 
-    A worker remembers the ids of the parts that it saw by a 128-bit hash, in sorted arrays.  A part of letters has exactly
-    one token that ends a word, so new ones are encoded as one text.
+    A part of letters has exactly one token that ends a word, so new ones are encoded as one text.
     """
 
     def __init__(self, path: str, closing: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.closing = Tokenizer.from_file(path), closing
+        self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._clear()
+        self.memory = PartIds(self._encode, np.array([closing]))
 
-    def _clear(self) -> None:
-        self.count = 1  # code 0 is the closing id
-        self.ids = np.full(1 << 16, self.closing, np.uint32)
-        self.bounds = np.zeros(1 << 16, np.int64)
-        self.bounds[1] = self.used = 1
-        empty = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.shelves = [empty, empty]  # (hash in order, second hash, code): most, and what came since
-
-    def _learn(self, parts: list[bytes], letters: np.ndarray) -> None:
+    def _encode(self, parts: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = [x.decode() for x in parts]
-        ids: list[np.ndarray] = [np.zeros(0, np.int64)]
+        own, other = np.flatnonzero(kinds == _LETTERS), np.flatnonzero(kinds != _LETTERS)
         sizes = np.zeros(len(texts), np.int64)
-        own = np.flatnonzero(letters)
+        ids: list[np.ndarray] = []
         for low in range(0, len(own), 10_000):
             some = own[low:low + 10_000]
-            flat = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some.tolist()]), add_special_tokens=False).ids, np.int64)
-            sizes[some] = np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1)
-            ids.append(flat)
-        other = np.flatnonzero(~letters)
+            ids.append(np.array(self.tokenizer.encode(" ".join([texts[i] for i in some.tolist()]), add_special_tokens=False).ids, np.int64))
+            sizes[some] = np.diff(np.flatnonzero(self.ends_word[ids[-1]]), prepend=-1)
         found = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in other.tolist()], add_special_tokens=False)] if len(other) else []
         sizes[other] = [len(x) for x in found]
-        order = np.concatenate([own, other])
         flat = np.concatenate([*ids, np.fromiter(itertools.chain.from_iterable(found), np.int64)])
-        sorted_sizes = sizes[order]
+        order = np.concatenate([own, other])
         begin = np.empty(len(texts), np.int64)
-        begin[order] = np.cumsum(sorted_sizes) - sorted_sizes
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.count + len(texts) + 1 > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[self.used:self.used + len(flat)] = flat[ranges(begin, sizes)]
-        self.bounds[self.count + 1:self.count + len(texts) + 1] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.count += len(texts)
-
-    def _codes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        salt = mixed(kinds.astype(np.uint64) + np.uint64(1))
-        one, two = (h ^ salt for h in word_hashes(buffer, starts, ends, 2))
-        named, head, of = np.unique(one, return_index=True, return_inverse=True)
-        check = two[head]
-        if not np.array_equal(check[of], two):
-            raise RuntimeError("two words of a chunk share a hash")
-        codes = np.full(len(named), -1, np.int64)
-        for keys, second, code in self.shelves:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, named), len(keys) - 1)
-                same = (keys[at] == named) & (second[at] == check)
-                codes[same] = code[at[same]]
-        new = np.flatnonzero(codes < 0)
-        if len(new):
-            raw, begin, stop = buffer.tobytes(), starts[head[new]].tolist(), ends[head[new]].tolist()
-            codes[new] = np.arange(self.count, self.count + len(new))
-            self._learn([raw[a:b] for a, b in zip(begin, stop)], kinds[head[new]] == _LETTERS)
-            self.shelves[1] = self._joined(self.shelves[1], (named[new], check[new], codes[new]))
-            if 8 * len(self.shelves[1][0]) > len(self.shelves[0][0]):
-                self.shelves = [self._joined(*self.shelves), tuple(x[:0] for x in self.shelves[1])]
-        return codes[of]
-
-    @staticmethod
-    def _joined(a: tuple, b: tuple) -> tuple:
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[ranges(begin, sizes)], sizes
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the closing id; ids of each text)."""
-        if self.count > REMEMBERED:
-            self._clear()
         buffer, starts, ends, kinds, before = word_parts(data, offsets)
-        codes = self._codes(buffer, starts, ends, kinds) if len(starts) else np.zeros(0, np.int64)
-        codes = np.insert(codes, before[1:], 0)
-        first, sizes = self.bounds[codes], self.bounds[codes + 1] - self.bounds[codes]
+        codes = np.insert(self.memory.codes(buffer, starts, ends, kinds), before[1:], 0)
+        ids, sizes = self.memory.ids_of(codes)
         total = np.cumsum(sizes)[before[1:] + np.arange(len(before) - 1)]
-        return self.ids[ranges(first, sizes)], np.diff(total, prepend=0)
+        return ids, np.diff(total, prepend=0)
 
 
 _loaded: dict[tuple[str, int], WordIds] = {}

@@ -5,8 +5,8 @@ reads a text once; at every position its output links name all pieces that end t
 that position.  A character that no piece covers costs the least score less ``UNKNOWN`` and becomes its UTF-8 byte pieces.
 
 White space: a space is the mark U+2581, and a text starts with one.  No piece holds a mark after another character, so a text falls
-apart before such marks, and a worker remembers the ids of the ``REMEMBERED`` parts that it saw last.  Decoding is exact but for texts that hold the
-mark itself, which comes back as a space.
+apart before each run of spaces, and around characters that are in no piece; a worker remembers the ids of the parts
+that it saw (``part_ids``).  Decoding is exact but for texts that hold the mark itself, which comes back as a space.
 
 Nulls: a null text has no pieces (an empty list) and decodes to the empty text.  Repeated rows are kept.
 """
@@ -14,22 +14,23 @@ Nulls: a null text has no pieces (an empty list) and decodes to the empty text.
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from turfline.llm import by_value
+from turfline.llm.buffers import byte_column, chunk_rows, ranges
+from turfline.llm.part_ids import PartIds
 
 by_value(__name__)
 
 MARK = "▁"
 UNKNOWN = 10.0
-REMEMBERED = 200_000
-_PART = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class PieceCodec:
@@ -57,7 +58,12 @@ class PieceCodec:
                 self.singles.add(piece)
         self.automaton.make_automaton()
         self.least = least - UNKNOWN
-        self.known: dict[str, list[int]] = {}
+        used = {ord(c) for piece in self.pieces for c in piece if len(piece) != 6 or not piece.startswith("<0x")}
+        self.lonely = np.array([i < 128 and i not in used and i != 32 for i in range(256)])
+        spelled = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_ends = np.cumsum([len(x) for x in spelled])
+        self.memory = PartIds(self._encode_parts, np.zeros(0, np.int64))
 
     def _viterbi(self, part: str) -> list[int]:
         n = len(part)
@@ -91,28 +97,45 @@ class PieceCodec:
             n = start
         return out[::-1]
 
+    def _encode_parts(self, parts: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [self._viterbi(x.decode().replace(" ", MARK)) for x in parts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum())), sizes
+
+    def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids of all texts, ids of each text) of UTF-8 texts in one array."""
+        mark = MARK.encode()
+        if mark in (raw := data.tobytes()):
+            texts = [raw[a:b].replace(mark, b" ") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        filled = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][filled], 32)
+        offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+        space, lonely = data == 32, self.lonely[data]
+        first = space | lonely
+        first[1:] &= ~(space[:-1] & space[1:])
+        first[1:] |= lonely[:-1]
+        first[offsets[:-1][filled]] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(data))
+        ids, sizes = self.memory.ids_of(self.memory.codes(data, starts, ends if len(starts) else starts, np.zeros(len(starts), np.int64)))
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(total[np.searchsorted(starts, offsets)])
+
+    def decode_chunk(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts of several id lists, as UTF-8."""
+        ends = self.spelled_ends[ids]
+        sizes = ends - np.where(ids > 0, self.spelled_ends[ids - 1], 0)
+        raw = self.spelled[ranges(ends - sizes, sizes)].tobytes()
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [raw[a + (raw[a:a + 1] == b" "):b] for a, b in zip(stops, stops[1:])]
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        known, out = self.known, []
-        for part in _PART.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[part] = self._viterbi(part)
-            out += ids
-        return out
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_chunk(data, np.array([0, len(data)]))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-            elif i not in self.silent:
-                raw += self.pieces[i].encode()
-        text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_chunk(np.array(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "replace")
 
 
 _loaded: dict[str, PieceCodec] = {}
@@ -130,22 +153,31 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                texts = batch.column(1).slice(low, 1000).to_pylist()
-                found = [np.array(own.encode(t or ""), np.int32) for t in texts]
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, 1000).cast(pa.int64()), ids], ["doc_id", "ids"])
+            data, at = byte_column(batch.column(1))
+            for low, high in chunk_rows(np.diff(at)):
+                ids, counts = own.encode_chunk(data[at[low]:at[high]], at[low:high + 1] - at[low])
+                bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).cast(pa.int64()),
+                                                  pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def _lists(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc ids, all piece ids, ids of each row) of an encoded batch, some rows at a time; a null list is empty."""
+    for low in range(0, batch.num_rows, rows):
+        column = batch.column(1).slice(low, rows)
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+        yield batch.column(0).slice(low, rows).cast(pa.int64()), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text) of every row of ``encoded`` (doc_id, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            texts = [own.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for names, ids, counts in _lists(batch):
+                texts = [x.decode("utf-8", "replace") for x in own.decode_chunk(ids, counts)]
+                yield pa.RecordBatch.from_arrays([names, pa.array(texts, pa.string())], ["doc_id", "text"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -154,10 +186,11 @@ def summary(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(x) for x in lists], pa.int64()),
-                 pa.array([zlib.crc32(np.array(x, "<u4").tobytes()) for x in lists], pa.int64()),
-                 pa.array([hashlib.sha256(own.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in lists], pa.string())],
-                ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
+            for names, ids, counts in _lists(batch):
+                raw = memoryview(ids.astype("<u4").tobytes())
+                stops = (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(counts), pa.array([zlib.crc32(raw[a:b]) for a, b in zip(stops, stops[1:])], pa.int64()),
+                     pa.array([hashlib.sha256(x).hexdigest() for x in own.decode_chunk(ids, counts)], pa.string())],
+                    ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
