@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.llm import language_id, packing, simhash_dedup, substring_dedup
+from turfline.llm.buffers import free_name
 from turfline.llm.queries import table, word_tokenizer
 from turfline.session import stage
 
@@ -19,8 +20,9 @@ LEAST_SCORE = 0.2
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in one of the languages of the labelled documents; letterless and foreign texts go."""
-    said = language_id.identify(docs, language_id.learn(docs))
-    return said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")
+    said = language_id.identify(docs, language_id.learn(docs), pred=pred, score=score)
+    return said.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

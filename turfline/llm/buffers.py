@@ -107,3 +107,11 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(counts) - counts
     return np.arange(total) - np.repeat(before - np.asarray(starts, dtype=np.int64), counts)
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from turfline.llm import by_value
 from turfline.llm.buffers import chunk_rows
@@ -110,8 +111,8 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
     return ranked.where(F.col("rank") < size)
 
 
-def identify(documents: DataFrame, model: list[tuple[str, str, int]], size: int = PROFILE) -> DataFrame:
-    """``documents`` with lang_pred and score; ``model``: rows (lang, gram, rank) of ``profiles``."""
+def identify(documents: DataFrame, model: list[tuple[str, str, int]], size: int = PROFILE, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``documents`` with the columns ``pred`` and ``score``, which it must not have yet; ``model``: rows (lang, gram, rank) of ``profiles``."""
     langs = sorted({lang for lang, _, _ in model})
     spelled = sorted({gram for _, gram, _ in model})
     row = {gram: i for i, gram in enumerate(spelled)}
@@ -147,30 +148,28 @@ def identify(documents: DataFrame, model: list[tuple[str, str, int]], size: int
         known, rows = coded(alphabet)
         at = np.full(len(gram), len(spelled), np.int64)
         if len(known):
-            near = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            same = known[near] == gram
-            at[same] = rows[near[same]]
+            place = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            same = known[place] == gram
+            at[same] = rows[place[same]]
         apart = np.abs(ranks[at] - rank[:, None])
         apart[missing[at]] = size
         used = np.bincount(document, minlength=len(texts))
         distance = np.stack([np.bincount(document, weights=apart[:, i], minlength=len(texts)) for i in range(len(langs))], axis=1)
         best = distance.argmin(axis=1)
-        score = 1 - distance[np.arange(len(texts)), best] / np.maximum(used * size, 1)
-        return [langs[b] if u else "und" for b, u in zip(best.tolist(), used.tolist())], np.where(used > 0, score, 0.0)
+        near = 1 - distance[np.arange(len(texts)), best] / np.maximum(used * size, 1)
+        return [langs[b] if u else "und" for b, u in zip(best.tolist(), used.tolist())], np.where(used > 0, near, 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said, scores = [], []
             for _, _, texts in _chunks(batch, "text"):
-                found, score = judge(texts)
+                found, near = judge(texts)
                 said += found
-                scores.append(score)
+                scores.append(near)
             extra = [pa.array(said, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *extra], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *extra], [*names, pred, score])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*documents.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*documents.schema.fields]).add(pred, StringType()).add(score, DoubleType())
     return documents.mapInArrow(run, schema)
 
 

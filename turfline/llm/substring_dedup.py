@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import by_value
-from turfline.llm.buffers import BASES, Windows, byte_column, chunk_rows, ranges, word_bounds, word_hashes
+from turfline.llm.buffers import BASES, Windows, byte_column, chunk_rows, free_name, ranges, word_bounds, word_hashes
 from turfline.session import stage
 
 by_value(__name__)
@@ -318,12 +318,13 @@ def strip(documents: DataFrame, found: DataFrame) -> DataFrame:
     Texts that lose nothing stay as they are.  Rows that share a doc_id are taken to share the text.
     """
     names = documents.columns
-    spans = found.where("n_removed > 0").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
+    cut = free_name(names, "spans")
+    spans = found.where("n_removed > 0").groupBy("doc_id").agg(F.first("spans").alias(cut))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("_spans").to_pylist()):
+            for i, spans in enumerate(batch.column(cut).to_pylist()):
                 if spans:
                     words, kept, at = (texts[i] or "").encode().split(), [], 0
                     for a, b in zip(spans[::2], spans[1::2]):
@@ -333,4 +334,4 @@ def strip(documents: DataFrame, found: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return documents.join(spans, "doc_id", "left").select(*names, "_spans").mapInArrow(run, documents.schema)
+    return documents.join(spans, "doc_id", "left").select(*names, cut).mapInArrow(run, documents.schema)
