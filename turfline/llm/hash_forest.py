@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfline.llm import by_value
-from turfline.llm.vectors import matrix, one_per_id
+from turfline.llm.vectors import matrix, one_per_id, scaled
 from turfline.session import stage
 
 by_value(__name__)
@@ -89,7 +89,7 @@ def index(usable: DataFrame, shards: int, trees: int = TREES) -> DataFrame:
         dim = table["dim"][0].as_py()
         ids = table["vec_id"].to_numpy()
         by_id = np.argsort(ids, kind="stable")
-        rows = matrix(table, dim)[by_id]
+        rows = scaled(matrix(table, dim)[by_id])
         hashed = strings(rows, trees)
         order = np.argsort(hashed, axis=0, kind="stable").T
         ordered = np.take_along_axis(hashed.T, order, axis=1)
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
         get = lambda name, kind: np.frombuffer(left[name][0].as_buffer(), kind)
         ids = get("ids", np.int64)
         found = search(get("rows", np.float64).reshape(-1, dim), ids, get("order", np.int32).reshape(-1, len(ids)), get("ordered", np.uint64).reshape(-1, len(ids)),
-                       matrix(right, dim), right["vec_id"].to_numpy(), k, share)
+                       scaled(matrix(right, dim)), right["vec_id"].to_numpy(), k, share)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     keys = ("shard", "dim", "block")
