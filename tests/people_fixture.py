@@ -1,4 +1,4 @@
-"""Invented people: a small roll and a petition batch that reach every branch of the law."""
+"""Made-up people of a made-up town: a small roll and a petition batch that reach every branch of the law."""
 
 from __future__ import annotations
 
@@ -7,36 +7,35 @@ SIGNER = ("row_pos long, id string, name string, address string, signed_on strin
           "capture string, attested_resident boolean")
 
 _VOTERS = [
-    ("V001", "Robert A. Smith", "42 Main St, Springfield 62704", "active", "2019-03-01", "CD-1"),
-    ("V002", "William Johnson", "88 Oak Avenue, Springfield 62704", "active", "2018-06-15", "CD-1"),
-    ("V003", "Elizabeth Carter", "17 Elm Lane, Springfield 62701", "active", "2020-01-20", "CD-2"),
-    ("V004", "James O'Brien", "230 N Park Rd, Springfield 62704", "inactive", "2017-09-10", "CD-1"),
-    ("V005", "Maria Gonzalez", "5 Sunset Blvd Apt 4, Springfield 62705", "active", "2021-11-02", "CD-1"),
-    ("V006", "Katherine Lee", "901 River Dr, Springfield 62704", "cancelled", "2016-05-05", "CD-1"),
-    ("V007", "Daniel Nguyen", "14 Birch Ct, Springfield 62704", "active", "2022-02-14", "CD-1"),
-    ("V008", "Patricia Williams", "360 Cedar Terrace, Springfield 62701", "active", "2015-08-30", "CD-2"),
-    ("V009", "Thomas Baker", "77 Maple St, Springfield 62704", "active", "2026-06-01", "CD-1"),
-    ("V010", "Linda Martinez", "612 Walnut Ave, Springfield 62705", "active", "2019-07-22", "CD-1"),
-    ("V011", "Charles Davis", "29 Pine St, Springfield 62704", "active", "2014-04-04", "CD-1"),
-    ("V012", "Barbara Wilson", "150 Lake Rd, Springfield 62701", "active", "2023-09-09", "CD-2"),
+    ("R10", "Samuel Okafor", "310 Juniper Way, Millbrook 30110", "active", "2017-02-11", "D-4"),
+    ("R11", "Rebecca Lindqvist", "9 Harbor Street, Millbrook 30111", "active", "2020-10-05", "D-4"),
+    ("R12", "Deborah Nakamura", "2204 W Prospect Boulevard, Millbrook 30110", "inactive", "2012-01-30", "D-5"),
+    ("R13", "Edward Castellanos", "61 Quarry Rd Unit 7, Millbrook 30112", "active", "2016-07-19", "D-4"),
+    ("R14", "Cynthia Moreau", "480 Orchard Ct, Millbrook 30110", "cancelled", "2011-11-11", "D-5"),
+    ("R15", "Anthony Petrov", "1 Ferry Ln, Millbrook 30112", "active", "2026-07-04", "D-4"),
+    ("R16", "Jennifer Abernathy", "733 Foundry Ave, Millbrook 30111", "active", "2019-03-03", "D-5"),
+    ("R17", "Benjamin Sörensen", "58 Mill Pond Dr, Millbrook 30110", "active", "2021-08-08", "D-4"),
+    ("R18", "Margaret Ibarra", "12 Canal St, Millbrook 30112", "active", "2018-12-24", "D-4"),
+    ("R19", "Nguyễn Trần Hậu", "5 Depot Sq, Millbrook 30111", "active", "2015-05-15", "D-5"),
 ]
 _SIGNERS = [
-    ("S01", "Bob Smith", "42 Main Street, Springfield 62704", "2026-05-01", "Ava", "wet"),
-    ("S02", "Will Johnson", "88 Oak Ave, Springfield 62704", "2026-05-01", "Ben", "digital"),
-    ("S03", "James O'Brien", "230 North Park Road, Springfield 62704", "2026-05-02", "Ben", "wet"),
-    ("S04", "Katherine Lee", "901 River Drive, Springfield 62704", "2026-05-02", "Cara", "wet"),
-    ("S05", "Maria Gonzales", "5 Sunset Blvd #4, Springfield 62705", "2026-05-03", "Ava", "digital"),
-    ("S06", "Robert Smith", "42 Main St, Springfield 62704", "2026-05-10", "Cara", "wet"),
-    ("S07", "Tom Baker", "77 Maple Street, Springfield 62704", "2026-05-01", "Cara", "wet"),
-    ("S08", "Gregory Fox", "1200 Hill Rd, Springfield 62704", "2026-05-04", "Ava", "wet"),
-    ("S09", "Katy Carter", "17 Elm Lane, Springfield 62701", "2026-05-05", "Ben", "wet"),
-    ("S10", "Daniel Nguyen", "14 Birch Ct, Springfield 62704", "2026-05-05", "Ava", "digital"),
-    ("S11", "Patricia Williams", "360 Cedar Ter, Springfield 62701", "2026-05-06", "Ben", "wet"),
-    ("S12", "Pat Williams", "360 Cedar Terrace, Springfield 62701", "2026-05-11", "Cara", "wet"),
+    ("L1", "Sam Okafor", "310 Juniper Way, Millbrook 30110", "2026-04-02", "Ines", "wet"),
+    ("L2", "Becky Lindqvist", "9 Harbor St, Millbrook 30111", "2026-04-02", "Ines", "digital"),
+    ("L3", "Deb Nakamura", "2204 West Prospect Blvd, Millbrook 30110", "2026-04-02", "Jo", "wet"),
+    ("L4", "Ed Castellano", "61 Quarry Road #7, Millbrook 30112", "2026-04-03", "Jo", "digital"),
+    ("L5", "Cindy Moreau", "480 Orchard Court, Millbrook 30110", "2026-04-03", "Kim", "wet"),
+    ("L6", "Tony Petrov", "1 Ferry Lane, Millbrook 30112", "2026-04-05", "Kim", "wet"),
+    ("L7", "Samuel Okafor", "310 Juniper Way, Millbrook 30110", "2026-04-09", "Kim", "wet"),
+    ("L8", "Wendell Quist", "5 Unknown Pkwy, Millbrook 30110", "2026-04-09", "Ines", "wet"),
+    ("L9", "Paul Abernathy", "733 Foundry Avenue, Millbrook 30111", "2026-04-10", "Jo", "wet"),
+    ("L10", "Ben Sorensen", "58 Mill Pond Drive, Millbrook 30110", "2026-04-10", "Ines", "digital"),
+    ("L11", "Peggy Ibarra", "12 Canal St, Millbrook 30112", "2026-04-11", "Jo", "wet"),
+    ("L12", "Meg Ibarra", "12 Canal Street, Millbrook 30112", "2026-04-12", "Kim", "wet"),
+    ("L13", "Nguyen Tran Hau", "5 Depot Square, Millbrook 30111", "2026-04-12", "Ines", "wet"),
 ]
 
 
-def roll(spark, voters=_VOTERS, county="Sangamon"):
+def roll(spark, voters=_VOTERS, county="Mercer"):
     rows = [(i, v, n, a, s, r, county, d) for i, (v, n, a, s, r, d) in enumerate(voters)]
     return spark.createDataFrame(rows, ROLL)
 

@@ -12,11 +12,11 @@ from turfline.sources.adapters import LAYOUTS
 PEOPLE = ("voter_id string, first_name string, middle_name string, last_name string, suffix string, house string, street_name string, "
           "unit_text string, city string, state string, zip string, status string, registered_on string, county string, district string, tile_cell string")
 ROWS = [
-    ("V1001", "Robert", "A", "Nuñez", "", "42", "Main St", "", "Springfield", "NC", "62704", "active", "2019-03-01", "Sangamon", "1", "P1"),
-    ("V1002", "William", "", "Johnson", "", "88", "Oak Ave", "", "Springfield", "NC", "62704", "active", "2018-06-15", "Sangamon", "1", "P1"),
-    ("V1003", "Maria", "", "Gonzalez", "", "5", "Sunset Blvd", "4", "Springfield", "NC", "62705", "active", "2021-11-02", "Sangamon", "1", "P1"),
-    ("V1004", "James", "", "O'Brien", "", "230", "N Park Rd", "", "Springfield", "NC", "62704", "inactive", "2017-09-10", "Sangamon", "1", "P1"),
-    ("V1005", "Katherine", "", "Lee", "", "901", "River Dr", "", "Springfield", "NC", "62704", "cancelled", "2016-05-05", "Sangamon", "1", "P1"),
+    ("V1001", "Samuel", "T", "Nuñez", "", "310", "Juniper Way", "", "Millbrook", "NC", "62704", "active", "2019-03-01", "Mercer", "1", "P1"),
+    ("V1002", "Rebecca", "", "Lindqvist", "", "9", "Harbor St", "", "Millbrook", "NC", "62704", "active", "2018-06-15", "Mercer", "1", "P1"),
+    ("V1003", "Edward", "", "Castellanos", "", "61", "Quarry Rd", "7", "Millbrook", "NC", "62705", "active", "2021-11-02", "Mercer", "1", "P1"),
+    ("V1004", "Deborah", "", "Naka'mura", "", "2204", "W Prospect Blvd", "", "Millbrook", "NC", "62704", "inactive", "2017-09-10", "Mercer", "1", "P1"),
+    ("V1005", "Cynthia", "", "Moreau", "", "480", "Orchard Ct", "", "Millbrook", "NC", "62704", "cancelled", "2016-05-05", "Mercer", "1", "P1"),
 ]
 
 
@@ -26,7 +26,7 @@ def test_round_trip(spark, name):
     rolls.write(spark.createDataFrame(ROWS, PEOPLE), layout, path)
     got = {r["id"]: r for r in rolls.scan(spark, path, layout).collect()}
     assert len(got) == 5
-    assert got["V1001"]["name"] == "Robert A Nuñez"
+    assert got["V1001"]["name"] == "Samuel T Nuñez"
     assert {r["status"] for r in got.values()} == {"active", "inactive", "cancelled"}
     assert got["V1001"]["registered_on"] == (None if layout.date_format == "unknown" else "2019-03-01")
     stream = rolls.scan_stream(spark, path, layout, rolls.header_of(spark, path, layout), files_per_trigger=1)
@@ -65,9 +65,9 @@ def test_filter_and_limit_over_many_rows(spark):
 def test_validate_against_a_loaded_file(spark):
     path, layout = scratch(spark, "wa"), LAYOUTS["Washington"]
     rolls.write(spark.createDataFrame(ROWS, PEOPLE).coalesce(1), layout, path)
-    lines = [("S1", "Bob Nunez", "42 Main Street, Springfield 62704", "2026-05-01", "Ava", "digital"),
-             ("S2", "Will Johnson", "88 Oak Ave, Springfield 62704", "2026-05-01", "Ava", "wet"),
-             ("S3", "James O'Brien", "230 North Park Road, Springfield 62704", "2026-05-02", "Ben", "wet"),
-             ("S4", "Gregory Fox", "1200 Hill Rd, Springfield 62704", "2026-05-03", "Ben", "wet")]
+    lines = [("S1", "Sam Nunez", "310 Juniper Way, Millbrook 62704", "2026-05-01", "Ava", "digital"),
+             ("S2", "Becky Lindqvist", "9 Harbor Street, Millbrook 62704", "2026-05-01", "Ava", "wet"),
+             ("S3", "Deb Naka'mura", "2204 West Prospect Boulevard, Millbrook 62704", "2026-05-02", "Ben", "wet"),
+             ("S4", "Wendell Quist", "5 Unknown Pkwy, Millbrook 62704", "2026-05-03", "Ben", "wet")]
     ledger = validate_batch(signers(spark, lines), rolls.scan(spark, path, layout, with_position=True), StateContext("Washington"))
     assert {r["id"]: r["verdict"] for r in ledger.collect()} == {"S1": "VALID", "S2": "VALID", "S3": "INVALID", "S4": "INVALID"}

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import reduce
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -21,33 +18,49 @@ def text(value) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def _decompositions(form: str, first: int, last: int) -> dict[str, str]:
-    """Characters of a range whose decomposition, without marks, is one other character."""
+def _decompositions(form: str) -> dict[str, str]:
+    """Characters beyond ASCII whose decomposition, without marks, holds an ASCII character, with that decomposition."""
     out = {}
-    for code in range(first, last + 1):
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
         plain = "".join(c for c in unicodedata.normalize(form, chr(code)) if not 0x300 <= ord(c) <= 0x36F)
-        if plain != chr(code) and len(plain) == 1:
+        if plain != chr(code) and any(c.isascii() for c in plain):
             out[chr(code)] = plain
     return out
 
 
-_ACCENTS = _decompositions("NFKD", 0xA0, 0x24F)
+def _near_ranges(characters) -> str:
+    """A pattern of a few ranges that hold all of the characters, and others between them."""
+    codes = sorted(map(ord, characters))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] > 40:
+            ranges.append([code, code])
+        ranges[-1][1] = code
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]"
+
+
+def _spelled_out(column: Column, table: dict[str, str]) -> Column:
+    """Replace characters by several; texts without any of them are not taken apart."""
+    pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    letters = F.transform(F.split(column, ""), lambda c: F.when(c >= "\u0080", F.coalesce(F.element_at(pairs, c), c)).otherwise(c))
+    present = column.rlike(_near_ranges(table)) & (F.translate(column, "".join(table), "") != column)
+    return F.when(present, F.array_join(letters, "")).otherwise(column)
+
+
+_FOLDED = _decompositions("NFKD")
+_ACCENTS = {k: v for k, v in _FOLDED.items() if len(v) == 1}
+_LIGATURES = {k: v for k, v in _FOLDED.items() if len(v) > 1}
 _MARKS = "".join(chr(c) for c in range(0x300, 0x370))
 
 
 def strip_accents(value, delete: str = "") -> Column:
-    """Fold accented Latin letters to plain ones and drop the characters in ``delete``.
+    """Fold accented letters to plain ones and drop the characters in ``delete``.
 
-    One ``translate`` covers every letter up to U+024F that decomposes to a single plain character;
-    ligatures and other scripts need :func:`nfkd`.
+    The tables hold every character of the Basic Multilingual Plane whose compatibility decomposition has an ASCII
+    character: one ``translate`` for those that become a single one, a lookup for ligatures and the like.
     """
-    return F.translate(text(value), "".join(_ACCENTS) + _MARKS + delete, "".join(_ACCENTS.values()))
-
-
-@F.pandas_udf(T.StringType())
-def nfkd(values: pd.Series) -> pd.Series:
-    """Full compatibility decomposition, for rolls with ligatures or non-Latin presentation forms."""
-    return values.str.normalize("NFKD")
+    plain = F.translate(_spelled_out(text(value), _LIGATURES), "".join(_ACCENTS) + _MARKS, "".join(_ACCENTS.values()))
+    return F.translate(plain, delete, "") if delete else plain
 
 
 def basic(value) -> Column:
@@ -62,8 +75,12 @@ def words(value) -> Column:
     return F.filter(F.split(column, " "), lambda w: w != "")
 
 
+#: White space as a web page's reader sees it, the no-break spaces too.
+_WHITE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+
+
 def squeeze(value) -> Column:
-    return F.trim(F.regexp_replace(text(value), "\\s+", " "))
+    return F.trim(F.regexp_replace(text(value), _WHITE, " "))
 
 
 def join_present(sep: str, *parts) -> Column:
@@ -82,19 +99,16 @@ _QUOTE_FROM = (
     "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"  # to -
 )
 _QUOTE_TO = "'" * 5 + '"' * 3 + "-" * 7
-_COMPAT = {}
-for _code in (*range(0xA0, 0x250), *range(0x2000, 0x2070), *range(0xFF01, 0xFF5F)):
-    _plain = unicodedata.normalize("NFKC", chr(_code))
-    if _plain != chr(_code) and chr(_code) not in _QUOTE_FROM and len(_plain) == 1:
-        _COMPAT[chr(_code)] = _plain
-_SPELLED_OUT = (("\u2026", "..."), ("\u2033", "''"), ("\ufb01", "fi"), ("\ufb02", "fl"))
+_NFKC = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0x80, 0xD800), *range(0xE000, 0x10000))}
+_COMPAT = {k: v for k, v in _NFKC.items() if v != k and len(v) == 1 and k not in _QUOTE_FROM}
+#: Characters that become several; combining sequences of Korean and of presentation forms of other scripts stay.
+_SEVERAL = {k: v.replace("\u2032", "'") for k, v in _NFKC.items() if len(v) > 1 and any(c.isascii() for c in v)}
 
 
 def quote_fold(value) -> Column:
     """Fold what makes a correct quotation look different: quotes, dashes, spaces, case."""
-    folded = F.translate(text(value), _QUOTE_FROM + "".join(_COMPAT), _QUOTE_TO + "".join(_COMPAT.values()))
-    folded = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), _SPELLED_OUT, folded)
-    return squeeze(F.lower(folded))
+    folded = _spelled_out(text(value), {**_SEVERAL, "\u2033": "''"})
+    return squeeze(F.lower(F.translate(folded, _QUOTE_FROM + "".join(_COMPAT), _QUOTE_TO + "".join(_COMPAT.values()))))
 
 
 def page_text(html) -> Column:
@@ -111,16 +125,17 @@ def page_text(html) -> Column:
 
 
 def _numeric_entities(column: Column) -> Column:
-    """Decode ``&#233;`` and ``&#xe9;`` by splitting at each entity; rows without one are untouched."""
+    """Decode ``&#233;`` and ``&#xe9;`` by splitting at each entity; rows without one are untouched, and so are
+    entities that name no character."""
     entity = "(?i)&#(?:x[0-9a-f]+|[0-9]+);"
 
     def decode(token: Column) -> Column:
-        code = F.when(
-            token.rlike("(?i)^&#x"),
-            F.conv(F.regexp_extract(token, "(?i)^&#x([0-9a-f]+);", 1), 16, 10),
-        ).otherwise(F.regexp_extract(token, "^&#([0-9]+);", 1))
-        point = F.conv(code, 10, 16)
-        return F.decode(F.unhex(F.lpad(point, 8, "0")), "UTF-32")
+        digits = F.regexp_extract(token, "(?i)^&#x?0*([0-9a-f]*);", 1)
+        short = F.when((F.length(digits) > 0) & (F.length(digits) <= 7), digits)
+        code = F.when(token.rlike("(?i)^&#x"), F.conv(short, 16, 10)).otherwise(short).try_cast("int")
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        point = F.lpad(F.conv(F.when(real, code).cast("string"), 10, 16), 8, "0")
+        return F.coalesce(F.decode(F.unhex(point), "UTF-32"), token)
 
     plain = F.split(column, entity, -1)
     found = F.regexp_extract_all(column, F.lit("(" + entity + ")"), 1)

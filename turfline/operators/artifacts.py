@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turfline import fixed
 from turfline.functions.people import member_key, search_tokens, standardize
@@ -31,13 +32,13 @@ def row_fingerprint(columns: list[str]) -> Column:
     return F.sha1(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def content_version(df: DataFrame, keys: list[str], columns: list[str], order: str = "row_pos") -> DataFrame:
-    """Twelve hex digits per group that change with any record or with the order of records.
+def content_version(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Twelve hex digits per group that change with any record of the group, and with nothing else.
 
-    Each row is hashed with its position and the hashes are added up, so the version is an ordinary
-    combinable sum; no group is ever collected.
+    Each row is hashed and the hashes are added up, so the version is an ordinary combinable sum; no group is ever
+    collected.  ``columns`` may hold a position inside the group, never one in the whole roll.
     """
-    digest = F.sha1(F.concat_ws("|", F.col(order).cast("string"), row_fingerprint(columns)))
+    digest = F.sha1(row_fingerprint(columns))
     half = lambda start: F.conv(F.substring(digest, start, 12), 16, 10).cast("decimal(38,0)")
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("voter_count"),
@@ -95,7 +96,7 @@ def modal(df: DataFrame, keys: list[str], value: Column, order: str) -> DataFram
 def tile_manifest(tiles: DataFrame) -> DataFrame:
     """One row per tile: voter_count, version and modal ZIP."""
     zips = modal(tiles, ["tile"], zip_trailing_loose("address"), "position")
-    versions = content_version(tiles, ["tile"], [*RECORD, "h"], "position")
+    versions = content_version(tiles, ["tile"], [*RECORD, "h", "position"])
     return versions.join(zips, "tile", "left").select(
         "tile", "voter_count", "version", F.coalesce("modal", F.lit("")).alias("zip"))
 
@@ -133,9 +134,16 @@ def shard_manifest(shards: DataFrame) -> DataFrame:
     return content_version(shards, ["zip5"], RECORD)
 
 
-def write_shards(shards: DataFrame, path: str) -> None:
-    """A hot ZIP may take several files: rows are spread by ZIP and position before the write."""
-    shards.repartition("zip5", F.pmod(F.col("row_pos"), F.lit(8))).write.partitionBy("zip5").parquet(path)
+def write_shards(shards: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
+    """One folder per ZIP; a ZIP with many voters takes as many files as it needs."""
+    files = shards.groupBy("zip5").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    dealt = shards.join(files, "zip5").withColumn("_file", F.pmod(F.xxhash64("id"), "_files")).drop("_files")
+    dealt.repartition("zip5", "_file").drop("_file").write.partitionBy("zip5").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The shards, or one of them after a filter on ``zip5``; the schema keeps a ZIP's leading zeros."""
+    return spark.read.schema(schema).parquet(path)
 
 
 # --- membership ----------------------------------------------------------------------------

@@ -248,7 +248,7 @@ def best_matches(signers_std: DataFrame, roll_std: DataFrame, weak_scores: bool
     first = first.select(*[F.col(f"a_{c}").alias(c) for c in PERSON], "best")
     staged = stage(probes.join(first, PERSON, "left").withColumn("numbered", F.col("number") != ""), "probes")
     waiting = staged.where("last <> ''").where(
-        F.col("best").isNull() | (F.col("best.score") < _reach(fixed.MISSING_PART, 1.0)))
+        F.col("best").isNull() | (F.col("best.score") <= _reach(fixed.MISSING_PART, 1.0) + _SLACK))
     open_probes = waiting.groupBy(*PLACE).agg(F.min(F.coalesce("best.score", F.lit(0.0))).alias("floor"))
     second = _best_of(near_name_pairs(open_probes, people), [f"a_{c}" for c in PLACE]).select(
         *[F.col(f"a_{c}").alias(c) for c in PLACE], F.col("best").alias("near"))

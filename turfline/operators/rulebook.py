@@ -145,7 +145,7 @@ def rule_violations(rules: DataFrame) -> DataFrame:
 
 def freshness(records: DataFrame, today: str) -> DataFrame:
     """Due date, days left and status per record; ``records`` has label, verified_as_of, window_days."""
-    due = F.date_add(F.to_date("verified_as_of"), F.col("window_days").cast("int"))
+    due = F.date_add(F.col("verified_as_of").try_cast("date"), F.col("window_days").cast("int"))
     left = F.datediff(due, F.lit(today).cast("date"))
     return records.withColumn("due", due).withColumn("days_left", left).withColumn(
         "state", F.when(F.col("due").isNull(), "unknown").when(F.col("days_left") < 0, "stale")

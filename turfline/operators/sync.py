@@ -135,13 +135,15 @@ def turf_coverage(assignments: DataFrame, manifest: DataFrame) -> DataFrame:
 
 # --- lookups ------------------------------------------------------------------------------
 def verify_lookup(signers: DataFrame, roll: DataFrame, campaign_roll: DataFrame, context: StateContext) -> DataFrame:
-    """Match in the active shard of the signer's trailing ZIP; without such a shard, in the campaign roll.
+    """Match in the active shard of the signer's trailing ZIP; without a ZIP or such a shard, in the campaign roll.
 
-    Only verdict, band, score and the voter id leave this job.
+    A lookup knows name and address only, so no rule on signing date or county applies.  Only verdict, band, score and
+    the voter id leave this job.
     """
-    shards = shard_rows(roll).withColumn("county", F.col("county"))
-    placed = signers.withColumn("_zip", zip_trailing_plus4("address"))
-    shard_zips = shards.select(F.col("zip5").alias("_zip")).distinct()
+    shards = shard_rows(roll)
+    unknown = {c: F.lit(None).cast("string") for c in ("signed_on", "county")}
+    placed = signers.withColumns(unknown).withColumn("_zip", zip_trailing_plus4("address"))
+    shard_zips = shards.where("zip5 <> ''").select(F.col("zip5").alias("_zip")).distinct()
     in_shard = placed.join(shard_zips, "_zip", "left_semi").drop("_zip")
     elsewhere = placed.join(shard_zips, "_zip", "left_anti").drop("_zip")
     by_shard = judge(link(in_shard, shards, block_by_zip=True), context)

@@ -85,16 +85,18 @@ def validate_rows(signers: DataFrame, roll: DataFrame, context: StateContext, we
     return judge(link(signers, roll, weak_scores), context)
 
 
-def drop_batch_duplicates(judged: DataFrame) -> DataFrame:
+def drop_batch_duplicates(judged: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """The first non-INVALID line of a voter keeps its verdict; later ones become INVALID duplicates.
 
+    ``within`` names columns whose values are batches of their own: a voter may sign once in each.
+
     The first line comes from a grouped minimum, which combines before the shuffle, so a voter signed
     for by a third of all lines is no hot window.
     """
     claim = F.col("matched_voter_id").isNotNull() & (F.col("verdict") != "INVALID")
-    first = judged.where(claim).groupBy("matched_voter_id").agg(
-        F.min(F.struct("row_pos", "id")).alias("_first"))
-    joined = judged.join(first, "matched_voter_id", "left")
+    keys = [*within, "matched_voter_id"]
+    first = judged.where(claim).groupBy(*keys).agg(F.min(F.struct("row_pos", "id")).alias("_first"))
+    joined = judged.join(first, keys, "left")
     repeated = claim & (F.col("row_pos") > F.col("_first.row_pos"))
     return (
         joined.withColumn("is_duplicate", F.coalesce(repeated, F.lit(False)))
@@ -200,7 +202,7 @@ def distribution_check(ledger: DataFrame, per_district: int, districts_needed: i
 
 
 def reconcile(captured: DataFrame, roll: DataFrame, context: StateContext) -> DataFrame:
-    """Validate stored captures again over the full roll and show which verdicts flip.
+    """Validate stored captures again over the full roll and show which verdicts flip; each campaign is a batch.
 
     ``captured`` has campaign_id, gatherer_id, seq, name, address, verdict and row_pos.
     """
@@ -210,7 +212,7 @@ def reconcile(captured: DataFrame, roll: DataFrame, context: StateContext) -> Da
         F.to_json(F.struct(*keys)).alias("id"), F.lit(None).cast("string").alias("signed_on"),
         F.lit(None).cast("string").alias("county"), F.lit(None).cast("boolean").alias("attested_resident"),
     )
-    checked = drop_batch_duplicates(judge(link(lines, roll), context))
+    checked = drop_batch_duplicates(judge(link(lines, roll), context), ("campaign_id",))
     return checked.select(
         *keys, "client_verdict", "verdict", "matched_voter_id", "is_duplicate",
         (F.col("client_verdict") != F.col("verdict")).alias("flipped"),

@@ -271,7 +271,7 @@ def place_usable(spark, d):
     return campaign_desk.place_usable(_places(spark, d))
 
 
-_CENTERS = " UNION ALL ".join(f"SELECT '{n}' AS center, {la}{D} AS cla, {lo}{D} AS clo" for n, la, lo in campaign_desk.CENTERS)
+_CENTERS = " UNION ALL ".join(f"SELECT '{n}' AS center, {la}{D} AS cla, {lo}{D} AS clo" for n, la, lo in fixed.ACTIVITY_CENTERS)
 
 
 @query("nearest_center", f"""WITH centers AS ({_CENTERS}), spots AS (SELECT event_id, 25 + (event_id % 240) / 10.0{D} AS lat, -125 + (user_id * 7 % 500) / 10.0{D} AS lng FROM events),

@@ -155,10 +155,10 @@ def campaign_index(spark, d):
 
 @query("content_version", SCOPED + "SELECT campaign_id, count(*) AS voter_count, true AS stable, true AS sensitive FROM scoped GROUP BY 1")
 def content_version(spark, d):
-    """A version must not depend on partitioning and must change with any record."""
+    """A version must not depend on partitioning or on where the records stand in the roll, and must change with any record."""
     index = artifacts.campaign_index(ft.roll(spark, d), _campaign_zips(spark, d))
     v = lambda df, name: artifacts.content_version(df, ["campaign_id"], artifacts.RECORD).withColumnRenamed("version", name)
-    base, again = v(index, "a"), v(index.repartition(13, "id"), "b").drop("voter_count")
+    base, again = v(index, "a"), v(index.repartition(13, "id").withColumn("row_pos", F.col("row_pos") + 1), "b").drop("voter_count")
     touched = v(index.withColumn("status", F.concat("status", F.lit("!"))), "c").drop("voter_count")
     return base.join(again, "campaign_id").join(touched, "campaign_id").select(
         "campaign_id", "voter_count", (F.col("a") == F.col("b")).alias("stable"), (F.col("a") != F.col("c")).alias("sensitive"))
@@ -215,6 +215,15 @@ def tile_files(spark, d):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda s: s["id"]), " ").alias("ids"))
 
 
+@query("zip_shard_files", R + "SELECT id, regexp_extract(address, '\\b([0-9]{5})\\b\\s*$', 1) AS zip5 FROM roll WHERE status = 'active'")
+def zip_shard_files(spark, d):
+    """Every shard written and read back."""
+    shards = artifacts.shard_rows(ft.roll(spark, d))
+    path = scratch(spark, "shards")
+    artifacts.write_shards(shards, path)
+    return artifacts.read_shards(spark, path, shards.schema).select("id", "zip5")
+
+
 @query("zip_shard_manifest", R + "SELECT regexp_extract(address, '\\b([0-9]{5})\\b\\s*$', 1) AS zip5, count(*) AS voter_count FROM roll WHERE status = 'active' GROUP BY 1")
 def zip_shard_manifest(spark, d):
     return artifacts.shard_manifest(artifacts.shard_rows(ft.roll(spark, d))).drop("version")
@@ -256,8 +265,8 @@ def member_bloom(spark, d):
 def membership_fpr(spark, d):
     """One invented non-member per order; the false-positive rate must stay near its target."""
     fakes = ft.read(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.concat(F.lit("Zzqx"), "o_orderkey", F.lit(" Nonexistent")).alias("name"),
-        F.concat("o_orderkey", F.lit(" Imaginary Rd, Nowhere XX 00000")).alias("address"))
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("Absent"), "o_orderkey", F.lit(" Person")).alias("name"),
+        F.concat("o_orderkey", F.lit(" Missing Way, Faraway 88888")).alias("address"))
     hits = _probed(spark, d, artifacts.member_keys(fakes), "id")
     return hits.agg(F.count(F.lit(1)).alias("probes"), (F.avg(F.col("maybe_member").cast("int")) <= 2 * fixed.BLOOM_FPR).alias("within_target"))
 
@@ -366,12 +375,14 @@ def snapshot_store(spark, d):
     return store.current("statewide").select("campaign_id", *keep)
 
 
-@query("stale_index", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN true ELSE epoch(TIMESTAMP '1998-01-01 00:00:00') - epoch(max(o_orderdate)) > 3600 END AS stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1 HAVING max(o_orderdate) IS NOT NULL")
+@query("stale_index", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN true ELSE coalesce(epoch(TIMESTAMP '1998-01-01 00:00:00') - epoch(max(o_orderdate)) > 3600, true) END AS stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1")
 def stale_index(spark, d):
+    """Every customer's device at a given hour; one that never synced is stale."""
     now = F.to_timestamp(F.lit("1998-01-01 00:00:00"))
     seen = ft.read(spark, d, "orders").where(F.col("o_orderdate") < now).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("at"))
+    devices = ft.read(spark, d, "customer").select("c_custkey").join(seen, "c_custkey", "left")
     at = F.when(F.col("c_custkey") % 9 != 0, F.col("at")).cast("timestamp")
-    return seen.select("c_custkey", sync.stale(at, now).alias("stale"))
+    return devices.select("c_custkey", sync.stale(at, now).alias("stale"))
 
 
 @query("tile_union", TILES + "SELECT cell AS assignment, count(*) AS voters FROM tiles WHERE right(tile, 4) <> '__b1' GROUP BY 1")
@@ -398,8 +409,8 @@ def turf_coverage(spark, d):
 
 
 # --- lookups ---------------------------------------------------------------------------------------
-SHARDED = f"""s0 AS (SELECT *, regexp_extract(address, '([0-9]{{5}})(?:-[0-9]{{4}})?\\s*$', 1) AS z FROM s), r0 AS (SELECT * REPLACE (block || '@' || regexp_extract(address, '\\b([0-9]{{5}})\\b\\s*$', 1) AS block) FROM r WHERE status = 'active'),
-shard_zips AS (SELECT DISTINCT regexp_extract(address, '\\b([0-9]{{5}})\\b\\s*$', 1) AS z FROM r WHERE status = 'active'),
+SHARDED = f"""s0 AS (SELECT * REPLACE (NULL::VARCHAR AS signed_on, NULL::VARCHAR AS county), regexp_extract(address, '([0-9]{{5}})(?:-[0-9]{{4}})?\\s*$', 1) AS z FROM s), r0 AS (SELECT * REPLACE (block || '@' || regexp_extract(address, '\\b([0-9]{{5}})\\b\\s*$', 1) AS block) FROM r WHERE status = 'active'),
+shard_zips AS (SELECT DISTINCT regexp_extract(address, '\\b([0-9]{{5}})\\b\\s*$', 1) AS z FROM r WHERE status = 'active' AND z <> ''),
 rr AS (SELECT * FROM r0 UNION ALL SELECT * FROM r), ss AS (SELECT * EXCLUDE (z) REPLACE (CASE WHEN z IN (SELECT z FROM shard_zips) THEN block || '@' || z ELSE block END AS block) FROM s0)"""
 VERIFY = f"WITH {O.roll()}, {O.signers()}, {O.std('roll', 'r')}, {O.std('signers', 's')}, {SHARDED}, {O.matched('ss', 'rr').replace('LEFT JOIN rr v ON', 'LEFT JOIN r v ON')}, {O.judged()}"
 
@@ -410,13 +421,6 @@ def verify_lookup(spark, d):
     return sync.verify_lookup(ft.signers(spark, d), roll, roll, CONTEXT).drop("score")
 
 
-LADDER = f"""WITH {O.roll()}, {O.signers()}, {O.std('roll', 'r9')}, {O.std('signers', 's')},
-r AS (SELECT * FROM r9 WHERE regexp_extract(address, '\\b([0-9]{{5}})\\b\\s*$', 1) < '62720'), {O.matched()}, {O.judged()},
-full_ok AS (SELECT s.id, min(v.id) AS vid FROM s JOIN r9 v ON v.block = s.block AND v.first = s.first AND v.last = s.last AND v.number = s.number AND v.street = s.street AND v.zip5 = s.zip5 AND s.number <> ''
- WHERE v.status = 'active' AND v.registered_on <= s.signed_on GROUP BY s.id),
-members AS (SELECT s.id FROM s WHERE first || ' ' || last || '|' || number || ' ' || street || ' ' || zip5 IN (SELECT first || ' ' || last || '|' || number || ' ' || street || ' ' || zip5 FROM r9 WHERE status = 'active'))"""
-
-
 @query("validation_ladder")
 def validation_ladder(spark, d):
     """Turf (half the ZIPs), else the full roll, else membership."""
@@ -450,8 +454,9 @@ store AS (SELECT dim, key, CAST(sum(valid) AS BIGINT) AS valid, CAST(sum(total)
 def yield_store_merge(spark, d):
     """Two drives saved one after the other; the store keeps the running sums."""
     store = snapshots.YieldStore(spark, scratch(spark, "yields"))
-    store.save(_history_counts(spark, d), "2026-01-01")
-    store.save(_live_counts(spark, d), "2026-02-01")
+    store.save(_history_counts(spark, d), "history", "2026-01-01")
+    store.save(_live_counts(spark, d), "live", "2026-02-01")
+    store.save(_live_counts(spark, d), "live", "2026-02-01")  # a retry changes nothing
     return store.load().withColumn("drives", F.lit(store.drives()))
 
 

@@ -190,7 +190,7 @@ def session_stats(spark, d):
 _CAPTURED = "signers AS (SELECT seq AS row_pos, CAST(seq AS VARCHAR) AS id, name, address, CAST(NULL AS VARCHAR) AS signed_on, CAST(NULL AS VARCHAR) AS county, CAST(NULL AS BOOLEAN) AS attested_resident, campaign_id, gatherer_id, seq, verdict AS client_verdict FROM captures)"
 
 
-@query("reconcile", f"WITH {O.roll()}, {O.captures()}, {_CAPTURED}, {O.std('roll', 'r')}, {O.std('signers', 's')}, {O.matched()}, {O.judged()}, {O.ledger()} " +
+@query("reconcile", f"WITH {O.roll()}, {O.captures()}, {_CAPTURED}, {O.std('roll', 'r')}, {O.std('signers', 's')}, {O.matched()}, {O.judged()}, {O.ledger('campaign_id')} " +
        "SELECT campaign_id, gatherer_id, seq, client_verdict, verdict, matched_voter_id, is_duplicate, client_verdict <> verdict AS flipped FROM ledger")
 def reconcile(spark, d):
     return validity.reconcile(ft.captures(spark, d).withColumn("row_pos", F.col("seq")), ft.roll(spark, d), CONTEXT)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turfline.session import spread
 
 FIRST = (
     "Robert", "William", "James", "Joseph", "Michael", "David", "Richard", "Thomas", "Stephen", "Christopher",
@@ -68,7 +67,7 @@ def zip5(k: Column) -> Column:
 
 def roll_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the separate columns a state roll file carries."""
-    c = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     k = F.col("c_custkey")
     return c.join(n, c.c_nationkey == n.n_nationkey).select(
@@ -114,8 +113,8 @@ def roll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Petition lines over ``orders``: ten kinds of spelling, from exact to unknown people."""
-    s = spread(read(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    s = read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     o, k = F.col("o_orderkey"), F.col("o_custkey")
     kind = o % 10
     full = F.concat(first_name(k), F.lit(" "), last_name(k))
@@ -127,7 +126,7 @@ def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, F.concat(full, F.lit("e")))
         .when(kind == 7, F.concat(pick(SHORT, (k + 7) % 20), F.lit(" "), last_name(k)))
         .when(kind == 8, F.concat(F.substring(first_name(k), 1, 1), F.lit(". "), last_name(k)))
-        .when(kind == 9, F.concat(F.lit("Zqx"), o, F.lit(" Nomatch")))
+        .when(kind == 9, F.concat(F.lit("Qw"), o, F.lit(" Unlisted")))
         .otherwise(full)
     )
     number = F.when(kind == 6, (k * 7 % 900 + 102).cast("string")).otherwise(house(k))
@@ -137,7 +136,7 @@ def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(", Springfield "), zip5(k), F.when(o % 4 == 0, "-1234").otherwise(""),
     )
     address = F.when(
-        kind == 9, F.concat(F.lit("99"), o, F.lit(" Nowhere Blvd, Elsewhere 43999"))).otherwise(known)
+        kind == 9, F.concat(F.lit("99"), o, F.lit(" Vacant Ln, Faraway 88888"))).otherwise(known)
     return s.select(
         o.alias("row_pos"), F.concat(F.lit("S"), o).alias("id"), name.alias("name"), address.alias("address"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("signed_on"),

@@ -10,7 +10,7 @@ from turfline.operators.sync import current_versions
 from turfline.operators.yields import merge_counts
 
 _POINTER = "campaign_id string, version string, voter_count long, built_at string, jurisdiction string"
-_COUNTS = "dim string, key string, valid long, total long, drive long, stamp string"
+_COUNTS = "dim string, key string, valid long, total long, stamp string, drive string"
 
 
 class SnapshotStore:
@@ -35,9 +35,9 @@ class SnapshotStore:
         return self.spark.read.schema(_POINTER).parquet(f"{self.path}/pointers")
 
     def version(self, campaign_id: str, version: str) -> DataFrame:
-        """One stored version; only its folder is read."""
-        return self.spark.read.parquet(f"{self.path}/voters").where(
-            (F.col("campaign_id") == campaign_id) & (F.col("version") == version))
+        """One stored version; only its folder is listed and read."""
+        stored = self.spark.read.parquet(f"{self.path}/voters/campaign_id={campaign_id}/version={version}")
+        return stored.withColumns({"campaign_id": F.lit(campaign_id), "version": F.lit(version)})
 
     def current(self, campaign_id: str) -> DataFrame:
         """The version the pointer names (a pointer lookup is one small row)."""
@@ -48,7 +48,7 @@ class SnapshotStore:
 
 
 class YieldStore:
-    """Additive (dim, key, valid, total) counts; every drive appends its own rows."""
+    """Additive (dim, key, valid, total) counts; every drive has its own folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -56,17 +56,18 @@ class YieldStore:
     def _rows(self) -> DataFrame:
         try:
             return self.spark.read.schema(_COUNTS).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _COUNTS)
 
     def load(self) -> DataFrame:
         return merge_counts(self._rows())
 
     def drives(self) -> int:
-        return self._rows().agg(F.coalesce(F.max("drive"), F.lit(0))).first()[0]
+        return self._rows().agg(F.count_distinct("drive")).first()[0]
 
-    def save(self, counts: DataFrame, stamp: str) -> None:
-        """Add one drive; saving the same drive number twice is prevented by its own folder name."""
-        drive = self.drives() + 1
-        counts.select("dim", "key", "valid", "total", F.lit(drive).cast("long").alias("drive"), F.lit(stamp).alias("stamp")) \
-            .write.mode("append").parquet(self.path)
+    def save(self, counts: DataFrame, drive: str, stamp: str) -> None:
+        """Store the counts of the drive that the caller names; saving a drive again replaces its counts."""
+        counts.select("dim", "key", "valid", "total", F.lit(stamp).alias("stamp")).write.mode("overwrite").parquet(
+            f"{self.path}/drive={drive}")
