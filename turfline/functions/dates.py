@@ -50,3 +50,8 @@ def days_to_deadline(headline, today: str) -> Column:
         .when(left > 0, left)
         .otherwise(F.lit(fixed.PASSED_DAYS_LEFT))
     )
+
+
+def days_to_filing(filing, today) -> Column:
+    """Whole days until a campaign files, none once the day has passed."""
+    return F.greatest(F.lit(0), F.datediff(filing, today))

@@ -20,6 +20,8 @@ from turfline import fixed
 # Workers get these functions by value, so a cluster needs no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Characters of one string matrix at most (or one row).
+_CELLS = 400_000
 _FLOOR, _PREFIX, _SCALE = fixed.WINKLER_FLOOR, fixed.WINKLER_PREFIX, fixed.WINKLER_SCALE
 
 
@@ -70,17 +72,31 @@ def jaro_winkler_batch(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.where((la == lb) & (left.to_numpy() == right.to_numpy()), 1.0, score)
 
 
+def by_length(left: pd.Series, right: pd.Series, cells: int = _CELLS) -> np.ndarray:
+    """The same scores, computed over slices of similar lengths, so that one long string does not widen every row."""
+    longest = np.maximum(left.str.len().to_numpy(), right.str.len().to_numpy())
+    order = np.argsort(longest, kind="stable")
+    out = np.zeros(len(left))
+    stop = len(order)
+    while stop:
+        rows = max(1, cells // max(1, int(longest[order[stop - 1]])))
+        own = order[max(0, stop - rows):stop]
+        out[own] = jaro_winkler_batch(left.iloc[own], right.iloc[own])
+        stop -= len(own)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     out = np.zeros(len(left))
     todo = (left.notna() & right.notna()).to_numpy()
     if todo.any():
-        out[todo] = jaro_winkler_batch(left[todo], right[todo])
+        out[todo] = by_length(left[todo], right[todo])
     return pd.Series(out)
 
 
 def jaro_winkler(left, right) -> Column:
-    """Similarity of two columns; equal values are settled without leaving the JVM."""
+    """Similarity of two columns; equal values reach the Arrow function as nulls, which it does not compare."""
     left = F.col(left) if isinstance(left, str) else left
     right = F.col(right) if isinstance(right, str) else right
     differs = F.when(left != right, left)

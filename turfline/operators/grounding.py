@@ -79,7 +79,7 @@ def check_citations(citations: DataFrame, pages: DataFrame, fuzzy: bool = True)
     """Score and verdict per citation (url, quote) against pages (url, content).
 
     The page join is by url; a citation without a readable page is UNREACHABLE.  The exact stage is a
-    substring test in the JVM; only citations that fail it are sent to the window search.
+    substring test in the JVM; citations that pass it reach the window search as nulls, which it skips.
     """
     texts = pages.select("url", quote_fold("content").alias("_content")).where("_content <> ''")
     joined = citations.join(texts, "url", "left").withColumn("_quote", quote_fold("quote"))

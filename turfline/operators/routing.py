@@ -68,10 +68,11 @@ def next_best(drives: DataFrame, hours: float) -> DataFrame:
 
 
 def allocate_hours(claims: DataFrame, budget: Column, keys: list[str], order: list) -> DataFrame:
-    """Give a budget to claims in order, each up to its cap.  ``claims`` has ``cap``."""
-    placed = in_group_order(claims, keys, order, amount="cap")
+    """Give a budget to claims in order, each up to its cap; what is left over goes to the first.  ``claims`` has ``cap``."""
+    placed = in_group_order(claims, keys, order, amount="cap").join(claims.groupBy(*keys).agg(F.sum("cap").alias("_wanted")), keys)
     given = F.least(F.col("cap"), F.greatest(F.lit(0.0), budget - F.col("before")))
-    return placed.withColumn("hours", given).drop("before", "group_size")
+    left = F.when(F.col("position") == 1, F.greatest(F.lit(0.0), budget - F.col("_wanted"))).otherwise(F.lit(0.0))
+    return placed.withColumn("hours", given + left).drop("before", "group_size", "_wanted")
 
 
 def on_pace_hours(priced: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turfline import fixed
 from turfline.functions.text import zip_trailing, zip_trailing_plus4
 from turfline.operators.artifacts import RECORD, shard_rows
+from turfline.operators.ordering import in_group_order
 from turfline.operators.validity import StateContext, judge
 from turfline.operators.linkage import link
 
@@ -39,6 +40,18 @@ def movement(statuses: DataFrame) -> DataFrame:
     )
 
 
+def capture_ready(name: Column, address: Column) -> Column:
+    """A line has enough of a name and an address to be looked up."""
+    return (F.length(F.trim(F.coalesce(name, F.lit("")))) > 1) & (F.length(F.trim(F.coalesce(address, F.lit("")))) > 3)
+
+
+def hydrate(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The capture log of each device, newest first: ``back`` counts from the newest, ``last_seq`` is the largest number given out."""
+    placed = in_group_order(log, keys, [F.desc("seq")])
+    last = log.groupBy(*keys).agg(F.max("seq").alias("last_seq"))
+    return placed.withColumnRenamed("position", "back").drop("group_size").join(last, keys)
+
+
 def queue_status(captures: DataFrame, acknowledged: DataFrame) -> DataFrame:
     """Device queue after an acknowledgement: pending rows the server knows become synced.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turfline import fixed
+from turfline.functions import dates
 from turfline.operators import artifacts, campaign_desk, routing, yields
 from turfline.operators.ordering import in_group_order
 from turfline.plans import oracle_parts as O
@@ -61,7 +62,7 @@ def next_best(spark, d):
 
 @query("allocate_hours", f"""WITH {DRIVES}, caps AS (SELECT *, need_per_day / 9{D} AS cap FROM priced),
 run AS (SELECT *, row_number() OVER w AS position, coalesce(sum(cap) OVER (PARTITION BY pool ORDER BY need_per_day DESC, state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM caps WINDOW w AS (PARTITION BY pool ORDER BY need_per_day DESC, state))
-SELECT pool, state, position, round(least(cap, greatest(0, 100{D} - before)), 6) AS hours FROM run""")
+SELECT pool, state, position, round(least(cap, greatest(0, 100{D} - before)) + CASE WHEN position = 1 THEN greatest(0, 100{D} - sum(cap) OVER (PARTITION BY pool)) ELSE 0 END, 6) AS hours FROM run""")
 def allocate_hours(spark, d):
     claims = routing.on_pace_hours(routing.shadow_prices(_drives(spark, d)))
     given = routing.allocate_hours(claims, F.lit(100.0), ["pool"], [F.desc("need_per_day"), F.col("state")])
@@ -284,6 +285,11 @@ def nearest_center(spark, d):
     return campaign_desk.nearest_center(spots).select("event_id", "center", F.round("km", 4).alias("km"), "density")
 
 
+@query("days_to_filing", "SELECT o_orderkey, greatest(0, date_diff('day', DATE '1996-06-01', CAST(o_orderdate AS DATE))) AS days FROM orders")
+def days_to_filing(spark, d):
+    return ft.read(spark, d, "orders").select("o_orderkey", dates.days_to_filing(F.col("o_orderdate").cast("date"), F.lit("1996-06-01").cast("date")).alias("days"))
+
+
 @query("ordered_positions", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS position FROM lineitem")
 def ordered_positions(spark, d):
     """Numbering inside three huge groups without a huge window."""

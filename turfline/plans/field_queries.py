@@ -309,6 +309,23 @@ def queue_status(spark, d):
     return sync.queue_status(ft.captures(spark, d), acknowledged)
 
 
+@query("capture_ready", CAP + "SELECT gatherer_id, seq, length(trim(coalesce(name, ''))) > 1 AND length(trim(coalesce(address, ''))) > 3 AS ready FROM captures")
+def capture_ready(spark, d):
+    c = ft.captures(spark, d)
+    return c.select("gatherer_id", "seq", sync.capture_ready(F.col("name"), F.col("address")).alias("ready"))
+
+
+@query("capture_log", CAP + "SELECT gatherer_id, seq, row_number() OVER (PARTITION BY gatherer_id ORDER BY seq DESC) AS back, max(seq) OVER (PARTITION BY gatherer_id) AS last_seq FROM captures")
+def capture_log(spark, d):
+    """Captures appended to a log by two writers and read back as each device shows them."""
+    path = scratch(spark, "log")
+    rows = ft.captures(spark, d)
+    for part in (0, 1):
+        rows.where(F.col("seq") % 2 == part).write.mode("append").parquet(path)
+    log = spark.read.schema(rows.schema).parquet(path)
+    return sync.hydrate(log, ["gatherer_id"]).select("gatherer_id", "seq", "back", "last_seq")
+
+
 @query("velocity_flag", CAP + "SELECT gatherer_id AS token, seq AS call_id, calls, calls > 2 AS flagged FROM (SELECT gatherer_id, seq, count(*) OVER (PARTITION BY gatherer_id ORDER BY captured_at RANGE BETWEEN INTERVAL '7199999999 microseconds' PRECEDING AND CURRENT ROW) AS calls FROM captures)")
 def velocity_flag(spark, d):
     calls = ft.captures(spark, d).select(F.col("gatherer_id").alias("token"), F.col("seq").alias("call_id"), F.col("captured_at").alias("called_at"))

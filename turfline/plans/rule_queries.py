@@ -19,6 +19,7 @@ ABBRS = tuple(fixed.STATE_ABBREVIATIONS.values())
 FIELDS = ("signaturesRequired", "deadline", "distributionRule", "witnessOrNotary")
 RESIDENCY = ("not required", "none", "required", "in-state only", "n/a", "unknown")
 HEADLINES = ("Due August 5, 2028 by noon", "by Sept. 12", "no date stated", "march 3", "primary election day: June 30")
+D = "::DOUBLE"
 TODAY = "2028-04-01"
 
 
@@ -76,7 +77,7 @@ _FREE = "residency IN ('required', 'in-state only', 'unknown')"
 
 @query("rules_scan", W + "SELECT id, jurisdiction, abbr, petition_type, required, headline, pay, tier, gate, len(rules) AS rules, citations FROM rules")
 def rules_scan(spark, d):
-    """Records published one folder each and read back with the fixed schema."""
+    """Records written as JSON lines and read back with the fixed schema."""
     path = scratch(spark, "rules")
     r = rules(spark, d)
     r.write.json(path)
@@ -258,31 +259,44 @@ citations AS (SELECT doc_id, doc_id // 3 AS field_id, CASE WHEN doc_id % 6 = 5 T
 exact AS (SELECT c.doc_id, c.field_id, d.content IS NOT NULL AND d.content <> '' AS found, coalesce({_fold_sql('quote')} <> '' AND contains(d.content, {_fold_sql('quote')}), false) AS is_exact FROM citations c LEFT JOIN docs d ON d.url = c.url),
 checked AS (SELECT *, CASE WHEN NOT found THEN 'UNREACHABLE' WHEN is_exact THEN 'GROUNDED' ELSE 'NOT_FOUND' END AS verdict FROM exact)"""
 CW = f"WITH {CITED} "
-
-
-def _exact(spark, d):
-    return grounding.check_citations(citations(spark, d), _documents(spark, d).select("url", "content"), fuzzy=False)
+#: The window search by its definition: windows of two lengths around the rarest word of the quote, bigrams as multisets.
+FUZZY = CITED.replace("checked AS (", "exactly AS (") + f""",
+searched AS (SELECT e.doc_id, string_split(d.content, ' ') AS w, string_split({_fold_sql('c.quote')}, ' ') AS q FROM exact e JOIN citations c USING (doc_id) JOIN docs d ON d.url = c.url WHERE e.found AND NOT e.is_exact AND len(string_split({_fold_sql('c.quote')}, ' ')) >= 2),
+counted AS (SELECT doc_id, w, q, i, q[i] AS word, len(list_filter(w, lambda x: x = q[i])) AS n FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM searched)),
+anchored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, length(word) DESC, i) AS turn FROM counted WHERE n > 0) WHERE turn = 1),
+spots AS (SELECT doc_id, w, q, unnest(list_filter(range(1, len(w) + 1), lambda k: w[k] = word)) AS p FROM anchored),
+spans AS (SELECT DISTINCT doc_id, w, len(q) AS m, l, s, least(s + l - 1, len(w)) AS e FROM (SELECT doc_id, w, q, l, unnest(range(greatest(1, p - l + 1), p + 1)) AS s FROM (SELECT *, unnest([len(q), len(q) + {fixed.WIDER_WINDOW}]) AS l FROM spots))),
+have AS (SELECT doc_id, m, l, s, e - s AS total, g, count(*) AS n FROM (SELECT *, unnest(list_transform(range(s, e), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM spans) GROUP BY ALL),
+need AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, len(q)), lambda k: q[k] || ' ' || q[k + 1])) AS g FROM searched) GROUP BY ALL),
+shared AS (SELECT doc_id, m, l, s, total, sum(least(have.n, need.n)) AS common FROM have JOIN need USING (doc_id, g) GROUP BY ALL),
+best AS (SELECT doc_id, max(greatest(2{D} * common / (m - 1 + total), common::DOUBLE / (m - 1))) AS score FROM shared GROUP BY 1),
+scored AS (SELECT exact.*, CASE WHEN NOT found THEN 0{D} WHEN is_exact THEN 1{D} ELSE coalesce(best.score, 0{D}) END AS score FROM exact LEFT JOIN best USING (doc_id)),
+checked AS (SELECT *, CASE WHEN NOT found THEN 'UNREACHABLE' WHEN score >= {fixed.GROUNDED_AT} THEN 'GROUNDED' WHEN score >= {fixed.PARTIAL_AT} THEN 'PARTIAL' ELSE 'NOT_FOUND' END AS verdict FROM scored)"""
+FW = f"WITH {FUZZY} "
+
+
+def _checked(spark, d, fuzzy: bool = True):
+    return grounding.check_citations(citations(spark, d), _documents(spark, d).select("url", "content"), fuzzy=fuzzy)
 
 
 @query("ground_exact", CW + "SELECT doc_id, verdict, is_exact FROM checked")
 def ground_exact(spark, d):
-    return _exact(spark, d).select("doc_id", "verdict", "is_exact")
+    return _checked(spark, d, fuzzy=False).select("doc_id", "verdict", "is_exact")
 
 
-@query("ground_fuzzy")
+@query("ground_fuzzy", FW + "SELECT doc_id, verdict, round(score, 6) AS score FROM checked")
 def ground_fuzzy(spark, d):
-    out = grounding.check_citations(citations(spark, d), _documents(spark, d).select("url", "content"))
-    return out.select("doc_id", "verdict", F.round("score", 6).alias("score"))
+    return _checked(spark, d).select("doc_id", "verdict", F.round("score", 6).alias("score"))
 
 
-@query("ground_report", CW + "SELECT field_id % 7 AS batch, count(*) AS citations, count(*) FILTER (verdict = 'GROUNDED') AS grounded, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'NOT_FOUND') AS not_found, count(*) FILTER (verdict = 'UNREACHABLE') AS unreachable, round(count(*) FILTER (verdict = 'GROUNDED') / CAST(count(*) FILTER (verdict <> 'UNREACHABLE') AS DOUBLE), 6) AS grounded_rate, CASE WHEN count(*) FILTER (verdict = 'NOT_FOUND') > 0 THEN 'FAIL' WHEN count(*) FILTER (verdict = 'UNREACHABLE') > 0 THEN 'RE-FETCH' WHEN count(*) FILTER (verdict = 'PARTIAL') > 0 THEN 'REVIEW' ELSE 'PASS' END AS gate FROM checked GROUP BY 1")
+@query("ground_report", FW + "SELECT field_id % 7 AS batch, count(*) AS citations, count(*) FILTER (verdict = 'GROUNDED') AS grounded, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'NOT_FOUND') AS not_found, count(*) FILTER (verdict = 'UNREACHABLE') AS unreachable, round(count(*) FILTER (verdict = 'GROUNDED') / CAST(count(*) FILTER (verdict <> 'UNREACHABLE') AS DOUBLE), 6) AS grounded_rate, CASE WHEN count(*) FILTER (verdict = 'NOT_FOUND') > 0 THEN 'FAIL' WHEN count(*) FILTER (verdict = 'UNREACHABLE') > 0 THEN 'RE-FETCH' WHEN count(*) FILTER (verdict = 'PARTIAL') > 0 THEN 'REVIEW' ELSE 'PASS' END AS gate FROM checked GROUP BY 1")
 def ground_report(spark, d):
-    checked = _exact(spark, d).withColumn("batch", F.col("field_id") % 7)
+    checked = _checked(spark, d).withColumn("batch", F.col("field_id") % 7)
     return grounding.ground_report(checked, ["batch"]).withColumn("grounded_rate", F.round("grounded_rate", 6))
 
 
 def _gated(spark, d):
-    checked = _exact(spark, d)
+    checked = _checked(spark, d)
     fields = ft.read(spark, d, "documents").select(
         F.floor(F.col("doc_id") / 3).alias("field_id")).distinct().withColumn("value", F.concat(F.lit("value "), "field_id")).withColumn(
         "fallback", F.when(F.col("field_id") % 2 == 0, F.concat(F.lit("strict "), "field_id")))
@@ -291,7 +305,7 @@ def _gated(spark, d):
     return grounding.rule_gate(fields, checked, judgements)
 
 
-GATED = CW + """, j AS (SELECT doc_id // 3 AS field_id, bool_and(quality = 1) AS agree, bool_or(toxic = 1) AS interp FROM labels GROUP BY 1),
+GATED = FW + """, j AS (SELECT doc_id // 3 AS field_id, bool_and(quality = 1) AS agree, bool_or(toxic = 1) AS interp FROM labels GROUP BY 1),
 c AS (SELECT field_id, count(*) AS n, count(*) FILTER (verdict = 'GROUNDED') AS grounded, count(*) FILTER (verdict = 'PARTIAL') AS partial, count(*) FILTER (verdict = 'NOT_FOUND') AS not_found, count(*) FILTER (verdict = 'UNREACHABLE') AS unreachable FROM checked GROUP BY 1),
 reasoned AS (SELECT c.*, CASE WHEN not_found > 0 THEN 'citation_integrity' WHEN grounded = 0 AND unreachable = n THEN 'all_unreachable' WHEN grounded = 0 THEN 'none_grounded'
  WHEN NOT coalesce(agree, false) THEN 'disagree' WHEN coalesce(interp, true) THEN 'interpretation' WHEN partial > 0 THEN 'partial' ELSE 'ok' END AS reason FROM c LEFT JOIN j USING (field_id)),
