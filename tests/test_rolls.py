@@ -71,3 +71,24 @@ def test_validate_against_a_loaded_file(spark):
              ("S4", "Wendell Quist", "5 Unknown Pkwy, Millbrook 62704", "2026-05-03", "Ben", "wet")]
     ledger = validate_batch(signers(spark, lines), rolls.scan(spark, path, layout, with_position=True), StateContext("Washington"))
     assert {r["id"]: r["verdict"] for r in ledger.collect()} == {"S1": "VALID", "S2": "VALID", "S3": "INVALID", "S4": "INVALID"}
+
+
+def test_position_is_file_order_whatever_the_split_size(spark, tmp_path):
+    """Several files with a blank in the name, many splits: the order of rows is that of the files."""
+    layout, folder = LAYOUTS["Washington"], tmp_path / "a roll"
+    folder.mkdir()
+    one = scratch(spark, "one")
+    people = spark.range(60).crossJoin(spark.createDataFrame(ROWS, PEOPLE).limit(1)).withColumn("voter_id", F.concat(F.lit("N"), F.lpad(F.col("id").cast("string"), 3, "0"))).drop("id")
+    rolls.write(people.coalesce(1).sortWithinPartitions("voter_id"), layout, one)
+    import glob
+    lines = open(glob.glob(f"{one}/part-*")[0], encoding="latin-1").read().splitlines(keepends=True)
+    for name, rows in (("b 2.txt", lines[21:]), ("a+1.txt", lines[1:21])):
+        (folder / name).write_text("".join([lines[0], *rows]), encoding="latin-1")
+    seen = []
+    for size in ("128m", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            seen.append([r["id"] for r in rolls.scan(spark, str(folder), layout, with_position=True).orderBy("row_pos").collect()])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] == [f"N{i:03d}" for i in range(60)]

@@ -184,7 +184,3 @@ def validation_ladder(local: DataFrame, verified: DataFrame, members: DataFrame)
         F.when(F.col("tier") == "full_roll", F.col("_v.matched_voter_id")).when(F.col("tier") == "turf", F.col("matched_voter_id"))
         .alias("voter_id"),
     )
-
-
-def capture_zip() -> Column:
-    return zip_trailing("address")

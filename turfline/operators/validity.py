@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turfline import fixed
 from turfline.functions.text import text, zip_bare
 from turfline.operators.linkage import link
+from turfline.operators.ordering import in_group_order
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,6 @@ def verification_mode(jurisdiction: str) -> str:
     return "county-fan-out" if jurisdiction in fixed.COUNTY_FAN_OUT else "voter-file-match"
 
 
-def mode_column(jurisdiction: Column) -> Column:
-    """Verification mode of a jurisdiction column."""
-    return (
-        F.when(jurisdiction.isin(*fixed.NO_REGISTRATION), "residency-only")
-        .when(jurisdiction.isin(*fixed.COUNTY_FAN_OUT), "county-fan-out")
-        .otherwise("voter-file-match")
-    )
-
-
 def judge(matched: DataFrame, context: StateContext) -> DataFrame:
     """Add verdict, reason code, reason argument and matched_voter_id to the output of ``link``."""
     return judge_columns(
@@ -161,7 +153,8 @@ def yield_slices(ledger: DataFrame) -> DataFrame:
 
 
 def ordered_slices(slices: DataFrame) -> DataFrame:
-    return slices.orderBy("dim", F.desc("total"), "first_seen")
+    """Slices with their ``position`` in a report: the largest first, then by first appearance."""
+    return in_group_order(slices, ["dim"], [F.desc("total"), F.col("first_seen")]).drop("group_size")
 
 
 def projection(counts: DataFrame, required_valid: int, buffer: float = fixed.BATCH_BUFFER) -> DataFrame:

@@ -278,8 +278,8 @@ statuses AS (SELECT c.*, CASE WHEN rn IS NULL THEN 'recorded' WHEN rn = 1 THEN '
 
 @query("capture_source", CAP + "SELECT campaign_id, gatherer_id, seq, verdict, matched_voter_id, epoch_us(captured_at) // 1000 AS captured_ms FROM captures")
 def capture_source(spark, d):
-    """Captures posted as JSON batches and read back flat."""
-    from turfline.streaming.captures import CAPTURE_BATCH, flatten_batches
+    """Captures posted as JSON batches, taken in by a stream and read back flat."""
+    from turfline.streaming.captures import read_capture_batches
 
     c = ft.captures(spark, d)
     posted = c.groupBy("campaign_id", "gatherer_id", F.floor(F.col("seq") / 500).alias("post")).agg(F.collect_list(F.struct(
@@ -288,7 +288,9 @@ def capture_source(spark, d):
         .alias("capturedAt"))).alias("captures"))
     path = scratch(spark, "posts")
     posted.select(F.col("campaign_id").alias("campaignId"), F.col("gatherer_id").alias("gathererId"), "captures").write.json(path)
-    return flatten_batches(spark.read.schema(CAPTURE_BATCH).json(path)).select(
+    taken, out = read_capture_batches(spark, path), scratch(spark, "taken")
+    taken.writeStream.option("checkpointLocation", scratch(spark, "log")).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return spark.read.schema(taken.schema).parquet(out).select(
         "campaign_id", "gatherer_id", "seq", "verdict", "matched_voter_id", F.unix_millis("captured_at").alias("captured_ms"))
 
 

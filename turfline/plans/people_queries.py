@@ -155,15 +155,23 @@ def verdict_counts(spark, d):
     return validity.verdict_counts(_batch(spark, d)).withColumn("validity_rate", F.round("validity_rate", 6))
 
 
-@query("yield_slices", BATCH + """, long AS (
+SLICES = BATCH + """, long AS (
  SELECT 'gatherer' AS dim, gatherer AS key, verdict, row_pos FROM ledger UNION ALL SELECT 'capture', capture, verdict, row_pos FROM ledger
- UNION ALL SELECT 'location', regexp_extract(address, '\\b([0-9]{5})\\b', 1), verdict, row_pos FROM ledger)
-SELECT dim, key, count(*) AS total, count(*) FILTER (verdict = 'VALID') AS valid, min(row_pos) AS first_seen,
- round(count(*) FILTER (verdict = 'VALID') / CAST(count(*) AS DOUBLE), 6) AS rate FROM long WHERE coalesce(key, '') <> '' GROUP BY dim, key""")
+ UNION ALL SELECT 'location', regexp_extract(address, '\\b([0-9]{5})\\b', 1), verdict, row_pos FROM ledger),
+slices AS (SELECT dim, key, count(*) AS total, count(*) FILTER (verdict = 'VALID') AS valid, min(row_pos) AS first_seen,
+ round(count(*) FILTER (verdict = 'VALID') / CAST(count(*) AS DOUBLE), 6) AS rate FROM long WHERE coalesce(key, '') <> '' GROUP BY dim, key) """
+
+
+@query("yield_slices", SLICES + "SELECT * FROM slices")
 def yield_slices(spark, d):
     return validity.yield_slices(_batch(spark, d)).withColumn("rate", F.round("rate", 6))
 
 
+@query("slice_order", SLICES + "SELECT dim, key, row_number() OVER (PARTITION BY dim ORDER BY total DESC, first_seen) AS position FROM slices")
+def slice_order(spark, d):
+    return validity.ordered_slices(validity.yield_slices(_batch(spark, d))).select("dim", "key", "position")
+
+
 @query("projection", BATCH + f""", counts AS ({COUNTS})
 SELECT CAST(2000 AS BIGINT) AS required_valid, CAST(1.25 AS DOUBLE) AS buffer, CAST(2500 AS BIGINT) AS target_raw, valid AS safe_to_submit,
  CAST(ceil(greatest(0, 2000 - valid) / CASE WHEN valid > 0 THEN valid / CAST(total AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END) AS BIGINT) AS more_raw_needed, valid >= 2000 AS on_track FROM counts""")

@@ -116,7 +116,7 @@ def rule_lookup(spark, d):
     return RR.union_rules(*parts)
 
 
-@query("rules_canonical", W + "SELECT id, required, gate, citations + 3 AS citations, 'deadline' AS first_field FROM rules")
+@query("rules_canonical", W + "SELECT id, required, gate, citations + 3 AS citations, 'deadline' AS first_field, 18 AS min_age, jurisdiction AS note, residency, tier, 'research file' AS source FROM rules")
 def rules_canonical(spark, d):
     """Research rows (four citation places) to canonical records."""
     r = rules(spark, d)
@@ -130,11 +130,26 @@ def rules_canonical(spark, d):
         F.lit("h").alias("headline"), F.col("deadline.headline").alias("deadline"), fields.alias("fields"),
         F.col("compensation").withField("citations", one("c")).alias("compensation"),
         F.col("voterFile").withField("citations", one("v")).alias("voter_file"),
-        F.col("circulator").withField("citations", one("k")).alias("circulator"),
+        F.col("circulator").withField("citations", one("k")).withField("minAge", F.lit(18)).withField("note", F.col("jurisdiction")).alias("circulator"),
         F.col("verification.sosInquiries").alias("sos_inquiries"), F.lit("").alias("risk_note"))
     return RR.canonical_rules(research).select(
         "id", F.col("signatures.required").alias("required"), F.col("verification.gate").alias("gate"),
-        F.size("citations").alias("citations"), F.col("citations")[0]["field"].alias("first_field"))
+        F.size("citations").alias("citations"), F.col("citations")[0]["field"].alias("first_field"), F.col("circulator.minAge").alias("min_age"),
+        F.col("circulator.note").alias("note"), F.col("compensation.circulatorResidency").alias("residency"), F.col("voterFile.tier").alias("tier"),
+        F.col("provenance.source").alias("source"))
+
+
+@query("draft_citations", W + """, f AS (SELECT id, unnest([{'field': 'deadline', 'n': citations}, {'field': 'form', 'n': 0}]) AS f FROM rules)
+SELECT id, f.field AS field, CASE WHEN k >= 0 THEN 'http://law.example/' || id || '/' || k END AS url FROM (SELECT id, f, unnest(CASE WHEN f.n = 0 THEN [-1] ELSE range(0, f.n) END) AS k FROM f)""")
+def draft_citations(spark, d):
+    """Drafts written as JSON and read back; a field without citations keeps its row."""
+    none = F.array().cast("array<struct<url:string,quote:string>>")
+    cited = F.transform(F.sequence(F.lit(0), F.size("citations") - 1), lambda i: F.struct(
+        F.concat(F.lit("http://law.example/"), F.col("id"), F.lit("/"), i).alias("url"), F.lit("quote").alias("quote")))
+    field = lambda name, citations: F.struct(F.lit(name).alias("field"), F.lit("v").alias("value"), citations.alias("citations"))
+    path = scratch(spark, "drafts")
+    rules(spark, d).select("id", "jurisdiction", F.array(field("deadline", cited), field("form", none)).alias("fields")).write.json(path)
+    return RR.draft_citations(RR.read_drafts(spark, path)).select("id", "field", "url")
 
 
 @query("strictest_gate", W + "SELECT id, gate FROM rules")

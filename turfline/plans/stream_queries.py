@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 from turfline.plans.field_queries import CAP, STATUS, ZIPC, _history_counts
 from turfline.plans.registry import query
-from turfline.session import scratch
+from turfline.session import scratch, stage
 from turfline.sources import field_tables as ft
 from turfline.streaming import captures as SC
 
 
+ARRIVALS, ROWS_PER_ARRIVAL = 4, 1_000_000
+
+
 def _event_stream(spark, d):
-    """The event file as a file stream; the glob keeps the other tables out."""
-    schema = ft.read(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The events as a stream of files that arrive in the order of time, one file for each micro-batch."""
+    events = ft.read(spark, d, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    parts = max(ARRIVALS, -(-events.count() // ROWS_PER_ARRIVAL))
+    cuts = events.agg(F.percentile_approx("_at", [i / parts for i in range(1, parts)])).first()[0] or []
+    folder = scratch(spark, "arrivals")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        own = F.lit(True) if low is None else F.col("_at") > low
+        own = own if high is None else own & (F.col("_at") <= high)
+        events.where(own).drop("_at").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(ft.read(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _stream(spark, d):
@@ -52,7 +62,7 @@ def stream_movement(spark, d):
 SELECT key, CAST(sum(total) AS BIGINT) AS n, round((0.8::DOUBLE * 8 + sum(valid)) / (8 + sum(total)), 6) AS rate FROM c GROUP BY 1""")
 def stream_posterior(spark, d):
     out = scratch(spark, "posterior")
-    SC.start_posterior(_stream(spark, d), _history_counts(spark, d), out, scratch(spark, "log")).awaitTermination()
+    SC.start_posterior(_stream(spark, d), stage(_history_counts(spark, d), "history"), out, scratch(spark, "log")).awaitTermination()
     schema = "dim string, key string, n long, strength double, prior_rate double, rate double, source string"
     latest = SC.latest(spark, out, spark.createDataFrame([], schema).schema)
     return latest.select("key", "n", F.round("rate", 6).alias("rate"))
@@ -75,3 +85,13 @@ def stream_call_limit(spark, d):
     out = scratch(spark, "limited")
     SC.start_limiter(calls, out, scratch(spark, "log"), seconds=7200.0, limit=2).awaitTermination()
     return spark.read.schema(SC._LIMITED).parquet(out)
+
+
+@query("capture_once", CAP + "SELECT campaign_id, gatherer_id, seq FROM captures")
+def capture_once(spark, d):
+    """Every capture delivered once or twice, as a stream; each is taken once."""
+    sent = _stream(spark, d)
+    out = scratch(spark, "once")
+    again = sent.unionByName(sent.where("seq % 5 = 0"))
+    SC.once(again).writeStream.option("checkpointLocation", scratch(spark, "log")).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return spark.read.schema(sent.schema).parquet(out).select("campaign_id", "gatherer_id", "seq")

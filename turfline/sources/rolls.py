@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,7 @@ from turfline.functions.text import join_present, text
 from turfline.sources.adapters import Layout
 
 CANONICAL = ["id", "name", "address", "status", "registered_on", "county", "district", "tile_cell"]
+_SCHEME = "^([a-z0-9]+):/+"  # Spark writes one path with one slash or three
 # Bytes 0x80-0x9F of the Western single-byte charset; elsewhere it equals ISO-8859-1.
 _HIGH = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 
@@ -103,13 +105,23 @@ def header_of(spark: SparkSession, path: str, layout: Layout) -> T.StructType:
 def scan(spark: SparkSession, path: str, layout: Layout, with_position: bool = False) -> DataFrame:
     """Batch scan of a roll file or folder into canonical rows.
 
-    ``with_position`` adds ``row_pos`` in file order.  It is stable for a given set of files and split
-    size only, so stage the scan before relying on it in several jobs.
+    ``with_position`` adds ``row_pos``: files in order of their names, rows in the order of a file, whatever the split size.  A row's
+    place is the byte where its split starts plus its number in the split, so numbers grow but are not consecutive.
     """
     raw = spark.read.options(**_reader_options(layout)).schema(header_of(spark, path, layout)).csv(path)
     if not with_position:
         return canonical(_not_blank(raw), layout)
-    placed = _not_blank(raw).withColumn("row_pos", F.monotonically_increasing_id())
+    where = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    files = sorted(re.sub(_SCHEME, r"\1:/", f) for f in raw.inputFiles())
+    ranks = spark.createDataFrame([(f, i) for i, f in enumerate(files)], "_name string, _rank long")
+    within = Window.partitionBy("_file", "_start").orderBy("_seen")
+    placed = (
+        _not_blank(where).withColumn("_seen", F.monotonically_increasing_id())
+        .withColumn("_n", F.row_number().over(within))
+        .withColumn("_name", F.regexp_replace("_file", _SCHEME, "$1:/"))
+        .join(ranks, "_name")
+        .withColumn("row_pos", F.shiftleft("_rank", 44) + F.col("_start") + F.col("_n"))
+    )
     return canonical(placed, layout, "row_pos")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +48,20 @@ def publish_rules(records: DataFrame, path: str) -> None:
     keyed.repartition("record").write.partitionBy("record").text(path)
 
 
-def canonical_rules(research: DataFrame) -> DataFrame:
+def canonical_rules(research: DataFrame, source: str = "research file") -> DataFrame:
     """Research rows to rule records: projections without nulls, citations of four places in one list.
 
     ``research`` has jurisdiction, abbr, petition_type, id, required, headline, deadline, fields (array of
     struct field, gate, reliedValue, confidence, interpretationRequired, note, citations),
     compensation, voter_file, circulator (structs with ``citations``), sos_inquiries, risk_note.
     """
+    def picked(column: str, target: str) -> Column:
+        """The record's fields of a research struct; fields that the research lacks are null."""
+        have = research.schema[column].dataType.names
+        return F.struct(*[
+            (F.col(f"{column}.{f.name}") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in RULE_RECORD[target].dataType.fields])
+
     def cited(label: str, citations) -> object:
         return F.transform(citations, lambda c: F.struct(
             F.coalesce(c["field"], F.lit(label)).alias("field"), c["url"].alias("url"), c["quote"].alias("quote")))
@@ -69,21 +76,23 @@ def canonical_rules(research: DataFrame) -> DataFrame:
         f["confidence"].alias("confidence"), f["interpretationRequired"].alias("interpretationRequired"),
         f["note"].alias("note")))
     gates = F.concat(F.transform("fields", lambda f: f["gate"]), F.array("compensation.gate"))
-    required = F.coalesce("required", F.lit(fixed.REQUIRED_SIGNATURES_DEFAULT).cast("long"))
+    known = F.create_map(*[F.lit(x) for kv in fixed.REQUIRED_SIGNATURES.items() for x in kv])
+    required = F.coalesce(
+        "required", F.element_at(known, F.col("jurisdiction")).cast("long"), F.lit(fixed.REQUIRED_SIGNATURES_DEFAULT).cast("long"))
     return research.select(
         F.lit(fixed.RULE_SCHEMA_VERSION).alias("schemaVersion"), "id", "jurisdiction", "abbr",
         F.col("petition_type").alias("petitionType"),
         F.struct(required.alias("required"), F.col("headline").alias("headline")).alias("signatures"),
         F.struct(F.col("deadline").alias("headline")).alias("deadline"),
         rules.alias("rules"),
-        F.col("compensation").dropFields("citations").alias("compensation"),
-        F.col("voter_file").dropFields("citations").alias("voterFile"),
-        F.struct(F.col("circulator.gate").alias("gate")).alias("circulator"),
+        picked("compensation", "compensation").alias("compensation"),
+        picked("voter_file", "voterFile").alias("voterFile"),
+        picked("circulator", "circulator").alias("circulator"),
         F.struct(strictest_gate(gates).alias("gate"), F.col("sos_inquiries").alias("sosInquiries"),
                  F.col("risk_note").alias("riskNote")).alias("verification"),
         citations.alias("citations"),
         F.struct(F.coalesce("voter_file.verifiedAsOf", F.lit("2026-06-07")).alias("verifiedAsOf"),
-                 F.lit("grounded and verified").alias("method")).alias("provenance"),
+                 F.lit("grounded and verified").alias("method"), F.lit(source).alias("source")).alias("provenance"),
     )
 
 
@@ -101,3 +110,22 @@ def union_rules(*parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+DRAFT = T.StructType([
+    *_strings("id", "jurisdiction"),
+    T.StructField("fields", T.ArrayType(T.StructType([
+        *_strings("field", "value", "fallback"), T.StructField("citations", T.ArrayType(T.StructType(_strings("url", "quote"))))]))),
+])
+
+
+def read_drafts(spark: SparkSession, path: str) -> DataFrame:
+    """Drafts of rule records as JSON lines, each with fields and their citations."""
+    return spark.read.schema(DRAFT).json(path)
+
+
+def draft_citations(drafts: DataFrame) -> DataFrame:
+    """One row per citation of a draft's field; a field without any keeps one row with nulls, as does a draft without fields."""
+    fields = drafts.select("id", F.explode_outer("fields").alias("f"))
+    cited = fields.select("id", "f.field", "f.value", F.explode_outer("f.citations").alias("c"))
+    return cited.select("id", "field", "value", "c.url", "c.quote")
