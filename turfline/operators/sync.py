@@ -121,6 +121,26 @@ def sync_mode(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
+def changes_since(modes: DataFrame, versions: DataFrame, columns: list[str] = RECORD) -> DataFrame:
+    """What each different request has to load: (campaign_id, since, op, record), from the result of ``sync_mode``.
+
+    ``versions`` has campaign_id, version and the records of every stored version.  A delta is the difference of two
+    versions, a snapshot every record of the current one, and a current device gets nothing.  Devices that ask alike share
+    one answer, so nothing is repeated for each device.
+    """
+    fields = [c for c in columns if c != "id"]
+    asked = modes.where("mode <> 'current'").select("campaign_id", "since", "current_version", "mode").distinct()
+    record = F.struct(*fields)
+    new = asked.join(versions.withColumnRenamed("version", "current_version"), ["campaign_id", "current_version"]).select(
+        "campaign_id", "since", "mode", "id", record.alias("_new"))
+    old = asked.where("mode = 'delta'").join(versions.withColumnRenamed("version", "since"), ["campaign_id", "since"]).select(
+        "campaign_id", "since", "id", record.alias("_old"))
+    both = new.join(old, ["campaign_id", "since", "id"], "full_outer")
+    changed = both.where(F.col("_new").isNull() | ~F.col("_old").eqNullSafe(F.col("_new")))
+    op = F.when(F.col("_new").isNull(), "remove").when(F.col("mode") == "snapshot", "snapshot").otherwise("upsert")
+    return changed.select("campaign_id", "since", op.alias("op"), "id", "_new.*")
+
+
 def stale(synced_at: Column, now: Column, seconds: int = fixed.STALE_INDEX_SECONDS) -> Column:
     """Never synced, or synced more than an hour ago."""
     return F.coalesce(now.cast("double") - synced_at.cast("double") > seconds, F.lit(True))

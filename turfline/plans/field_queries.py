@@ -394,6 +394,26 @@ def snapshot_store(spark, d):
     return store.current("statewide").select("campaign_id", *keep)
 
 
+DELTA = R + f""", {OLD}, {NEW}, v AS (SELECT 'c' || r.row_pos % 5 AS campaign_id, 'v1' AS version, id, address FROM old r UNION ALL SELECT 'c' || r.row_pos % 5, 'v2', id, address FROM new r),
+req AS (SELECT campaign_id, unnest(['v1', 'v2', 'v0']) AS since FROM (SELECT DISTINCT campaign_id FROM v)) """
+
+
+@query("index_delta", DELTA + """SELECT req.campaign_id, since, CASE WHEN since = 'v0' THEN 'snapshot' ELSE 'upsert' END AS op, n.id, n.address FROM req JOIN v n ON n.campaign_id = req.campaign_id AND n.version = 'v2'
+ LEFT JOIN v o ON o.campaign_id = req.campaign_id AND o.version = req.since AND o.id = n.id WHERE since = 'v0' OR (since = 'v1' AND (o.id IS NULL OR o.address <> n.address))
+UNION ALL SELECT o.campaign_id, 'v1', 'remove', o.id, NULL FROM v o WHERE o.version = 'v1' AND NOT EXISTS (SELECT 1 FROM v n WHERE n.version = 'v2' AND n.campaign_id = o.campaign_id AND n.id = o.id)""")
+def index_delta(spark, d):
+    """Devices at the current, the earlier and an unknown version of five campaigns."""
+    keep = ["campaign_id", "id", "address"]
+    campaign = F.concat(F.lit("c"), F.col("row_pos") % 5)
+    old, new = (part.withColumn("campaign_id", campaign).select(*keep) for part in _snapshots(spark, d))
+    versions = old.withColumn("version", F.lit("v1")).unionByName(new.withColumn("version", F.lit("v2")))
+    built = F.when(F.col("version") == "v1", "2026-01-01").otherwise("2026-02-01")
+    pointers = versions.groupBy("campaign_id", "version").agg(F.count(F.lit(1)).alias("voter_count")).withColumn("built_at", built)
+    devices = pointers.select("campaign_id").distinct().select(
+        "campaign_id", F.explode(F.array(F.lit("v1"), F.lit("v2"), F.lit("v0"), F.lit("v1"))).alias("since")).withColumn("device_id", F.col("since"))
+    return sync.changes_since(sync.sync_mode(devices, pointers), versions, ["id", "address"])
+
+
 @query("stale_index", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN true ELSE coalesce(epoch(TIMESTAMP '1998-01-01 00:00:00') - epoch(max(o_orderdate)) > 3600, true) END AS stale FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1998-01-01 00:00:00' GROUP BY 1")
 def stale_index(spark, d):
     """Every customer's device at a given hour; one that never synced is stale."""
