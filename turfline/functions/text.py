@@ -53,13 +53,20 @@ _LIGATURES = {k: v for k, v in _FOLDED.items() if len(v) > 1}
 _MARKS = "".join(chr(c) for c in range(0x300, 0x370))
 
 
+def _ascii(column: Column) -> Column:
+    """No character takes more than one byte; most texts need no table then."""
+    return F.octet_length(column) == F.char_length(column)
+
+
 def strip_accents(value, delete: str = "") -> Column:
     """Fold accented letters to plain ones and drop the characters in ``delete``.
 
     The tables hold every character of the Basic Multilingual Plane whose compatibility decomposition has an ASCII
     character: one ``translate`` for those that become a single one, a lookup for ligatures and the like.
     """
-    plain = F.translate(_spelled_out(text(value), _LIGATURES), "".join(_ACCENTS) + _MARKS, "".join(_ACCENTS.values()))
+    given = text(value)
+    folded = F.translate(_spelled_out(given, _LIGATURES), "".join(_ACCENTS) + _MARKS, "".join(_ACCENTS.values()))
+    plain = F.when(_ascii(given), given).otherwise(folded)
     return F.translate(plain, delete, "") if delete else plain
 
 
@@ -107,8 +114,10 @@ _SEVERAL = {k: v.replace("\u2032", "'") for k, v in _NFKC.items() if len(v) > 1
 
 def quote_fold(value) -> Column:
     """Fold what makes a correct quotation look different: quotes, dashes, spaces, case."""
-    folded = _spelled_out(text(value), {**_SEVERAL, "\u2033": "''"})
-    return squeeze(F.lower(F.translate(folded, _QUOTE_FROM + "".join(_COMPAT), _QUOTE_TO + "".join(_COMPAT.values()))))
+    given = text(value)
+    folded = _spelled_out(given, {**_SEVERAL, "\u2033": "''"})
+    folded = F.translate(folded, _QUOTE_FROM + "".join(_COMPAT), _QUOTE_TO + "".join(_COMPAT.values()))
+    return squeeze(F.lower(F.when(_ascii(given), F.translate(given, "`", "'")).otherwise(folded)))
 
 
 def page_text(html) -> Column:

@@ -10,7 +10,7 @@ from turfline.functions.dates import days_to_deadline
 from turfline.operators import grounding, rulebook
 from turfline.plans import oracle_parts as O
 from turfline.plans.registry import query
-from turfline.session import scratch
+from turfline.session import dealt, scratch
 from turfline.sources import field_tables as ft
 from turfline.sources import rule_records as RR
 
@@ -35,7 +35,7 @@ def rules(spark, d):
     listed = F.array(*[rule(i) for i in range(4)])
     citation = F.transform(F.sequence(F.lit(0), (p % 3).cast("int")), lambda i: F.struct(
         F.lit("deadline").alias("field"), F.concat(F.lit("http://law.example/"), p, F.lit("/"), i).alias("url"), F.lit("quote").alias("quote")))
-    rows = ft.read(spark, d, "part").select("p_partkey", "p_size")
+    rows = dealt(ft.read(spark, d, "part").select("p_partkey", "p_size"))
     abbr = ft.pick(ABBRS, p % 51)
     text = lambda value: value.cast("string")
     return rows.select(
@@ -241,12 +241,12 @@ PAGE = "page_texts AS (SELECT page_id, trim(regexp_replace(" + "regexp_replace("
 
 @query("page_text", f"WITH {PAGE} SELECT page_id, content FROM page_texts")
 def page_text(spark, d):
-    return ft.read(spark, d, "pages").select("page_id", "html").select("page_id", X.page_text("html").alias("content"))
+    return dealt(ft.read(spark, d, "pages").select("page_id", "html")).select("page_id", X.page_text("html").alias("content"))
 
 
 def _documents(spark, d):
     """Documents as pages; the whole text is the content."""
-    docs = ft.read(spark, d, "documents").select("doc_id", "text")
+    docs = dealt(ft.read(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.concat(F.lit("doc/"), "doc_id").alias("url"), F.col("text").alias("content"))
 
 

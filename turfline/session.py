@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few cores, compute-heavy rows
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.turfline.scanPartitions", "" if cpus == "*" else str(cpus))
         .getOrCreate()
     )
 
@@ -51,3 +52,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Session setting: into how many partitions compute-heavy scans are dealt.  Unset (as on a cluster, whose files have many
+#: splits) a scan stays as it is; a local session sets it to its cores, because small tables are single row groups.
+SCAN_PARTITIONS = "spark.turfline.scanPartitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The scan in as many partitions as the session asks for."""
+    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

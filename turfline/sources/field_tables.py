@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turfline.session import dealt
 
 FIRST = (
     "Robert", "William", "James", "Joseph", "Michael", "David", "Richard", "Thomas", "Stephen", "Christopher",
@@ -67,7 +68,7 @@ def zip5(k: Column) -> Column:
 
 def roll_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer with the separate columns a state roll file carries."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = dealt(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     k = F.col("c_custkey")
     return c.join(n, c.c_nationkey == n.n_nationkey).select(
@@ -113,8 +114,8 @@ def roll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Petition lines over ``orders``: ten kinds of spelling, from exact to unknown people."""
-    s = read(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    s = dealt(read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
     o, k = F.col("o_orderkey"), F.col("o_custkey")
     kind = o % 10
     full = F.concat(first_name(k), F.lit(" "), last_name(k))
