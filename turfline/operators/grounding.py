@@ -81,9 +81,9 @@ def check_citations(citations: DataFrame, pages: DataFrame, fuzzy: bool = True)
     The page join is by url; a citation without a readable page is UNREACHABLE.  The exact stage is a
     substring test in the JVM; citations that pass it reach the window search as nulls, which it skips.
     """
-    texts = pages.select("url", quote_fold("content").alias("_content")).where("_content <> ''")
+    texts = pages.select("url", quote_fold("content").alias("_content"))
     joined = citations.join(texts, "url", "left").withColumn("_quote", quote_fold("quote"))
-    found = F.col("_content").isNotNull()
+    found = F.coalesce(F.col("_content") != "", F.lit(False))
     exact = found & (F.col("_quote") != "") & F.contains("_content", "_quote")
     staged = joined.withColumn("is_exact", F.coalesce(exact, F.lit(False)))
     if fuzzy:
