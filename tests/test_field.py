@@ -45,8 +45,8 @@ def test_stream_dedup_equals_sequential_replay(spark):
     for i in range(0, 60, 10):
         _captures(spark, rows).where((F.col("seq") >= i) & (F.col("seq") < i + 10)).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 1).parquet(folder)
-    out, ledger, log = scratch(spark, "out"), scratch(spark, "ledger"), scratch(spark, "log")
-    SC.start_dedup(stream, ledger, out, log).awaitTermination()
+    out, log = scratch(spark, "out"), scratch(spark, "log")
+    SC.start_dedup(stream, out, log).awaitTermination()
     got = {r["seq"]: r["status"] for r in spark.read.parquet(out).collect()}
     seen, want = set(), {}
     for c, s, v, m, _ in rows:
@@ -60,7 +60,7 @@ def test_stream_dedup_equals_sequential_replay(spark):
     SC.start_movement(spark.readStream.schema(CAPTURES).option("maxFilesPerTrigger", 1).parquet(folder), moved, scratch(spark, "log")).awaitTermination()
     assert spark.read.parquet(moved).agg(F.sum("accepted")).first()[0] == sum(v == "accepted" for v in want.values())
     _captures(spark, [("c0", 100, "VALID", "V1", "x"), ("c0", 101, "VALID", "V9", "x")]).write.mode("append").parquet(folder)
-    SC.start_dedup(spark.readStream.schema(CAPTURES).parquet(folder), ledger, out, log).awaitTermination()
+    SC.start_dedup(spark.readStream.schema(CAPTURES).parquet(folder), out, log).awaitTermination()
     late = {r["seq"]: r["status"] for r in spark.read.parquet(out).where("seq >= 100").collect()}
     assert late == {100: "duplicate", 101: "accepted"}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turfline.plans.field_queries import CAP, STATUS, ZIPC, _history_counts
 from turfline.plans.registry import query
-from turfline.session import scratch, stage
+from turfline.session import scratch
 from turfline.sources import field_tables as ft
 from turfline.streaming import captures as SC
 
@@ -36,8 +36,8 @@ def _stream(spark, d):
 
 @query("stream_capture_dedup", STATUS + "SELECT campaign_id, seq, status FROM statuses")
 def stream_capture_dedup(spark, d):
-    out, ledger = scratch(spark, "statuses"), scratch(spark, "ledger")
-    SC.start_dedup(_stream(spark, d), ledger, out, scratch(spark, "log")).awaitTermination()
+    out = scratch(spark, "statuses")
+    SC.start_dedup(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
     return spark.read.parquet(out).select("campaign_id", "seq", "status")
 
 
@@ -46,7 +46,7 @@ def stream_zip_yield(spark, d):
     out = scratch(spark, "yield")
     SC.start_zip_counts(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
     schema = "campaign_id string, zip string, valid long, total long"
-    return SC.latest(spark, out, spark.createDataFrame([], schema).schema)
+    return SC.latest(spark, out, spark.createDataFrame([], schema).schema, ["campaign_id", "zip"])
 
 
 @query("stream_movement", STATUS + "SELECT campaign_id, count(*) AS accepted FROM statuses WHERE status = 'accepted' GROUP BY 1")
@@ -62,21 +62,43 @@ def stream_movement(spark, d):
 SELECT key, CAST(sum(total) AS BIGINT) AS n, round((0.8::DOUBLE * 8 + sum(valid)) / (8 + sum(total)), 6) AS rate FROM c GROUP BY 1""")
 def stream_posterior(spark, d):
     out = scratch(spark, "posterior")
-    SC.start_posterior(_stream(spark, d), stage(_history_counts(spark, d), "history"), out, scratch(spark, "log")).awaitTermination()
+    SC.start_posterior(_stream(spark, d), _history_counts(spark, d), out, scratch(spark, "log")).awaitTermination()
     schema = "dim string, key string, n long, strength double, prior_rate double, rate double, source string"
-    latest = SC.latest(spark, out, spark.createDataFrame([], schema).schema)
+    latest = SC.latest(spark, out, spark.createDataFrame([], schema).schema, ["dim", "key"])
     return latest.select("key", "n", F.round("rate", 6).alias("rate"))
 
 
-@query("capture_velocity", CAP + """, w AS (SELECT gatherer_id, epoch_us(captured_at) // 900000000 - unnest([0, 1, 2, 3]) AS slot FROM captures)
-SELECT gatherer_id, slot * 900 AS started, count(*) AS captures FROM w GROUP BY ALL""")
+VELOCITY = CAP + """, w AS (SELECT gatherer_id, epoch_us(captured_at) // 900000000 - unnest([0, 1, 2, 3]) AS slot FROM captures)
+SELECT gatherer_id, slot * 900 AS started, count(*) AS captures FROM w GROUP BY ALL"""
+
+
+@query("capture_velocity", VELOCITY)
 def capture_velocity(spark, d):
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return SC.capture_velocity(ft.captures(spark, d)).select(
         "gatherer_id", F.timestamp_diff("SECOND", epoch, F.col("window.start")).alias("started"), "captures")
 
 
-@query("stream_call_limit")
+@query("stream_velocity", VELOCITY)
+def stream_velocity(spark, d):
+    """The same windows from a stream that never drops a capture: arrivals are in order of time."""
+    out = scratch(spark, "velocity")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    sent = _stream(spark, d).withColumn("captured_at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, "captured_at")))
+    SC.start_velocity(sent, out, scratch(spark, "log")).awaitTermination()
+    rows = SC.latest(spark, out, spark.createDataFrame([], "gatherer_id string, started timestamp, captures long").schema, ["gatherer_id", "started"])
+    return rows.select("gatherer_id", F.unix_seconds("started").alias("started"), "captures")
+
+
+LIMITED = """WITH RECURSIVE calls AS (SELECT 'g' || user_id AS token, ts AS called_at, event_id AS call_id, epoch_us(ts) / 1e6::DOUBLE AS at,
+ row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+run AS (SELECT token, 0::BIGINT AS rn, NULL::DOUBLE AS older, NULL::DOUBLE AS newer, false AS allowed FROM calls WHERE rn = 1
+ UNION ALL SELECT c.token, c.rn, CASE WHEN ok THEN r.newer ELSE r.older END, CASE WHEN ok THEN c.at ELSE r.newer END, ok
+ FROM run r JOIN calls c ON c.token = r.token AND c.rn = r.rn + 1, LATERAL (SELECT coalesce(c.at - r.older >= 7200, true) AS ok))
+SELECT token, called_at, call_id, allowed FROM run JOIN calls USING (token, rn)"""
+
+
+@query("stream_call_limit", LIMITED)
 def stream_call_limit(spark, d):
     """At most two passed calls per gatherer in two hours."""
     events = _event_stream(spark, d)

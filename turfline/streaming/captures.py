@@ -21,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from turfline import fixed
 from turfline.operators.sync import capture_status
 from turfline.operators.yields import merge_counts, yield_posterior, zip_counts
+from turfline.session import stage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _LIMIT = fixed.CALLS_PER_MINUTE
@@ -55,76 +56,92 @@ def once(retries: DataFrame) -> DataFrame:
     return retries.dropDuplicates(["campaign_id", "gatherer_id", "seq"])
 
 
-_LEDGER = "campaign_id string, matched_voter_id string, batch long"
+#: State store of the running queries: on local disk with change logs in the checkpoint, so state may exceed memory.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def start_dedup(captures: DataFrame, ledger: str, statuses: str, checkpoint: str) -> StreamingQuery:
-    """Cross-volunteer dedup: writes one status row per capture and a ledger of claimed voters.
+def _stateful(spark: SparkSession) -> None:
+    """State on disk for the queries that this session starts from here on, unless it names a store itself."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in spark.conf.get(name):
+        spark.conf.set(name, STATE_STORE)
 
-    In a micro-batch every voter is reduced to its first claim before the ledger is consulted, so a voter
-    named by many captures is one row in the join.  Both outputs are written per batch id and replaced when
-    a batch is replayed, which makes the result exactly-once.
+
+def start_dedup(captures: DataFrame, statuses: str, checkpoint: str) -> StreamingQuery:
+    """Cross-volunteer dedup: writes one status row per capture.
+
+    Streaming deduplication lets the key of a voter pass in the one micro-batch that first claims it; the batch's captures
+    travel beside these keys.  So a batch is judged by itself plus its new keys: the state is looked up by key and the
+    cost does not grow with the history.  A batch's folder is replaced when it is replayed, which makes the result exactly-once.
     """
+    _stateful(captures.sparkSession)
     key = ["campaign_id", "matched_voter_id"]
+    fresh = captures.where("verdict = 'VALID' AND matched_voter_id IS NOT NULL").select(*key).dropDuplicates(key)
+    arrivals = captures.withColumn("_fresh", F.lit(None).cast("boolean")).unionByName(
+        fresh.withColumn("_fresh", F.lit(True)), allowMissingColumns=True)
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        arrived = stage(batch, "arrivals")  # the state is read once
+        judged = capture_status(arrived.where("_fresh IS NULL").drop("_fresh")).join(
+            arrived.where("_fresh").select(*key, "_fresh"), key, "left")
+        status = F.when((F.col("status") == "accepted") & F.col("_fresh").isNull(), "duplicate").otherwise(F.col("status"))
+        judged.withColumn("status", status).drop("_fresh").write.mode("overwrite").parquet(f"{statuses}/batch={batch_id}")
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        claimed = spark.read.schema(_LEDGER).option("recursiveFileLookup", "true").parquet(ledger).where(
-            F.col("batch") < batch_id).select(*key).distinct().withColumn("_claimed", F.lit(True))
-        judged = capture_status(batch).join(claimed, key, "left")
-        status = F.when((F.col("status") == "accepted") & F.col("_claimed"), "duplicate").otherwise(F.col("status"))
-        out = judged.withColumn("status", status).drop("_claimed")
-        target = f"{statuses}/batch={batch_id}"
-        out.write.mode("overwrite").parquet(target)
-        winners = spark.read.schema(out.schema).parquet(target).where("status = 'accepted'")
-        winners.select(*key, F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(
-            f"{ledger}/batch={batch_id}")
-
-    captures.sparkSession.createDataFrame([], _LEDGER).write.mode("append").parquet(f"{ledger}/start")
     return (
-        captures.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        arrivals.writeStream.outputMode("append").foreachBatch(judge).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def _replace(path: str):
-    """Sink for complete-mode aggregates: each batch writes its full state under a new folder."""
+def _changes(path: str):
+    """Sink for update-mode aggregates: each batch writes the rows that it changed under a folder of its own."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
-def latest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The newest state written by a complete-mode sink."""
+def latest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The newest row of every key that an update-mode sink wrote."""
     rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(newest, "batch").drop("batch")
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(*[F.col(f"_r.{n}").alias(n) if n in rest else F.col(n) for n in schema.names])
 
 
 def start_zip_counts(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Running (campaign, zip) counts; the state is as large as the number of ZIPs worked."""
+    """Running (campaign, zip) counts; a micro-batch writes the ZIPs that it changed."""
+    _stateful(captures.sparkSession)
     return (
-        zip_counts(captures).writeStream.outputMode("complete").foreachBatch(_replace(path))
+        zip_counts(captures).writeStream.outputMode("update").foreachBatch(_changes(path))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def start_posterior(captures: DataFrame, history: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Running posterior per gatherer: stream counts added to the stored history, per micro-batch."""
+    """Running posterior per gatherer: stream counts added to the stored history.
+
+    The history's own posterior is the state before the first micro-batch (batch -1); from there a micro-batch writes
+    the gatherers that it changed.
+    """
+    _stateful(captures.sparkSession)
+    history = stage(merge_counts(history), "history")
+    yield_posterior(history).write.mode("overwrite").parquet(f"{path}/batch=-1")
     counts = captures.groupBy(F.lit("gatherer").alias("dim"), F.col("gatherer_id").alias("key")).agg(
         F.count_if(F.col("verdict") == "VALID").alias("valid"), F.count(F.lit(1)).alias("total"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        yield_posterior(merge_counts(history, batch)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        known = history.join(batch.select("dim", "key"), ["dim", "key"], "left_semi")
+        yield_posterior(merge_counts(known, batch)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+        counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
 def start_movement(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running count of accepted signatures: streaming deduplication on (campaign, voter), then a count."""
+    _stateful(captures.sparkSession)
     accepted = captures.where("verdict = 'VALID' and matched_voter_id is not null").dropDuplicates(
         ["campaign_id", "matched_voter_id"])
 
@@ -144,16 +161,30 @@ def capture_velocity(captures: DataFrame, width: str = "60 minutes", slide: str
     return source.groupBy("gatherer_id", F.window("captured_at", width, slide)).agg(F.count(F.lit(1)).alias("captures"))
 
 
+def start_velocity(captures: DataFrame, path: str, checkpoint: str, width: str = "60 minutes", slide: str = "15 minutes") -> StreamingQuery:
+    """Running velocity windows; a micro-batch writes the windows that it changed."""
+    _stateful(captures.sparkSession)
+    windows = capture_velocity(captures, width, slide).select("gatherer_id", F.col("window.start").alias("started"), "captures")
+    return (
+        windows.writeStream.outputMode("update").foreachBatch(_changes(path)).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
 _LIMITED = "token string, called_at timestamp, call_id long, allowed boolean"
 
 
-def limit_calls(calls: DataFrame, seconds: float = 60.0, limit: int = _LIMIT) -> DataFrame:
+def limit_calls(calls: DataFrame, seconds: float = 60.0, limit: int = _LIMIT, forget_ms: int | None = None) -> DataFrame:
     """Exact limiter: a call passes while fewer than ``limit`` passed calls lie in the trailing interval.
 
     The decision depends on earlier decisions, so it keeps the passed times of the last interval per token
-    as state (at most ``limit`` numbers).  ``calls``: token, called_at, call_id.
+    as state (at most ``limit`` numbers).  ``calls``: token, called_at, call_id.  With ``forget_ms`` a token without calls
+    for so long on the clock is forgotten; for live calls that is exact from the interval's length on, for replays leave it out.
     """
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         passed = list(state.get[0]) if state.exists else []
         rows = pd.concat([p for p in parts if len(p)]).sort_values(["called_at", "call_id"])
         allowed = []
@@ -163,16 +194,21 @@ def limit_calls(calls: DataFrame, seconds: float = 60.0, limit: int = _LIMIT) ->
             if allowed[-1]:
                 passed.append(at)
         state.update((passed,))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame({
             "token": key[0], "called_at": rows["called_at"], "call_id": rows["call_id"], "allowed": allowed})
 
     return calls.groupBy("token").applyInPandasWithState(
-        decide, _LIMITED, "passed array<double>", "append", GroupStateTimeout.NoTimeout)
+        decide, _LIMITED, "passed array<double>", "append",
+        GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def start_limiter(calls: DataFrame, path: str, checkpoint: str, seconds: float = 60.0, limit: int = _LIMIT) -> StreamingQuery:
+def start_limiter(calls: DataFrame, path: str, checkpoint: str, seconds: float = 60.0, limit: int = _LIMIT,
+                  forget_ms: int | None = None) -> StreamingQuery:
+    _stateful(calls.sparkSession)
     return (
-        limit_calls(calls, seconds, limit).writeStream.format("parquet").option("path", path)
+        limit_calls(calls, seconds, limit, forget_ms).writeStream.format("parquet").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
