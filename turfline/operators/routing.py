@@ -38,6 +38,14 @@ def shadow_prices(drives: DataFrame) -> DataFrame:
                              .when(F.col("need_per_day") > fixed.BEHIND_ABOVE, "behind").otherwise("on track"))
 
 
+def drive_board(drives: DataFrame) -> DataFrame:
+    """All jurisdictions by urgency, qualified ones last: ``position`` and the share of the required count as ``fill_pct``."""
+    priced = shadow_prices(drives).withColumn("qualified", F.col("collected") >= F.col("required")).withColumn("_all", F.lit(1))
+    placed = in_group_order(priced, ["_all"], [F.col("qualified"), F.desc("need_per_day"), F.col("state")])
+    share = F.floor(F.lit(100.0) * F.col("collected") / F.col("required") + 0.5)
+    return placed.withColumn("fill_pct", F.least(F.lit(100), share)).drop("_all", "group_size")
+
+
 def value_board(drives: DataFrame, top: int = fixed.TURF_TOP) -> DataFrame:
     """The jurisdictions where an hour is worth most; finished ones have no value."""
     return shadow_prices(drives).where("deficit > 0").orderBy(F.desc("need_per_day"), "state").limit(top)
@@ -107,10 +115,16 @@ def turf_rank(manifest: DataFrame, zip_rates: DataFrame, top: int = fixed.TURF_T
     scored = manifest.join(zip_rates, ["campaign_id", "zip"], "left").withColumn("expected_valid", rate)
     scored = scored.withColumn("_score", F.col("voter_count") * F.col("expected_valid"))
     best = first_in_group(scored, ["campaign_id"], [F.desc("_score"), F.col("tile")], top)
-    precinct = F.array_join(F.slice(F.split("tile", "__"), 2, 100), "-")
+    parts = F.split("tile", "__")
+    precinct = F.array_join(F.slice(parts, 2, F.size(parts)), "-")
+    percent = F.floor(F.col("expected_valid") * 100 + 0.5).cast("string")
     return best.select(
-        "campaign_id", "rank", "tile", "zip", "voter_count", "expected_valid",
-        F.concat(F.lit("Precinct "), precinct, F.lit(" · "), F.col("zip")).alias("label"))
+        F.concat(F.lit("opt-"), F.col("tile")).alias("id"), "campaign_id", "rank", "tile", "zip", "voter_count", "expected_valid",
+        F.concat(F.lit("Precinct "), precinct, F.lit(" · "), F.col("zip")).alias("label"),
+        F.concat(F.lit("Prec "), precinct, F.lit(" · "), F.col("zip")).alias("area_short"),
+        F.concat(
+            F.lit("~"), F.format_number("voter_count", 0), F.lit(" active registrations · "), percent, F.lit("% expected valid"),
+            F.when(F.col("rank") == 1, " — your best turf right now.").otherwise(".")).alias("directive"))
 
 
 def cost_concentration(costs: DataFrame) -> DataFrame:

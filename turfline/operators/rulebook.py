@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turfline import fixed
 from turfline.functions.text import text
+from turfline.sources.adapters import LAYOUTS
 
 
 def rule_query(
@@ -77,6 +78,13 @@ def risk_board(rules: DataFrame, lens: str = "critical") -> DataFrame:
     return board.withColumn("status", status).withColumn("rank", rank)
 
 
+def board_totals(board: DataFrame) -> DataFrame:
+    """Header of a board: records, how many are clear, in review and blocked, and all open inquiries."""
+    return board.agg(
+        F.count(F.lit(1)).alias("records"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("green", "clear"), ("amber", "review"), ("red", "blocked"))],
+        F.coalesce(F.sum("inquiries"), F.lit(0)).alias("inquiries"))
+
+
 def filter_board(board: DataFrame, status: str = "all", contains: str = "", sort: str = "risk") -> DataFrame:
     kept = board if status == "all" else board.where(F.col("status") == status)
     if contains:
@@ -152,6 +160,13 @@ def freshness(records: DataFrame, today: str) -> DataFrame:
         .when(F.col("days_left") <= fixed.SOON_DAYS, "soon").otherwise("fresh"))
 
 
+def layout_freshness(files: DataFrame, today: str, window_days: int = fixed.LAYOUT_DAYS) -> DataFrame:
+    """Freshness of the layouts that roll files use (label, jurisdiction, verified_as_of), with a flag on doubtful ones."""
+    low = [layout.jurisdiction for layout in LAYOUTS.values() if layout.confidence == "low"]
+    flag = F.when(F.col("state") == "unknown", "no verification date").when(F.col("jurisdiction").isin(low), "low confidence")
+    return freshness(files.withColumn("window_days", F.lit(window_days)), today).withColumn("flag", flag)
+
+
 def freshness_summary(assessed: DataFrame) -> DataFrame:
     """Counts per state, the soonest due date and how many records share it, per group."""
     per_due = assessed.groupBy("group", "due").agg(

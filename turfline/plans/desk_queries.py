@@ -48,6 +48,11 @@ def value_board(spark, d):
         "state", "required", "collected", "days_left", F.round("need_per_day", 6).alias("need_per_day"), "tier")
 
 
+@query("drive_board", f"WITH {DRIVES}, b AS (SELECT *, collected >= required AS qualified FROM priced) SELECT state, qualified, row_number() OVER (ORDER BY qualified, need_per_day DESC, state) AS position, least(100, CAST(floor(100{D} * collected / required + 0.5{D}) AS BIGINT)) AS fill_pct FROM b")
+def drive_board(spark, d):
+    return routing.drive_board(_drives(spark, d)).select("state", "qualified", "position", "fill_pct")
+
+
 _OPPS = " UNION ALL ".join(f"SELECT '{n}' AS spot, {raw}{D} AS raw, {v}{D} AS validity" for n, raw, v in fixed.OPPORTUNITIES)
 
 
@@ -127,7 +132,9 @@ def expected_valid(spark, d):
 @query("turf_rank", MANIFEST + ", " + ZIPC.split("WITH ", 1)[1].split(", zc AS", 1)[0] + ", zc2 AS" + ZIPC.split(", zc AS", 1)[1] + """, m AS (SELECT 'cmp-click' AS campaign_id, tile, voter_count, zip FROM manifest UNION ALL SELECT 'cmp-none', tile, voter_count, zip FROM manifest),
 s AS (SELECT m.campaign_id, tile, m.zip, voter_count, coalesce((valid + 7) / CAST(total + 10 AS DOUBLE), 0.7::DOUBLE) AS ev FROM m LEFT JOIN zc2 ON zc2.campaign_id = m.campaign_id AND zc2.zip = m.zip),
 k AS (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY voter_count * ev DESC, tile) AS rank FROM s)
-SELECT campaign_id, rank, tile, zip, voter_count, round(ev, 6) AS expected_valid, 'Precinct ' || array_to_string(string_split(tile, '__')[2:], '-') || ' · ' || zip AS label FROM k WHERE rank <= 12""")
+SELECT 'opt-' || tile AS id, campaign_id, rank, tile, zip, voter_count, round(ev, 6) AS expected_valid, 'Precinct ' || p AS label, 'Prec ' || p AS area_short,
+ '~' || format('{:,}', voter_count) || ' active registrations · ' || CAST(floor(ev * 100 + 0.5::DOUBLE) AS BIGINT) || '% expected valid' || CASE WHEN rank = 1 THEN ' — your best turf right now.' ELSE '.' END AS directive
+FROM (SELECT *, array_to_string(string_split(tile, '__')[2:], '-') || ' · ' || zip AS p FROM k) WHERE rank <= 12""")
 def turf_rank(spark, d):
     manifest = artifacts.tile_manifest(_tiles(spark, d)).drop("version").withColumn(
         "campaign_id", F.explode(F.array(F.lit("cmp-click"), F.lit("cmp-none"))))
@@ -136,7 +143,23 @@ def turf_rank(spark, d):
     return routing.turf_rank(manifest, rates).withColumn("expected_valid", F.round("expected_valid", 6))
 
 
-@query("day_assignment")
+ASSIGNED = """WITH RECURSIVE pool AS (SELECT strftime(l_shipdate, '%Y-%m') AS drive_day, 'g' || l_suppkey % 40 AS gatherer, 'st' || l_partkey % 6 AS state,
+ avg(l_quantity) AS raw, avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END::DOUBLE) AS rate FROM lineitem GROUP BY 1, 2, 3),
+ranked AS (SELECT drive_day, state, pace, row_number() OVER (PARTITION BY drive_day ORDER BY pace DESC, state) AS k FROM (SELECT drive_day, state, sum(raw) * 2 AS pace FROM pool GROUP BY 1, 2)),
+people AS (SELECT DISTINCT drive_day, gatherer FROM pool),
+offers AS (SELECT r.drive_day, r.state, r.k, r.pace, p.gatherer, coalesce(o.raw * o.rate, 0) AS worth,
+ row_number() OVER (PARTITION BY r.drive_day ORDER BY r.k, coalesce(o.raw * o.rate, 0) DESC, p.gatherer) AS seq
+ FROM ranked r JOIN people p ON p.drive_day = r.drive_day LEFT JOIN pool o ON o.drive_day = r.drive_day AND o.gatherer = p.gatherer AND o.state = r.state),
+run AS (SELECT drive_day, 0::BIGINT AS seq, 0::BIGINT AS k, 0::DOUBLE AS need, []::VARCHAR[] AS used, NULL::VARCHAR AS gatherer, NULL::VARCHAR AS state FROM ranked WHERE k = 1
+ UNION ALL SELECT drive_day, seq, k, CASE WHEN taken THEN before - 8 * worth ELSE before END, CASE WHEN taken THEN list_append(used, g) ELSE used END, CASE WHEN taken THEN g END, CASE WHEN taken THEN st END
+ FROM (SELECT o.drive_day, o.seq, o.k, o.worth, r.used, o.gatherer AS g, o.state AS st, CASE WHEN o.k <> r.k THEN o.pace ELSE r.need END AS before,
+  CASE WHEN o.k <> r.k THEN o.pace ELSE r.need END > 0 AND NOT list_contains(r.used, o.gatherer) AS taken
+  FROM run r JOIN offers o ON o.drive_day = r.drive_day AND o.seq = r.seq + 1)),
+placed AS (SELECT drive_day, gatherer, state FROM run WHERE gatherer IS NOT NULL)
+SELECT * FROM placed UNION ALL SELECT p.drive_day, p.gatherer, r.state FROM people p JOIN ranked r ON r.drive_day = p.drive_day AND r.k = 1 ANTI JOIN placed q ON q.drive_day = p.drive_day AND q.gatherer = p.gatherer"""
+
+
+@query("day_assignment", ASSIGNED)
 def day_assignment(spark, d):
     """Suppliers as gatherers, nations as states, one drive-day per month of orders."""
     pool = ft.read(spark, d, "lineitem").groupBy(
@@ -213,11 +236,22 @@ def campaign_scope(spark, d):
 c AS (SELECT doc_id, count(*) FILTER (quality = 1) AS granted, count(*) FILTER (quality = 0) AS withdrawn FROM labels GROUP BY 1)
 SELECT c_custkey AS person_id, coalesce(interactions, 0) AS interactions, last_turn, coalesce(inbound, 0) AS inbound, coalesce(granted, 0) AS granted, coalesce(withdrawn, 0) AS withdrawn FROM customer LEFT JOIN i ON conv_id = c_custkey LEFT JOIN c ON doc_id = c_custkey""")
 def person_360(spark, d):
+    return campaign_desk.person_360(*_person_tables(spark, d))
+
+
+def _person_tables(spark, d):
     people = ft.read(spark, d, "customer").select(F.col("c_custkey").alias("person_id"))
     talk = ft.read(spark, d, "conversations").select(F.col("conv_id").alias("person_id"), "turn", F.col("role").alias("kind"))
     consent = ft.read(spark, d, "labels").select(
         F.col("doc_id").alias("person_id"), F.when(F.col("quality") == 1, "granted").otherwise("withdrawn").alias("status"))
-    return campaign_desk.person_360(people, talk, consent)
+    return people, talk, consent
+
+
+@query("person_details", """SELECT c_custkey AS person_id, 'person' AS section, NULL::BIGINT AS turn, NULL AS kind, NULL AS status FROM customer
+ UNION ALL SELECT conv_id, 'interaction', turn, role, NULL FROM conversations WHERE conv_id IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT doc_id, 'consent', NULL, NULL, CASE WHEN quality = 1 THEN 'granted' ELSE 'withdrawn' END FROM labels WHERE doc_id IN (SELECT c_custkey FROM customer)""")
+def person_details(spark, d):
+    return campaign_desk.person_details(*_person_tables(spark, d))
 
 
 @query("campaign_overview", "SELECT campaign_id, count(*) FILTER (kind = 'events') AS events, count(*) FILTER (kind = 'missions') AS missions, count(*) FILTER (kind = 'training') AS training FROM (SELECT o_custkey % 50 AS campaign_id, 'events' AS kind FROM orders UNION ALL SELECT p_size % 50, 'missions' FROM part UNION ALL SELECT s_suppkey % 50, 'training' FROM supplier) GROUP BY 1")

@@ -13,6 +13,7 @@ from turfline.plans.registry import query
 from turfline.session import dealt, scratch
 from turfline.sources import field_tables as ft
 from turfline.sources import rule_records as RR
+from turfline.sources.adapters import LAYOUTS
 
 STATES = tuple(fixed.STATE_ABBREVIATIONS)
 ABBRS = tuple(fixed.STATE_ABBREVIATIONS.values())
@@ -183,6 +184,12 @@ def risk_board_all(spark, d):
     return rulebook.filter_board(board, status="amber", contains="o", sort="sos").select("id", "status", "rank")
 
 
+@query("board_totals", BOARD + """SELECT count(*) AS records, count(*) FILTER (critical_blocked = 0 AND critical_hold = 0) AS clear, count(*) FILTER (critical_blocked = 0 AND critical_hold > 0) AS review,
+ count(*) FILTER (critical_blocked > 0) AS blocked, CAST(sum(inquiries) AS BIGINT) AS inquiries FROM tally""")
+def board_totals(spark, d):
+    return rulebook.board_totals(rulebook.risk_board(rules(spark, d)))
+
+
 @query("rules_coverage", W + """SELECT 'petition_type' AS facet, petition_type AS key, count(*) AS n FROM rules GROUP BY 2 UNION ALL SELECT 'gate', gate, count(*) FROM rules GROUP BY 2
  UNION ALL SELECT 'file_tier', coalesce(tier, 'UNKNOWN'), count(*) FROM rules GROUP BY 2 UNION ALL SELECT 'per_signature', pay, count(*) FROM rules GROUP BY 2
  UNION ALL SELECT 'total', 'records', count(*) FROM rules UNION ALL SELECT 'total', 'citations', CAST(sum(citations) AS BIGINT) FROM rules
@@ -211,6 +218,19 @@ def freshness(spark, d):
     return rulebook.freshness_summary(rulebook.freshness(records, TODAY))
 
 
+@query("layout_freshness", f"""WITH files AS (SELECT s_suppkey AS label, {O.pick(tuple(LAYOUTS), f's_suppkey % {len(LAYOUTS)}')} AS jurisdiction, CASE WHEN s_suppkey % 10 > 0 THEN DATE '{TODAY}' - CAST(s_suppkey * 13 % 500 AS INTEGER) END AS verified FROM supplier)
+SELECT label, jurisdiction, verified + 365 AS due, verified + 365 - DATE '{TODAY}' AS days_left,
+ CASE WHEN verified IS NULL THEN 'unknown' WHEN verified + 365 < DATE '{TODAY}' THEN 'stale' WHEN verified + 335 <= DATE '{TODAY}' THEN 'soon' ELSE 'fresh' END AS state,
+ CASE WHEN verified IS NULL THEN 'no verification date' WHEN jurisdiction IN ({', '.join(O.quoted(n) for n, x in LAYOUTS.items() if x.confidence == 'low')}) THEN 'low confidence' END AS flag FROM files""")
+def layout_freshness(spark, d):
+    """Suppliers as roll files, each in one of the layouts; every tenth has no date."""
+    k = F.col("s_suppkey")
+    files = ft.read(spark, d, "supplier").select(
+        k.alias("label"), ft.pick(tuple(LAYOUTS), k % len(LAYOUTS)).alias("jurisdiction"),
+        F.when(k % 10 > 0, F.date_sub(F.lit(TODAY).cast("date"), (k * 13 % 500).cast("int")).cast("string")).otherwise("").alias("verified_as_of"))
+    return rulebook.layout_freshness(files, TODAY).select("label", "jurisdiction", "due", "days_left", "state", "flag")
+
+
 @query("deadline_days", W + f""", parsed AS (SELECT id, lower(regexp_extract(coalesce(headline, ''), '(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z.]*\\s+([0-9]{{1,2}})', 1, 'i')) AS m,
  regexp_extract(coalesce(headline, ''), '(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z.]*\\s+([0-9]{{1,2}})', 2, 'i') AS dd FROM rules),
 due AS (SELECT id, m, CASE WHEN m <> '' THEN make_date(2028, list_position({O.sql_list(fixed.MONTHS)}, m), 1) + CAST(dd AS INTEGER) - 1 - DATE '{TODAY}' END AS gap FROM parsed)
