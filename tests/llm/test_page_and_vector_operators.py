@@ -146,6 +146,10 @@ def test_awkward_pages():
     assert text("<p title='a>b'>kept</p>") == "kept"
     assert text("<article><p>" + "long, words. " * 50_000 + "</article>") == ("long, words. " * 50_000).strip()
     assert text("<" * 5000) == "<" * 5000
+    assert text("<p>One.</p><svg class=i /><p>Two, more.</p><!--><p>Three.</p>") == "One.\n\nTwo, more.\n\nThree."
+    assert text("<p>A <svg><path d='1'><g>t</g></svg> b <button>Go</button> c.</p>") == "A b c."
+    assert text("<p>A <span class='ad'><span>x</span> y</span> z.</p><p>One <span class='ad'><b>bad</span> two.") == "A z.\n\nOne two."
+    assert text("<p>Three <span class='ad'>x</p><p>Four.</p>") == "Three\n\nFour."
     text("<div>" * 3000 + "deep" + "</p></td>" * 3000)
     text('<a href="' * 2000)
 

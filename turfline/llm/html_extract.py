@@ -7,7 +7,7 @@ most of the content's text, else the closest element around all of it; all of it
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are known by element, role,
 class and id, and take no part at all.  Within a block white space becomes one space (a line break element too); character
-references are decoded; inline elements do not split a block.
+references are decoded; inline elements, dropped ones too, do not split a block.
 
 Nulls: a null page has no text.  Malformed mark-up: unclosed elements close with their parents, a stray end is ignored, a
 ``<`` that opens no tag is text.  Repeated rows are kept; extra columns are ignored by name.
@@ -32,13 +32,15 @@ THRESHOLD = 0.8
 _KERNEL = (0.25, 0.5, 0.25)
 _RAW = "script|style|title|textarea|iframe|noscript|xmp|template|noembed|noframes"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?:{_RAW})(?=[\s/>])(?P<raw>[^>]*)>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:{_RAW})(?=[\s/>])(?P<raw>[^>]*)>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _RAW_NAME = re.compile(r"<([a-zA-Z]+)")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("nav footer aside form button select option input menu dialog head svg math object audio video canvas figure-controls".split())
+_FOREIGN = frozenset(("svg", "math"))  # the only elements that a slash closes at once
+_PHRASING = frozenset("svg math audio video canvas object button select".split())  # dropped, but part of the line around them
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -107,13 +109,16 @@ class _Page:
         if name == "br":
             self.parts.append(" ")
             return
-        if name in _INLINE:
-            if not ends and name not in _VOID and "=" in attrs and not self.stack[-1][2] and _unwanted(name, attrs, True):
-                self._open(name, True)
-            elif ends and self.stack[-1][0] == name:
-                self._close(name)
+        dropped = self.stack[-1][2]
+        if name in _INLINE or name in _PHRASING:
+            if ends:
+                self._close_dropped(name)
+            elif name not in _VOID and not (name in _FOREIGN and attrs.endswith("/")):
+                if dropped or name in _PHRASING or "=" in attrs and _unwanted(name, attrs, True):
+                    self._open(name, True)
             return
-        self._flush()
+        if not dropped:
+            self._flush()
         if ends:
             self._close(name)
             return
@@ -129,18 +134,33 @@ class _Page:
         self.names.append(name)
         self.stack.append((name, len(self.names) - 1, bad))
 
-    def _close(self, name: str) -> None:
+    def _cut(self, i: int) -> None:
+        """Close the element at place i and all in it; the text before a dropped inline element ends with its block."""
+        if not self.stack[i][2]:
+            self._flush()
+        del self.stack[i:]
+
+    def _close_dropped(self, name: str) -> None:
+        """Close the innermost inline element of this name, if it is dropped; others are not on the stack."""
         for i in range(len(self.stack) - 1, 0, -1):
+            if not self.stack[i][2]:
+                return
             if self.stack[i][0] == name:
                 del self.stack[i:]
                 return
+
+    def _close(self, name: str) -> None:
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == name:
+                self._cut(i)
+                return
             if name == "p" and self.stack[i][0] in ("div", "article", "section", "body", "td"):
                 return
 
     def _close_open(self, names: set[str], scope: set[str]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in names:
-                del self.stack[i:]
+                self._cut(i)
                 return
             if self.stack[i][0] in scope:
                 return
@@ -149,8 +169,9 @@ class _Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts = []
-            if text and not self.stack[-1][2]:
-                self.blocks.append((text, "/".join(s[0] for s in self.stack), tuple(s[1] for s in self.stack)))
+            around = [s for s in self.stack if not s[2]]
+            if text:
+                self.blocks.append((text, "/".join(s[0] for s in around), tuple(s[1] for s in around)))
 
 
 def content(blocks: list[tuple[str, str, tuple[int, ...]]], threshold: float = THRESHOLD) -> list[int]:
