@@ -5,7 +5,7 @@ them |u.v - s_u s_v q_u.q_v| <= e_u + e_v + e_u e_v.  All vectors meet all other
 products below 2**24 are exact in float32, so the products run in BLAS).  A pair whose estimate plus bound stays under the threshold is
 done, one whose estimate minus bound reaches it is linked, and only what lies between is recomputed in doubles.
 
-Vectors are dealt by hash of their id into groups of about ``GROUP`` and every two groups meet in one task, so no
+Vectors are dealt by hash of their id into groups of bounded bytes and every two groups meet in one task, so no
 task depends on how alike the vectors are.  A task answers link counts and a spanning forest, two numbers for each
 vector, never the pairs.  The work is quadratic in the number of vectors by the nature of an exact comparison of all.
 
@@ -28,8 +28,11 @@ from turfline.session import stage
 by_value(__name__)
 
 THRESHOLD = 0.9
-GROUP = 8192
-LEAST_GROUPS = 4
+#: Vectors of a group at most; every vector is shuffled once for each group, so groups are as large as a task's memory allows.
+GROUP = 1 << 17
+#: Bytes of a group's doubles at most; a task holds two groups, and about four times as much while it works.
+GROUP_BYTES = 32 << 20
+LEAST_GROUPS = 6
 TILE = 1024
 #: Margin for the rounding of float32 scales and of sums in doubles.
 SLACK = 1e-5
@@ -95,7 +98,9 @@ def _meet(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
     usable = stage(one_per_id(vectors), "vectors")
-    groups = max(LEAST_GROUPS, -(-usable.count() // GROUP))
+    size = usable.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    rows = min(GROUP, max(TILE, GROUP_BYTES // (8 * (size.dim or 1))))
+    groups = max(LEAST_GROUPS, -(-size.n // rows))
     dealt = usable.withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).select(
         F.least("grp", "other").alias("lo"), F.greatest("grp", "other").alias("hi"), "grp", "dim", "vec_id", "raw")
