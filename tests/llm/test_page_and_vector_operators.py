@@ -137,6 +137,19 @@ def test_main_text(frame):
     assert html_extract.main_text(AROUND.format(frame.format(ARTICLE))) == WANT
 
 
+NAMED = ["<div class='content-sidebar-wrap'><main>{}</main></div>", "<div class='site has-fixed-header'><article>{}</article></div>", "<form id=aspnetForm><div>{}</div></form>",
+         "<div class='share-layout'><div class='x1'>{}</div></div>", "<main><div class='tags notice'>{}</div></main>", "<div role=form class=search-page>{}</div>",
+         "<div class='page ads-on'><div class='has-comments'>{}</div></div>", "<span id=ctl00_FormView1_lblText>{}</span><p class=x2></p>",
+         "<div class='site has-fixed-header'><main>{}</main><div class='sidebar'><p>" + "Side words, many of them. " * 50 + "</p></div></div>",
+         "<div class='content-sidebar-wrap'><article>{}</article></div><div id='replies'><article><p>" + "I disagree, at length. " * 50 + "</p></article></div>"]
+
+
+@pytest.mark.parametrize("frame", NAMED)
+def test_wrappers_with_a_listed_name(frame):
+    assert html_extract.main_text(AROUND.format(frame.format(ARTICLE))) == WANT
+    assert html_extract.main_text("<body>" + frame.format(ARTICLE)) == WANT
+
+
 def test_awkward_pages():
     text = html_extract.main_text
     assert text(None) == text("") == text("<p> </p>") == text("<script>x") == ""

@@ -5,9 +5,14 @@ the punctuation of its blocks are summed and divided by their number; both ratio
 sequence; blocks of paths whose smoothed ratio reaches the threshold are content.  The article is the ``article`` or ``main`` that holds
 most of the content's text, else the closest element around all of it; all of its blocks are the main text, in page order.
 
-Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are known by element, role,
-class and id, and take no part at all.  Within a block white space becomes one space (a line break element too); character
-references are decoded; inline elements, dropped ones too, do not split a block.
+Menus, footers, sidebars, buttons, scripts, styles and hidden parts that their element says to be so take no part at all.  Forms, headers,
+and what role, class or id call a menu, notice, advert, reader comment and the like are only marked, as a wrapper of the whole page may
+have such a name too.  A mark falls if its element is around the page's ``main`` or, with no unmarked ``article`` or ``main`` on the page, holds
+most of the content's text (in an unmarked one, most of that one's); blocks of links do not count.  Adverts, consent and the like count
+only with a ``main``, ``article`` or ``h1`` in them, reader comments and related pages only with a ``main`` or ``h1``, unless the page
+has nothing else.  Blocks under a mark that stands take no part.  A marked inline element is dropped, unless a block begins in it: then it is a
+wrapper like others.  Within a block white space becomes one space (a line break element too); character references are
+decoded; inline elements, dropped ones too, do not split a block.
 
 Nulls: a null page has no text.  Malformed mark-up: unclosed elements close with their parents, a stray end is ignored, a
 ``<`` that opens no tag is text.  Repeated rows are kept; extra columns are ignored by name.
@@ -38,7 +43,7 @@ _RAW_NAME = re.compile(r"<([a-zA-Z]+)")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("nav footer aside form button select option input menu dialog head svg math object audio video canvas figure-controls".split())
+_DROPPED = frozenset("nav footer aside button select option input menu dialog head svg math object audio video canvas figure-controls".split())
 _FOREIGN = frozenset(("svg", "math"))  # the only elements that a slash closes at once
 _PHRASING = frozenset("svg math audio video canvas object button select".split())  # dropped, but part of the line around them
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -52,26 +57,41 @@ _NAMES = frozenset(
     "comment comments commentlist disqus replies respond reply discussion related recommended recommendations breadcrumb breadcrumbs pagination pager "
     "widget toolbar search masthead copyright skip skiplink form tags".split())
 _STEMS = ("advert", "sidebar", "cookie", "comment", "newsletter", "breadcrumb", "pagination", "navbar", "sponsor", "popup", "footer")
+#: Names of text of another kind than the page's own, and of such text that may be in articles itself.
+_OTHER = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion sponsor sponsored cookie cookies consent gdpr disclaimer popup newsletter "
+    "subscribe subscription signup breadcrumb breadcrumbs pagination pager copyright".split())
+_OTHER_STEMS = ("advert", "cookie", "newsletter", "breadcrumb", "pagination", "sponsor", "popup")
+_READERS = frozenset("comment comments commentlist disqus replies respond reply discussion related recommended recommendations".split())
+_DROP, _LAYOUT, _APART, _READER = 1, 2, 3, 4
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
-def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
+def _mark(name: str, attrs: str, in_article: bool) -> int:
+    """0, _DROP for what is never content, or the kind of a mark."""
     if name in _FRAME:
-        return False
-    if name in _DROPPED or name == "header" and not in_article:
-        return True
+        return 0
+    if name in _DROPPED:
+        return _DROP
+    kind = _LAYOUT if name == "form" or name == "header" and not in_article else 0
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False
+        return kind
     said = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-    if said.get("role", "").lower() in _ROLES or said.get("aria-hidden", "").lower() == "true" or "display:none" in said.get("style", "").replace(" ", "").lower():
-        return True
+    if said.get("aria-hidden", "").lower() == "true" or "display:none" in said.get("style", "").replace(" ", "").lower():
+        return _DROP
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
-        return True
+        return _DROP
+    if said.get("role", "").lower() in _ROLES:
+        kind = _LAYOUT
     own = f"{said.get('class', '')} {said.get('id', '')}"
     words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", own)}
+    if words & _READERS or any("comment" in w for w in words):
+        return _READER
+    if words & _OTHER or any(stem in w for w in words for stem in _OTHER_STEMS):
+        return _APART
     if "header" in words and not in_article and not words & {"article", "entry", "post", "content"}:
-        return True
-    return bool(words & _NAMES) or any(stem in w for w in words for stem in _STEMS)
+        return _LAYOUT
+    return _LAYOUT if words & _NAMES or any(stem in w for w in words for stem in _STEMS) else kind
 
 
 class _Page:
@@ -79,15 +99,20 @@ class _Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, tuple[int, ...]]] = []
+        self.plain: list[bool] = []  # of each block: whether it has text outside of links
         self.names = ["#root"]
-        self.stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # name, element, unwanted
+        self.marks: dict[int, int] = {}  # kind of mark by element
+        self.holds: dict[int, set[str]] = {}  # main, article and h1 in marked elements
+        self.stack: list[tuple[str, int, bool, int]] = [("#root", 0, False, 0)]  # name, element, dropped, own mark
         self.parts: list[str] = []
+        self.in_link = self.has_plain = self.wrapped = False
         at, skip = 0, self._raw
         while True:
             found = _TOKEN.search(source, at)
             text = source[at:found.start() if found else len(source)]
             if text and not self.stack[-1][2]:
                 self.parts.append(text)
+                self.has_plain |= not self.in_link and not text.isspace()
             if found is None:
                 break
             at = found.end()
@@ -110,15 +135,22 @@ class _Page:
             self.parts.append(" ")
             return
         dropped = self.stack[-1][2]
+        if name == "a":
+            self.in_link = not ends and "href" in attrs.lower()
         if name in _INLINE or name in _PHRASING:
             if ends:
                 self._close_dropped(name)
             elif name not in _VOID and not (name in _FOREIGN and attrs.endswith("/")):
-                if dropped or name in _PHRASING or "=" in attrs and _unwanted(name, attrs, True):
-                    self._open(name, True)
+                own = _DROP if name in _PHRASING else _mark(name, attrs, True) if "=" in attrs else 0
+                if dropped or own:
+                    self._open(name, True, own)
+                elif self.wrapped and any(s[0] == name for s in self.stack):
+                    self._open(name, False, 0)
             return
         if not dropped:
             self._flush()
+        elif not ends:
+            self._wrap()
         if ends:
             self._close(name)
             return
@@ -127,12 +159,32 @@ class _Page:
         if name in _ALIKE:
             self._close_open(_ALIKE[name], _SCOPES[name])
         if name not in _VOID:
-            bad = self.stack[-1][2] or _unwanted(name, attrs, any(n in ("article", "main") for n, _, _ in self.stack))
-            self._open(name, bad)
+            own = _mark(name, attrs, any(s[0] in ("article", "main") for s in self.stack))
+            bad = self.stack[-1][2] or own == _DROP
+            self._open(name, bad, own)
+            if own and not bad:
+                self.marks[self.stack[-1][1]] = own
+            if not bad and self.marks and name in ("main", "article", "h1"):
+                for s in self.stack:
+                    if s[1] in self.marks:
+                        self.holds.setdefault(s[1], set()).add(name)
 
-    def _open(self, name: str, bad: bool) -> None:
+    def _open(self, name: str, bad: bool, own: int) -> None:
         self.names.append(name)
-        self.stack.append((name, len(self.names) - 1, bad))
+        self.stack.append((name, len(self.names) - 1, bad, own))
+
+    def _wrap(self) -> None:
+        """A block begins in inline elements that are dropped for their names only: they are wrappers, and keep their marks."""
+        first = next(i for i, s in enumerate(self.stack) if s[2])
+        if any(s[0] not in _INLINE or s[3] == _DROP for s in self.stack[first:]):
+            return
+        self._flush()
+        self.wrapped = True
+        for i in range(first, len(self.stack)):
+            name, element, _, own = self.stack[i]
+            self.stack[i] = (name, element, False, own)
+            if own:
+                self.marks[element] = own
 
     def _cut(self, i: int) -> None:
         """Close the element at place i and all in it; the text before a dropped inline element ends with its block."""
@@ -141,11 +193,13 @@ class _Page:
         del self.stack[i:]
 
     def _close_dropped(self, name: str) -> None:
-        """Close the innermost inline element of this name, if it is dropped; others are not on the stack."""
+        """Close the innermost inline element of this name, if it is dropped or in a wrapper of its name; others are not on the stack."""
         for i in range(len(self.stack) - 1, 0, -1):
-            if not self.stack[i][2]:
+            if not self.stack[i][2] and not self.wrapped:
                 return
             if self.stack[i][0] == name:
+                if self.stack[i][1] in self.marks or i < len(self.stack) - 1 and not self.stack[-1][2]:
+                    self._flush()
                 del self.stack[i:]
                 return
 
@@ -171,7 +225,9 @@ class _Page:
             self.parts = []
             around = [s for s in self.stack if not s[2]]
             if text:
-                self.blocks.append((text, "/".join(s[0] for s in around), tuple(s[1] for s in around)))
+                self.blocks.append((text, "/".join(s[0] for s in around if s[0] not in _INLINE), tuple(s[1] for s in around)))
+                self.plain.append(self.has_plain)
+            self.has_plain = False
 
 
 def content(blocks: list[tuple[str, str, tuple[int, ...]]], threshold: float = THRESHOLD) -> list[int]:
@@ -195,9 +251,50 @@ def content(blocks: list[tuple[str, str, tuple[int, ...]]], threshold: float = T
     return [i for i, (_, path, _) in enumerate(blocks) if path in chosen]
 
 
+def _fallen(page: _Page, threshold: float) -> set[int]:
+    """The marked elements whose marks fall."""
+    marks, fallen, frames = page.marks, set(), {}  # frames: the marks around each article or main that has text
+    for _, _, around in page.blocks:
+        for k, e in enumerate(around):
+            if page.names[e] in ("article", "main") and e not in frames:
+                frames[e] = {m for m in around[:k] if m in marks}
+    apart = {e for e, kind in marks.items() if kind == _READER and not page.holds.get(e, set()) & {"main", "h1"} or kind == _APART and not page.holds.get(e)}
+
+    def held(scope: list[int]) -> list[int]:
+        """The marked elements that hold most of the content of these blocks, outer ones first."""
+        scope = [i for i in scope if page.plain[i]]
+        scope = [i for i in scope if apart.isdisjoint(page.blocks[i][2])] or scope
+        if not any(e in marks for i in scope for e in page.blocks[i][2]):
+            return []
+        total, by_mark = 0, {}
+        for i in content([page.blocks[i] for i in scope], threshold):
+            text, _, around = page.blocks[scope[i]]
+            total += len(text)
+            for e in around:
+                if e in marks:
+                    by_mark[e] = by_mark.get(e, 0) + len(text)
+        return sorted(e for e, n in by_mark.items() if n * 2 > total)
+
+    opened = lambda: {f for f, over in frames.items() if over <= fallen}
+    if not opened():
+        for f, over in frames.items():
+            if page.names[f] == "main" and apart.isdisjoint(over):
+                fallen |= over
+        for e in [] if opened() else held(list(range(len(page.blocks)))):
+            fallen.add(e)
+            if opened():
+                break
+    if inside := opened():
+        fallen.update(held([i for i, b in enumerate(page.blocks) if not inside.isdisjoint(b[2])]))
+    return fallen
+
+
 def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     page = _Page(source or "")
+    if page.marks and page.blocks:
+        standing = page.marks.keys() - _fallen(page, threshold)
+        page.blocks = [b for b in page.blocks if standing.isdisjoint(b[2])]
     if not page.blocks:
         return ""
     chosen = content(page.blocks, threshold)
