@@ -150,6 +150,18 @@ def test_wrappers_with_a_listed_name(frame):
     assert html_extract.main_text("<body>" + frame.format(ARTICLE)) == WANT
 
 
+def test_unnamed_menus_of_links_around_the_content():
+    text = html_extract.main_text
+    long_ = "A paragraph, with a <a href=/x>link</a> and words, that goes on."
+    plain = "A paragraph, with a link and words, that goes on."
+    menu = "<div><a href=/>Home</a></div><ul><li><a href=/a>About</a> <li><a href=/b><b>All</b></a></ul>"
+    assert text(f"<body>{menu}<p>{long_}</p><p><a href=/c>Within</a></p><p>{long_}</p>{menu}") == f"{plain}\n\nWithin\n\n{plain}"
+    assert text(f"<body>{menu}<h2>Head</h2><p>{long_}</p><p>Short</p>{menu}") == f"Head\n\n{plain}\n\nShort"
+    assert text(f"<article><p>{long_}</p><ul><li><a href=/s>Source</a></ul></article>") == f"{plain}\n\nSource"
+    assert text("<p><a name=top>Anchored words.</p><p>More.</p>") == "Anchored words.\n\nMore."
+    assert text("<p><a href=/>Only this</a></p>") == "Only this"
+
+
 def test_awkward_pages():
     text = html_extract.main_text
     assert text(None) == text("") == text("<p> </p>") == text("<script>x") == ""

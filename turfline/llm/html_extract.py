@@ -3,7 +3,9 @@
 A page becomes a sequence of text blocks, each with the path of block elements from the root to it.  For every path the text length and
 the punctuation of its blocks are summed and divided by their number; both ratios, each over its largest value, are multiplied and smoothed along the
 sequence; blocks of paths whose smoothed ratio reaches the threshold are content.  The article is the ``article`` or ``main`` that holds
-most of the content's text, else the closest element around all of it; all of its blocks are the main text, in page order.
+most of the content's text, else the closest element around all of it.  So the ratios choose only this frame: all of its blocks are the
+main text, in page order, but without an ``article`` or ``main`` not the blocks of links before the first and after the last other
+block of content.
 
 Menus, footers, sidebars, buttons, scripts, styles and hidden parts that their element says to be so take no part at all.  Forms, headers,
 and what role, class or id call a menu, notice, advert, reader comment and the like are only marked, as a wrapper of the whole page may
@@ -294,7 +296,8 @@ def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
     page = _Page(source or "")
     if page.marks and page.blocks:
         standing = page.marks.keys() - _fallen(page, threshold)
-        page.blocks = [b for b in page.blocks if standing.isdisjoint(b[2])]
+        kept = [i for i, b in enumerate(page.blocks) if standing.isdisjoint(b[2])]
+        page.blocks, page.plain = [page.blocks[i] for i in kept], [page.plain[i] for i in kept]
     if not page.blocks:
         return ""
     chosen = content(page.blocks, threshold)
@@ -315,7 +318,9 @@ def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
             common = common[:size]
         while len(common) > 1 and page.names[common[-1]] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dd", "dt"):
             common = common[:-1]
-        own = [text for text, _, around in page.blocks if around[:len(common)] == common]
+        ends = [i for i in chosen if page.plain[i]] or chosen
+        own = [text for i, (text, _, around) in enumerate(page.blocks)
+               if around[:len(common)] == common and (page.plain[i] or ends[0] <= i <= ends[-1])]
     return "\n\n".join(own)
 
 
