@@ -172,3 +172,17 @@ def test_tie_at_the_bound_of_a_class_goes_to_the_first_row(spark):
     rows = [r.asDict() for r in people.standardize(spark.createDataFrame(voters, ROLL)).orderBy("row_pos").collect()]
     want = best_match(people.standardize(spark.createDataFrame(line, SIGNER)).first().asDict(), rows)
     assert (got["best_voter_id"], round(got["score"], 9)) == (want[1], round(want[0], 9))
+
+
+def test_met_pairs_of_all_classes(spark):
+    from turfline.operators import linkage
+
+    person = lambda *rows: spark.createDataFrame([("smi", *r) for r in rows], ", ".join(f"{c} string" for c in linkage.PERSON))
+    probes = person(("smith", "ann", "1", "elm st", "11111"), ("smith", "bo", "", "oak st", "22222"), ("", "cy", "1", "fir st", "11111"))
+    people = person(("smith", "ann", "2", "elm st", "11111"), ("smith", "ann", "3", "ash st", "33333"), ("smith", "bo", "4", "bay st", "44444"),
+                    ("smirnov", "zed", "1", "yew st", "55555"))
+    names = {(r.met, r.a_first, r.b_first) for r in linkage.met_names(probes, people).collect()}
+    assert names == {("same_number", "ann", "zed"), ("same_zip", "ann", "ann"), ("any_zip", "ann", "ann"), ("any_zip", "bo", "bo"), ("missing", "bo", "bo")}
+    streets = {(r.met, r.a_street, r.b_street) for r in linkage.met_streets(probes, people).collect()}
+    assert streets == {("same_number", "elm st", "yew st"), ("same_zip", "elm st", "elm st"), ("any_zip", "elm st", "elm st"), ("any_zip", "elm st", "ash st"),
+                       ("any_zip", "oak st", "bay st"), ("missing", "oak st", "bay st")}

@@ -226,6 +226,61 @@ def near_name_pairs(open_probes: DataFrame, people: DataFrame) -> DataFrame:
     )
 
 
+def _met(probes: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides by person with a last name, and the staged near names between them."""
+    a = stage(probes.where("last <> ''").select(*PERSON).distinct(), "probes")
+    b = stage(people.where("last <> ''").select(*PERSON).distinct(), "people")
+    near = stage(name_neighbours(a.select(*NAME).distinct(), b.select(*NAME).distinct()), "neighbours")
+    return a, b, near
+
+
+def _meetings(a: DataFrame, b: DataFrame, near: DataFrame, columns: list[str]) -> DataFrame:
+    """(met, a_ and b_ columns): the distinct values of ``columns`` that meet in each class of pairs, as ``link`` meets them without a floor.
+
+    Every side is reduced to the columns and the keys of its class before it is joined.
+    """
+    name = lambda p: [f"{p}_{c}" for c in NAME]
+
+    def side(df: DataFrame, p: str, keys: list[str]) -> DataFrame:
+        return _prefixed(df, list(dict.fromkeys([*keys, *columns])), f"{p}_").distinct()
+
+    def meet(met: str, left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+        names = near.where(F.col("name_score") >= floor)
+        keys = [*NAME, "zip5"] if met == "same_zip" else NAME
+        pairs = side(left, "a", keys).join(names, name("a"))
+        if met == "same_zip":
+            return out(met, pairs.withColumn("b_zip5", F.col("a_zip5")).join(side(right, "b", keys), [*name("b"), "b_zip5"]))
+        return out(met, pairs.join(side(right, "b", keys), name("b")))
+
+    def out(met: str, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.lit(met).alias("met"), *[f"a_{c}" for c in columns], *[f"b_{c}" for c in columns])
+
+    numbered = [side(df.where("number <> ''"), p, ["block", "number"]) for df, p in ((a, "a"), (b, "b"))]
+    same = numbered[0].join(numbered[1], (F.col("a_block") == F.col("b_block")) & (F.col("a_number") == F.col("b_number")))
+    incomplete = "number = '' OR zip5 = ''"
+    missing = _name_floor(fixed.MISSING_PART, 1.0)
+    return (
+        out("same_number", same)
+        .unionByName(meet("same_zip", a.where("zip5 <> ''"), b.where("zip5 <> ''"), _name_floor(0.0, 1.0)))
+        .unionByName(meet("any_zip", a, b, _name_floor(0.0, 0.0)))
+        .unionByName(meet("missing", a.where(incomplete), b, missing))
+        .unionByName(meet("missing", a.where(f"NOT ({incomplete})"), b.where(incomplete), missing))
+        .distinct()
+    )
+
+
+def met_names(probes: DataFrame, people: DataFrame) -> DataFrame:
+    """Distinct name pairs of all four classes of pairs with their score; PERSON columns on both sides."""
+    a, b, near = _met(probes, people)
+    return _meetings(a, b, near, NAME).withColumn("name_score", name_score())
+
+
+def met_streets(probes: DataFrame, people: DataFrame) -> DataFrame:
+    """Distinct street pairs of all four classes of pairs with their score; PERSON columns on both sides."""
+    a, b, near = _met(probes, people)
+    return _meetings(a, b, near, ["street"]).withColumn("street_score", street_score())
+
+
 def _weak_pairs(probes: DataFrame, people: DataFrame) -> DataFrame:
     """Every pair of a block, for signers that have no pair in a band; reduced inside the join task."""
     a = _prefixed(probes, PERSON, "a_")

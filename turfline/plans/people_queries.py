@@ -85,6 +85,33 @@ def pair_scores(spark, d):
         F.round("score", 6).alias("score"))
 
 
+MET = PAIR + O.pair_scores() + f""", classes AS (
+ SELECT 'same_number' AS met, * FROM scored WHERE pl <> '' AND vl <> '' AND pn <> '' AND pn = vn
+ UNION ALL SELECT 'same_zip', * FROM scored WHERE pl <> '' AND vl <> '' AND pz <> '' AND pz = vz AND name_score >= {linkage._name_floor(0.0, 1.0)!r}
+ UNION ALL SELECT 'any_zip', * FROM scored WHERE pl <> '' AND vl <> '' AND name_score >= {linkage._name_floor(0.0, 0.0)!r}
+ UNION ALL SELECT 'missing', * FROM scored WHERE pl <> '' AND vl <> '' AND (pn = '' OR pz = '' OR vn = '' OR vz = '') AND name_score >= {linkage._name_floor(0.5, 1.0)!r}) """
+
+
+def _sides(spark, d):
+    return P.standardize(ft.signers(spark, d)), linkage.roll_people(P.standardize(ft.roll(spark, d)))
+
+
+@query("pair_scores_names", MET + "SELECT DISTINCT met, block, pl, pf, vl, vf, round(name_score, 6) AS name_score FROM classes")
+def pair_scores_names(spark, d):
+    """Every name pair of the four classes of pairs that link() compares; ``pair_scores`` has whole pairs of the first class only."""
+    return linkage.met_names(*_sides(spark, d)).select(
+        "met", F.col("a_block").alias("block"), F.col("a_last").alias("pl"), F.col("a_first").alias("pf"),
+        F.col("b_last").alias("vl"), F.col("b_first").alias("vf"), F.round("name_score", 6).alias("name_score"))
+
+
+@query("pair_scores_streets", MET + """SELECT DISTINCT met, ps, vs, round(CASE WHEN ps = '' OR vs = '' THEN CAST(0.5 AS DOUBLE) ELSE jw END, 6) AS street_score
+ FROM (SELECT DISTINCT met, ps, vs FROM classes) LEFT JOIN jw ON a = ps AND b = vs""")
+def pair_scores_streets(spark, d):
+    """Every street pair of the four classes of pairs that link() compares."""
+    return linkage.met_streets(*_sides(spark, d)).select(
+        "met", F.col("a_street").alias("ps"), F.col("b_street").alias("vs"), F.round("street_score", 6).alias("street_score"))
+
+
 @query("link_best", PAIR + O.matched() + """ SELECT id AS signer_id, band, round(score, 6) AS score, round(name_score, 6) AS name_score,
  round(addr_score, 6) AS addr_score, v_id AS best_voter_id, CAST(candidates_considered AS BIGINT) AS candidates_considered FROM matched""")
 def link_best(spark, d):
