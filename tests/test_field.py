@@ -217,3 +217,15 @@ def test_freshness_of_bad_dates(spark):
     rows = [("a", ""), ("b", "2026-13-45"), ("c", None), ("d", "2026-06-01")]
     out = rulebook.freshness(spark.createDataFrame(rows, "label string, verified_as_of string").withColumn("window_days", F.lit(180)), "2026-06-07")
     assert {r["label"]: r["state"] for r in out.collect()} == {"a": "unknown", "b": "unknown", "c": "unknown", "d": "fresh"}
+
+
+def test_turfs_of_all_nations_cover_every_tile(spark):
+    from __spark_entry__ import queries
+
+    sf = "/root/testdata/sf0.01"  # the smallest with second bands
+    run = lambda name: queries()[name](spark, sf).collect()
+    tiles = {r.tile for r in run("tile_bands")}
+    asked = [r.tile for r in run("turf_coverage_nations")]
+    assert sorted(asked) == sorted(tiles)
+    assert any(t.endswith("__b1") for t in asked) and any(not t.startswith("nation-1") for t in asked)
+    assert sum(r.voters for r in run("tile_union_nations")) == len(run("tile_bands"))
