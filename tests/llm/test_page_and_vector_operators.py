@@ -186,6 +186,48 @@ def test_extract_keeps_every_row(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+SENTENCE = "A first paragraph, long enough, with words."
+
+
+def test_paths_below_the_threshold_are_left_out():
+    text, three = html_extract.main_text, f"<p>{SENTENCE}</p>" * 3
+    want = "\n\n".join([SENTENCE] * 3)
+    assert text(f"<article>{three}<div>Share this story</div><ul><li><a href=a>One more</a></li><li><a href=b>And another</a></li></ul></article>") == want
+    assert text(f"<div><span>Home</span> <span>News</span></div><div>{three}</div><div>All rights reserved 2020</div>") == want
+    assert text(f"<div>{three}</div><div>Buy our thing now</div>") == want
+    assert text(f"<article>{three}<p class=form>In a form.</p><p class='comment-text'>Said.</p><p>{SENTENCE}</p></article>") == f"{want}\n\nIn a form.\n\nSaid.\n\n{SENTENCE}"
+    assert text("<p>AT&<b>amp;</b> and &am<i>p;</i>") == "AT&amp; and &amp;"
+
+
+def test_the_threshold_decides_on_given_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    low, own = ([html_extract.main_text(x, t) for x in pages] for t in (0.0, html_extract.THRESHOLD))
+    assert sum(a != b for a, b in zip(low, own)) > len(pages) // 2 and all(len(a) >= len(b) for a, b in zip(low, own))
+
+
+def test_scores_equal_their_definition():
+    page = html_extract._Page("<body><div>Menu<a href=/>x</a></div><div><p>One, two.</p><p>Three and four, five; six.</p></div><p>No points</p><div class=ad>Buy, buy.</div>")
+    marked = page.standing(set())
+    got = html_extract.scores(page, list(range(len(page.texts))), marked)
+    paths = [["body", "div"], ["body", "div", "p"], ["body", "div", "p"], ["body", "p"], ["body", "div", "ad"]]
+    length, points = [4, 9, 26, 9, 9], [0, 2, 3, 0, 2]
+    most = max(17.5, 9), 2.5
+    ratio = [math.sqrt(4 / 17.5 * 0), 1.0, 1.0, 0.0, math.sqrt(9 / 17.5 * 2 / 2.5) * html_extract.MARKED]
+    row = [ratio[0], *ratio, ratio[-1]]
+    smooth = [row[i] / 4 + row[i + 1] / 2 + row[i + 2] / 4 for i in range(5)]
+    want = {}
+    for path in map(tuple, paths):
+        at = [i for i in range(5) if tuple(paths[i]) == path]
+        want[path] = math.sqrt(ratio[at[0]] * sum(smooth[i] for i in at) / len(at))
+    assert most == (17.5, 2.5) and sum(length) == 57 and sum(points) == 7
+    assert sorted(got.values()) == pytest.approx(sorted(want.values())) and len(got) == 4
+
+
+def test_deep_pages_take_linear_time():
+    for unit in ("<div>x, y.", "<div class=form>x", "<ul><li>x.", "<span class=ad><p>x", "<form><article>x."):
+        html_extract.main_text(unit * 20_000)
+
+
 # --- archive -------------------------------------------------------------------------
 def test_archive_restores_every_record(spark, monkeypatch):
     monkeypatch.setattr(warc_archive, "RECORDS_PER_PART", 3)
@@ -212,6 +254,15 @@ def test_archive_restores_every_record(spark, monkeypatch):
         assert body[size:] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n") and b"\r\nX: y" not in head
 
 
+@pytest.mark.parametrize("mark", ["\u0085", "\u2028", "\u2029", "\r\n", "\n", "\r", "\x0b", "\x0c"])
+def test_no_url_makes_a_header_field(spark, mark):
+    W, folder = warc_archive, scratch(spark, "warc-urls")
+    url = f"http://a/{mark}WARC-Refers-To: <urn:page:77>{mark}WARC-Type: revisit{mark}"
+    W.write(spark.createDataFrame([(1, url, "x" * 200)], "id long, target string, payload string"), folder)
+    one = W.read(spark, folder).select(W.field("WARC-Type").alias("kind"), W.page_id("WARC-Refers-To").alias("to"), W.field("WARC-Target-URI").alias("url")).first()
+    assert (one.kind, one.to, one.url) == ("response", None, url.replace("\r", "%0D").replace("\n", "%0A"))
+
+
 def test_archive_finds_a_changed_payload(spark):
     folder = scratch(spark, "warc-bad")
     warc_archive.write(spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "id long, target string, payload string"), folder)
@@ -269,5 +320,58 @@ def test_reputation_shrinks_towards_the_parents(spark):
     assert means["b.x"][0] < means["c.x"][0] < means["a.x"][0] < 0.9 and all(low < mean for mean, low in means.values())
 
 
+def posterior(hosts, parts):
+    """Lower bound of the bad rate of every host, level by level."""
+    total = sum(n for n, _ in hosts.values())
+    prior = {(): sum(b for _, b in hosts.values()) / total}
+    keys = [lambda h: (), lambda h: (parts[h][0],), lambda h: parts[h], lambda h: (*parts[h], h)]
+    for up, key in zip(keys, keys[1:]):
+        groups, above = {}, {}
+        for h, (n, b) in hosts.items():
+            g = groups.setdefault(key(h), [0, 0])
+            g[0] += n
+            g[1] += b
+            above[key(h)] = prior[up(h)]
+        use = [(n, b, above[g]) for g, (n, b) in groups.items() if n and 0 < above[g] < 1]
+        scatter, m, n_all = sum((b - n * p) ** 2 / n / (p * (1 - p)) for n, b, p in use), len(use), sum(n for n, _, _ in use)
+        k = 1.0 if not m or n_all <= m else 10_000.0 if scatter <= m else min(10_000.0, max(1.0, (n_all - m) / (scatter - m) - 1))
+        prior = {g: (b + above[g] * k) / (n + k) for g, (n, b) in groups.items()}
+        weight = {g: n + k for g, (n, _) in groups.items()}
+    return {h: (prior[keys[-1](h)], prior[keys[-1](h)] - 1.645 * math.sqrt(prior[keys[-1](h)] * (1 - prior[keys[-1](h)]) / (weight[keys[-1](h)] + 1))) for h in hosts}
+
+
+def test_planted_hosts_are_blocked_by_their_posterior(spark):
+    rng = np.random.default_rng(6)
+    hosts, parts = {}, {}
+    for d in range(12):
+        for h in range(5):
+            name, rate = f"h{h}.d{d}.{'xyz'[d % 3]}", 0.9 if d in (1, 5) else 0.1
+            n = int(rng.integers(0, 60))
+            hosts[name], parts[name] = (n, int(rng.binomial(n, rate))), ("xyz"[d % 3], f"d{d}.{'xyz'[d % 3]}")
+    want = posterior(hosts, parts)
+    counts = spark.createDataFrame([(h, n, b) for h, (n, b) in hosts.items()], "host string, n long, bad long")
+    got = {r.host: (r.mean, r.low) for r in url_reputation.reputation(counts).collect()}
+    assert got.keys() == want.keys() and all(got[h] == pytest.approx(want[h]) for h in want)
+    pages, outcomes = [], []
+    for h, (n, b) in hosts.items():
+        for k in range(n + 1):
+            pages.append((len(pages), f"http://{h}/{k}"))
+            if k < n:
+                outcomes.append((len(pages) - 1, k < b))
+    said = {r.host: r.verdict for r in url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad boolean"), []).collect()}
+    assert said == {h: "block" if want[h][1] > 0.5 else "allow" for h in hosts}
+    assert {h for h, v in said.items() if v == "block"} > {h for h, (n, _) in hosts.items() if n > 20 and parts[h][1] in ("d1.y", "d5.z")}
+
+
+def test_domains_and_suffixes(spark):
+    want = {"a.b.com.sg": ("com.sg", "b.com.sg"), "x.co.uk": ("co.uk", "x.co.uk"), "co.uk": ("co.uk", "co.uk"), "www.host.org:8080": ("org", "host.org"), "10.0.0.1": ("address", "10.0.0.1"),
+            "10.0.0.1:80": ("address", "10.0.0.1"), "[::1]:8": ("address", "[::1]"), "": ("", ""), "com": ("com", "com"), "a.b.c.net": ("net", "c.net"), "my.blog.site": ("site", "blog.site")}
+    hosts = spark.createDataFrame([(h, 1) for h in want], "host string, n int")
+    assert {r.host: (r.suffix, r.domain) for r in url_reputation.named(hosts).collect()} == want
+    listed = spark.createDataFrame([("blog.site",), ("site",), (None,), ("",), ("c.net",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in url_reputation.named(hosts, listed).collect()}
+    assert got == want | {"my.blog.site": ("blog.site", "my.blog.site"), "a.b.c.net": ("c.net", "b.c.net")}
+
+
 def test_no_pages(spark):
     assert url_reputation.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([(1, True)], "page_id long, bad boolean"), RULES).count() == 0

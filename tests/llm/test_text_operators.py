@@ -326,3 +326,27 @@ def test_pipeline_stages(spark, docs):
         assert r.doc_id is None or hashlib.sha256(b" ".join(words_of(r.text))).hexdigest() == want[r.doc_id]
     assert cut.columns == docs.columns
     assert check_packing([(r.doc_id, r.text) for r in cut.collect()], P.packed(spark, cut, "").collect(), 2048) < 0.05
+
+
+# --- found in review -----------------------------------------------------------------
+def test_profiles_are_cut_before_the_shuffle(spark):
+    plan = language_id.profiles(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+def test_grams_of_very_many_letters():
+    letters = [chr(c) for c in range(0x3400, 0x9FFF) if chr(c).isalpha()] + [chr(c) for c in range(0xAC00, 0xD7A3)] + [chr(c) for c in range(0x20000, 0x2A6DF) if chr(c).isalpha()]
+    texts = ["".join(letters)] + ["ab cd"] * 12_000
+    document, gram, count, alphabet = language_id.grams(texts)
+    assert len(alphabet) > 80_000 and document.min() == 0 and document.max() == 12_000
+    own = language_id.grams(["ab cd"])
+    last = document == 12_000
+    assert language_id._spelled(gram[last], alphabet) == language_id._spelled(own[1], own[3]) and count[last].tolist() == own[2].tolist()
+
+
+def test_strip_of_different_texts_under_one_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows_ = [(1, " ".join(words)), (5, "own " + " ".join(words[20:120]) + " end"), (5, "quite another text under the same number"), (5, None)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in substring_dedup.strip(docs, substring_dedup.repeats(docs)).collect()), key=str)
+    assert left == sorted([rows_[0], (5, "own end"), rows_[2], rows_[3]], key=str)

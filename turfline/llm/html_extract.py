@@ -1,23 +1,30 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a sequence of text blocks, each with the path of block elements from the root to it.  For every path the text length and
-the punctuation of its blocks are summed and divided by their number; both ratios, each over its largest value, are multiplied and smoothed along the
-sequence; blocks of paths whose smoothed ratio reaches the threshold are content.  The article is the ``article`` or ``main`` that holds
-most of the content's text, else the closest element around all of it.  So the ratios choose only this frame: all of its blocks are the
-main text, in page order, but without an ``article`` or ``main`` not the blocks of links before the first and after the last other
-block of content.
-
-Menus, footers, sidebars, buttons, scripts, styles and hidden parts that their element says to be so take no part at all.  Forms, headers,
-and what role, class or id call a menu, notice, advert, reader comment and the like are only marked, as a wrapper of the whole page may
-have such a name too.  A mark falls if its element is around the page's ``main`` or, with no unmarked ``article`` or ``main`` on the page, holds
+A page becomes a sequence of text blocks, each with the path of block elements from the root to it.
+
+1. *Ratios.*  For every path the text length outside of links and the punctuation of its blocks are summed and divided by their number.
+2. *Fuse and smooth.*  Both ratios, each over its largest value, are fused by their geometric mean, and smoothed along the sequence of blocks; a path's
+   score is the geometric mean of its own ratio and its blocks' mean smoothed ratio.
+3. *Threshold.*  Content are the blocks of the paths whose score reaches ``threshold`` standard deviations of all paths' scores (or the largest
+   score, if none does).
+4. *Gaps.*  Short blocks whose paths stay below belong to the text where content surrounds them: blocks between two blocks of content, headings right
+   before one, and list items, cells or code right after one under a common element below the body.  Two blocks of links in a row are a
+   menu and never fill a gap; a single one does, also right after content in the same ``article`` or ``main``.
+
+Menus, footers, sidebars, buttons, scripts, styles and hidden parts that their element says to be so take no part.  Forms, headers, and what
+role, class or id call a menu, notice, advert, reader comment and the like are marked.  Names only lower a path: a marked part is a path of its
+own, its ratio counts a twentieth, and it fills no gap.  On paragraphs, headings, list items and cells only the names of adverts, consent
+and the like count.  A mark falls if its element is around the page's ``main`` or, with no unmarked ``article`` or ``main`` on the page, holds
 most of the content's text (in an unmarked one, most of that one's); blocks of links do not count.  Adverts, consent and the like count
 only with a ``main``, ``article`` or ``h1`` in them, reader comments and related pages only with a ``main`` or ``h1``, unless the page
-has nothing else.  Blocks under a mark that stands take no part.  A marked inline element is dropped, unless a block begins in it: then it is a
-wrapper like others.  Within a block white space becomes one space (a line break element too); character references are
-decoded; inline elements, dropped ones too, do not split a block.
+has nothing else.  A marked inline element is dropped, unless a block begins in it: then it is a wrapper like others.
 
-Nulls: a null page has no text.  Malformed mark-up: unclosed elements close with their parents, a stray end is ignored, a
-``<`` that opens no tag is text.  Repeated rows are kept; extra columns are ignored by name.
+Within a block white space becomes one space (a line break element too); inline elements, dropped ones too, do not split a block.  Character
+references are decoded in each stretch of text between tags, so none is put together across them.
+
+Nulls: a null page has no text.  Malformed mark-up: unclosed elements close with their parents, a stray end is ignored, a ``<`` that opens no tag is
+text.  Very long and very deep pages are read whole, in time linear in their length; paths are numbers with a link to their parent.  Repeated
+rows are kept; extra columns are ignored by name.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +42,10 @@ from turfline.llm import by_value
 
 by_value(__name__)
 
-#: Share of the standard deviation of the smoothed ratios that a path must reach.
+#: Standard deviations of the paths' scores that a path must reach.
 THRESHOLD = 0.8
+#: What is left of the ratio of a marked path.
+MARKED = 0.05
 _KERNEL = (0.25, 0.5, 0.25)
 _RAW = "script|style|title|textarea|iframe|noscript|xmp|template|noembed|noframes"
 _TOKEN = re.compile(
@@ -65,6 +75,9 @@ _OTHER = frozenset(
     "subscribe subscription signup breadcrumb breadcrumbs pagination pager copyright".split())
 _OTHER_STEMS = ("advert", "cookie", "newsletter", "breadcrumb", "pagination", "sponsor", "popup")
 _READERS = frozenset("comment comments commentlist disqus replies respond reply discussion related recommended recommendations".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ITEMS = frozenset("li dt dd td th pre blockquote caption figcaption".split())
 _DROP, _LAYOUT, _APART, _READER = 1, 2, 3, 4
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
@@ -87,6 +100,8 @@ def _mark(name: str, attrs: str, in_article: bool) -> int:
         kind = _LAYOUT
     own = f"{said.get('class', '')} {said.get('id', '')}"
     words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", own)}
+    if name in _TEXT:
+        return _APART if words & _OTHER or any(stem in w for w in words for stem in _OTHER_STEMS) else 0
     if words & _READERS or any("comment" in w for w in words):
         return _READER
     if words & _OTHER or any(stem in w for w in words for stem in _OTHER_STEMS):
@@ -97,29 +112,36 @@ def _mark(name: str, attrs: str, in_article: bool) -> int:
 
 
 class _Page:
-    """Blocks of a page: (text, path, numbers of the elements around it)."""
+    """Blocks of a page and its elements, each with a link to the one around it; an element's number is larger than its parent's."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, tuple[int, ...]]] = []
-        self.plain: list[bool] = []  # of each block: whether it has text outside of links
-        self.names = ["#root"]
+        self.texts: list[str] = []  # of each block: its text, path and innermost element, and whether it has text outside of links
+        self.paths: list[int] = []
+        self.inner: list[int] = []
+        self.plain: list[int] = []
+        self.names, self.parents = ["#root"], [0]
+        self.numbers: dict[tuple[int, str], int] = {}  # of paths
         self.marks: dict[int, int] = {}  # kind of mark by element
-        self.holds: dict[int, set[str]] = {}  # main, article and h1 in marked elements
-        self.stack: list[tuple[str, int, bool, int]] = [("#root", 0, False, 0)]  # name, element, dropped, own mark
+        self.stack: list[tuple[str, int, bool, int, int, bool]] = [("#root", 0, False, 0, 0, False)]  # name, element, dropped, own mark, path, in an article
+        self.open: Counter[str] = Counter()
+        self.first_dropped = 0  # place of the outermost dropped element on the stack, or 0
         self.parts: list[str] = []
-        self.in_link = self.has_plain = self.wrapped = False
-        at, skip = 0, self._raw
+        self.outside = 0
+        self.in_link = self.wrapped = False
+        at = 0
         while True:
             found = _TOKEN.search(source, at)
             text = source[at:found.start() if found else len(source)]
-            if text and not self.stack[-1][2]:
+            if text and not self.first_dropped:
+                text = html.unescape(text)
                 self.parts.append(text)
-                self.has_plain |= not self.in_link and not text.isspace()
+                if not self.in_link:
+                    self.outside += len(text.strip())
             if found is None:
                 break
             at = found.end()
             if found["raw"] is not None:
-                at = skip(source, found)
+                at = self._raw(source, found)
             elif found["name"]:
                 self._tag(found["name"].lower(), bool(found["end"]), found["attrs"])
         self._flush()
@@ -136,7 +158,7 @@ class _Page:
         if name == "br":
             self.parts.append(" ")
             return
-        dropped = self.stack[-1][2]
+        dropped = self.first_dropped > 0
         if name == "a":
             self.in_link = not ends and "href" in attrs.lower()
         if name in _INLINE or name in _PHRASING:
@@ -145,9 +167,9 @@ class _Page:
             elif name not in _VOID and not (name in _FOREIGN and attrs.endswith("/")):
                 own = _DROP if name in _PHRASING else _mark(name, attrs, True) if "=" in attrs else 0
                 if dropped or own:
-                    self._open(name, True, own)
-                elif self.wrapped and any(s[0] == name for s in self.stack):
-                    self._open(name, False, 0)
+                    self._push(name, True, own)
+                elif self.wrapped and self.open[name]:
+                    self._push(name, False, 0)
             return
         if not dropped:
             self._flush()
@@ -157,55 +179,68 @@ class _Page:
             self._close(name)
             return
         if name in _CLOSES_P:
-            self._close_open({"p"}, {"button", "table", "td", "th", "li", "div", "section", "article", "blockquote"})
+            self._close_open(("p",), {"button", "table", "td", "th", "li", "div", "section", "article", "blockquote"})
         if name in _ALIKE:
             self._close_open(_ALIKE[name], _SCOPES[name])
         if name not in _VOID:
-            own = _mark(name, attrs, any(s[0] in ("article", "main") for s in self.stack))
-            bad = self.stack[-1][2] or own == _DROP
-            self._open(name, bad, own)
+            own = _mark(name, attrs, self.stack[-1][5])
+            bad = self.first_dropped > 0 or own == _DROP
+            self._push(name, bad, own)
             if own and not bad:
                 self.marks[self.stack[-1][1]] = own
-            if not bad and self.marks and name in ("main", "article", "h1"):
-                for s in self.stack:
-                    if s[1] in self.marks:
-                        self.holds.setdefault(s[1], set()).add(name)
 
-    def _open(self, name: str, bad: bool, own: int) -> None:
+    def _push(self, name: str, bad: bool, own: int) -> None:
+        _, parent, _, _, path, in_article = self.stack[-1]
+        if name not in _INLINE:
+            path = self.numbers.setdefault((path, name), len(self.numbers) + 1)
         self.names.append(name)
-        self.stack.append((name, len(self.names) - 1, bad, own))
+        self.parents.append(parent)
+        if bad and not self.first_dropped:
+            self.first_dropped = len(self.stack)
+        self.stack.append((name, len(self.names) - 1, bad, own, path, in_article or name in ("article", "main")))
+        self.open[name] += 1
 
     def _wrap(self) -> None:
         """A block begins in inline elements that are dropped for their names only: they are wrappers, and keep their marks."""
-        first = next(i for i, s in enumerate(self.stack) if s[2])
-        if any(s[0] not in _INLINE or s[3] == _DROP for s in self.stack[first:]):
+        if any(s[0] not in _INLINE or s[3] == _DROP for s in self.stack[self.first_dropped:]):
             return
-        self._flush()
-        self.wrapped = True
-        for i in range(first, len(self.stack)):
-            name, element, _, own = self.stack[i]
-            self.stack[i] = (name, element, False, own)
+        for i in range(self.first_dropped, len(self.stack)):
+            name, element, _, own, path, in_article = self.stack[i]
+            self.stack[i] = (name, element, False, own, path, in_article)
             if own:
                 self.marks[element] = own
+        self._flush(self.stack[self.first_dropped - 1])
+        self.first_dropped, self.wrapped = 0, True
+
+    def _pop(self, i: int) -> None:
+        for entry in self.stack[i:]:
+            self.open[entry[0]] -= 1
+        del self.stack[i:]
+        if self.first_dropped >= i:
+            self.first_dropped = 0
 
     def _cut(self, i: int) -> None:
         """Close the element at place i and all in it; the text before a dropped inline element ends with its block."""
         if not self.stack[i][2]:
             self._flush()
-        del self.stack[i:]
+        self._pop(i)
 
     def _close_dropped(self, name: str) -> None:
         """Close the innermost inline element of this name, if it is dropped or in a wrapper of its name; others are not on the stack."""
+        if not self.open[name]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if not self.stack[i][2] and not self.wrapped:
                 return
             if self.stack[i][0] == name:
                 if self.stack[i][1] in self.marks or i < len(self.stack) - 1 and not self.stack[-1][2]:
                     self._flush()
-                del self.stack[i:]
+                self._pop(i)
                 return
 
     def _close(self, name: str) -> None:
+        if not self.open[name]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == name:
                 self._cut(i)
@@ -213,7 +248,9 @@ class _Page:
             if name == "p" and self.stack[i][0] in ("div", "article", "section", "body", "td"):
                 return
 
-    def _close_open(self, names: set[str], scope: set[str]) -> None:
+    def _close_open(self, names, scope: set[str]) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in names:
                 self._cut(i)
@@ -221,107 +258,171 @@ class _Page:
             if self.stack[i][0] in scope:
                 return
 
-    def _flush(self) -> None:
+    def _flush(self, entry: tuple | None = None) -> None:
+        """End the current block; it lies in the innermost element that is not dropped."""
         if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
-            self.parts = []
-            around = [s for s in self.stack if not s[2]]
+            text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append((text, "/".join(s[0] for s in around if s[0] not in _INLINE), tuple(s[1] for s in around)))
-                self.plain.append(self.has_plain)
-            self.has_plain = False
-
-
-def content(blocks: list[tuple[str, str, tuple[int, ...]]], threshold: float = THRESHOLD) -> list[int]:
-    """Numbers of the blocks whose paths reach the threshold."""
-    sums: dict[str, list[float]] = {}
-    for text, path, _ in blocks:
-        own = sums.setdefault(path, [0.0, 0.0, 0.0])
-        own[0] += len(text)
-        own[1] += len(_PUNCTUATION.findall(text)) + 1
+                inner = entry or self.stack[(self.first_dropped or len(self.stack)) - 1]
+                self.texts.append(text)
+                self.paths.append(inner[4])
+                self.inner.append(inner[1])
+                self.plain.append(min(self.outside, len(text)))
+            self.parts, self.outside = [], 0
+
+    def below(self, start, step) -> list:
+        """A value for every element from that of its parent: ``step(value, element)``."""
+        values = [start] * len(self.names)
+        for e in range(1, len(values)):
+            values[e] = step(values[self.parents[e]], e)
+        return values
+
+    def above(self, values: list[int]) -> list[int]:
+        """Sums over each element and all in it."""
+        for e in range(len(values) - 1, 0, -1):
+            values[self.parents[e]] += values[e]
+        return values
+
+    def standing(self, fallen: set[int]) -> list[bool]:
+        return self.below(False, lambda over, e: over or e in self.marks and e not in fallen)
+
+
+def scores(page: _Page, scope: list[int], marked: list[bool]) -> dict[tuple[int, bool], float]:
+    """The score of every (path, marked) of the blocks in ``scope``."""
+    if not scope:
+        return {}
+    keys = [(page.paths[i], marked[page.inner[i]]) for i in scope]
+    sums: dict[tuple[int, bool], list[float]] = {}
+    for i, key in zip(scope, keys):
+        own = sums.setdefault(key, [0.0, 0.0, 0.0])
+        own[0] += page.plain[i]
+        own[1] += len(_PUNCTUATION.findall(page.texts[i])) if page.plain[i] else 0
         own[2] += 1
-    long_, marked = (max(s[i] / s[2] for s in sums.values()) for i in (0, 1))
-    fused = [sums[p][0] / sums[p][2] / long_ * (sums[p][1] / sums[p][2] / marked) for _, p, _ in blocks]
-    padded = [fused[0], *fused, fused[-1]]
-    smooth = [sum(w * x for w, x in zip(_KERNEL, padded[i:i + 3])) for i in range(len(fused))]
-    by_path: dict[str, list[float]] = {}
-    for (_, path, _), x in zip(blocks, smooth):
-        by_path.setdefault(path, []).append(x)
-    mean = sum(smooth) / len(smooth)
-    least = min(threshold * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), max(max(x) for x in by_path.values()))
-    chosen = {path for path, own in by_path.items() if max(own) >= least}
-    return [i for i, (_, path, _) in enumerate(blocks) if path in chosen]
+    free = [x for key, x in sums.items() if not key[1]] or list(sums.values())
+    most = [max(x[k] / x[2] for x in free) for k in (0, 1)]
+
+    def ratio(key: tuple[int, bool]) -> float:
+        length, points = (min(1.0, sums[key][k] / sums[key][2] / most[k]) if most[k] else 1.0 for k in (0, 1))
+        return math.sqrt(length * points) * (MARKED if key[1] else 1.0)
+
+    ratios = {key: ratio(key) for key in sums}
+    row = [ratios[key] for key in keys]
+    padded = [row[0], *row, row[-1]]
+    smooth: dict[tuple[int, bool], float] = {}
+    for n, key in enumerate(keys):
+        smooth[key] = smooth.get(key, 0.0) + sum(w * x for w, x in zip(_KERNEL, padded[n:n + 3]))
+    return {key: math.sqrt(ratios[key] * smooth[key] / sums[key][2]) for key in sums}
+
+
+def content(page: _Page, scope: list[int], marked: list[bool], threshold: float) -> list[int]:
+    """The blocks of ``scope`` whose paths reach the threshold."""
+    found = scores(page, scope, marked)
+    if not found:
+        return []
+    mean = sum(found.values()) / len(found)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in found.values()) / len(found))
+    least = min(threshold * spread, max(found.values()))
+    return [i for i in scope if found[page.paths[i], marked[page.inner[i]]] >= least]
 
 
 def _fallen(page: _Page, threshold: float) -> set[int]:
     """The marked elements whose marks fall."""
-    marks, fallen, frames = page.marks, set(), {}  # frames: the marks around each article or main that has text
-    for _, _, around in page.blocks:
-        for k, e in enumerate(around):
-            if page.names[e] in ("article", "main") and e not in frames:
-                frames[e] = {m for m in around[:k] if m in marks}
-    apart = {e for e, kind in marks.items() if kind == _READER and not page.holds.get(e, set()) & {"main", "h1"} or kind == _APART and not page.holds.get(e)}
+    marks, fallen, size = page.marks, set(), len(page.names)
+    bit = {"main": 1, "article": 1 << 20, "h1": 1 << 40}
+    inside = page.above([bit.get(n, 0) for n in page.names])
+    holds = lambda e, *names: any(inside[e] // bit[n] % (1 << 20) for n in names)
+    apart = {e for e, kind in marks.items() if kind == _READER and not holds(e, "main", "h1") or kind == _APART and not holds(e, "main", "h1", "article")}
+    in_apart = page.below(False, lambda over, e: over or e in apart)
+    own = [0] * size
+    for e in page.inner:
+        own[e] += 1
+    filled = page.above(own)
+    frames = [e for e in range(size) if page.names[e] in ("article", "main") and filled[e]]
+    unmarked = [False] * size
 
     def held(scope: list[int]) -> list[int]:
         """The marked elements that hold most of the content of these blocks, outer ones first."""
         scope = [i for i in scope if page.plain[i]]
-        scope = [i for i in scope if apart.isdisjoint(page.blocks[i][2])] or scope
-        if not any(e in marks for i in scope for e in page.blocks[i][2]):
-            return []
-        total, by_mark = 0, {}
-        for i in content([page.blocks[i] for i in scope], threshold):
-            text, _, around = page.blocks[scope[i]]
-            total += len(text)
-            for e in around:
-                if e in marks:
-                    by_mark[e] = by_mark.get(e, 0) + len(text)
-        return sorted(e for e, n in by_mark.items() if n * 2 > total)
-
-    opened = lambda: {f for f, over in frames.items() if over <= fallen}
-    if not opened():
-        for f, over in frames.items():
-            if page.names[f] == "main" and apart.isdisjoint(over):
-                fallen |= over
-        for e in [] if opened() else held(list(range(len(page.blocks)))):
-            fallen.add(e)
-            if opened():
-                break
-    if inside := opened():
-        fallen.update(held([i for i, b in enumerate(page.blocks) if not inside.isdisjoint(b[2])]))
+        scope = [i for i in scope if not in_apart[page.inner[i]]] or scope
+        sizes = [0] * size
+        for i in content(page, scope, unmarked, threshold):
+            sizes[page.inner[i]] += len(page.texts[i])
+        sizes = page.above(sizes)
+        return [e for e in sorted(marks) if sizes[e] * 2 > sizes[0]]
+
+    free = page.standing(fallen)
+    if all(free[f] for f in frames):
+        for f in frames:
+            if page.names[f] == "main" and not in_apart[f]:
+                e = f
+                while e and e not in fallen:
+                    if e in marks:
+                        fallen.add(e)
+                    e = page.parents[e]
+        free = page.standing(fallen)
+    if all(free[f] for f in frames):
+        chain = held(list(range(len(page.texts))))
+        place = {e: k for k, e in enumerate(chain)}
+        # how far the chain must fall until nothing stands around an element
+        need = page.below(-1, lambda over, e: over if e not in marks or e in fallen else max(over, place.get(e, len(chain))))
+        least = min((need[f] for f in frames), default=len(chain))
+        fallen.update(chain[:least + 1])
+        free = page.standing(fallen)
+    opened = {f for f in frames if not free[f]}
+    if opened:
+        within = page.below(False, lambda over, e: over or e in opened)
+        fallen.update(held([i for i, e in enumerate(page.inner) if within[e]]))
     return fallen
 
 
+def _kept(page: _Page, chosen: list[int], marked: list[bool]) -> list[int]:
+    """``chosen`` and the blocks that fill its gaps."""
+    n = len(page.texts)
+    keep = [False] * n
+    for i in chosen:
+        keep[i] = True
+    links = [not p for p in page.plain]
+    menu = [links[i] and (i > 0 and links[i - 1] or i + 1 < n and links[i + 1]) for i in range(n)]
+    may = [not marked[page.inner[i]] and not menu[i] for i in range(n)]
+    frame = page.below(0, lambda over, e: e if page.names[e] in ("article", "main") else over)
+    level = page.below(0, lambda over, _: over + 1)
+    body = max((level[e] for e in range(len(level)) if page.names[e] in ("html", "body") and level[e] < 3), default=0)
+    names = [page.names[e] for e in page.inner]
+
+    def joined(i: int, k: int) -> bool:
+        """Whether an element below the body holds both blocks."""
+        a, b = page.inner[i], page.inner[k]
+        while a != b:
+            if level[a] >= level[b]:
+                a = page.parents[a]
+            else:
+                b = page.parents[b]
+            if level[a] <= body or level[b] <= body:
+                return False
+        return level[a] > body
+
+    for i in range(chosen[0], chosen[-1]):
+        keep[i] |= may[i]
+    for i in range(n - 2, -1, -1):
+        keep[i] |= keep[i + 1] and may[i] and names[i] in _HEADINGS and frame[page.inner[i]] == frame[page.inner[i + 1]]
+    for i in range(chosen[-1] + 1, n):
+        if not may[i] or not keep[i - 1]:
+            break
+        if links[i]:
+            keep[i] = frame[page.inner[i]] > 0 and frame[page.inner[i]] == frame[page.inner[i - 1]]
+        else:
+            keep[i] = names[i] in _ITEMS and joined(i, i - 1)
+    return [i for i in range(n) if keep[i]]
+
+
 def main_text(source: str | None, threshold: float = THRESHOLD) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     page = _Page(source or "")
-    if page.marks and page.blocks:
-        standing = page.marks.keys() - _fallen(page, threshold)
-        kept = [i for i, b in enumerate(page.blocks) if standing.isdisjoint(b[2])]
-        page.blocks, page.plain = [page.blocks[i] for i in kept], [page.plain[i] for i in kept]
-    if not page.blocks:
+    if not page.texts:
         return ""
-    chosen = content(page.blocks, threshold)
-    total = sum(len(page.blocks[i][0]) for i in chosen)
-    held: dict[int, int] = {}
-    for i in chosen:
-        frame = next((e for e in page.blocks[i][2] if page.names[e] in ("article", "main")), None)
-        if frame is not None:
-            held[frame] = held.get(frame, 0) + len(page.blocks[i][0])
-    if sum(held.values()) * 2 >= total and held:
-        inside = set(held)
-        own = [text for text, _, around in page.blocks if inside.intersection(around)]
-    else:
-        common = page.blocks[chosen[0]][2]
-        for i in chosen[1:]:
-            other = page.blocks[i][2]
-            size = next((k for k, (a, b) in enumerate(zip(common, other)) if a != b), min(len(common), len(other)))
-            common = common[:size]
-        while len(common) > 1 and page.names[common[-1]] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dd", "dt"):
-            common = common[:-1]
-        ends = [i for i in chosen if page.plain[i]] or chosen
-        own = [text for i, (text, _, around) in enumerate(page.blocks)
-               if around[:len(common)] == common and (page.plain[i] or ends[0] <= i <= ends[-1])]
-    return "\n\n".join(own)
+    marked = page.standing(_fallen(page, threshold)) if page.marks else [False] * len(page.names)
+    chosen = content(page, list(range(len(page.texts))), marked, threshold)
+    return "\n\n".join(page.texts[i] for i in _kept(page, chosen, marked))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -68,15 +68,18 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     one = line[:-1] > 1
     first = np.where(line[:-1] == 1, owner[:-1], -1)
     span = base ** 3
-    keys = []
     a, b = line[:-1], line[1:]
-    keys.append((owner[:-1] * span + a * base * base)[one])
     of = np.where(first >= 0, first, owner[:-1])
-    keys.append(of * span + (a * base + b) * base)
-    a, b, c = line[:-2], line[1:-1], line[2:]
-    keys.append((of[:-1] * span + (a * base + b) * base + c)[b > 1])
-    named, count = np.unique(np.concatenate(keys), return_counts=True)
-    return named // span, named % span, count, alphabet
+    x, y, z = line[:-2], line[1:-1], line[2:]
+    owners = np.concatenate([owner[:-1][one], of, of[:-1][y > 1]])
+    keys = np.concatenate([(a * base * base)[one], (a * base + b) * base, ((x * base + y) * base + z)[y > 1]])
+    if len(texts) * span < 1 << 63:
+        named, count = np.unique(owners * span + keys, return_counts=True)
+        return named // span, named % span, count, alphabet
+    order = np.lexsort((keys, owners))  # so many letters that a document and a gram do not fit one number
+    owners, keys = owners[order], keys[order]
+    start = np.flatnonzero(np.append(True, (owners[1:] != owners[:-1]) | (keys[1:] != keys[:-1])))
+    return owners[start], keys[start], np.diff(np.append(start, len(keys))), alphabet
 
 
 def _spelled(gram: np.ndarray, alphabet: np.ndarray) -> list[str]:
@@ -107,8 +110,8 @@ def profiles(labelled: DataFrame, size: int = PROFILE) -> DataFrame:
 
     counts = (labelled.where("lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, gram string, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    ranked = counts.selectExpr("lang", "gram", "row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS rank")
-    return ranked.where(F.col("rank") < size)
+    ranked = counts.selectExpr("lang", "gram", "row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS place")
+    return ranked.where(F.col("place") <= size).select("lang", "gram", (F.col("place") - 1).alias("rank"))  # so the limit also applies before the shuffle
 
 
 def identify(documents: DataFrame, model: list[tuple[str, str, int]], size: int = PROFILE, pred: str = "lang_pred", score: str = "score") -> DataFrame:

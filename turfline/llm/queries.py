@@ -126,7 +126,36 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
-@query("op10_url_reputation")
+def _op10() -> str:
+    """Counts by host, domain and suffix, each level's strength by moments, and the posterior's lower bound."""
+    from turfline.llm import url_reputation as U
+
+    level = lambda name, groups: f"""{name}_k AS (SELECT CASE WHEN m = 0 OR n <= m THEN {U.STRENGTH[0]} WHEN scatter <= m THEN {U.STRENGTH[1]}
+        ELSE least({U.STRENGTH[1]}, greatest({U.STRENGTH[0]}, (n - m) / (scatter - m) - 1)) END AS k FROM (SELECT coalesce(sum((bad - n * prior) ** 2 / n / (prior * (1 - prior))), 0) AS scatter,
+        count(*)::DOUBLE AS m, coalesce(sum(n), 0)::DOUBLE AS n FROM {groups} WHERE n > 0 AND prior > 0 AND prior < 1)),
+        {name} AS (SELECT g.*, (bad + prior * k) / (n + k) AS mean, n + k AS weight FROM {groups} g, {name}_k)"""
+    rules = ", ".join(f"('{verdict}', '{rule}', '{rule.partition('/')[0]}', '/{rule.partition('/')[2]}')" for verdict, rule in RULES)
+    second = "|".join(U.SECOND_LABELS)
+    return rf"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 1), '{U._UPPER}', '{U._LOWER}'), '') AS host,
+coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+known AS (SELECT doc_id AS page_id, count(*)::DOUBLE AS n, sum((toxic = 1 OR quality = 0)::INT)::DOUBLE AS bad FROM labels WHERE doc_id IS NOT NULL AND (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY 1),
+counts AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN known USING (page_id) GROUP BY host),
+parts AS (SELECT *, CASE WHEN regexp_matches(array_to_string(string_split(name, '.')[-2:], '.'), '^(?:{second})\.[a-z][a-z]$') THEN 2 ELSE 1 END AS dots,
+    regexp_matches(name, '^[0-9.]*[0-9]$|^\[') AS address FROM counts),
+hosts AS (SELECT host, n, bad, CASE WHEN address THEN '{U.ADDRESS}' ELSE array_to_string(string_split(name, '.')[-dots:], '.') END AS suffix,
+    CASE WHEN address THEN name ELSE array_to_string(string_split(name, '.')[-dots - 1:], '.') END AS domain FROM parts),
+base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0 END AS base FROM hosts),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(base) AS prior FROM hosts, base GROUP BY suffix), {level("sp", "s")},
+d AS (SELECT domain, suffix, sum(h.n) AS n, sum(h.bad) AS bad, any_value(sp.mean) AS prior FROM hosts h JOIN sp USING (suffix) GROUP BY domain, suffix), {level("dp", "d")},
+h AS (SELECT h.host, h.n, h.bad, dp.mean AS prior FROM hosts h JOIN dp USING (domain, suffix)), {level("hp", "h")},
+said AS (SELECT host, mean - {U.BOUND} * sqrt(mean * (1 - mean) / (weight + 1)) > {U.BAD_RATE} AS blocked FROM hp),
+r AS (SELECT * FROM (VALUES {rules}) r(verdict, rule, of, start)),
+f AS (SELECT page_id, host, path, said.blocked, list(struct_pack(size := length(rule), rule := rule, verdict := r.verdict)) FILTER (rule IS NOT NULL) AS fits
+    FROM (SELECT *, row_number() OVER () AS at FROM p) p LEFT JOIN said USING (host) LEFT JOIN r ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY at, page_id, host, path, blocked)
+SELECT page_id, host, path, list_max(fits).rule AS rule, coalesce(list_max(fits).verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
+
+@query("op10_url_reputation", _op10())
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """A page is bad if the labelled document of its number is toxic or of low quality."""
     from turfline.llm.url_reputation import judge

@@ -289,7 +289,10 @@ def _documents(chunks: DataFrame) -> DataFrame:
 
 
 def repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept_sha256) of every document; spans: removed word numbers from, to (exclusive), ..."""
+    """(doc_id, n_words, n_removed, spans, kept_sha256, digest) of every document.
+
+    spans: removed word numbers from, to (exclusive), ...; digest: SHA-256 of the words joined by one space, as hex.
+    """
     if width < 2:
         raise ValueError("a window needs two words at least")
     block = width // 2
@@ -309,17 +312,22 @@ def repeats(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         "doc_id", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.array(F.lit(0).cast("long"), F.col("n_words"))).otherwise(F.coalesce("spans", F.array().cast("array<long>"))).alias("spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"))
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"), "digest")
 
 
 def strip(documents: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with the spans of ``repeats`` cut out of their texts (kept words joined by one space).
 
-    Texts that lose nothing stay as they are.  Rows that share a doc_id are taken to share the text.
+    Texts that lose nothing stay as they are.  Where different texts share a doc_id, each has its own spans, found by its digest.
     """
     names = documents.columns
-    cut = free_name(names, "spans")
-    spans = found.where("n_removed > 0").groupBy("doc_id").agg(F.first("spans").alias(cut))
+    cut, digest = free_name(names, "spans"), free_name(names, "digest")
+    spans = found.where("n_removed > 0").groupBy("doc_id", F.col("digest").alias(digest)).agg(F.first("spans").alias(cut))
+    several = found.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc_id")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    shared = documents.join(several, "doc_id", "left_semi").withColumn(digest, F.sha2(F.array_join(words, " "), 256))
+    known = documents.join(several, "doc_id", "left_anti").join(spans.drop(digest), "doc_id", "left").unionByName(
+        shared.join(spans, ["doc_id", digest], "left").drop(digest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,4 +342,4 @@ def strip(documents: DataFrame, found: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return documents.join(spans, "doc_id", "left").select(*names, cut).mapInArrow(run, documents.schema)
+    return known.select(*names, cut).mapInArrow(run, documents.schema)

@@ -24,8 +24,10 @@ BAD_RATE = 0.5
 BOUND = 1.645
 #: Bounds of a prior's strength, in pages.
 STRENGTH = (1.0, 10_000.0)
-#: Public suffixes of two labels; any other suffix is the last label.
-DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "ne.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn", "com.mx", "com.tr", "co.kr")
+#: Second labels that make a public suffix with a country code (fixed values); used where no table of suffixes is given.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
+#: The suffix of all numeric addresses, each of which is its own domain.
+ADDRESS = "address"
 #: Rules are literals of the plan; so many at most.
 MOST_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,14 +54,27 @@ def matching_rule(rules: list[tuple[str, str]]) -> Column:
     return F.greatest(*found) if len(found) > 1 else reduce(lambda _, x: x, found, F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
 
 
-def domain_of(host: str = "host", double: tuple[str, ...] = DOUBLE_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*double), F.substring_index(host, ".", -3)).otherwise(two)
-
-
-def suffix_of(host: str = "host", double: tuple[str, ...] = DOUBLE_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*double), two).otherwise(F.substring_index(host, ".", -1))
+def named(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (one row for each host) with ``suffix`` and registered ``domain``.
+
+    ``suffixes`` (suffix string) lists public suffixes; the longest that fits counts.  Without it, or where none fits, the suffix is the last label, or the
+    last two if they are a general second label and a country code.  A port is not part of either.
+    """
+    name = F.regexp_replace("host", ":[0-9]*$", "")
+    last = F.substring_index("_name", ".", -1)
+    two = F.substring_index("_name", ".", -2)
+    country = two.rlike(rf"^(?:{'|'.join(SECOND_LABELS)})\.[a-z][a-z]$")
+    out = hosts.withColumn("_name", name).withColumn("_suffix", F.when(country, two).otherwise(last))
+    if suffixes is not None:
+        labels = F.split("_name", r"\.")
+        tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+        known = suffixes.select(F.lower("suffix").alias("tail")).where("tail <> ''").distinct()
+        longest = out.select("host", F.explode(tails).alias("tail")).join(known, "tail").groupBy("host").agg(F.max_by("tail", F.length("tail")).alias("_listed"))
+        out = out.join(longest, "host", "left").withColumn("_suffix", F.coalesce("_listed", "_suffix")).drop("_listed")
+    dots = F.size(F.split("_suffix", r"\."))
+    domain = F.array_join(F.slice(F.split("_name", r"\."), -F.least(dots + 1, F.size(F.split("_name", r"\."))), dots + 1), ".")
+    address = F.col("_name").rlike(r"^[0-9.]*[0-9]$|^\[")
+    return out.select(*hosts.columns, F.when(address, ADDRESS).otherwise(F.col("_suffix")).alias("suffix"), F.when(address, F.col("_name")).otherwise(domain).alias("domain"))
 
 
 def _strength(groups: DataFrame) -> float:
@@ -79,9 +94,9 @@ def _shrunk(groups: DataFrame) -> DataFrame:
     return groups.withColumn("mean", (F.col("bad") + F.col("prior") * k) / (F.col("n") + k)).withColumn("weight", F.col("n") + k)
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, mean, low): posterior mean and lower bound for every host of ``outcomes`` (host, n, bad), one row for each."""
-    hosts = stage(outcomes.withColumn("domain", domain_of()).withColumn("suffix", suffix_of()), "hosts")
+    hosts = stage(named(outcomes, suffixes), "hosts")
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = hosts.agg(*sums).first()
     base = total.bad / total.n if total.n else 0.0
@@ -92,14 +107,18 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return found.select("host", "mean", low.alias("low"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = BAD_RATE) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url); ``outcomes``: (page_id, bad boolean)."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], limit: float = BAD_RATE,
+          suffixes: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every row of ``pages`` (page_id, url); ``outcomes``: (page_id, bad boolean).
+
+    Of rules of equal length that fit, the one that sorts last is taken, and of equal ones 'block'.
+    """
     split = pages.select("page_id", host_of().alias("host"), path_of().alias("path"))
     known = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(
         F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     counts = split.select("page_id", "host").join(known, "page_id", "left").groupBy("host").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = stage(reputation(counts).withColumn("blocked", F.col("low") > limit).select("host", "blocked"), "reputation")
+    hosts = stage(reputation(counts, suffixes).withColumn("blocked", F.col("low") > limit).select("host", "blocked"), "reputation")
     ruled = split.withColumn("found", matching_rule(rules)).join(hosts, "host", "left")
     said = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", said).alias("verdict"))

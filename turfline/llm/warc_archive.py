@@ -80,8 +80,8 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def field(name: str) -> Column:
-    """A named field of the header block, or null."""
-    found = F.regexp_extract(F.col("header").cast("string"), f"(?m)^{name}: ([^\r\n]*)", 1)
+    """A named field of the header block, or null.  A line starts after CR LF only, which no value can hold."""
+    found = F.regexp_extract(F.col("header").cast("string"), f"\r\n{name}: ([^\r\n]*)\r\n", 1)
     return F.when(found != "", found)
 
 
