@@ -26,17 +26,30 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group; rows without an id are in no group and stay."""
-    groups = simhash_dedup.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Keep the document with the smallest id of each near-duplicate group.
+
+    Rows without an id are in no group and stay.  Of rows that repeat an id and a fingerprint one stays, with the smallest text.  Where an id has
+    texts of several fingerprints, each is judged by its own.
+    """
+    names, bits = docs.columns, free_name(docs.columns, "fingerprint")
+    groups = stage(simhash_dedup.near_duplicates(docs), "groups").select("doc_id", F.col("fingerprint").alias(bits), (F.col("doc_id") == F.col("component_id")).alias("first"))
+    first = groups.where("first").select("doc_id", bits).distinct()
+    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = docs.join(repeated, "doc_id", "left_anti").join(first.select("doc_id"), "doc_id", "left_semi")
+    again = simhash_dedup.with_fingerprint(docs.join(repeated, "doc_id", "left_semi"), bits).join(first, ["doc_id", bits], "left_semi")
+    whole = F.min_by(F.struct(*names), F.coalesce("text", F.lit(""))).alias("row")
+    return once.select(*names).unionByName(again.groupBy("doc_id", bits).agg(whole).select("row.*")).unionByName(docs.where("doc_id IS NULL"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words and more that a document with a smaller id has too; texts that lose every word go."""
+    """Cut passages of 50 words and more that a document with a smaller id has too.
+
+    A text that loses every word goes; a text that had none, null or blank, has nothing to lose and stays.
+    """
     found = stage(substring_dedup.repeats(docs), "repeats")
-    left = substring_dedup.strip(docs, found)
-    return left.where("text IS NULL OR text <> ''").select(*docs.columns)
+    had = free_name(docs.columns, "had_words")
+    left = substring_dedup.strip(docs.withColumn(had, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))), found)
+    return left.where(~F.col(had) | (F.col("text") != "")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
