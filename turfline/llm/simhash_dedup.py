@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from turfline.llm import by_value
 from turfline.llm.buffers import byte_column, ranges
@@ -75,6 +76,17 @@ def fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, bits long")
 
 
+def with_fingerprint(documents: DataFrame, name: str, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``documents`` with the column ``name``: the fingerprint as in ``near_duplicates``."""
+    columns = documents.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f"{fingerprint((t or '').encode(), words):016x}" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), pa.array(found, pa.string())], [*columns, name])
+    return documents.mapInArrow(run, StructType([*documents.schema.fields]).add(name, StringType()))
+
+
 def build_forest(shard: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """BK-trees of all shards: (root entry of each shard number, edge keys parent * 65 + distance in order, edge children).
 
