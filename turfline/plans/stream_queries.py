@@ -9,50 +9,61 @@ from pyspark.sql import functions as F
 
 from turfline.plans.field_queries import CAP, STATUS, ZIPC, _history_counts
 from turfline.plans.registry import query
-from turfline.session import scratch
+from turfline.session import scratch, stage
 from turfline.sources import field_tables as ft
 from turfline.streaming import captures as SC
 
 
-ARRIVALS, ROWS_PER_ARRIVAL = 4, 1_000_000
+ARRIVALS, ROWS_PER_FILE = 4, 1_000_000
 
 
-def _event_stream(spark, d):
-    """The events as a stream of files that arrive in the order of time, one file for each micro-batch."""
-    events = ft.read(spark, d, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    parts = max(ARRIVALS, -(-events.count() // ROWS_PER_ARRIVAL))
-    cuts = events.agg(F.percentile_approx("_at", [i / parts for i in range(1, parts)])).first()[0] or []
-    folder = scratch(spark, "arrivals")
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        own = F.lit(True) if low is None else F.col("_at") > low
-        own = own if high is None else own & (F.col("_at") <= high)
-        events.where(own).drop("_at").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(ft.read(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _arrivals(spark, d):
+    """The events by the arrival that brings them: quarters of the time, events without one in the first."""
+    events = ft.read(spark, d, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    total, cuts = events.agg(F.count("*"), F.percentile_approx(at, [i / ARRIVALS for i in range(1, ARRIVALS)])).first()
+    arrival = F.lit(0)
+    for cut in cuts or []:
+        arrival = arrival + F.coalesce(at > cut, F.lit(False)).cast("int")
+    files = max(1, -(-total // (ARRIVALS * ROWS_PER_FILE)))
+    dealt = events.withColumn("_arrival", arrival).repartition(ARRIVALS * files, "_arrival", F.pmod(F.xxhash64("event_id"), F.lit(files)))
+    path = scratch(spark, "arrivals")
+    dealt.write.partitionBy("_arrival").parquet(path)  # one pass over the events, several files for each arrival
+    return spark.read.schema(dealt.schema).parquet(path)
 
 
-def _stream(spark, d):
-    return ft.capture_columns(_event_stream(spark, d))
+def _deliver(spark, d, start):
+    """Let the events arrive one quarter after the other; ``start(events)`` runs the stream over what is new, from its checkpoint."""
+    arrivals, inbox = _arrivals(spark, d), scratch(spark, "inbox")
+    events = arrivals.drop("_arrival")
+    for i in range(ARRIVALS):
+        arrivals.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(inbox)  # reads that arrival's files only
+        start(spark.readStream.schema(events.schema).parquet(inbox)).awaitTermination()
+
+
+def _captures(spark, d, start):
+    _deliver(spark, d, lambda events: start(ft.capture_columns(events)))
 
 
 @query("stream_capture_dedup", STATUS + "SELECT campaign_id, seq, status FROM statuses")
 def stream_capture_dedup(spark, d):
-    out = scratch(spark, "statuses")
-    SC.start_dedup(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
+    out, log = scratch(spark, "statuses"), scratch(spark, "log")
+    _captures(spark, d, lambda sent: SC.start_dedup(sent, out, log))
     return spark.read.parquet(out).select("campaign_id", "seq", "status")
 
 
 @query("stream_zip_yield", ZIPC + "SELECT campaign_id, zip, valid, total FROM zc")
 def stream_zip_yield(spark, d):
-    out = scratch(spark, "yield")
-    SC.start_zip_counts(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
+    out, log = scratch(spark, "yield"), scratch(spark, "log")
+    _captures(spark, d, lambda sent: SC.start_zip_counts(sent, out, log))
     schema = "campaign_id string, zip string, valid long, total long"
     return SC.latest(spark, out, spark.createDataFrame([], schema).schema, ["campaign_id", "zip"])
 
 
 @query("stream_movement", STATUS + "SELECT campaign_id, count(*) AS accepted FROM statuses WHERE status = 'accepted' GROUP BY 1")
 def stream_movement(spark, d):
-    out = scratch(spark, "movement")
-    SC.start_movement(_stream(spark, d), out, scratch(spark, "log")).awaitTermination()
+    out, log = scratch(spark, "movement"), scratch(spark, "log")
+    _captures(spark, d, lambda sent: SC.start_movement(sent, out, log))
     parts = spark.read.schema("campaign_id string, accepted long, batch long").parquet(out)
     return parts.groupBy("campaign_id").agg(F.sum("accepted").alias("accepted"))
 
@@ -61,8 +72,8 @@ def stream_movement(spark, d):
  UNION ALL SELECT gatherer_id, count(*) FILTER (verdict = 'VALID'), count(*) FROM captures GROUP BY 1)
 SELECT key, CAST(sum(total) AS BIGINT) AS n, round((0.8::DOUBLE * 8 + sum(valid)) / (8 + sum(total)), 6) AS rate FROM c GROUP BY 1""")
 def stream_posterior(spark, d):
-    out = scratch(spark, "posterior")
-    SC.start_posterior(_stream(spark, d), _history_counts(spark, d), out, scratch(spark, "log")).awaitTermination()
+    out, log, history = scratch(spark, "posterior"), scratch(spark, "log"), stage(_history_counts(spark, d), "history")
+    _captures(spark, d, lambda sent: SC.start_posterior(sent, history, out, log))
     schema = "dim string, key string, n long, strength double, prior_rate double, rate double, source string"
     latest = SC.latest(spark, out, spark.createDataFrame([], schema).schema, ["dim", "key"])
     return latest.select("key", "n", F.round("rate", 6).alias("rate"))
@@ -81,11 +92,11 @@ def capture_velocity(spark, d):
 
 @query("stream_velocity", VELOCITY)
 def stream_velocity(spark, d):
-    """The same windows from a stream that never drops a capture: arrivals are in order of time."""
-    out = scratch(spark, "velocity")
+    """The same windows from a stream without a watermark, which never drops a capture, however late."""
+    out, log = scratch(spark, "velocity"), scratch(spark, "log")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    sent = _stream(spark, d).withColumn("captured_at", F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, "captured_at")))
-    SC.start_velocity(sent, out, scratch(spark, "log")).awaitTermination()
+    at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, "captured_at"))
+    _captures(spark, d, lambda sent: SC.start_velocity(sent.withColumn("captured_at", at), out, log))
     rows = SC.latest(spark, out, spark.createDataFrame([], "gatherer_id string, started timestamp, captures long").schema, ["gatherer_id", "started"])
     return rows.select("gatherer_id", F.unix_seconds("started").alias("started"), "captures")
 
@@ -101,19 +112,19 @@ SELECT token, called_at, call_id, allowed FROM run JOIN calls USING (token, rn)"
 @query("stream_call_limit", LIMITED)
 def stream_call_limit(spark, d):
     """At most two passed calls per gatherer in two hours."""
-    events = _event_stream(spark, d)
-    calls = events.select(
-        F.concat(F.lit("g"), "user_id").alias("token"), F.col("ts").cast("timestamp").alias("called_at"), F.col("event_id").alias("call_id"))
-    out = scratch(spark, "limited")
-    SC.start_limiter(calls, out, scratch(spark, "log"), seconds=7200.0, limit=2).awaitTermination()
+    out, log = scratch(spark, "limited"), scratch(spark, "log")
+    call = (F.concat(F.lit("g"), "user_id").alias("token"), F.col("ts").cast("timestamp").alias("called_at"), F.col("event_id").alias("call_id"))
+    _deliver(spark, d, lambda events: SC.start_limiter(events.select(*call), out, log, seconds=7200.0, limit=2))
     return spark.read.schema(SC._LIMITED).parquet(out)
 
 
 @query("capture_once", CAP + "SELECT campaign_id, gatherer_id, seq FROM captures")
 def capture_once(spark, d):
     """Every capture delivered once or twice, as a stream; each is taken once."""
-    sent = _stream(spark, d)
-    out = scratch(spark, "once")
-    again = sent.unionByName(sent.where("seq % 5 = 0"))
-    SC.once(again).writeStream.option("checkpointLocation", scratch(spark, "log")).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    return spark.read.schema(sent.schema).parquet(out).select("campaign_id", "gatherer_id", "seq")
+    out, log = scratch(spark, "once"), scratch(spark, "log")
+
+    def start(sent):
+        again = sent.unionByName(sent.where("seq % 5 = 0"))
+        return SC.once(again).writeStream.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").start(out)
+    _captures(spark, d, start)
+    return spark.read.schema("campaign_id string, gatherer_id string, seq long").parquet(out)

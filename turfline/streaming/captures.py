@@ -1,8 +1,8 @@
 """Capture streams: dedup with status, running yields and movement, call limiting, velocity windows.
 
 Arrival order between micro-batches defines who signed first; inside a micro-batch it is
-(captured_at, seq).  Late captures are always accepted, so nothing here drops rows by watermark except
-the velocity windows, which are an alarm and not a ledger.
+(captured_at, seq).  Late captures are always accepted: nothing here drops rows by watermark, unless a watermark is
+asked for (``late`` of the velocity windows).
 """
 
 from __future__ import annotations
@@ -155,16 +155,21 @@ def start_movement(captures: DataFrame, path: str, checkpoint: str) -> Streaming
     )
 
 
-def capture_velocity(captures: DataFrame, width: str = "60 minutes", slide: str = "15 minutes", late: str = "7 days") -> DataFrame:
-    """Sliding-window captures per gatherer, for impossible velocities (batch or stream)."""
-    source = captures.withWatermark("captured_at", late) if captures.isStreaming else captures
+def capture_velocity(captures: DataFrame, width: str = "60 minutes", slide: str = "15 minutes", late: str | None = None) -> DataFrame:
+    """Sliding-window captures per gatherer, for impossible velocities (batch or stream).
+
+    A capture counts however late it arrives.  With ``late``, a stream forgets windows that are so much older than the newest capture, and
+    leaves out captures that come for them.
+    """
+    source = captures.withWatermark("captured_at", late) if late and captures.isStreaming else captures
     return source.groupBy("gatherer_id", F.window("captured_at", width, slide)).agg(F.count(F.lit(1)).alias("captures"))
 
 
-def start_velocity(captures: DataFrame, path: str, checkpoint: str, width: str = "60 minutes", slide: str = "15 minutes") -> StreamingQuery:
+def start_velocity(captures: DataFrame, path: str, checkpoint: str, width: str = "60 minutes", slide: str = "15 minutes",
+                   late: str | None = None) -> StreamingQuery:
     """Running velocity windows; a micro-batch writes the windows that it changed."""
     _stateful(captures.sparkSession)
-    windows = capture_velocity(captures, width, slide).select("gatherer_id", F.col("window.start").alias("started"), "captures")
+    windows = capture_velocity(captures, width, slide, late).select("gatherer_id", F.col("window.start").alias("started"), "captures")
     return (
         windows.writeStream.outputMode("update").foreachBatch(_changes(path)).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
