@@ -1,20 +1,54 @@
 from __future__ import annotations
 
+import random
+
 import pytest
-from hypothesis import given, settings, strategies as st
 from slow_reference import window_score
 
-from turfline.operators.grounding import best_window, check_citations, ground_report, rule_gate
+from turfline.operators import grounding
+from turfline.operators.grounding import check_citations, ground_report, rule_gate
 from turfline.functions.text import page_text
 from pyspark.sql import functions as F
 
-tokens = st.lists(st.sampled_from(["a", "b", "cc", "d", "ee"]), min_size=1, max_size=40).map(" ".join)
+
+def test_window_search_equals_definition(spark):
+    rng = random.Random(4)
+    pages = {f"u{i}": " ".join(rng.choice(["a", "b", "cc", "d", "ee"][: rng.randrange(1, 6)]) for _ in range(rng.randrange(1, 60))) for i in range(40)}
+    pages |= {f"v{i}": " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(20)) for _ in range(400)) for i in range(10)}
+    cites = []
+    for n in range(400):
+        url = rng.choice(list(pages))
+        words = pages[url].split()
+        at = rng.randrange(len(words))
+        quote = words[at:at + rng.randrange(1, 30)]
+        for _ in range(rng.randrange(4)):
+            quote.insert(rng.randrange(len(quote) + 1), rng.choice(["a", "b", "zz"]))
+        if len(quote) > 3 and n % 2:
+            del quote[rng.randrange(len(quote))]
+        cites.append((n, url, " ".join(quote)))
+    table = spark.createDataFrame(cites, "n long, url string, quote string")
+    checked = check_citations(table, spark.createDataFrame(list(pages.items()), "url string, content string"))
+    got = {r.n: r.score for r in checked.collect()}
+    assert len(got) == len(cites)
+    for n, url, quote in cites:
+        want = 1.0 if quote in pages[url] else window_score(pages[url], quote)
+        assert got[n] == pytest.approx(want, abs=1e-12), (n, url, quote)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
-@settings(max_examples=200, deadline=None)
-@given(tokens, tokens)
-def test_window_search_equals_definition(content, quote):
-    assert best_window(content, quote) == pytest.approx(window_score(content, quote), abs=1e-12)
+def test_repeated_urls_statuses_and_a_hot_page(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "CITATIONS_PER_COPY", 7)
+    pages = spark.createDataFrame([("u", "one two three", 200), ("u", "one two three", 200), ("u", "zzz", 200), ("v", "broken words here", 500), ("w", None, 200), ("x", "", 200), (None, "y", 200)],
+                                  "url string, content string, status int")
+    cites = spark.createDataFrame([(i, "u", "two three" if i % 2 else "four") for i in range(50)] + [(100, "v", "broken words"), (101, "w", "a"), (102, "x", "a"), (103, "gone", "a"),
+                                                                                                      (104, None, "y"), (105, "u", None), (105, "u", None)], "n long, url string, quote string")
+    got = {}
+    for r in check_citations(cites, pages).collect():
+        got.setdefault(r.n, []).append((r.verdict, r.score))
+    assert sum(map(len, got.values())) == 57 and len(got[105]) == 2
+    assert all(got[i] == [("GROUNDED", 1.0) if i % 2 else ("NOT_FOUND", 0.0)] for i in range(50))
+    assert all(got[i] == [("UNREACHABLE", 0.0)] for i in range(100, 105)) and got[105][0] == ("NOT_FOUND", 0.0)
 
 
 PAGES = [

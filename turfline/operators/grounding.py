@@ -2,72 +2,90 @@
 
 from __future__ import annotations
 
-import sys
-from collections import Counter
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turfline import fixed
 from turfline.functions.text import quote_fold
+from turfline.session import stage
+
+#: Citations that one copy of a page's text is compared with.
+CITATIONS_PER_COPY = 1000
+
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-_WIDER = fixed.WIDER_WINDOW
+def one_page_per_url(pages: DataFrame) -> DataFrame:
+    """(url, content) with one row for each url: its readable text, of several the one that sorts first, else null.
+
+    ``pages``: url, content, and maybe ``status``; a page whose fetch status is not 200 to 299 has no readable text.
+    """
+    text = F.nullif(quote_fold("content"), F.lit(""))
+    if "status" in pages.columns:
+        text = F.when(F.col("status").between(200, 299), text)
+    return pages.groupBy("url").agg(F.min(text).alias("content"))
 
 
-def best_window(content: str, quote: str) -> float:
-    """Best bigram similarity of a folded quote over the windows around its rarest word.
+def exact_quotes(citations: DataFrame, texts: DataFrame) -> DataFrame:
+    """``citations`` with ``found`` (its page has text) and ``is_exact`` (the folded quote is part of it).
 
-    Bigrams become integers; a window's overlap with the quote is kept while the window slides.
+    The citations of a url travel to its text in groups, so the text is copied once for ``CITATIONS_PER_COPY`` citations and no citation
+    row ever holds it; a url with a third of all citations has many groups.
+    """
+    columns = citations.columns
+    counts = citations.groupBy("url").agg(F.count(F.lit(1)).alias("_n"))
+    groups = counts.select(F.col("url").alias("_url"), F.ceil(F.col("_n") / CITATIONS_PER_COPY).alias("_groups"))
+    group = F.pmod(F.xxhash64(*columns), F.coalesce("_groups", F.lit(1))).alias("_group")
+    dealt = citations.join(groups, F.col("url") == F.col("_url"), "left").select(*columns, group)
+    together = dealt.groupBy("url", "_group").agg(F.collect_list(F.struct(*(c for c in columns if c != "url"), quote_fold("quote").alias("_quote"))).alias("_own"))
+    met = together.join(texts, "url", "left")
+    found = F.col("content").isNotNull()
+    tested = F.transform("_own", lambda c: F.struct(c.alias("c"), (found & (c["_quote"] != "") & F.contains(F.col("content"), c["_quote"])).alias("e")))
+    rows = met.select("url", found.alias("found"), F.explode(tested).alias("_r"))
+    return rows.select(*(F.col("url") if c == "url" else F.col(f"_r.c.{c}") for c in columns), "found", F.coalesce("_r.e", F.lit(False)).alias("is_exact"))
+
+
+def window_scores(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cid, score) of the best window for every quote (cid, url, quote; folded) that shares a word with its page.
+
+    A window lies around an occurrence of the quote's rarest word and is as long as the quote or ``WIDER_WINDOW`` longer; its score is the
+    better of the Dice overlap of both bigram multisets and the share of the quote's bigrams.  An inverted index holds (url, token, next
+    token, position) of the quotes' words only.  From it come the rarest word, its places, and the places where a bigram of the
+    quote stands.  Moving a window's start to the next such place, or to the rarest word, never lowers its score, so only those starts are
+    tried.  A place counts in a window unless the window holds as many earlier ones of its bigram as the quote.  Places meet windows by
+    stretch of the page, so the work is linear in the places.
     """
-    words, wanted = content.split(" "), quote.split(" ")
-    width = len(wanted)
-    if width < 2:
-        return 0.0
-    count = Counter(words)
-    present = [w for w in wanted if count[w]]
-    if not present:
-        return 0.0
-    rarest = min(present, key=lambda w: (count[w], -len(w)))
-    need = Counter(zip(wanted, wanted[1:]))
-    codes = {pair: i for i, pair in enumerate(need)}
-    have = np.array([codes.get(pair, -1) for pair in zip(words, words[1:])], dtype=np.int64)
-    limit = np.array(list(need.values()))
-    anchors = np.flatnonzero(np.array([w == rarest for w in words]))
-    best = 0.0
-    for length in (width, width + _WIDER):
-        starts = np.unique(np.concatenate([np.arange(max(0, p - length + 1), p + 1) for p in anchors]))
-        seen, low, high = np.zeros(len(limit), dtype=np.int64), 0, 0
-        overlap = 0
-        for start in starts:
-            stop = min(start + length, len(words)) - 1
-            if start >= high:
-                seen[:], overlap, low, high = 0, 0, start, start
-            while high < stop:
-                code = have[high]
-                if code >= 0:
-                    seen[code] += 1
-                    overlap += seen[code] <= limit[code]
-                high += 1
-            while low < start:
-                code = have[low]
-                if code >= 0:
-                    overlap -= seen[code] <= limit[code]
-                    seen[code] -= 1
-                low += 1
-            size = max(stop - start, 0)
-            score = max(2 * overlap / (width - 1 + size), overlap / (width - 1))
-            best = max(best, float(score))
-    return best
-
-
-@F.pandas_udf(T.DoubleType())
-def _window_score(content: pd.Series, quote: pd.Series) -> pd.Series:
-    return pd.Series([best_window(c, q) if c and q else 0.0 for c, q in zip(content, quote)])
+    wide = fixed.WIDER_WINDOW
+    q = quotes.withColumn("w", F.split("quote", " ")).withColumn("m", F.size("w")).where("m > 1")
+    words = q.select("cid", "url", "m", F.posexplode("w").alias("i", "token"), "w").select(
+        "cid", "url", "m", "i", "token", F.get("w", F.col("i") + 1).alias("next"))
+    words = stage(words, "quote-words")
+    page = texts.where("content IS NOT NULL").join(q.select("url").distinct(), "url", "left_semi").withColumn("w", F.split("content", " "))
+    index = page.select("url", F.size("w").alias("n"), "w", F.posexplode("w").alias("pos", "token")).select(
+        "url", "n", "pos", "token", F.get("w", F.col("pos") + 1).alias("next"))
+    index = stage(index.join(words.select("url", "token").distinct(), ["url", "token"], "left_semi"), "positions")
+
+    counts = index.groupBy("url", "token").agg(F.count(F.lit(1)).alias("times"))
+    rarest = words.join(counts, ["url", "token"]).groupBy("cid", "url", "m").agg(
+        F.min(F.struct("times", (-F.length("token")).alias("l"), "i", "token")).alias("r")).select("cid", "url", "m", "r.token")
+    spots = rarest.join(index.select("url", "token", "n", F.col("pos").alias("p")), ["url", "token"]).select("cid", "m", "n", "p")
+
+    need = words.where("next IS NOT NULL").groupBy("cid", "url", "m", "token", "next").agg(F.count(F.lit(1)).alias("need"))
+    places = need.join(index.where("next IS NOT NULL").select("url", "token", "next", "pos"), ["url", "token", "next"]).groupBy(
+        "cid", "m", "token", "next", "need").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    since = lambda p, k: F.struct(p.alias("pos"), F.coalesce(F.get("at", k - F.col("need").cast("int")), F.lit(-1)).alias("since"))
+    stretch = lambda at: F.floor(at / (F.col("m") + wide))
+    places = stage(places.select("cid", "m", F.explode(F.transform("at", since)).alias("h")).select("cid", "m", "h.*").withColumn("part", stretch(F.col("pos"))), "places")
+
+    length = F.explode(F.array(F.col("m"), F.col("m") + wide)).alias("l")
+    spots = stage(spots.select("cid", "m", "n", "p", length), "spots")
+    near = spots.withColumn("part", F.explode(F.array(stretch(F.col("p")) - 1, stretch(F.col("p"))))).join(places.select("cid", "part", "pos"), ["cid", "part"])
+    starts = near.where("pos <= p AND pos > p - l").select("cid", "m", "n", "l", F.col("pos").alias("s")).unionByName(
+        spots.select("cid", "m", "n", "l", F.col("p").alias("s"))).distinct()
+    starts = starts.withColumn("size", F.greatest(F.least(F.col("s") + F.col("l"), "n") - 1 - F.col("s"), F.lit(0)))
+    met = starts.withColumn("part", F.explode(F.array(stretch(F.col("s")), stretch(F.col("s")) + 1))).join(
+        places.select("cid", "part", "pos", "since"), ["cid", "part"]).where("pos >= s AND pos < s + size AND since < s")
+    shared = met.groupBy("cid", "m", "l", "s", "size").agg(F.count(F.lit(1)).alias("common"))
+    score = F.greatest(2 * F.col("common") / (F.col("m") - 1 + F.col("size")), F.col("common") / (F.col("m") - 1))
+    return shared.groupBy("cid").agg(F.max(score).alias("score"))
 
 
 def verdict(score: Column) -> Column:
@@ -76,25 +94,20 @@ def verdict(score: Column) -> Column:
 
 
 def check_citations(citations: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Score and verdict per citation (url, quote) against pages (url, content).
+    """Score and verdict per citation (url, quote) against pages (url, content, maybe status); every citation keeps one row.
 
-    The page join is by url; a citation without a readable page is UNREACHABLE.  The exact stage is a
-    substring test in the JVM; citations that pass it reach the window search as nulls, which it skips.
+    A citation without a readable page is UNREACHABLE.  The exact stage is a substring test, the others go through ``window_scores``.
     """
-    texts = pages.select("url", quote_fold("content").alias("_content"))
-    joined = citations.join(texts, "url", "left").withColumn("_quote", quote_fold("quote"))
-    found = F.coalesce(F.col("_content") != "", F.lit(False))
-    exact = found & (F.col("_quote") != "") & F.contains("_content", "_quote")
-    staged = joined.withColumn("is_exact", F.coalesce(exact, F.lit(False)))
+    texts = stage(one_page_per_url(pages), "page-texts")
+    numbered = exact_quotes(citations, texts).withColumn("_cid", F.monotonically_increasing_id())
+    tested = stage(numbered, "exact") if fuzzy else numbered  # written, so that the numbers stay
+    score = F.col("is_exact").cast("double")
     if fuzzy:
-        search = ~F.col("is_exact") & found
-        staged = staged.withColumn("score", F.when(F.col("is_exact"), F.lit(1.0)).otherwise(_window_score(
-            F.when(search, F.col("_content")), F.when(search, F.col("_quote")))))
-    else:
-        staged = staged.withColumn("score", F.col("is_exact").cast("double"))
-    return staged.withColumn(
-        "verdict", F.when(found, verdict(F.col("score"))).otherwise("UNREACHABLE")
-    ).withColumn("score", F.when(found, F.col("score")).otherwise(F.lit(0.0))).drop("_content", "_quote")
+        rest = tested.where("found AND NOT is_exact").select(F.col("_cid").alias("cid"), "url", quote_fold("quote").alias("quote"))
+        tested = tested.join(window_scores(rest, texts).withColumnsRenamed({"cid": "_cid", "score": "_best"}), "_cid", "left")
+        score = F.when(F.col("is_exact"), 1.0).otherwise(F.coalesce("_best", F.lit(0.0)))
+    out = tested.withColumn("score", score).withColumn("verdict", F.when(F.col("found"), verdict(F.col("score"))).otherwise("UNREACHABLE"))
+    return out.select(*citations.columns, "is_exact", "score", "verdict")
 
 
 def ground_report(checked: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,8 +123,7 @@ def ground_report(checked: DataFrame, keys: list[str]) -> DataFrame:
 
 def default_judgements(fields: DataFrame) -> DataFrame:
     """Rule-based judgement: a stale-looking value disagrees, some subjects need interpretation."""
-    stale = F.lower("value").rlike("\\$\\d|5,?000\\b")
-    legal = F.lower("field").rlike("notary|affidavit|deadline")
+    stale, legal = F.lower("value").rlike(fixed.STALE_VALUE), F.lower("field").rlike(fixed.LEGAL_FIELD)
     return fields.select(
         "field_id", (~stale).alias("agree"), (legal & ~stale).alias("interpretation_required"),
         F.when(stale, 0.4).when(legal, 0.7).otherwise(0.95).alias("confidence"))
