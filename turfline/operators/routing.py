@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline import fixed
 from turfline.operators.ordering import first_in_group, in_group_order
 from turfline.operators.yields import smoothed
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
+from turfline.session import stage
 
 def rows_of(columns: tuple[str, ...], rows: tuple[tuple, ...]) -> Column:
     """A small fixed table as an array of structs; exploding it needs no join."""
@@ -169,29 +163,35 @@ def expected_valid(visits: DataFrame) -> DataFrame:
 def assign_day(gatherers: DataFrame, states: DataFrame, hours: float = 8.0) -> DataFrame:
     """Gatherers to states for each drive-day: hottest state first, best fit until its pace is met.
 
-    ``gatherers``: drive_day, gatherer, state, raw, rate (one row per gatherer and state).
-    ``states``: drive_day, state, pace.  The greedy depends on its own earlier choices, so each drive-day
-    is one small group (gatherers x states of one day); the many drive-days run in parallel.
+    ``gatherers``: drive_day, gatherer, state, raw, rate (one row per gatherer and state).  ``states``: drive_day, state, pace.  A state takes free
+    gatherers by falling worth (ties by name) until their worth times ``hours`` meets its pace; who is left at the end goes to the
+    hottest state.
+
+    Every round all open states propose to the gatherers that no hotter state holds, on all days at once.  After round r the r hottest
+    states are final and leave with their gatherers; the rounds end when nothing changes.  So there are at most as many rounds as states, and
+    a window holds the gatherers of one state on one day.
     """
-    joined = gatherers.join(states, ["drive_day", "state"])
-
-    def one_day(day: pd.DataFrame) -> pd.DataFrame:
-        free = list(dict.fromkeys(day.sort_values("gatherer")["gatherer"]))
-        value = {(r.gatherer, r.state): r.raw * r.rate for r in day.itertuples()}
-        pace = day.groupby("state")["pace"].first()
-        ranked = sorted(pace.index, key=lambda s: (-pace[s], s))
-        chosen = []
-        for state in ranked:
-            need = pace[state]
-            fit = sorted(free, key=lambda g: (-value.get((g, state), 0.0), g))
-            for gatherer in fit:
-                if need <= 0:
-                    break
-                chosen.append((gatherer, state))
-                free.remove(gatherer)
-                need -= hours * value.get((gatherer, state), 0.0)
-        chosen += [(g, ranked[0]) for g in free]
-        return pd.DataFrame(
-            {"drive_day": day["drive_day"].iloc[0], "gatherer": [g for g, _ in chosen], "state": [s for _, s in chosen]})
-
-    return joined.groupBy("drive_day").applyInPandas(one_day, "drive_day string, gatherer string, state string")
+    pool = gatherers.join(states, ["drive_day", "state"])
+    ranked = states.withColumn("k", F.row_number().over(Window.partitionBy("drive_day").orderBy(F.desc("pace"), "state")))
+    people = stage(pool.select("drive_day", "gatherer").distinct(), "gatherers")
+    worth = pool.select("drive_day", "state", "gatherer", (F.col("raw") * F.col("rate")).alias("worth"))
+    offers = stage(people.join(ranked, "drive_day").join(worth, ["drive_day", "state", "gatherer"], "left").select(
+        "drive_day", "k", "state", "pace", "gatherer", F.coalesce("worth", F.lit(0.0)).alias("worth")), "offers")
+    order = Window.partitionBy("drive_day", "k").orderBy(F.desc("worth"), "gatherer").rowsBetween(Window.unboundedPreceding, -1)
+    day = ["drive_day", "gatherer"]
+    held, turn, mark = None, 0, None
+    while True:
+        free = offers.where(F.col("k") > turn)
+        if held is not None:
+            holder = held.select(*day, F.col("k").alias("by"))
+            free = free.join(holder, day, "left").where("by IS NULL OR by >= k").drop("by")
+        met = F.coalesce(F.sum("worth").over(order), F.lit(0.0)) * hours
+        taken = free.withColumn("met", met).where("met < pace").groupBy(*day).agg(F.min("k").alias("k"))
+        final = held.where(F.col("k") <= turn) if held is not None else None
+        held = stage(taken if final is None else taken.unionByName(final).groupBy(*day).agg(F.min("k").alias("k")), "held")
+        now = held.agg(F.count("*"), F.bit_xor(F.xxhash64(*day, "k"))).first()
+        if now == mark:
+            break
+        mark, turn = now, turn + 1
+    left = people.join(held, day, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    return left.join(ranked.select("drive_day", "k", "state"), ["drive_day", "k"]).select("drive_day", "gatherer", "state")

@@ -11,6 +11,7 @@ from turfline.operators.ordering import in_group_order
 from turfline.plans import oracle_parts as O
 from turfline.plans.field_queries import MANIFEST, ZIPC, _tiles
 from turfline.plans.registry import query
+from turfline.session import stage
 from turfline.sources import field_tables as ft
 
 D = "::DOUBLE"
@@ -143,29 +144,33 @@ def turf_rank(spark, d):
     return routing.turf_rank(manifest, rates).withColumn("expected_valid", F.round("expected_valid", 6))
 
 
-ASSIGNED = """WITH RECURSIVE pool AS (SELECT strftime(l_shipdate, '%Y-%m') AS drive_day, 'g' || l_suppkey % 40 AS gatherer, 'st' || l_partkey % 6 AS state,
- avg(l_quantity) AS raw, avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END::DOUBLE) AS rate FROM lineitem GROUP BY 1, 2, 3),
+ASSIGNED = """WITH RECURSIVE pool AS (SELECT strftime(l_shipdate, '%Y-%m') AS drive_day, s_name AS gatherer, n_name AS state,
+ avg(l_quantity) AS raw, avg(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END::DOUBLE) AS rate FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+ JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3),
 ranked AS (SELECT drive_day, state, pace, row_number() OVER (PARTITION BY drive_day ORDER BY pace DESC, state) AS k FROM (SELECT drive_day, state, sum(raw) * 2 AS pace FROM pool GROUP BY 1, 2)),
 people AS (SELECT DISTINCT drive_day, gatherer FROM pool),
-offers AS (SELECT r.drive_day, r.state, r.k, r.pace, p.gatherer, coalesce(o.raw * o.rate, 0) AS worth,
- row_number() OVER (PARTITION BY r.drive_day ORDER BY r.k, coalesce(o.raw * o.rate, 0) DESC, p.gatherer) AS seq
+offers AS (SELECT r.drive_day, r.k, r.pace, p.gatherer, coalesce(o.raw * o.rate, 0) AS worth
  FROM ranked r JOIN people p ON p.drive_day = r.drive_day LEFT JOIN pool o ON o.drive_day = r.drive_day AND o.gatherer = p.gatherer AND o.state = r.state),
-run AS (SELECT drive_day, 0::BIGINT AS seq, 0::BIGINT AS k, 0::DOUBLE AS need, []::VARCHAR[] AS used, NULL::VARCHAR AS gatherer, NULL::VARCHAR AS state FROM ranked WHERE k = 1
- UNION ALL SELECT drive_day, seq, k, CASE WHEN taken THEN before - 8 * worth ELSE before END, CASE WHEN taken THEN list_append(used, g) ELSE used END, CASE WHEN taken THEN g END, CASE WHEN taken THEN st END
- FROM (SELECT o.drive_day, o.seq, o.k, o.worth, r.used, o.gatherer AS g, o.state AS st, CASE WHEN o.k <> r.k THEN o.pace ELSE r.need END AS before,
-  CASE WHEN o.k <> r.k THEN o.pace ELSE r.need END > 0 AND NOT list_contains(r.used, o.gatherer) AS taken
-  FROM run r JOIN offers o ON o.drive_day = r.drive_day AND o.seq = r.seq + 1)),
-placed AS (SELECT drive_day, gatherer, state FROM run WHERE gatherer IS NOT NULL)
-SELECT * FROM placed UNION ALL SELECT p.drive_day, p.gatherer, r.state FROM people p JOIN ranked r ON r.drive_day = p.drive_day AND r.k = 1 ANTI JOIN placed q ON q.drive_day = p.drive_day AND q.gatherer = p.gatherer"""
+run AS (SELECT drive_day, 0::BIGINT AS k, []::VARCHAR[] AS used, []::VARCHAR[] AS picked FROM ranked WHERE k = 1
+ UNION ALL SELECT drive_day, k, list_concat(any_value(used), list(gatherer) FILTER (met < pace)), list(gatherer) FILTER (met < pace)
+ FROM (SELECT o.drive_day, o.k, r.used, o.gatherer, o.pace, 8 * coalesce(sum(o.worth) OVER (PARTITION BY o.drive_day ORDER BY o.worth DESC, o.gatherer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS met
+  FROM run r JOIN offers o ON o.drive_day = r.drive_day AND o.k = r.k + 1 WHERE NOT list_contains(r.used, o.gatherer)) GROUP BY drive_day, k),
+placed AS (SELECT drive_day, k, unnest(picked) AS gatherer FROM run)
+SELECT p.drive_day, p.gatherer, r.state FROM people p LEFT JOIN placed q ON q.drive_day = p.drive_day AND q.gatherer = p.gatherer JOIN ranked r ON r.drive_day = p.drive_day AND r.k = coalesce(q.k, 1)"""
 
 
 @query("day_assignment", ASSIGNED)
 def day_assignment(spark, d):
-    """Suppliers as gatherers, nations as states, one drive-day per month of orders."""
-    pool = ft.read(spark, d, "lineitem").groupBy(
-        F.date_format("l_shipdate", "yyyy-MM").alias("drive_day"), F.concat(F.lit("g"), F.col("l_suppkey") % 40).alias("gatherer"),
-        F.concat(F.lit("st"), F.col("l_partkey") % 6).alias("state")).agg(
+    """Suppliers as gatherers, the customers' nations as states, one drive-day per month of orders."""
+    t = lambda name: ft.read(spark, d, name)
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag").join(
+        t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey").join(
+        t("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
+    pairs = lines.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("drive_day"), "l_suppkey", "n_nationkey").agg(
         F.avg("l_quantity").alias("raw"), F.avg((F.col("l_returnflag") != "R").cast("double")).alias("rate"))
+    named = pairs.join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("gatherer")), "l_suppkey").join(
+        t("nation").select("n_nationkey", F.col("n_name").alias("state")), "n_nationkey")
+    pool = stage(named.select("drive_day", "gatherer", "state", "raw", "rate"), "pool")
     states = pool.groupBy("drive_day", "state").agg((F.sum("raw") * 2).alias("pace"))
     return routing.assign_day(pool, states)
 
