@@ -12,6 +12,7 @@ from turfline import fixed
 from turfline.functions.people import member_key, search_tokens, standardize
 from turfline.functions.text import slug, text, zip_trailing, zip_trailing_loose
 from turfline.operators.ordering import in_group_order
+from turfline.session import stage
 
 RECORD = ["id", "name", "address", "status", "registered_on", "county", "district"]
 
@@ -195,6 +196,52 @@ def probe_filter(keys: DataFrame, chunks: DataFrame, bits: int, hashes: int, row
     )
 
 
+def member_sizes(members: DataFrame, fpr: float = fixed.BLOOM_FPR) -> DataFrame:
+    """(campaign_id, members, bits, hashes): a filter size for each campaign from its own number of members."""
+    n = members.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("members"))
+    bits = F.greatest(F.lit(8), F.ceil(-F.col("members") * math.log(fpr) / math.log(2) ** 2)).cast("long")
+    return n.withColumn("bits", bits).withColumn("hashes", F.greatest(F.lit(1), F.round(F.col("bits") / F.col("members") * math.log(2))).cast("int"))
+
+
+def _campaign_positions(keys: DataFrame, sizes: DataFrame, *keep: str) -> DataFrame:
+    """One row per (campaign, key, position), addressed as in the filter of that campaign."""
+    a, b = F.xxhash64("member_key"), F.xxhash64("member_key", F.lit(1))
+    at = F.transform(F.sequence(F.lit(0), F.col("hashes") - 1), lambda i: F.pmod(F.pmod(a, "bits") + i * F.pmod(b, "bits"), F.col("bits")))
+    flat = keys.join(sizes.select("campaign_id", "bits", "hashes"), "campaign_id").select("campaign_id", *keep, F.explode(at).alias("pos"))
+    return flat.select("campaign_id", *keep, F.bitmap_bucket_number(F.col("pos") + 1).alias("chunk"), F.bitmap_bit_position(F.col("pos") + 1).alias("bit"))
+
+
+def write_membership(keys: DataFrame, path: str, fpr: float = fixed.BLOOM_FPR) -> None:
+    """Write one Bloom filter per campaign; ``keys``: campaign_id, member_key (repeats count once).
+
+    ``path/chunks`` has the set bits by campaign and 4 KB chunk, combined before the shuffle; ``path/manifest``, written last, the size, the number of
+    set bits and a version of each filter that changes with its bits only.  A campaign that holds a third of all members has more chunks
+    than others, no larger ones.
+    """
+    spark = keys.sparkSession
+    members = stage(keys.where("campaign_id IS NOT NULL AND member_key IS NOT NULL").select("campaign_id", "member_key").distinct(), "members")
+    sizes = member_sizes(members, fpr)
+    chunks = _campaign_positions(members, sizes).groupBy("campaign_id", "chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    chunks.write.parquet(f"{path}/chunks")
+    written = spark.read.parquet(f"{path}/chunks")
+    versions = content_version(written.withColumn("bits", F.hex("bits")), ["campaign_id"], ["chunk", "bits"]).drop("voter_count")
+    counts = written.groupBy("campaign_id").agg(F.sum(F.bitmap_count("bits")).alias("bits_set"))
+    sizes.join(counts, "campaign_id").join(versions, "campaign_id").write.parquet(f"{path}/manifest")
+
+
+def read_membership(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, chunks) of the filters in ``path``."""
+    return spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/chunks")
+
+
+def probe_membership(keys: DataFrame, manifest: DataFrame, chunks: DataFrame, row_key: str) -> DataFrame:
+    """(campaign_id, row_key, maybe_member) for every row of ``keys`` (campaign_id, row_key, member_key) whose campaign has a filter; no false negatives."""
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
+    return _campaign_positions(keys, manifest, row_key).join(chunks, ["campaign_id", "chunk"], "left").groupBy("campaign_id", row_key).agg(
+        F.bool_and(is_set).alias("maybe_member"))
+
+
 def exact_members(signers: DataFrame, roll: DataFrame) -> DataFrame:
     """Signers whose member key is on the active roll."""
     members = member_keys(roll.where("status = 'active'")).select("member_key").distinct()

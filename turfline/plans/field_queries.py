@@ -261,14 +261,59 @@ def member_bloom(spark, d):
         F.count(F.lit(1)).alias("members"), F.count_if("maybe_member").alias("found"))
 
 
-@query("membership_fpr", "SELECT count(*) AS probes, true AS within_target FROM orders")
+def _absent(spark, d):
+    """One person that no roll has for every order: its customer with the last name read backwards."""
+    k = F.col("o_custkey")
+    address = F.concat(ft.house(k), F.lit(" "), ft.street_line(k), F.lit(", Springfield "), ft.zip5(k))
+    return ft.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(ft.first_name(k), F.lit(" "), F.reverse(ft.last_name(k))).alias("name"), address.alias("address"))
+
+
+ABSENT = f"""absent AS (SELECT o_orderkey AS id, {O.first_name('o_custkey')} || ' ' || reverse({O.last_name('o_custkey')}) AS name,
+ {O.house('o_custkey')} || ' ' || {O.street_line('o_custkey')} || ', Springfield ' || {O.zip5('o_custkey')} AS address FROM orders)"""
+_KEY = "first || ' ' || last || '|' || number || ' ' || street || ' ' || zip5"
+
+
+@query("membership_fpr", f"""WITH {O.roll()}, {ABSENT}, {O.std('roll', 'r')}, {O.std('absent', 'a')}
+SELECT count(*) AS probes, true AS within_target FROM a WHERE {_KEY} NOT IN (SELECT {_KEY} FROM r WHERE status = 'active')""")
 def membership_fpr(spark, d):
-    """One invented non-member per order; the false-positive rate must stay near its target."""
-    fakes = ft.read(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.concat(F.lit("Absent"), "o_orderkey", F.lit(" Person")).alias("name"),
-        F.concat("o_orderkey", F.lit(" Missing Way, Faraway 88888")).alias("address"))
-    hits = _probed(spark, d, artifacts.member_keys(fakes), "id")
-    return hits.agg(F.count(F.lit(1)).alias("probes"), (F.avg(F.col("maybe_member").cast("int")) <= 2 * fixed.BLOOM_FPR).alias("within_target"))
+    """One non-member per order; the false-positive rate must stay near its target."""
+    members = artifacts.member_keys(ft.roll(spark, d).where("status = 'active'")).select("member_key").distinct()
+    probes = artifacts.member_keys(_absent(spark, d)).join(members, "member_key", "left_anti")
+    return _probed(spark, d, probes, "id").agg(
+        F.count(F.lit(1)).alias("probes"), (F.avg(F.col("maybe_member").cast("int")) <= 2 * fixed.BLOOM_FPR).alias("within_target"))
+
+
+def _campaign_members(spark, d):
+    roll = artifacts.scope_by_campaign(ft.roll(spark, d).where("status = 'active'"), _campaign_zips(spark, d))
+    return artifacts.member_keys(roll.drop("zip5")).select("campaign_id", "id", "member_key")
+
+
+@query("membership_artifact", f"""WITH {O.roll()}, {ZIPS}, {O.std('roll', 'r')},
+m AS (SELECT DISTINCT campaign_id, {_KEY.replace('zip5', 'r.zip5')} AS member_key FROM r JOIN campaign_zips z ON z.zip5 = regexp_extract(address, '\\b([0-9]{{5}})\\b\\s*$', 1) WHERE status = 'active'),
+n AS (SELECT campaign_id, count(*) AS members, greatest(8, ceil(-count(*) * ln({fixed.BLOOM_FPR}::DOUBLE) / ln(2::DOUBLE) ** 2))::BIGINT AS bits FROM m GROUP BY 1)
+SELECT campaign_id, members, bits, greatest(1, round(bits / members::DOUBLE * ln(2::DOUBLE)))::INT AS hashes, 0::BIGINT AS missed FROM n""")
+def membership_artifact(spark, d):
+    """A filter for every campaign, written, read back and probed with all its own members."""
+    keys, path = _campaign_members(spark, d), scratch(spark, "membership")
+    artifacts.write_membership(keys, path)
+    manifest, chunks = artifacts.read_membership(spark, path)
+    hits = artifacts.probe_membership(keys, manifest, chunks, "id").groupBy("campaign_id").agg(F.count_if(~F.col("maybe_member")).alias("missed"))
+    return manifest.join(hits, "campaign_id").select("campaign_id", "members", "bits", "hashes", "missed")
+
+
+@query("membership_rates")
+def membership_rates(spark, d):
+    """For every campaign the set bits, the version and the measured false-positive rate over the non-members of all orders."""
+    keys, path = _campaign_members(spark, d), scratch(spark, "membership")
+    artifacts.write_membership(keys, path)
+    manifest, chunks = artifacts.read_membership(spark, path)
+    probes = artifacts.member_keys(_absent(spark, d)).select("id", "member_key").join(keys.select("member_key").distinct(), "member_key", "left_anti")
+    each = probes.withColumn("campaign_id", F.concat(F.lit("c"), F.col("id") % 25))  # every campaign gets its share of the orders
+    rates = artifacts.probe_membership(each, manifest, chunks, "id").groupBy("campaign_id").agg(
+        F.count(F.lit(1)).alias("probes"), F.count_if("maybe_member").alias("false_positives"))
+    return manifest.join(rates, "campaign_id").select(
+        "campaign_id", "members", "bits", "hashes", "bits_set", "version", "probes", "false_positives", (F.col("false_positives") / F.col("probes")).alias("rate"))
 
 
 # --- captures -----------------------------------------------------------------------------------
@@ -424,13 +469,6 @@ def stale_index(spark, d):
     return devices.select("c_custkey", sync.stale(at, now).alias("stale"))
 
 
-@query("tile_union", TILES + "SELECT cell AS assignment, count(*) AS voters FROM tiles WHERE right(tile, 4) <> '__b1' GROUP BY 1")
-def tile_union(spark, d):
-    tiles = _tiles(spark, d)
-    turf = tiles.select("tile").distinct().where(~F.col("tile").endswith("__b1"))
-    return sync.tile_union(tiles, turf).groupBy(F.col("cell").alias("assignment")).agg(F.count(F.lit(1)).alias("voters"))
-
-
 @query("union_state", MANIFEST + ", loaded AS (SELECT split_part(tile, '__', 1) AS campaign_id, tile, voter_count, zip, TIMESTAMP '2026-01-01' + voter_count * INTERVAL 1 MINUTE AS synced_at FROM manifest) SELECT campaign_id, min(synced_at) AS synced_at, CAST(sum(voter_count) AS BIGINT) AS voter_count, string_agg(zip, '|' ORDER BY tile) AS version FROM loaded GROUP BY 1")
 def union_state(spark, d):
     loaded = artifacts.tile_manifest(_tiles(spark, d)).select(
@@ -439,14 +477,6 @@ def union_state(spark, d):
     return sync.union_state(loaded)
 
 
-@query("turf_coverage", MANIFEST + "SELECT DISTINCT 'c' AS campaign_id, tile FROM manifest WHERE left(tile, 8) = 'nation-1'")
-def turf_coverage(spark, d):
-    manifest = artifacts.tile_manifest(_tiles(spark, d))
-    cells = manifest.where(F.col("tile").startswith("nation-1")).select("tile")
-    assignments = cells.select(F.lit("c").alias("campaign_id"), F.array("tile", F.lit("gone__P9")).alias("turf"))
-    return sync.turf_coverage(assignments, manifest)
-
-
 NATION_OF = "coalesce(lower(n_name), split_part({0}, '__', 1))"
 OF_NATION = "LEFT JOIN nation ON 'nation-' || n_nationkey = split_part({0}, '__', 1)"
 
@@ -461,7 +491,7 @@ def _turf(spark, d, tiles):
 
 @query("tile_union_nations", TILES + f"SELECT {NATION_OF.format('cell')} AS campaign_id, cell AS assignment, count(*) AS voters FROM tiles {OF_NATION.format('cell')} GROUP BY 1, 2")
 def tile_union_nations(spark, d):
-    """The rolls of all nations' turfs; ``tile_union`` loads the tiles that are no second band."""
+    """The rolls of all nations' turfs."""
     tiles = stage(_tiles(spark, d), "tiles")
     rows = sync.tile_union(tiles, _turf(spark, d, tiles))
     return rows.groupBy("campaign_id", F.col("cell").alias("assignment")).agg(F.count(F.lit(1)).alias("voters"))
@@ -469,7 +499,7 @@ def tile_union_nations(spark, d):
 
 @query("turf_coverage_nations", MANIFEST + f"SELECT {NATION_OF.format('tile')} AS campaign_id, tile FROM manifest {OF_NATION.format('tile')}")
 def turf_coverage_nations(spark, d):
-    """All nations' turfs, each tile beside one that is gone; ``turf_coverage`` asks for the nations whose number starts with 1."""
+    """All nations' turfs, each tile beside one that is gone."""
     manifest = stage(artifacts.tile_manifest(_tiles(spark, d)), "manifest")
     turf = F.array("tile", F.concat("tile", F.lit("__gone")))
     return sync.turf_coverage(_turf(spark, d, manifest).select("campaign_id", turf.alias("turf")), manifest)

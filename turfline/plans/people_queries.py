@@ -70,21 +70,6 @@ def link_candidates(spark, d):
     return linkage.candidate_counts(P.standardize(ft.signers(spark, d)), P.standardize(ft.roll(spark, d)))
 
 
-@query("pair_scores", PAIR + O.pair_scores() + """ SELECT block, pl, pf, vl, vf, pn AS number, ps, vs, pz, vz,
- round(name_score, 6) AS name_score, round(addr_score, 6) AS addr_score, round(score, 6) AS score FROM scored
- WHERE pn <> '' AND pn = vn AND pl <> '' AND vl <> ''""")
-def pair_scores(spark, d):
-    roll_people = linkage.roll_people(P.standardize(ft.roll(spark, d)))
-    probes = P.standardize(ft.signers(spark, d)).select(*linkage.PERSON).distinct()
-    pairs = linkage.same_number_pairs(probes, roll_people)
-    return pairs.select(
-        F.col("a_block").alias("block"), F.col("a_last").alias("pl"), F.col("a_first").alias("pf"),
-        F.col("b_last").alias("vl"), F.col("b_first").alias("vf"), F.col("a_number").alias("number"),
-        F.col("a_street").alias("ps"), F.col("b_street").alias("vs"), F.col("a_zip5").alias("pz"), F.col("b_zip5").alias("vz"),
-        F.round("name_score", 6).alias("name_score"), F.round("addr_score", 6).alias("addr_score"),
-        F.round("score", 6).alias("score"))
-
-
 MET = PAIR + O.pair_scores() + f""", classes AS (
  SELECT 'same_number' AS met, * FROM scored WHERE pl <> '' AND vl <> '' AND pn <> '' AND pn = vn
  UNION ALL SELECT 'same_zip', * FROM scored WHERE pl <> '' AND vl <> '' AND pz <> '' AND pz = vz AND name_score >= {linkage._name_floor(0.0, 1.0)!r}
@@ -98,7 +83,7 @@ def _sides(spark, d):
 
 @query("pair_scores_names", MET + "SELECT DISTINCT met, block, pl, pf, vl, vf, round(name_score, 6) AS name_score FROM classes")
 def pair_scores_names(spark, d):
-    """Every name pair of the four classes of pairs that link() compares; ``pair_scores`` has whole pairs of the first class only."""
+    """Every name pair of the four classes of pairs that link() compares."""
     return linkage.met_names(*_sides(spark, d)).select(
         "met", F.col("a_block").alias("block"), F.col("a_last").alias("pl"), F.col("a_first").alias("pf"),
         F.col("b_last").alias("vl"), F.col("b_first").alias("vf"), F.round("name_score", 6).alias("name_score"))

@@ -127,7 +127,7 @@ def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 5, F.concat(full, F.lit("e")))
         .when(kind == 7, F.concat(pick(SHORT, (k + 7) % 20), F.lit(" "), last_name(k)))
         .when(kind == 8, F.concat(F.substring(first_name(k), 1, 1), F.lit(". "), last_name(k)))
-        .when(kind == 9, F.concat(F.lit("Qw"), o, F.lit(" Unlisted")))
+        .when(kind == 9, F.concat(first_name(k), F.lit(" "), F.reverse(last_name(k))))
         .otherwise(full)
     )
     number = F.when(kind == 6, (k * 7 % 900 + 102).cast("string")).otherwise(house(k))
@@ -136,8 +136,9 @@ def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((k % 6 == 0) & (kind != 4), F.concat(F.lit(" #"), k % 40 + 1)).otherwise(""),
         F.lit(", Springfield "), zip5(k), F.when(o % 4 == 0, "-1234").otherwise(""),
     )
-    address = F.when(
-        kind == 9, F.concat(F.lit("99"), o, F.lit(" Vacant Ln, Faraway 88888"))).otherwise(known)
+    other = k + 1  # nobody of that name lives at the next customer's address
+    address = F.when(kind == 9, F.concat(
+        house(other), F.lit(" "), street_line(other), F.lit(", Springfield "), zip5(other))).otherwise(known)
     return s.select(
         o.alias("row_pos"), F.concat(F.lit("S"), o).alias("id"), name.alias("name"), address.alias("address"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("signed_on"),
