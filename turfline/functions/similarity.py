@@ -91,7 +91,10 @@ def _jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     out = np.zeros(len(left))
     todo = (left.notna() & right.notna()).to_numpy()
     if todo.any():
-        out[todo] = by_length(left[todo], right[todo])
+        pairs = pd.DataFrame({"a": left[todo], "b": right[todo]})
+        number = pairs.groupby(["a", "b"], sort=False).ngroup().to_numpy()
+        own = pairs[~pairs.duplicated()]  # every different pair of the batch once, in the order of its number
+        out[todo] = by_length(own["a"], own["b"])[number]
     return pd.Series(out)
 
 

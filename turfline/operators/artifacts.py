@@ -59,22 +59,42 @@ def index_manifest(index: DataFrame, campaigns: DataFrame, built_at: str) -> Dat
         "built_at", F.lit(built_at))
 
 
+def write_campaign_index(index: DataFrame, campaigns: DataFrame, path: str, built_at: str, source: str, rows_per_file: int = 100_000) -> None:
+    """Write ``path/index``, one folder per campaign in files of about ``rows_per_file``, and then ``path/manifest`` with version and source."""
+    files = index.groupBy("campaign_id").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    dealt = index.join(files, "campaign_id").withColumn("_file", F.pmod(F.xxhash64("id", "row_pos"), "_files"))
+    dealt.repartition("campaign_id", "_file").drop("_file", "_files").write.partitionBy("campaign_id").parquet(f"{path}/index")
+    written = read_index_rows(index.sparkSession, path, index.schema)
+    index_manifest(written, campaigns, built_at).withColumn("source", F.lit(source)).write.parquet(f"{path}/manifest")
+
+
+def read_index_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/index")
+
+
+def read_campaign_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, index rows) of the campaigns in ``path``; an index without its manifest row is not there yet."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    fields = T.StructType([T.StructField("campaign_id", T.StringType()), *spark.read.parquet(f"{path}/index").drop("campaign_id").schema.fields])
+    return manifest, read_index_rows(spark, path, fields).join(manifest.select("campaign_id"), "campaign_id", "left_semi")
+
+
 # --- tiles -----------------------------------------------------------------------------
+def cell_of(use_cell: bool = True) -> Column:
+    """The tile cell of a standardized row: county and precinct, or ZIP and street."""
+    if use_cell:
+        county = slug(F.coalesce(F.nullif(text("county"), F.lit("")), F.lit("x")))
+        return F.concat_ws("__", county, F.when(text("tile_cell") == "", "nocell").otherwise(slug("tile_cell")))
+    return F.concat_ws("__", F.coalesce(F.nullif(F.col("zip5"), F.lit("")), F.lit("00000")), slug("street"))
+
+
 def tile_rows(roll: DataFrame, use_cell: bool = True) -> DataFrame:
     """Roll rows with their cell, search tokens ``t`` and house number ``h``.
 
     Cells are ``county__precinct`` (``county__nocell`` when a row lacks one) or ``zip__street``.
     """
-    rows = standardize(roll)
-    if use_cell:
-        county = slug(F.coalesce(F.nullif(text("county"), F.lit("")), F.lit("x")))
-        cell = F.when(text("tile_cell") == "", "nocell").otherwise(slug("tile_cell"))
-        key = F.concat_ws("__", county, cell)
-    else:
-        zip5 = F.coalesce(F.nullif(F.col("zip5"), F.lit("")), F.lit("00000"))
-        key = F.concat_ws("__", zip5, slug("street"))
-    return rows.select(
-        "row_pos", *RECORD, key.alias("cell"), search_tokens().alias("t"), F.col("number").alias("h"))
+    return standardize(roll).select(
+        "row_pos", *RECORD, cell_of(use_cell).alias("cell"), search_tokens().alias("t"), F.col("number").alias("h"))
 
 
 def tile_bands(rows: DataFrame, cap: int = fixed.TILE_CAP) -> DataFrame:

@@ -91,6 +91,13 @@ def paid_gap(drives: DataFrame) -> DataFrame:
         F.sum(F.col("_gap") / fixed.DRIVE_BUFFER * fixed.PRICE_PER_SIGNATURE).alias("paid"))
 
 
+def paid_gap_rounded(drives: DataFrame) -> DataFrame:
+    """Per drive the valid signatures that are short, the whole signatures to buy for them with the buffer, and their price."""
+    short = F.greatest(F.lit(0), F.col("target") - F.col("collected"))
+    bought = F.ceil(F.col("paid_valid") * fixed.DRIVE_BUFFER)
+    return drives.withColumn("paid_valid", short).withColumn("paid_signatures", bought).withColumn("paid", F.col("paid_signatures") * fixed.PRICE_PER_SIGNATURE)
+
+
 def drive_totals(drives: DataFrame) -> DataFrame:
     """Mission totals; ``drives`` also has required, per_signature, residency."""
     return drives.agg(

@@ -47,7 +47,7 @@ def rule_query(
 def residency_applies(value) -> Column:
     """Any wording counts as required unless it says not required, none or n/a."""
     wording = text(value)
-    return (wording != "") & ~wording.rlike("(?i)not.?required|none|n/?a")
+    return (wording != "") & ~wording.rlike(fixed.NO_RESIDENCY)
 
 
 def rule_lookup(rules: DataFrame, key: str) -> DataFrame:

@@ -81,6 +81,11 @@ def paid_gap(spark, d):
     return out.withColumn("paid_signatures", F.round("paid_signatures", 4)).withColumn("paid", F.round("paid", 4))
 
 
+@query("paid_gap_rounded", f"WITH {DRIVES} SELECT state, deficit AS paid_valid, CAST(ceil(deficit * 1.5{D}) AS BIGINT) AS paid_signatures, ceil(deficit * 1.5{D}) * 7 AS paid FROM priced")
+def paid_gap_rounded(spark, d):
+    return routing.paid_gap_rounded(_drives(spark, d)).select("state", "paid_valid", "paid_signatures", "paid")
+
+
 @query("drive_totals", f"WITH {DRIVES} SELECT count(*) AS states, CAST(sum(required) AS BIGINT) AS required, CAST(sum(collected) AS BIGINT) AS collected, CAST(sum(target) AS BIGINT) AS target, count(*) FILTER (collected >= required) AS qualified, count(*) FILTER (per_signature <> 'no') AS per_signature_go, count(*) FILTER (per_signature = 'no') AS hourly_only, count(*) FILTER (residency) AS residency FROM drives")
 def drive_totals(spark, d):
     return routing.drive_totals(_drives(spark, d))

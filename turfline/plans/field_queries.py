@@ -12,6 +12,7 @@ from turfline.operators.validity import StateContext, validate_rows
 from turfline.plans import oracle_parts as O
 from turfline.plans.registry import query
 from turfline.session import scratch, stage
+from turfline.functions import people as P
 from turfline.sources import field_tables as ft
 from turfline.sources import rolls, snapshots
 from turfline.sources.adapters import LAYOUTS
@@ -153,6 +154,17 @@ def campaign_index(spark, d):
     return manifest.select("campaign_id", "jurisdiction", "voter_count", F.array_join("scoped_zips", " ").alias("scoped_zips"), "built_at")
 
 
+@query("campaign_index_files", SCOPED + "SELECT campaign_id, count(*) AS voter_count, count(*) AS read_back, true AS same_version, 'customer' AS source, '2026-06-07' AS built_at FROM scoped GROUP BY 1")
+def campaign_index_files(spark, d):
+    """Every campaign's index written with its provenance and read back; the version of what is read is that of the manifest."""
+    zips, path = _campaign_zips(spark, d), scratch(spark, "indexes")
+    artifacts.write_campaign_index(artifacts.campaign_index(ft.roll(spark, d), zips), zips, path, "2026-06-07", "customer")
+    manifest, index = artifacts.read_campaign_index(spark, path)
+    back = artifacts.content_version(index, ["campaign_id"], artifacts.RECORD).withColumnsRenamed({"voter_count": "read_back", "version": "_version"})
+    return manifest.join(back, "campaign_id").select(
+        "campaign_id", "voter_count", "read_back", (F.col("version") == F.col("_version")).alias("same_version"), "source", "built_at")
+
+
 @query("content_version", SCOPED + "SELECT campaign_id, count(*) AS voter_count, true AS stable, true AS sensitive FROM scoped GROUP BY 1")
 def content_version(spark, d):
     """A version must not depend on partitioning or on where the records stand in the roll, and must change with any record."""
@@ -169,9 +181,7 @@ CELL = f"{O.slug('county')} || '__' || CASE WHEN tile_cell = '' THEN 'nocell' EL
 
 @query("tile_key", STD_R + f"SELECT id, {CELL} AS cell, coalesce(nullif(zip5, ''), '00000') || '__' || {O.slug('street')} AS street_cell FROM r")
 def tile_key(spark, d):
-    roll = ft.roll(spark, d)
-    by_street = artifacts.tile_rows(roll, use_cell=False).select("id", F.col("cell").alias("street_cell"))
-    return artifacts.tile_rows(roll).select("id", "cell").join(by_street, "id")
+    return P.standardize(ft.roll(spark, d)).select("id", artifacts.cell_of().alias("cell"), artifacts.cell_of(use_cell=False).alias("street_cell"))
 
 
 CAP_ROWS = 6
@@ -469,7 +479,7 @@ def stale_index(spark, d):
     return devices.select("c_custkey", sync.stale(at, now).alias("stale"))
 
 
-@query("union_state", MANIFEST + ", loaded AS (SELECT split_part(tile, '__', 1) AS campaign_id, tile, voter_count, zip, TIMESTAMP '2026-01-01' + voter_count * INTERVAL 1 MINUTE AS synced_at FROM manifest) SELECT campaign_id, min(synced_at) AS synced_at, CAST(sum(voter_count) AS BIGINT) AS voter_count, string_agg(zip, '|' ORDER BY tile) AS version FROM loaded GROUP BY 1")
+@query("union_state", MANIFEST + ", loaded AS (SELECT split_part(tile, '__', 1) AS campaign_id, tile, voter_count, zip, TIMESTAMP '2026-01-01' + voter_count * INTERVAL 1 MINUTE AS synced_at FROM manifest) SELECT campaign_id, min(synced_at) AS synced_at, CAST(sum(voter_count) AS BIGINT) AS voter_count, lower(lpad(to_hex((sum(('0x' || substr(sha1(tile || '=' || zip), 1, 12))::HUGEINT) % 281474976710656)::BIGINT), 12, '0')) AS version FROM loaded GROUP BY 1")
 def union_state(spark, d):
     loaded = artifacts.tile_manifest(_tiles(spark, d)).select(
         F.split_part("tile", F.lit("__"), F.lit(1)).alias("campaign_id"), "tile", "voter_count", F.col("zip").alias("version"),

@@ -10,7 +10,7 @@ from turfline.functions.dates import days_to_deadline
 from turfline.operators import grounding, rulebook
 from turfline.plans import oracle_parts as O
 from turfline.plans.registry import query
-from turfline.session import dealt, scratch
+from turfline.session import dealt, scratch, stage
 from turfline.sources import field_tables as ft
 from turfline.sources import rule_records as RR
 from turfline.sources.adapters import LAYOUTS
@@ -97,6 +97,17 @@ def rules_publish(spark, d):
         F.count(F.lit(1)).alias("records"), F.sum("signatures.required").alias("required"))
 
 
+@query("rules_manifest", W + """SELECT 2::BIGINT AS edition, count(*) AS records, count(DISTINCT abbr) AS jurisdictions, CAST(sum(citations) AS BIGINT) AS citations, CAST(sum(inquiries) AS BIGINT) AS inquiries, count(*) AS read_back FROM rules""")
+def rules_manifest(spark, d):
+    """Two editions published, a third broken off before its manifest: the manifest's tallies, and the records that a reader gets."""
+    path, records = scratch(spark, "editions"), stage(rules(spark, d), "records")
+    RR.publish(records.where("petitionType = 'initiated-statute'"), path, 1)
+    RR.publish(records, path, 2)
+    records.limit(3).select(F.to_json(F.struct(*records.columns)).alias("value")).write.text(f"{path}/edition=3")
+    counted = RR.read_published(spark, path).agg(F.count(F.lit(1)).alias("read_back"))
+    return RR.manifest(spark, path).crossJoin(counted).select("edition", "records", "jurisdictions", "citations", "inquiries", "read_back")
+
+
 @query("rule_query", W + f"SELECT 'go+free+small' AS q, id FROM rules WHERE pay <> 'no' AND tier = 'FREE_DOWNLOAD' AND required <= 50000 UNION ALL SELECT 'statute+residency', id FROM rules WHERE petition_type = 'initiated-statute' AND {_FREE} UNION ALL SELECT 'hold+min+name', id FROM rules WHERE gate = 'CONSERVATIVE-HOLD' AND required >= 20000 AND contains(lower(jurisdiction || ' ' || abbr), 'new') UNION ALL SELECT 'no residency', id FROM rules WHERE NOT {_FREE} AND pay = 'unaddressed' AND tier = 'PAID'")
 def rule_query(spark, d):
     r = rules(spark, d)

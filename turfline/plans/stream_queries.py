@@ -11,7 +11,9 @@ from turfline.plans.field_queries import CAP, STATUS, ZIPC, _history_counts
 from turfline.plans.registry import query
 from turfline.session import scratch, stage
 from turfline.sources import field_tables as ft
+from turfline.operators import sync
 from turfline.streaming import captures as SC
+from turfline.streaming import index_sync
 
 
 ARRIVALS, ROWS_PER_FILE = 4, 1_000_000
@@ -128,3 +130,68 @@ def capture_once(spark, d):
         return SC.once(again).writeStream.option("checkpointLocation", log).trigger(availableNow=True).format("parquet").start(out)
     _captures(spark, d, start)
     return spark.read.schema("campaign_id string, gatherer_id string, seq long").parquet(out)
+
+
+def _pushes(spark, d):
+    """Captures and acknowledgements by push; a push fails for the gatherers whose turn it is, and is repeated with the next one."""
+    c = sync.capture_status(ft.captures(spark, d)).select("campaign_id", "gatherer_id", "seq", "status", (F.col("seq") % ARRIVALS).alias("_arrival"))
+    fails = F.substring("gatherer_id", 2, 20).cast("long") % ARRIVALS == F.col("_arrival")
+    again = F.when(fails, F.col("_arrival") + 1).otherwise(F.col("_arrival"))
+    acks = c.withColumn("_arrival", F.explode(F.array(again, again + 1)))  # every answer comes twice
+    return stage(c, "captured"), stage(acks, "acknowledged")
+
+
+@query("stream_queue", STATUS + f"""SELECT campaign_id, gatherer_id, seq, CASE WHEN late THEN 'pending' ELSE 'synced' END AS sync, CASE WHEN NOT late AND status = 'duplicate' THEN 'server: duplicate' END AS server_note
+ FROM (SELECT *, seq % {ARRIVALS} = {ARRIVALS - 1} AND CAST(substr(gatherer_id, 2) AS BIGINT) % {ARRIVALS} = {ARRIVALS - 1} AS late FROM statuses)""")
+def stream_queue(spark, d):
+    """Captures and acknowledgements as two streams; the last failed push is not repeated and its rows stay pending."""
+    parts = dict(zip(("captured", "acknowledged"), _pushes(spark, d)))
+    inbox = {name: scratch(spark, name) for name in parts}
+    out, log = scratch(spark, "queue"), scratch(spark, "log")
+    for i in range(ARRIVALS):
+        for name, rows in parts.items():
+            rows.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(inbox[name])
+        sent, known = (spark.readStream.schema(rows.drop("_arrival").schema).parquet(inbox[name]) for name, rows in parts.items())
+        SC.start_queue(sent, known, out, log).awaitTermination()
+    return SC.queue(spark, out)
+
+
+CHANGES = """WITH changes AS (SELECT 't' || o_custkey % 97 AS tile, o_custkey AS id, o_orderstatus, o_orderdate, o_orderkey, o_orderpriority, o_orderkey % 4 AS arrival FROM orders)"""
+
+
+def _synced(spark, d):
+    """Every order is a change of its customer's record, which a pending one removes; the changes arrive out of their order."""
+    o = ft.read(spark, d, "orders")
+    changes = stage(o.select(
+        F.concat(F.lit("t"), F.col("o_custkey") % 97).alias("tile"), F.col("o_custkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "remove").otherwise("upsert").alias("op"),
+        F.col("o_orderdate").alias("changed_at"), F.col("o_orderkey").alias("change_no"), F.col("o_orderpriority").alias("address"),
+        (F.col("o_orderkey") % ARRIVALS).alias("_arrival")), "changes")
+    inbox, out, log = (scratch(spark, name) for name in ("inbox", "index", "log"))
+    for i in range(ARRIVALS):
+        changes.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(inbox)
+        index_sync.start_index_sync(spark.readStream.schema(changes.drop("_arrival").schema).parquet(inbox), out, log).awaitTermination()
+    return out
+
+
+@query("stream_index_sync", CHANGES + f""", newest AS (SELECT v, tile, id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS address
+ FROM changes JOIN (SELECT unnest(range({ARRIVALS})) AS v) ON arrival <= v GROUP BY ALL) SELECT v AS version, tile, id, address FROM newest WHERE status <> 'P'""")
+def stream_index_sync(spark, d):
+    """The index after each of the arrivals."""
+    path, out = _synced(spark, d), None
+    for version in range(ARRIVALS):
+        part = index_sync.index_at(spark, path, version).select(F.lit(version).cast("long").alias("version"), "tile", "id", "address")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("index_pull", CHANGES + f""", newest AS (SELECT tile, id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, arg_max(arrival, (o_orderdate, o_orderkey)) AS arrival, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS address FROM changes GROUP BY ALL),
+pointers AS (SELECT tile, max(arrival) AS version FROM changes GROUP BY 1), devices AS (SELECT 'd' || v AS device_id, tile, version AS current, CASE WHEN v >= 0 THEN v END AS version FROM pointers, (SELECT unnest(range(-1, {ARRIVALS})) AS v))
+SELECT device_id, d.tile, current AS version, CASE WHEN status = 'P' THEN 'remove' ELSE 'upsert' END AS op, id, address FROM devices d JOIN newest n ON n.tile = d.tile
+ WHERE CASE WHEN d.version IS NULL THEN status <> 'P' ELSE d.version < current AND arrival > d.version END""")
+def index_pull(spark, d):
+    """One device at each version of every tile, and one without any."""
+    path = _synced(spark, d)
+    version = F.explode(F.sequence(F.lit(-1), F.lit(ARRIVALS - 1)))
+    held = index_sync.pointers(spark, path).select("tile", version.alias("v")).select(
+        F.concat(F.lit("d"), "v").alias("device_id"), "tile", F.when(F.col("v") >= 0, F.col("v").cast("long")).alias("version"))
+    return index_sync.pull(spark, path, held)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turfline import fixed
 from turfline.functions.dates import iso_date, layout_date
 from turfline.functions.text import join_present, text
 from turfline.sources.adapters import Layout
@@ -58,7 +59,7 @@ def status_of(raw: Column, layout: Layout) -> Column:
     return (
         F.when(value.isin(*[s.lower() for s in layout.active]), "active")
         .when(value.isin(*[s.lower() for s in layout.cancelled]) if layout.cancelled else F.lit(False), "cancelled")
-        .when(value.rlike("cancel|remov|denied|purg"), "cancelled")
+        .when(value.rlike(fixed.CANCELLED_WORDS), "cancelled")
         .otherwise("inactive")
     )
 

@@ -48,6 +48,38 @@ def publish_rules(records: DataFrame, path: str) -> None:
     keyed.repartition("record").write.partitionBy("record").text(path)
 
 
+#: The order of published records.
+RECORD_ORDER = ("jurisdiction", "petitionType", "id")
+
+
+def publish(records: DataFrame, path: str, number: int, rows_per_file: int = 10_000) -> None:
+    """Publish a whole set of records in record order as edition ``number``.
+
+    The records go to range-ordered files of an edition folder, and its manifest is written last: edition, folder, files, records and tallies.  Readers only
+    follow manifests, so an edition that was not finished is not there, and one that is written again replaces its files first.
+    """
+    order = [F.col(c) for c in RECORD_ORDER]
+    folder = f"{path}/edition={number}"
+    files = max(1, -(-records.count() // rows_per_file))
+    lines = records.repartitionByRange(files, *order).sortWithinPartitions(*order).select(F.to_json(F.struct(*records.columns)).alias("value"))
+    lines.write.mode("overwrite").text(folder)
+    written = records.sparkSession.read.schema(RULE_RECORD).json(folder).select("*", F.col("_metadata.file_path").alias("_file"))
+    tallies = written.agg(
+        F.count_distinct("_file").alias("files"), F.count(F.lit(1)).alias("records"), F.count_distinct("abbr").alias("jurisdictions"),
+        F.sum(F.coalesce(F.array_size("citations"), F.lit(0))).cast("long").alias("citations"), F.sum(F.coalesce("verification.sosInquiries", F.lit(0))).alias("inquiries"))
+    tallies.select(F.lit(number).cast("long").alias("edition"), F.lit(folder).alias("folder"), "*").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/number={number}")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the newest finished edition."""
+    return spark.read.parquet(f"{path}/manifest").drop("number").orderBy(F.desc("edition")).limit(1)
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the newest finished edition."""
+    return spark.read.schema(RULE_RECORD).json(manifest(spark, path).first().folder)
+
+
 def canonical_rules(research: DataFrame, source: str = "research file") -> DataFrame:
     """Research rows to rule records: projections without nulls, citations of four places in one list.
 

@@ -117,6 +117,32 @@ def start_zip_counts(captures: DataFrame, path: str, checkpoint: str) -> Streami
     )
 
 
+def start_queue(captures: DataFrame, acknowledged: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Device queues as a stream: a capture is pending until an acknowledgement of it arrives, before or after the capture itself.
+
+    Both streams (campaign_id, gatherer_id, seq; acknowledgements also status) are joined by keyed state, so nothing is ever too late.  A failed push
+    acknowledges nothing and its rows stay pending; a push that is repeated acknowledges again and changes nothing.  An
+    acknowledgement without its capture is kept and not shown.  ``queue`` reads the result.
+    """
+    _stateful(captures.sparkSession)
+    key = ["campaign_id", "gatherer_id", "seq"]
+    both = captures.select(*key, F.lit(True).alias("captured"), F.lit(None).cast("string").alias("status")).unionByName(
+        acknowledged.select(*key, F.lit(False).alias("captured"), F.coalesce("status", F.lit("recorded")).alias("status")))
+    state = both.groupBy(*key).agg(F.max("captured").alias("captured"), F.min("status").alias("status"))
+    return (
+        state.writeStream.outputMode("update").foreachBatch(_changes(path)).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def queue(spark: SparkSession, path: str) -> DataFrame:
+    """(campaign_id, gatherer_id, seq, sync, server_note) as ``start_queue`` has written it."""
+    schema = spark.createDataFrame([], "campaign_id string, gatherer_id string, seq long, captured boolean, status string").schema
+    rows = latest(spark, path, schema, ["campaign_id", "gatherer_id", "seq"]).where("captured")
+    return rows.select("campaign_id", "gatherer_id", "seq", F.when(F.col("status").isNull(), "pending").otherwise("synced").alias("sync"),
+                       F.when(F.col("status") == "duplicate", "server: duplicate").alias("server_note"))
+
+
 def start_posterior(captures: DataFrame, history: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running posterior per gatherer: stream counts added to the stored history.
 
