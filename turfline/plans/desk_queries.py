@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from turfline import fixed
 from turfline.functions import dates
-from turfline.operators import artifacts, campaign_desk, routing, yields
+from turfline.operators import artifacts, campaign_desk, opportunities, routing, yields
 from turfline.operators.ordering import in_group_order
 from turfline.plans import oracle_parts as O
 from turfline.plans.field_queries import MANIFEST, ZIPC, _tiles
@@ -86,6 +86,31 @@ def paid_gap_rounded(spark, d):
     return routing.paid_gap_rounded(_drives(spark, d)).select("state", "paid_valid", "paid_signatures", "paid")
 
 
+PLACES = f"""volunteers AS (SELECT c_custkey AS volunteer_id, 30 + (c_custkey * 7919 % 1500) / 100.0{D} AS lat, -120 + (c_custkey * 104729 % 5000) / 100.0{D} AS lng, 1 + c_custkey % 8 AS hours, c_custkey % 3 > 0 AS trained,
+ ['J' || c_custkey % 5, 'J' || (c_custkey + 2) % 5] AS jurisdictions FROM customer),
+opportunities AS (SELECT p_partkey AS opportunity_id, 'J' || p_partkey % 5 AS jurisdiction, 30 + (p_partkey * 3571 % 1500) / 100.0{D} AS lat, -120 + (p_partkey * 50021 % 5000) / 100.0{D} AS lng, 2 + p_partkey % 9 AS valid_per_hour,
+ p_partkey % 30 AS need_per_day, p_partkey % 4 AS setup_cost, p_partkey % 7 AS risk, p_partkey % 11 AS capacity, p_partkey % 6 = 0 AS needs_training FROM part)"""
+_KM = "2 * {0}::DOUBLE * asin(sqrt(pow(sin(radians(o.lat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lng - v.lng) / 2), 2)))".format(campaign_desk.EARTH_KM)
+
+
+@query("opportunity_topk", f"""WITH {PLACES}, met AS (SELECT volunteer_id, opportunity_id, {_KM} AS km, valid_per_hour * hours AS expected_valid, need_per_day, setup_cost, risk FROM volunteers v JOIN opportunities o
+ ON list_contains(jurisdictions, jurisdiction) AND capacity > 0 AND need_per_day > 0 AND (trained OR NOT needs_training)),
+scored AS (SELECT *, expected_valid * need_per_day - 0.1{D} * km - setup_cost - risk AS score FROM met WHERE km <= 150)
+SELECT volunteer_id, rank::INT AS rank, opportunity_id, round(km, 4) AS km, expected_valid, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY volunteer_id ORDER BY score DESC, opportunity_id) AS rank FROM scored) WHERE rank <= 5""")
+def opportunity_topk(spark, d):
+    """Customers as volunteers, parts as opportunities, each at a place of its own."""
+    c, p = F.col("c_custkey"), F.col("p_partkey")
+    in_ = lambda k: F.concat(F.lit("J"), k % 5)
+    volunteers = ft.read(spark, d, "customer").select(
+        c.alias("volunteer_id"), (30 + c * 7919 % 1500 / F.lit(100.0)).alias("lat"), (-120 + c * 104729 % 5000 / F.lit(100.0)).alias("lng"),
+        (1 + c % 8).alias("hours"), (c % 3 > 0).alias("trained"), F.array(in_(c), in_(c + 2)).alias("jurisdictions"))
+    places = ft.read(spark, d, "part").select(
+        p.alias("opportunity_id"), in_(p).alias("jurisdiction"), (30 + p * 3571 % 1500 / F.lit(100.0)).alias("lat"), (-120 + p * 50021 % 5000 / F.lit(100.0)).alias("lng"),
+        (2 + p % 9).alias("valid_per_hour"), (p % 30).alias("need_per_day"), (p % 4).alias("setup_cost"), (p % 7).alias("risk"), (p % 11).alias("capacity"), (p % 6 == 0).alias("needs_training"))
+    best = opportunities.best_opportunities(volunteers, places, 5, 150.0, 0.1)
+    return best.select("volunteer_id", "rank", "opportunity_id", F.round("km", 4).alias("km"), "expected_valid", F.round("score", 4).alias("score"))
+
+
 @query("drive_totals", f"WITH {DRIVES} SELECT count(*) AS states, CAST(sum(required) AS BIGINT) AS required, CAST(sum(collected) AS BIGINT) AS collected, CAST(sum(target) AS BIGINT) AS target, count(*) FILTER (collected >= required) AS qualified, count(*) FILTER (per_signature <> 'no') AS per_signature_go, count(*) FILTER (per_signature = 'no') AS hourly_only, count(*) FILTER (residency) AS residency FROM drives")
 def drive_totals(spark, d):
     return routing.drive_totals(_drives(spark, d))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from turfline import fixed
 from turfline.functions import text as X
 from turfline.functions.dates import days_to_deadline
-from turfline.operators import grounding, rulebook
+from turfline.operators import expectations, grounding, rulebook
 from turfline.plans import oracle_parts as O
 from turfline.plans.registry import query
 from turfline.session import dealt, scratch, stage
@@ -108,6 +108,32 @@ def rules_manifest(spark, d):
     return RR.manifest(spark, path).crossJoin(counted).select("edition", "records", "jurisdictions", "citations", "inquiries", "read_back")
 
 
+#: A right record, and texts that break it: (old, new, path, problem).
+RIGHT = ('{"schemaVersion":"%s","id":"@","jurisdiction":"Ohio","abbr":"OH","petitionType":"initiated-statute","signatures":{"required":100,"headline":"h"},"deadline":{"headline":"h"},'
+         '"rules":[{"field":"deadline","gate":"AUTO-LIVE","confidence":0.5,"interpretationRequired":false}],"circulator":{"minAge":18,"usCitizenRequired":"yes"},'
+         '"verification":{"gate":"AUTO-LIVE","sosInquiries":1},"citations":[{"url":"http://a","quote":"q"}],"provenance":{"verifiedAsOf":"2026-01-01","method":"m"}}' % fixed.RULE_SCHEMA_VERSION)
+PLANTED = (
+    ('"abbr":"OH"', '"abbr":"Oh"', "$.abbr", "pattern"), ('"required":100', '"required":-1', "$.signatures.required", "minimum"),
+    ('"required":100', '"required":"100"', "$.signatures.required", "type"), ('"required":100,', "", "$.signatures.required", "required"),
+    ('"confidence":0.5', '"confidence":1.5', "$.rules[0].confidence", "maximum"), ('"minAge":18', '"minAge":17.5', "$.circulator.minAge", "type"),
+    ('"usCitizenRequired":"yes"', '"usCitizenRequired":"maybe"', "$.circulator.usCitizenRequired", "enum"), ('"url":"http://a",', "", "$.citations[0].url", "required"),
+    ('"method":"m"', '"method":null', "$.provenance.method", "type"), ('"verifiedAsOf":"2026-01-01",', "", "$.provenance.verifiedAsOf", "required"),
+    ('"quote":"q"', '"quote":"q","page":3', "$.citations[0].page", "additional"), ('"provenance":{', '"extra":1,"provenance":{', "$.extra", "additional"),
+    (fixed.RULE_SCHEMA_VERSION, "0.9", "$.schemaVersion", "enum"), ('"provenance":{', '"provenance":{{', "$", "json"), ('"rules":[', '"rules":[7,', "$.rules[0]", "type"))
+
+
+@query("record_quality", "SELECT p_partkey AS id, path, problem FROM part JOIN (VALUES " + ", ".join(f"({i + 1}, '{p}', '{x}')" for i, (_, _, p, x) in enumerate(PLANTED)) + f") v(i, path, problem) ON p_partkey % {len(PLANTED) + 1} = i")
+def record_quality(spark, d):
+    """A raw record for every part, each with one planted violation or none."""
+    k = F.col("p_partkey")
+    right, value = F.replace(F.lit(RIGHT), F.lit("@"), k.cast("string")), None
+    for i, (old, new, _, _) in enumerate(PLANTED):
+        broken, own = F.replace(right, F.lit(old), F.lit(new)), k % (len(PLANTED) + 1) == i + 1
+        value = F.when(own, broken) if value is None else value.when(own, broken)
+    raw = ft.read(spark, d, "part").select(k.alias("id"), value.otherwise(right).alias("value"))
+    return expectations.violations(raw, [*expectations.of_schema(RR.RULE_RECORD), *expectations.RULE_EXPECTATIONS])
+
+
 @query("rule_query", W + f"SELECT 'go+free+small' AS q, id FROM rules WHERE pay <> 'no' AND tier = 'FREE_DOWNLOAD' AND required <= 50000 UNION ALL SELECT 'statute+residency', id FROM rules WHERE petition_type = 'initiated-statute' AND {_FREE} UNION ALL SELECT 'hold+min+name', id FROM rules WHERE gate = 'CONSERVATIVE-HOLD' AND required >= 20000 AND contains(lower(jurisdiction || ' ' || abbr), 'new') UNION ALL SELECT 'no residency', id FROM rules WHERE NOT {_FREE} AND pay = 'unaddressed' AND tier = 'PAID'")
 def rule_query(spark, d):
     r = rules(spark, d)
