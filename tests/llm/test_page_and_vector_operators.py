@@ -109,6 +109,28 @@ def test_forest_recall_on_the_given_vectors(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def forest(rows, queries, trees=hash_forest.TREES):
+    hashed = hash_forest.strings(rows, trees)
+    order = np.argsort(hashed, axis=0, kind="stable").T
+    return hash_forest.Shard(rows, np.arange(len(rows)), order, np.take_along_axis(hashed.T, order, axis=1), queries)
+
+
+@pytest.mark.parametrize("spread,most", [(0.05, 0.05), (0.15, 0.2), (5.0, 0.9)])
+def test_clustered_vectors_are_compared_with_few(spread, most):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((400, 64))
+    rows = centres[np.arange(8192) % 400] + spread * rng.standard_normal((8192, 64))
+    shard = forest(rows, rows[:60])
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    hits = compared = 0
+    for q in range(60):
+        near = shard.candidates(q, q, 5, hash_forest.SHARE)
+        compared += len(near)
+        best = np.argsort(-(unit @ unit[q]), kind="stable")[1:6]
+        hits += np.isin(best, near).sum()
+    assert hits / 300 >= 0.9 and compared / 60 <= most * len(rows)
+
+
 def test_hot_copies_come_back_in_order_of_id(spark):
     rng = np.random.default_rng(8)
     hot = rng.standard_normal(16).tolist()

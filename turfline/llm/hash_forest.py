@@ -2,13 +2,14 @@
 
 Every tree gives a vector a hash string of 64 bits, the signs of 64 random projections, and keeps the strings in a sorted
 array.  A query descends to the longest prefix that it shares with some string of each tree, then all trees ascend
-together, one bit a step, until the strings under the common prefixes name enough different vectors.  Those are
-compared with the query by exact cosines in doubles.
+together, one bit a step, until the strings under the common prefixes name ``LEAST_CANDIDATES`` different vectors.  The k-th best angle among them tells
+how far to go on: a vector at that angle or nearer shares d first bits of a tree with probability (1 - angle / pi) ** d at least, so the trees ascend until
+one of them shows it with probability ``RECALL``.  The candidates are compared with the query by exact cosines in doubles.
 
 The index holds every row: rows are dealt by hash of their id into shards, each a forest of its own, and a query visits every
-shard in blocks of queries; the shards' best are merged.  ``SHARE`` is the part of a shard that a query must reach; isotropic
-vectors, whose nearest are hardly nearer than the rest, need nearly half for a recall of 0.9, clustered ones far less.
-There is no cap: strings that many vectors share come in together.
+shard in blocks of queries; the shards' best are merged.  Clustered vectors stop after few candidates.  Isotropic ones, whose nearest are hardly
+nearer than the rest, have no such stop; for them a query is content with ``SHARE`` of a shard, which gives a recall over 0.9.
+Strings that many vectors share come in together, whatever their number.  Equal scores are ranked by the smaller id.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and null ids, take no part, as query or candidate.  Only
 vectors of a query's own length are candidates.  Rows that repeat an id are one vector.
@@ -29,7 +30,10 @@ by_value(__name__)
 
 TREES = 32
 BITS = 64
+#: Part of a shard that a query asks for where no angle stops it.
 SHARE = 0.5
+#: Probability with which a vector as near as the k-th found shows in some tree.
+RECALL = 0.97
 #: Candidates that a query asks of a shard at least (all of a smaller one).
 LEAST_CANDIDATES = 256
 SHARD_ROWS = 8192
@@ -51,32 +55,68 @@ def _prefix_ranges(ordered: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np
     return np.searchsorted(ordered, own & ~tails, side="left"), np.searchsorted(ordered, own | tails, side="right")
 
 
-def search(rows: np.ndarray, ids: np.ndarray, order: np.ndarray, ordered: np.ndarray, queries: np.ndarray, query_ids: np.ndarray,
-           k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, cosine) of the best k found in one shard; ``order`` and ``ordered`` have a row for each tree."""
-    trees, n = order.shape
-    own = strings(queries, trees)
-    spans = [_prefix_ranges(ordered[t], own[:, t]) for t in range(trees)]
-    reach = sum(high - low for low, high in spans)
-    want = min(n, max(LEAST_CANDIDATES, k + 1, int(np.ceil(share * n))))
-    square = np.sqrt((rows * rows).sum(axis=1))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for q in range(len(queries)):
-        depth = int(np.flatnonzero(reach[:, q] >= want)[-1])  # all trees together reach too few below
+def shown(depth: np.ndarray, angle: float, trees: int) -> np.ndarray:
+    """Least probability that some tree shows a vector at this angle or nearer among the strings that share ``depth`` bits."""
+    return 1 - (1 - (1 - angle / np.pi) ** depth) ** trees
+
+
+class Shard:
+    """One shard's forest and the queries that visit it."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, ordered: np.ndarray, queries: np.ndarray):
+        self.rows, self.ids, self.order, self.queries = rows, ids, order, queries
+        own = strings(queries, len(order))
+        self.spans = [_prefix_ranges(ordered[t], own[:, t]) for t in range(len(order))]
+        self.reach = sum(high - low for low, high in self.spans)
+        self.square = np.sqrt((rows * rows).sum(axis=1))
+
+    def _under(self, q: int, depth: int) -> np.ndarray:
+        seen = np.zeros(len(self.ids), bool)
+        for t, (low, high) in enumerate(self.spans):
+            seen[self.order[t, low[depth, q]:high[depth, q]]] = True
+        return seen
+
+    def _ascend(self, q: int, want: int, least: int = 0) -> tuple[int, np.ndarray]:
+        """The greatest depth, ``least`` at least, whose strings name ``want`` vectors in all trees together, and those vectors."""
+        depth = max(least, int(np.flatnonzero(self.reach[:, q] >= want)[-1]))  # all trees together reach too few below
         while True:
-            seen = np.zeros(n, bool)
-            for t in range(trees):
-                seen[order[t, spans[t][0][depth, q]:spans[t][1][depth, q]]] = True
-            if depth == 0 or np.count_nonzero(seen) >= want:
-                break
+            seen = self._under(q, depth)
+            if depth <= least or np.count_nonzero(seen) >= want:
+                return depth, seen
             depth -= 1
-        near = np.flatnonzero(seen & (ids != query_ids[q]))
-        rough = (rows[near] @ queries[q]) / square[near]
+
+    def rough(self, q: int, near: np.ndarray) -> np.ndarray:
+        return (self.rows[near] @ self.queries[q]) / self.square[near]
+
+    def candidates(self, q: int, query_id: int, k: int, share: float) -> np.ndarray:
+        """Rows that query number ``q`` is compared with."""
+        n, trees = len(self.ids), len(self.order)
+        first = min(n, max(LEAST_CANDIDATES, k + 1))
+        depth, seen = self._ascend(q, first)
+        near = np.flatnonzero(seen & (self.ids != query_id))
+        if depth and len(near) >= k:
+            cosine = np.partition(self.rough(q, near), len(near) - k)[len(near) - k] / max(np.sqrt((self.queries[q] ** 2).sum()), 1e-300)
+            angle = float(np.arccos(np.clip(cosine, -1.0, 1.0)))
+            enough = int(np.flatnonzero(shown(np.arange(BITS + 1), angle, trees) >= RECALL)[-1])  # depth 0 shows all
+            if enough < depth:
+                seen = self._ascend(q, min(n, max(first, int(np.ceil(share * n)))), enough)[1]
+        elif depth:
+            seen = self._ascend(q, n)[1]
+        return np.flatnonzero(seen & (self.ids != query_id))
+
+
+def search(shard: Shard, query_ids: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, cosine) of the best k found in one shard."""
+    rows, ids, queries = shard.rows, shard.ids, shard.queries
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q in range(len(queries)):
+        near = shard.candidates(q, query_ids[q], k, share)
+        rough = shard.rough(q, near)
         if len(near) > k:
             least = np.partition(rough, len(near) - k)[len(near) - k]
             near = near[rough >= least - 1e-9 * abs(least) - 1e-300]
         length = np.sqrt((queries[q] * queries[q]).sum())
-        cosine = (rows[near] * queries[q]).sum(axis=1) / (square[near] * length)
+        cosine = (rows[near] * queries[q]).sum(axis=1) / (shard.square[near] * length)
         best = np.lexsort((ids[near], -cosine))[:k]
         found.append((np.full(len(best), query_ids[q]), ids[near][best], cosine[best]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -117,8 +157,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = S
         dim = left["dim"][0].as_py()
         get = lambda name, kind: np.frombuffer(left[name][0].as_buffer(), kind)
         ids = get("ids", np.int64)
-        found = search(get("rows", np.float64).reshape(-1, dim), ids, get("order", np.int32).reshape(-1, len(ids)), get("ordered", np.uint64).reshape(-1, len(ids)),
-                       scaled(matrix(right, dim)), right["vec_id"].to_numpy(), k, share)
+        shard = Shard(get("rows", np.float64).reshape(-1, dim), ids, get("order", np.int32).reshape(-1, len(ids)), get("ordered", np.uint64).reshape(-1, len(ids)), scaled(matrix(right, dim)))
+        found = search(shard, right["vec_id"].to_numpy(), k, share)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
 
     keys = ("shard", "dim", "block")
