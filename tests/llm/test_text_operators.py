@@ -350,3 +350,37 @@ def test_strip_of_different_texts_under_one_id(spark):
     docs = spark.createDataFrame(rows_, "doc_id long, text string")
     left = sorted(((r.doc_id, r.text) for r in substring_dedup.strip(docs, substring_dedup.repeats(docs)).collect()), key=str)
     assert left == sorted([rows_[0], (5, "own end"), rows_[2], rows_[3]], key=str)
+
+
+def test_other_tokenizers_and_models_read_texts_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, World!! ÉCOLE don't 12,5%", "", "  two  spaces ", "ABC abc Abc", "漢字 x"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own, plain = packing.WordIds(path, 1), Tokenizer.from_file(path)
+        assert own.by_words == by_words
+        ids, sizes = own.of(data, offsets)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[:-1]] == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    codec = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model"))
+    assert codec.splits
+    split = [x.tolist() for x in codec.encode_chunk(data, offsets)]
+    codec.splits = False
+    assert [x.tolist() for x in codec.encode_chunk(data, offsets)] == split
+
+
+def test_parts_whose_first_hash_is_the_same(monkeypatch):
+    from turfline.llm import part_ids
+
+    real = part_ids.word_hashes
+    monkeypatch.setattr(part_ids, "word_hashes", lambda *a: (np.full(len(a[1]), 7, np.uint64), real(*a)[1]))
+    memory = part_ids.PartIds(lambda parts, kinds: (np.array([len(x) for x in parts]), np.ones(len(parts), np.int64)), np.zeros(0, np.int64))
+    for words in (b"a bb ccc a bb", b"dddd a ccc eeeee"):
+        data = np.frombuffer(words, np.uint8)
+        sizes = [len(w) for w in words.split()]
+        starts = np.cumsum([0] + [n + 1 for n in sizes])[:-1]
+        ids, _ = memory.ids_of(memory.codes(data, starts, starts + sizes, np.zeros(len(sizes), np.int64)))
+        assert ids.tolist() == sizes

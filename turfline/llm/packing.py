@@ -72,10 +72,15 @@ def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([low, data]), from_[real], to[real], kind[real], before
 
 
+#: Texts that show whether a tokenizer takes words apart as ``word_parts`` does.
+_PROBES = ["Hello, World!! ÉCOLE straße's don't co-op 12,5% x_y #tag @me 😀 漢字 ÷×Ø Ünï.", " a  b\tc\nd\x0be\x1cf ", "Über?! ab12 A.B.C. ... (x) \"q\" a,b", "", "İ Ωσς ﬁ ñandú; Naïve:: co.uk"]
+
+
 class WordIds:
-    """Token ids of texts by way of their words: no token of the tokenizer spans white space.
+    """Token ids of texts by way of their words, if no token of the tokenizer spans white space and letters of both cases are alike.
 
-    A part of letters has exactly one token that ends a word, so new ones are encoded as one text.
+    Then a part of letters has exactly one token that ends a word, so new ones are encoded as one text.  Whether a tokenizer is of this kind is tried on
+    probe texts when it is loaded; with any other, texts are encoded whole.
     """
 
     def __init__(self, path: str, closing: int):
@@ -86,7 +91,24 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.closing = closing
         self.memory = PartIds(self._encode, np.array([closing]))
+        self.by_words = self._splits()
+
+    def _splits(self) -> bool:
+        raw = [x.encode() for x in _PROBES]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        whole = self._whole(data, offsets)
+        try:
+            parts = self._by_words(data, offsets)
+        except (ValueError, IndexError):  # the parts have not one closing token each
+            return False
+        return bool(self.ends_word.any()) and all(np.array_equal(a, b) for a, b in zip(whole, parts))
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        found = [[*e.ids, self.closing] for e in self.tokenizer.encode_batch([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.int64), np.array([len(x) for x in found], np.int64)
 
     def _encode(self, parts: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = [x.decode() for x in parts]
@@ -107,6 +129,9 @@ class WordIds:
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the closing id; ids of each text)."""
+        return self._by_words(data, offsets) if self.by_words else self._whole(data, offsets)
+
+    def _by_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         buffer, starts, ends, kinds, before = word_parts(data, offsets)
         codes = np.insert(self.memory.codes(buffer, starts, ends, kinds), before[1:], 0)
         ids, sizes = self.memory.ids_of(codes)

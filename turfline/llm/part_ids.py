@@ -57,9 +57,13 @@ class PartIds:
         salt = mixed(kinds.astype(np.uint64) + np.uint64(1))
         one, two = (h ^ salt for h in word_hashes(buffer, starts, ends, 2))
         named, head, of = np.unique(one, return_index=True, return_inverse=True)
+        if not np.array_equal(two[head][of], two):  # two parts of the chunk share the first hash: tell them apart by both
+            order = np.lexsort((two, one))
+            first = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
+            head, of = order[first], np.empty(len(one), np.int64)
+            of[order] = np.cumsum(first) - 1
+            named = one[head]
         check = two[head]
-        if not np.array_equal(check[of], two):
-            raise RuntimeError("two parts of a chunk share a 64-bit hash")
         codes = np.full(len(named), -1, np.int64)
         for keys, second, code in self.shelves:
             if len(keys):

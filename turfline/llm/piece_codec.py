@@ -4,9 +4,9 @@ The pieces and their scores come from a public model file; the segmentation is t
 reads a text once; at every position its output links name all pieces that end there, and each relaxes the best score of
 that position.  A character that no piece covers costs the least score less ``UNKNOWN`` and becomes its UTF-8 byte pieces.
 
-White space: a space is the mark U+2581, and a text starts with one.  No piece holds a mark after another character, so a text falls
+White space: a space is the mark U+2581, and a text starts with one.  Where no piece of the model holds a mark after another character, a text falls
 apart before each run of spaces, and around characters that are in no piece; a worker remembers the ids of the parts
-that it saw (``part_ids``).  Decoding is exact but for texts that hold the mark itself, which comes back as a space.
+that it saw (``part_ids``).  With any other model texts are read whole.  Decoding is exact but for texts that hold the mark itself, which comes back as a space.
 
 Nulls: a null text has no pieces (an empty list) and decodes to the empty text.  Repeated rows are kept.
 """
@@ -63,6 +63,7 @@ class PieceCodec:
         spelled = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_ends = np.cumsum([len(x) for x in spelled])
+        self.splits = not any(MARK in piece.lstrip(MARK) for piece in self.pieces)
         self.memory = PartIds(self._encode_parts, np.zeros(0, np.int64))
 
     def _viterbi(self, part: str) -> list[int]:
@@ -111,6 +112,9 @@ class PieceCodec:
         filled = np.diff(offsets) > 0
         data = np.insert(data, offsets[:-1][filled], 32)
         offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+        if not self.splits:
+            raw = data.tobytes()
+            return self._encode_parts([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.zeros(0, np.int64))
         space, lonely = data == 32, self.lonely[data]
         first = space | lonely
         first[1:] &= ~(space[:-1] & space[1:])
