@@ -92,3 +92,16 @@ def test_position_is_file_order_whatever_the_split_size(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[0] == seen[1] == [f"N{i:03d}" for i in range(60)]
+
+
+def test_a_capped_scan_leaves_later_files_unread(spark, tmp_path):
+    layout = LAYOUTS["Vermont"]
+    people = spark.range(40).select(F.col("id").cast("string").alias("voter_id"), *(F.lit("x").alias(c) for c in (
+        "first_name", "middle_name", "last_name", "suffix", "house", "street_name", "unit_text", "city", "state", "zip", "status", "county", "district", "tile_cell")), F.lit("2020-01-02").alias("registered_on"))
+    path = str(tmp_path / "roll")
+    rolls.write(people.repartitionByRange(4, F.col("voter_id").cast("int")).sortWithinPartitions(F.col("voter_id").cast("int")), layout, path)
+    (tmp_path / "roll" / "zzz.csv.gz").write_bytes(b"no gzip at all")
+    got = rolls.first_matching(spark, path, layout, F.col("id") % 2 == 1, 7).orderBy("row_pos").collect()
+    assert [int(r.id) for r in got] == list(range(1, 15, 2))
+    with pytest.raises(Exception):
+        rolls.scan(spark, path, layout).count()

@@ -93,6 +93,15 @@ def roll_scoped_limit(spark, d):
     return rolls.scoped(ft.roll(spark, d), keep, limit=40).select("id", "name", "address")
 
 
+@query("roll_first_matching", f"WITH {O.layout()} " + _canonical_sql("Vermont") + " WHERE zip IN ('62705', '62706', '62707') ORDER BY row_pos LIMIT 40")
+def roll_first_matching(spark, d):
+    """The roll written in eight files in its order; the first rows of three ZIPs, without the files after them."""
+    path, people = scratch(spark, "roll"), ft.roll_layout(spark, d).withColumn("state", F.lit("NC"))
+    rolls.write(people.repartitionByRange(8, "row_pos").sortWithinPartitions("row_pos"), LAYOUTS["Vermont"], path)
+    found = rolls.first_matching(spark, path, LAYOUTS["Vermont"], artifacts.in_zips(["62705", "62706", "62707"]), 40)
+    return found.select("jurisdiction", *rolls.CANONICAL)
+
+
 @query("synth_roll", R + "SELECT id, name, address, status, registered_on, county, district, tile_cell FROM roll")
 def synth_roll(spark, d):
     return ft.roll(spark, d).select("id", "name", "address", "status", "registered_on", "county", "district", "tile_cell")

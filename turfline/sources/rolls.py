@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from turfline import fixed
 from turfline.functions.dates import iso_date, layout_date
 from turfline.functions.text import join_present, text
+from turfline.session import stage
 from turfline.sources.adapters import Layout
 
 CANONICAL = ["id", "name", "address", "status", "registered_on", "county", "district", "tile_cell"]
@@ -126,6 +127,23 @@ def scan(spark: SparkSession, path: str, layout: Layout, with_position: bool = F
     return canonical(placed, layout, "row_pos")
 
 
+def first_matching(spark: SparkSession, path: str, layout: Layout, keep: Column, limit: int) -> DataFrame:
+    """The first ``limit`` rows in file order that pass ``keep``, with ``row_pos``; files after them are not read.
+
+    Files are read in the order of their names, one, then two, four and so on, until enough rows are found, so at most twice as many are read as needed.
+    """
+    header = header_of(spark, path, layout)
+    listed = sorted(spark.read.options(**_reader_options(layout)).schema(header).csv(path).inputFiles())
+    parts, at, size, left = [], 0, 1, limit
+    while at < len(listed) and left > 0:
+        own = scan(spark, listed[at:at + size], layout, with_position=True).where(keep)
+        part = stage(own.withColumn("row_pos", F.col("row_pos") + (at << 44)).orderBy("row_pos").limit(left), "first")
+        parts.append(part)
+        left -= part.count()
+        at, size = at + size, 2 * size
+    return union(parts) if parts else scan(spark, path, layout, with_position=True).limit(0)
+
+
 def scan_stream(
     spark: SparkSession, folder: str, layout: Layout, schema: T.StructType, files_per_trigger: int = 4
 ) -> DataFrame:
