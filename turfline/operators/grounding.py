@@ -98,7 +98,8 @@ def check_citations(citations: DataFrame, pages: DataFrame, fuzzy: bool = True)
 
     A citation without a readable page is UNREACHABLE.  The exact stage is a substring test, the others go through ``window_scores``.
     """
-    texts = stage(one_page_per_url(pages), "page-texts")
+    cited = citations.select("url").distinct()
+    texts = stage(one_page_per_url(pages.join(cited, "url", "left_semi")), "page-texts")
     numbered = exact_quotes(citations, texts).withColumn("_cid", F.monotonically_increasing_id())
     tested = stage(numbered, "exact") if fuzzy else numbered  # written, so that the numbers stay
     score = F.col("is_exact").cast("double")
