@@ -330,7 +330,7 @@ def test_pipeline_stages(spark, docs):
 
 # --- found in review -----------------------------------------------------------------
 def test_profiles_are_cut_before_the_shuffle(spark):
-    plan = language_id.profiles(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = language_id.profiles(corpora.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 
@@ -384,3 +384,18 @@ def test_parts_whose_first_hash_is_the_same(monkeypatch):
         starts = np.cumsum([0] + [n + 1 for n in sizes])[:-1]
         ids, _ = memory.ids_of(memory.codes(data, starts, starts + sizes, np.zeros(len(sizes), np.int64)))
         assert ids.tolist() == sizes
+
+
+def test_pipeline_stages_keep_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    own = " ".join(f"w{i}" for i in range(90))
+    rows_ = [(1, own, "en", "s", 1), (5, own, "en", "s", 1), (5, "quite another text under the same number, without a copy", "en", "s", 1), (5, None, "en", "s", 1), (6, "  ", "en", "s", 1),
+             (7, own, None, None, None), (8, own, "en", "s", 1), (8, own, "en", "s", 2), (None, own, "en", "s", 1), (9, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, own), (5, rows_[2][1]), (5, None), (None, own)], key=str)
+    blank = spark.createDataFrame([(1, own, None), (2, own, None), (3, "", None), (4, None, None), (5, " \t", None)], "doc_id long, text string, had_words string")
+    left = corpus_pipeline.without_repeats(spark, blank, "")
+    assert left.columns == blank.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, own), (3, ""), (4, None), (5, " \t")], key=str)
