@@ -124,6 +124,13 @@ def test_editions_are_ordered_and_appear_at_once(spark):
     assert RR.read_published(spark, path).count() == RR.manifest(spark, path).first().records == 10
 
 
+def test_records_with_one_document_for_each_file(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"r{i}.json").write_text('{\n "id": "r%d",\n "signatures": {\n  "required": %d\n },\n "citations": [\n  {"url": "u"}\n ]\n}\n' % (i, i + 10))
+    got = RR.scan_rules(spark, str(tmp_path)).select("id", "signatures.required", F.size("citations")).collect()
+    assert sorted(map(tuple, got)) == [("r0", 10, 1), ("r1", 11, 1), ("r2", 12, 1)]
+
+
 def test_filters_of_all_campaigns(spark):
     rows = [("hot" if i % 3 else f"c{i % 7}", f"k{i}", i) for i in range(6000)] + [("hot", "k1", 9999), (None, "k1", 9998), ("c1", None, 9997)]
     keys = spark.createDataFrame(rows, "campaign_id string, member_key string, id long")

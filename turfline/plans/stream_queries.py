@@ -156,6 +156,14 @@ def stream_queue(spark, d):
     return SC.queue(spark, out)
 
 
+@query("stream_capture_log", CAP + "SELECT gatherer_id, seq, row_number() OVER (PARTITION BY gatherer_id ORDER BY seq DESC) AS back, max(seq) OVER (PARTITION BY gatherer_id) AS last_seq FROM captures")
+def stream_capture_log(spark, d):
+    """Captures appended to the log by a stream and read back as each device shows them."""
+    out, log = scratch(spark, "captured"), scratch(spark, "log")
+    _captures(spark, d, lambda sent: sent.writeStream.format("parquet").option("checkpointLocation", log).trigger(availableNow=True).start(out))
+    return sync.hydrate(spark.read.schema("gatherer_id string, seq long").parquet(out), ["gatherer_id"]).select("gatherer_id", "seq", "back", "last_seq")
+
+
 CHANGES = """WITH changes AS (SELECT 't' || o_custkey % 97 AS tile, o_custkey AS id, o_orderstatus, o_orderdate, o_orderkey, o_orderpriority, o_orderkey % 4 AS arrival FROM orders)"""
 
 
