@@ -200,3 +200,12 @@ def test_arrivals_hold_every_event_once(spark):
 
     arrivals = _arrivals(spark, SF)
     assert arrivals.count() == spark.read.parquet(f"{SF}/events.parquet").count() and arrivals.select("_arrival").distinct().count() == ARRIVALS
+
+
+def test_starting_a_stream_leaves_the_session_as_it_was(spark):
+    inbox, out, log = (scratch(spark, n) for n in ("inbox", "yield", "log"))
+    ft.captures(spark, SF).write.parquet(inbox)
+    SC.start_zip_counts(spark.readStream.schema(spark.read.parquet(inbox).schema).parquet(inbox), out, log).awaitTermination()
+    assert SC._STORE not in spark.conf.getAll
+    state = [os.path.join(d, f) for d, _, names in os.walk(log) for f in names if "/state/" in d + "/"]
+    assert any(f.endswith(".zip") or f.endswith(".changelog") for f in state)  # RocksDB's files

@@ -272,7 +272,9 @@ def _meetings(a: DataFrame, b: DataFrame, near: DataFrame, columns: list[str]) -
 def met_names(probes: DataFrame, people: DataFrame) -> DataFrame:
     """Distinct name pairs of all four classes of pairs with their score; PERSON columns on both sides."""
     a, b, near = _met(probes, people)
-    return _meetings(a, b, near, NAME).withColumn("name_score", name_score())
+    pairs, key = stage(_meetings(a, b, near, NAME), "meetings"), [f"{p}_{c}" for p in "ab" for c in NAME]
+    known = near.select(*key, "name_score")  # what brought names together is scored already; the rest shares a house number only
+    return pairs.join(known, key).unionByName(pairs.join(known, key, "left_anti").withColumn("name_score", name_score()))
 
 
 def met_streets(probes: DataFrame, people: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ asked for (``late`` of the velocity windows).
 
 from __future__ import annotations
 
+import functools
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -60,13 +61,25 @@ def once(retries: DataFrame) -> DataFrame:
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _stateful(spark: SparkSession) -> None:
-    """State on disk for the queries that this session starts from here on, unless it names a store itself."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    if "HDFSBacked" in spark.conf.get(name):
-        spark.conf.set(name, STATE_STORE)
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
+def _stateful(start: Callable[..., StreamingQuery]) -> Callable[..., StreamingQuery]:
+    """Start a query with its state on disk, unless the session names a store itself; the session's own setting stays as it was."""
+    @functools.wraps(start)
+    def started(stream: DataFrame, *args, **kwargs) -> StreamingQuery:
+        conf = stream.sparkSession.conf
+        if _STORE in conf.getAll:
+            return start(stream, *args, **kwargs)
+        conf.set(_STORE, STATE_STORE)
+        try:
+            return start(stream, *args, **kwargs)  # the query keeps the setting that it was started with
+        finally:
+            conf.unset(_STORE)
+    return started
+
+
+@_stateful
 def start_dedup(captures: DataFrame, statuses: str, checkpoint: str) -> StreamingQuery:
     """Cross-volunteer dedup: writes one status row per capture.
 
@@ -74,7 +87,6 @@ def start_dedup(captures: DataFrame, statuses: str, checkpoint: str) -> Streamin
     travel beside these keys.  So a batch is judged by itself plus its new keys: the state is looked up by key and the
     cost does not grow with the history.  A batch's folder is replaced when it is replayed, which makes the result exactly-once.
     """
-    _stateful(captures.sparkSession)
     key = ["campaign_id", "matched_voter_id"]
     fresh = captures.where("verdict = 'VALID' AND matched_voter_id IS NOT NULL").select(*key).dropDuplicates(key)
     arrivals = captures.withColumn("_fresh", F.lit(None).cast("boolean")).unionByName(
@@ -108,15 +120,16 @@ def latest(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]
     return newest.select(*[F.col(f"_r.{n}").alias(n) if n in rest else F.col(n) for n in schema.names])
 
 
+@_stateful
 def start_zip_counts(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running (campaign, zip) counts; a micro-batch writes the ZIPs that it changed."""
-    _stateful(captures.sparkSession)
     return (
         zip_counts(captures).writeStream.outputMode("update").foreachBatch(_changes(path))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+@_stateful
 def start_queue(captures: DataFrame, acknowledged: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Device queues as a stream: a capture is pending until an acknowledgement of it arrives, before or after the capture itself.
 
@@ -124,7 +137,6 @@ def start_queue(captures: DataFrame, acknowledged: DataFrame, path: str, checkpo
     acknowledges nothing and its rows stay pending; a push that is repeated acknowledges again and changes nothing.  An
     acknowledgement without its capture is kept and not shown.  ``queue`` reads the result.
     """
-    _stateful(captures.sparkSession)
     key = ["campaign_id", "gatherer_id", "seq"]
     both = captures.select(*key, F.lit(True).alias("captured"), F.lit(None).cast("string").alias("status")).unionByName(
         acknowledged.select(*key, F.lit(False).alias("captured"), F.coalesce("status", F.lit("recorded")).alias("status")))
@@ -143,13 +155,13 @@ def queue(spark: SparkSession, path: str) -> DataFrame:
                        F.when(F.col("status") == "duplicate", "server: duplicate").alias("server_note"))
 
 
+@_stateful
 def start_posterior(captures: DataFrame, history: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running posterior per gatherer: stream counts added to the stored history.
 
     The history's own posterior is the state before the first micro-batch (batch -1); from there a micro-batch writes
     the gatherers that it changed.
     """
-    _stateful(captures.sparkSession)
     history = stage(merge_counts(history), "history")
     yield_posterior(history).write.mode("overwrite").parquet(f"{path}/batch=-1")
     counts = captures.groupBy(F.lit("gatherer").alias("dim"), F.col("gatherer_id").alias("key")).agg(
@@ -165,9 +177,9 @@ def start_posterior(captures: DataFrame, history: DataFrame, path: str, checkpoi
     )
 
 
+@_stateful
 def start_movement(captures: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Running count of accepted signatures: streaming deduplication on (campaign, voter), then a count."""
-    _stateful(captures.sparkSession)
     accepted = captures.where("verdict = 'VALID' and matched_voter_id is not null").dropDuplicates(
         ["campaign_id", "matched_voter_id"])
 
@@ -191,10 +203,10 @@ def capture_velocity(captures: DataFrame, width: str = "60 minutes", slide: str
     return source.groupBy("gatherer_id", F.window("captured_at", width, slide)).agg(F.count(F.lit(1)).alias("captures"))
 
 
+@_stateful
 def start_velocity(captures: DataFrame, path: str, checkpoint: str, width: str = "60 minutes", slide: str = "15 minutes",
                    late: str | None = None) -> StreamingQuery:
     """Running velocity windows; a micro-batch writes the windows that it changed."""
-    _stateful(captures.sparkSession)
     windows = capture_velocity(captures, width, slide, late).select("gatherer_id", F.col("window.start").alias("started"), "captures")
     return (
         windows.writeStream.outputMode("update").foreachBatch(_changes(path)).option("checkpointLocation", checkpoint)
@@ -235,9 +247,9 @@ def limit_calls(calls: DataFrame, seconds: float = 60.0, limit: int = _LIMIT, fo
         GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+@_stateful
 def start_limiter(calls: DataFrame, path: str, checkpoint: str, seconds: float = 60.0, limit: int = _LIMIT,
                   forget_ms: int | None = None) -> StreamingQuery:
-    _stateful(calls.sparkSession)
     return (
         limit_calls(calls, seconds, limit, forget_ms).writeStream.format("parquet").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
