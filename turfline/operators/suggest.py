@@ -30,9 +30,10 @@ def suggest_voters(queries: DataFrame, roll: DataFrame, limit: int = fixed.SUGGE
     needs a name hit, or the house number together with a distinctive street word.  Queries meet the
     distinct words of the roll, then distinct people shapes, and only the ranked shapes become voters.
     """
-    std = standardize(roll).withColumn("active", F.col("status") == "active")
-    keyed = stage(std.select("row_pos", "id", F.to_json(F.struct(*_SHAPE)).alias("shape"), *_SHAPE), "voters")
-    shapes = keyed.select("shape", *_SHAPE).distinct()
+    std = standardize(roll).withColumn("active", F.coalesce(F.col("status") == "active", F.lit(False)))
+    people = stage(std.select("row_pos", "id", *_SHAPE), "voters")
+    shapes = stage(people.select(*_SHAPE).distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")  # a number as key of all joins
+    keyed = people.join(shapes, _SHAPE).select("shape", "row_pos", "id")
     asked = queries.select("query_id", F.posexplode(words(basic("query"))).alias("at", "word")).where("length(word) >= 2")
     numbers = asked.where(F.col("word").rlike("^\\d+$"))
     typed = asked.where(~F.col("word").rlike("^\\d+$"))
