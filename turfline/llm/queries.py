@@ -151,7 +151,7 @@ h AS (SELECT h.host, h.n, h.bad, dp.mean AS prior FROM hosts h JOIN dp USING (do
 said AS (SELECT host, mean - {U.BOUND} * sqrt(mean * (1 - mean) / (weight + 1)) > {U.BAD_RATE} AS blocked FROM hp),
 r AS (SELECT * FROM (VALUES {rules}) r(verdict, rule, of, start)),
 f AS (SELECT page_id, host, path, said.blocked, list(struct_pack(size := length(rule), rule := rule, verdict := r.verdict)) FILTER (rule IS NOT NULL) AS fits
-    FROM (SELECT *, row_number() OVER () AS at FROM p) p LEFT JOIN said USING (host) LEFT JOIN r ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY at, page_id, host, path, blocked)
+    FROM (SELECT *, row_number() OVER () AS nr FROM p) p LEFT JOIN said USING (host) LEFT JOIN r ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY nr, page_id, host, path, blocked)
 SELECT page_id, host, path, list_max(fits).rule AS rule, coalesce(list_max(fits).verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
 
 
