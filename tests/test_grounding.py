@@ -11,7 +11,8 @@ from turfline.functions.text import page_text
 from pyspark.sql import functions as F
 
 
-def test_window_search_equals_definition(spark):
+def test_window_search_equals_definition(spark, monkeypatch):
+    monkeypatch.setattr(grounding, "TOKENS_PER_COPY", 6)
     rng = random.Random(4)
     pages = {f"u{i}": " ".join(rng.choice(["a", "b", "cc", "d", "ee"][: rng.randrange(1, 6)]) for _ in range(rng.randrange(1, 60))) for i in range(40)}
     pages |= {f"v{i}": " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(20)) for _ in range(400)) for i in range(10)}

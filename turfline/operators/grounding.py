@@ -11,6 +11,8 @@ from turfline.session import stage
 
 #: Citations that one copy of a page's text is compared with.
 CITATIONS_PER_COPY = 1000
+#: Different words of altered quotes that one copy of a page's text is searched for.
+TOKENS_PER_COPY = 2000
 
 
 def one_page_per_url(pages: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def window_scores(quotes: DataFrame, texts: DataFrame) -> DataFrame:
 
     A window lies around an occurrence of the quote's rarest word and is as long as the quote or ``WIDER_WINDOW`` longer; its score is the
     better of the Dice overlap of both bigram multisets and the share of the quote's bigrams.  An inverted index holds (url, token, next
-    token, position) of the quotes' words only.  From it come the rarest word, its places, and the places where a bigram of the
+    token, position) of the quotes' words only; a page picks them out before anything of it is shuffled by word.  From it come the rarest word, its places, and the places where a bigram of the
     quote stands.  Moving a window's start to the next such place, or to the rarest word, never lowers its score, so only those starts are
     tried.  A place counts in a window unless the window holds as many earlier ones of its bigram as the quote.  Places meet windows by
     stretch of the page, so the work is linear in the places.
@@ -58,10 +60,13 @@ def window_scores(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     words = q.select("cid", "url", "m", F.posexplode("w").alias("i", "token"), "w").select(
         "cid", "url", "m", "i", "token", F.get("w", F.col("i") + 1).alias("next"))
     words = stage(words, "quote-words")
-    page = texts.where("content IS NOT NULL").join(q.select("url").distinct(), "url", "left_semi").withColumn("w", F.split("content", " "))
-    index = page.select("url", F.size("w").alias("n"), "w", F.posexplode("w").alias("pos", "token")).select(
-        "url", "n", "pos", "token", F.get("w", F.col("pos") + 1).alias("next"))
-    index = stage(index.join(words.select("url", "token").distinct(), ["url", "token"], "left_semi"), "positions")
+    tokens = words.select("url", "token").distinct()
+    parts = tokens.groupBy("url").agg(F.ceil(F.count(F.lit(1)) / TOKENS_PER_COPY).alias("_parts"))
+    wanted = tokens.join(parts, "url").groupBy("url", F.pmod(F.xxhash64("token"), "_parts").alias("_part")).agg(F.collect_list("token").alias("_wanted"))
+    page = texts.where("content IS NOT NULL").join(wanted, "url").withColumn("w", F.split("content", " "))
+    place = F.transform("w", lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.get("w", i + 1).alias("next")))
+    found = F.explode(F.filter(place, lambda x: F.array_contains("_wanted", x["token"]))).alias("x")
+    index = stage(page.select("url", F.size("w").alias("n"), found).select("url", "n", "x.*"), "positions")
 
     counts = index.groupBy("url", "token").agg(F.count(F.lit(1)).alias("times"))
     rarest = words.join(counts, ["url", "token"]).groupBy("cid", "url", "m").agg(
