@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from turfline.operators import opportunities, sync
+from turfline.operators import opportunities, routing, sync
 
 
 def _plan(df) -> str:
@@ -40,3 +40,31 @@ def test_union_state_names_every_tiles_version(spark):
     loaded = spark.sql("SELECT * FROM VALUES ('c', 't2', 'v2', 5, TIMESTAMP_NTZ '2026-01-02'), ('c', 't1', 'v1', 3, TIMESTAMP_NTZ '2026-01-01') t(campaign_id, tile, version, voter_count, synced_at)")
     (row,) = sync.union_state(loaded).collect()
     assert (row.version, row.voter_count, row.synced_at.day) == ("v1|v2", 8, 1)
+
+
+def test_day_assignment_writes_only_offers_of_worth(spark, monkeypatch):
+    """A gatherer with an offer in two of ten states; those without any worth go to a state only if it takes everybody left."""
+    rng, written = random.Random(5), {}
+    stage = routing.stage
+    monkeypatch.setattr(routing, "stage", lambda df, name: written.setdefault(name, []).append(stage(df, name)) or written[name][-1])
+    rows = [(day, f"g{g:02d}", f"s{s}", float(rng.choice([0, 1, 2, 5])), 1.0) for day in ("d1", "d2", "d3") for g in range(40) for s in rng.sample(range(10), 2)] + [("d1", None, "s1", 3.0, 1.0)]
+    pace = {(day, f"s{s}"): float(rng.choice([10, 40, 90, 3000 if day == "d3" and s > 7 else 20])) for day in ("d1", "d2", "d3") for s in range(10)}
+    states = [(day, s, p) for (day, s), p in pace.items()]
+    got = routing.assign_day(
+        spark.createDataFrame(rows, "drive_day string, gatherer string, state string, raw double, rate double"),
+        spark.createDataFrame(states, "drive_day string, state string, pace double"))
+    want = {}
+    for day in ("d1", "d2", "d3"):
+        worth = {(g, s): raw for d, g, s, raw, _ in rows if d == day and g}
+        order = sorted((s for d, s in pace if d == day), key=lambda s: (-pace[day, s], s))
+        free = sorted({g for g, _ in worth})
+        for s in order:
+            met = 0.0
+            for g in sorted(free, key=lambda g: (-worth.get((g, s), 0.0), g)):
+                if met >= pace[day, s]:
+                    break
+                want[day, g], met = s, met + 8.0 * worth.get((g, s), 0.0)
+            free = [g for g in free if (day, g) not in want]
+        want |= {(day, g): order[0] for g in free} | ({(day, None): order[0]} if day == "d1" else {})
+    assert {(r.drive_day, r.gatherer): r.state for r in got.collect()} == want
+    assert written["offers"][0].count() <= len(rows) < 3 * 40 * 10

@@ -174,31 +174,38 @@ def assign_day(gatherers: DataFrame, states: DataFrame, hours: float = 8.0) -> D
     gatherers by falling worth (ties by name) until their worth times ``hours`` meets its pace; who is left at the end goes to the
     hottest state.
 
-    Every round all open states propose to the gatherers that no hotter state holds, on all days at once.  After round r the r hottest
-    states are final and leave with their gatherers; the rounds end when nothing changes.  So there are at most as many rounds as states, and
-    a window holds the gatherers of one state on one day.
+    Round k serves the k-th hottest state of all days at once, from the gatherers whom no hotter one took; an offer of worth nothing is never
+    written, as it moves no sum: such gatherers go along only if the worth of all others leaves the pace unmet, and then the state takes everybody left and
+    the day is done.  So every offer is looked at once, there are at most as many rounds as a day has states, and a window holds the offers
+    to one state on one day.
     """
     pool = gatherers.join(states, ["drive_day", "state"])
-    ranked = states.withColumn("k", F.row_number().over(Window.partitionBy("drive_day").orderBy(F.desc("pace"), "state")))
     people = stage(pool.select("drive_day", "gatherer").distinct(), "gatherers")
-    worth = pool.select("drive_day", "state", "gatherer", (F.col("raw") * F.col("rate")).alias("worth"))
-    offers = stage(people.join(ranked, "drive_day").join(worth, ["drive_day", "state", "gatherer"], "left").select(
-        "drive_day", "k", "state", "pace", "gatherer", F.coalesce("worth", F.lit(0.0)).alias("worth")), "offers")
-    order = Window.partitionBy("drive_day", "k").orderBy(F.desc("worth"), "gatherer").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = stage(states.join(people.select("drive_day").distinct(), "drive_day", "left_semi").withColumn(
+        "k", F.row_number().over(Window.partitionBy("drive_day").orderBy(F.desc("pace"), "state"))).coalesce(1), "states")
+    worth = pool.select("drive_day", "state", "gatherer", (F.col("raw") * F.col("rate")).alias("worth")).where("gatherer IS NOT NULL AND worth <> 0")
+    # Sorted by state, so that a round reads little more than its own offers.
+    offers = stage(worth.join(ranked, ["drive_day", "state"]).select("drive_day", "k", "pace", "gatherer", "worth").repartition(
+        "drive_day", "k").sortWithinPartitions("k"), "offers")
+    order = Window.partitionBy("drive_day").orderBy(F.desc("worth"), "gatherer")
+    before = F.coalesce(F.sum("worth").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) * hours
+    after = F.sum("worth").over(order.rowsBetween(Window.unboundedPreceding, 0)) * hours
     day = ["drive_day", "gatherer"]
-    held, turn, mark = None, 0, None
-    while True:
-        free = offers.where(F.col("k") > turn)
-        if held is not None:
-            holder = held.select(*day, F.col("k").alias("by"))
-            free = free.join(holder, day, "left").where("by IS NULL OR by >= k").drop("by")
-        met = F.coalesce(F.sum("worth").over(order), F.lit(0.0)) * hours
-        taken = free.withColumn("met", met).where("met < pace").groupBy(*day).agg(F.min("k").alias("k"))
-        final = held.where(F.col("k") <= turn) if held is not None else None
-        held = stage(taken if final is None else taken.unionByName(final).groupBy(*day).agg(F.min("k").alias("k")), "held")
-        now = held.agg(F.count("*"), F.bit_xor(F.xxhash64(*day, "k"))).first()
-        if now == mark:
+    days, last = ranked.agg(F.count_if(F.col("k") == 1), F.max("k")).first()
+    held, over = people.withColumn("k", F.lit(0)).where("false"), ranked.select("drive_day", "k").where("false")
+    for k in range(1, (last or 0) + 1):
+        done = over.select("drive_day")
+        free = offers.where(F.col("k") == k).join(done, "drive_day", "left_anti").join(held.select(*day), day, "left_anti")
+        met = stage(free.select(*day, "k", (before < F.col("pace")).alias("taken"), F.when(F.col("worth") > 0, after).alias("gained")), "met")
+        held = held.unionByName(met.where("taken").select(*day, "k"))
+        gained = met.groupBy("drive_day").agg(F.max("gained").alias("gained"))
+        short = ranked.where(F.col("k") == k).join(done, "drive_day", "left_anti").join(gained, "drive_day", "left").where(
+            F.coalesce("gained", F.lit(0.0)) < F.col("pace"))
+        over = stage(over.unionByName(short.select("drive_day", "k")).coalesce(1), "over")
+        if over.count() >= days:
             break
-        mark, turn = now, turn + 1
-    left = people.join(held, day, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    held = held.distinct()
+    rest = over.select("drive_day", F.col("k").alias("_rest"))
+    left = people.join(held, day, "left").join(rest, "drive_day", "left").withColumn(
+        "k", F.coalesce("k", F.when(F.col("gatherer").isNotNull(), F.col("_rest")), F.lit(1)))
     return left.join(ranked.select("drive_day", "k", "state"), ["drive_day", "k"]).select("drive_day", "gatherer", "state")
