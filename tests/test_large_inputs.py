@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from turfline.operators import opportunities, routing, sync
+from turfline.operators import opportunities, routing, suggest, sync
 
 
 def _plan(df) -> str:
@@ -68,3 +68,26 @@ def test_day_assignment_writes_only_offers_of_worth(spark, monkeypatch):
         want |= {(day, g): order[0] for g in free} | ({(day, None): order[0]} if day == "d1" else {})
     assert {(r.drive_day, r.gatherer): r.state for r in got.collect()} == want
     assert written["offers"][0].count() <= len(rows) < 3 * 40 * 10
+
+
+def test_suggestions_meet_in_blocks(spark, monkeypatch):
+    """Points are added up inside blocks of shapes; words that come twice, a query id that comes twice and frequent words change nothing."""
+    monkeypatch.setattr(suggest, "SHAPES_PER_TASK", 4)
+    monkeypatch.setattr(suggest, "QUERIES_PER_TASK", 2)
+    people = [(i, f"V{i}", ("Ann", "Anna", "Joann")[i % 3], "Smith" if i % 2 else "Anders", 100 + i % 4, ("Oak", "Annex")[i % 2], "active" if i % 5 else "inactive") for i in range(40)]
+    roll = spark.createDataFrame([(i, v, f"{a} {b}", f"{n} {s} St, Springfield 62701", st) for i, v, a, b, n, s, st in people], "row_pos long, id string, name string, address string, status string")
+    asked = [(1, "ann smith 101 oak"), (2, "an an"), (3, "101"), (4, "smith"), (5, "101 annex"), (6, "oak"), (4, "smith")]
+    got: dict[int, list] = {}
+    for r in suggest.suggest_voters(spark.createDataFrame(asked, "query_id long, query string"), roll, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    hit = lambda w, words: max([3 if w == x else 2 if x.startswith(w) else 0 for x in words])
+    for q, text in asked:
+        scored = []
+        for i, v, a, b, n, s, st in people:
+            typed = [w for w in text.split() if not w.isdigit()]
+            name, street = sum(hit(w, [a.lower(), b.lower()]) for w in typed), sum(hit(w, [s.lower()]) for w in typed)
+            house = str(n) in text.split()
+            if name or (house and street):
+                scored.append((-(name + street + 4 * house + 0.5 * (st == "active")), i, v))
+        assert got.get(q, []) == [(v, -p) for p, _, v in sorted(scored)[:5]]
+    assert sorted(got) == [1, 2, 4, 5]
