@@ -91,3 +91,17 @@ def test_suggestions_meet_in_blocks(spark, monkeypatch):
                 scored.append((-(name + street + 4 * house + 0.5 * (st == "active")), i, v))
         assert got.get(q, []) == [(v, -p) for p, _, v in sorted(scored)[:5]]
     assert sorted(got) == [1, 2, 4, 5]
+
+
+def test_velocity_takes_an_arrival_in_several_batches(spark, monkeypatch):
+    """Small files, few at a time: more micro-batches than arrivals, and the windows of the batch query."""
+    from turfline.plans import stream_queries
+    from turfline.plans.registry import QUERIES
+
+    sf, batches = "/root/testdata/sf0.001", set()
+    monkeypatch.setattr(stream_queries, "ROWS_PER_FILE", 100)
+    monkeypatch.setattr(stream_queries, "FILES_AT_ONCE", 2)
+    changes = stream_queries.SC._changes
+    monkeypatch.setattr(stream_queries.SC, "_changes", lambda path: lambda batch, n: (batches.add(n), changes(path)(batch, n)))
+    rows = lambda name: sorted(map(str, QUERIES[name](spark, sf).collect()))
+    assert rows("stream_velocity") == rows("capture_velocity") and len(batches) > stream_queries.ARRIVALS

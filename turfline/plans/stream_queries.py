@@ -16,7 +16,9 @@ from turfline.streaming import captures as SC
 from turfline.streaming import index_sync
 
 
-ARRIVALS, ROWS_PER_FILE = 4, 1_000_000
+ARRIVALS, ROWS_PER_FILE = 4, 250_000
+#: Files of one micro-batch where the order of arrival does not matter, so that a task's groups do not grow with an arrival.
+FILES_AT_ONCE = 12
 
 
 def _arrivals(spark, d):
@@ -30,21 +32,25 @@ def _arrivals(spark, d):
     files = max(1, -(-total // (ARRIVALS * ROWS_PER_FILE)))
     dealt = events.withColumn("_arrival", arrival).repartition(ARRIVALS * files, "_arrival", F.pmod(F.xxhash64("event_id"), F.lit(files)))
     path = scratch(spark, "arrivals")
-    dealt.write.partitionBy("_arrival").parquet(path)  # one pass over the events, several files for each arrival
+    dealt.write.partitionBy("_arrival").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)  # one pass over the events, several files for each arrival
     return spark.read.schema(dealt.schema).parquet(path)
 
 
-def _deliver(spark, d, start):
-    """Let the events arrive one quarter after the other; ``start(events)`` runs the stream over what is new, from its checkpoint."""
+def _deliver(spark, d, start, files_at_once=None):
+    """Let the events arrive one quarter after the other; ``start(events)`` runs the stream over what is new, from its checkpoint.
+
+    A quarter is one micro-batch, or with ``files_at_once`` as many as its files take.
+    """
     arrivals, inbox = _arrivals(spark, d), scratch(spark, "inbox")
     events = arrivals.drop("_arrival")
     for i in range(ARRIVALS):
-        arrivals.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").parquet(inbox)  # reads that arrival's files only
-        start(spark.readStream.schema(events.schema).parquet(inbox)).awaitTermination()
+        arrivals.where(F.col("_arrival") == i).drop("_arrival").write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(inbox)  # reads that arrival's files only
+        source = spark.readStream.schema(events.schema)
+        start((source.option("maxFilesPerTrigger", files_at_once) if files_at_once else source).parquet(inbox)).awaitTermination()
 
 
-def _captures(spark, d, start):
-    _deliver(spark, d, lambda events: start(ft.capture_columns(events)))
+def _captures(spark, d, start, files_at_once=None):
+    _deliver(spark, d, lambda events: start(ft.capture_columns(events)), files_at_once)
 
 
 @query("stream_capture_dedup", STATUS + "SELECT campaign_id, seq, status FROM statuses")
@@ -98,7 +104,7 @@ def stream_velocity(spark, d):
     out, log = scratch(spark, "velocity"), scratch(spark, "log")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     at = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, "captured_at"))
-    _captures(spark, d, lambda sent: SC.start_velocity(sent.withColumn("captured_at", at), out, log))
+    _captures(spark, d, lambda sent: SC.start_velocity(sent.withColumn("captured_at", at), out, log), FILES_AT_ONCE)
     rows = SC.latest(spark, out, spark.createDataFrame([], "gatherer_id string, started timestamp, captures long").schema, ["gatherer_id", "started"])
     return rows.select("gatherer_id", F.unix_seconds("started").alias("started"), "captures")
 
