@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turfline.operators import artifacts, expectations, opportunities, yields
 from turfline.plans.registry import QUERIES
 from turfline.plans.stream_queries import ARRIVALS
-from turfline.session import scratch
+from turfline.session import SCAN_PARTITIONS, dealt, scratch
 from turfline.sources import field_tables as ft
 from turfline.sources import rule_records as RR
 from turfline.streaming import captures as SC
@@ -209,3 +209,25 @@ def test_starting_a_stream_leaves_the_session_as_it_was(spark):
     assert SC._STORE not in spark.conf.getAll
     state = [os.path.join(d, f) for d, _, names in os.walk(log) for f in names if "/state/" in d + "/"]
     assert any(f.endswith(".zip") or f.endswith(".changelog") for f in state)  # RocksDB's files
+
+
+def test_expectations_inside_lists_of_lists(spark):
+    wanted = [("$.a", "type", "array"), ("$.a[*].b", "type", "array"), ("$.a[*].b[*]", "required", "c"), ("$.a[*].b[*].c", "minimum", 0), ("$.d[0]", "enum", ("x",))]
+    docs = [(1, '{"a":[{"b":[{"c":1},{"c":-1}]},{"b":[{}]},{"b":7}],"d":["y"]}'), (2, '{"a":[{"b":[{"c":1}]},{}],"d":["x"]}'), (3, '{"a":{"b":1}}'), (4, "[1]")]
+    found = {tuple(r) for r in expectations.violations(spark.createDataFrame(docs, "id long, value string"), wanted).collect()}
+    assert found == {
+        (1, "$.a[0].b[1].c", "minimum"), (1, "$.a[1].b[0].c", "required"), (1, "$.a[2].b", "type"), (1, "$.d[0]", "enum"), (3, "$.a", "type")}
+
+
+def test_scan_of_one_file_is_dealt_over_the_cores(spark, tmp_path):
+    """A file of one row group is one task, whatever its size."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    asked = spark.conf.get(SCAN_PARTITIONS, None)
+    spark.conf.unset(SCAN_PARTITIONS)
+    try:
+        rows = dealt(spark.read.parquet(str(tmp_path / "one"))).withColumn("part", F.spark_partition_id())
+        assert rows.select("part").distinct().count() >= spark.sparkContext.defaultParallelism
+        assert rows.selectExpr("count(DISTINCT id)").first()[0] == 1000
+    finally:
+        if asked is not None:
+            spark.conf.set(SCAN_PARTITIONS, asked)

@@ -1,11 +1,15 @@
 """Quality of raw JSON documents against a table of expectations.
 
 An expectation is (path, kind, argument); ``[*]`` in a path stands for every element of a list.  Documents are parsed to VARIANT, so what a fixed read
-schema would turn into nulls is seen: wrong types, keys that nobody expects, text that is no JSON.  One pass, no join.
+schema would turn into nulls is seen: wrong types, keys that nobody expects, text that is no JSON.  One pass, no join; the checks go down a document
+from member to member, so each value is taken out of the one above it once and not once for each expectation.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,8 @@ from turfline import fixed
 
 Expectation = tuple[str, str, object]
 _FOUND = "array<struct<path:string,problem:string>>"
+_STEP = re.compile(r"\.[^.\[]+|\[[^\]]*\]")  # the steps of a path: a member's name, or a place in a list
+_NAMED = re.compile(r"\.[^.\[]+")
 _YES_NO = ("yes", "no", "unknown")
 
 #: What rule records promise beyond the types and keys of their schema.
@@ -41,16 +47,28 @@ def of_schema(schema: T.DataType, path: str = "$") -> list[Expectation]:
     return [(path, "type", names[type(schema)])]
 
 
-def _is(kind: str, x: Column) -> Column:
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def _is(kind: str, x: Column, members: Column, items: Column) -> Column:
+    if kind in ("object", "array"):
+        return (members if kind == "object" else items).isNotNull()
     said = F.schema_of_variant(x)
     number = said.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     if kind == "integer":
         value = F.try_variant_get(x, "$", "double")
         return number & (value == F.floor(value))
-    return {"number": number, "string": said == "STRING", "boolean": said == "BOOLEAN", "array": said.startswith("ARRAY"), "object": said.startswith("OBJECT")}[kind]
+    return {"number": number, "string": said == "STRING", "boolean": said == "BOOLEAN"}[kind]
 
 
-def _checks(x: Column, where: Column, wanted: list[tuple[str, object]]) -> Column:
+def _part(x: Column, members: Column, step: str) -> Column:
+    """What one step of a path leads to: a member by its name, else whatever else a variant path may say."""
+    return F.try_element_at(members, F.lit(step[1:])) if _NAMED.fullmatch(step) else F.try_variant_get(x, "$" + step, "variant")
+
+
+def _checks(x: Column, members: Column, items: Column, where: Column, wanted: list[tuple[str, object]]) -> Column:
     """Problems of one value; a value of a wrong type has no other."""
     def problem(name: str, at: Column = where) -> Column:
         return F.struct(at.alias("path"), F.lit(name).alias("problem"))
@@ -69,21 +87,53 @@ def _checks(x: Column, where: Column, wanted: list[tuple[str, object]]) -> Colum
         elif what == "maximum":
             parts.append(F.when(number > argument, problem("maximum")))
         elif what == "required":
-            parts.append(F.when(F.try_variant_get(x, f"$.{argument}", "variant").isNull(), problem("required", F.concat(where, F.lit(f".{argument}")))))
+            parts.append(F.when(_part(x, members, f".{argument}").isNull(), problem("required", F.concat(where, F.lit(f".{argument}")))))
         elif what == "keys":
-            keys = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
-            extra = F.array_except(keys, F.array(*[F.lit(k) for k in argument]))
+            extra = F.array_except(F.map_keys(members), F.array(*[F.lit(k) for k in argument]))
             lists.append(F.coalesce(F.transform(extra, lambda k: problem("additional", F.concat(where, F.lit("."), k))), F.array().cast(_FOUND)))
     found = F.concat(F.array_compact(F.array(*parts)).cast(_FOUND) if parts else F.array().cast(_FOUND), *lists)
-    right = _is(kind, x) if kind else F.lit(True)
-    return F.when(x.isNull(), F.array().cast(_FOUND)).when(~right, F.array(problem("type"))).otherwise(found)
+    right = _is(kind, x, members, items) if kind else F.lit(True)
+    return F.when(~right, F.array(problem("type"))).otherwise(found)
+
+
+class _Place:
+    """What is expected of the value at one place, and of the places below it by the step that leads there."""
+
+    def __init__(self) -> None:
+        self.wanted: list[tuple[str, object]] = []
+        self.below: dict[str, _Place] = {}
+
+    def at(self, path: str) -> _Place:
+        place = self
+        for step in _STEP.findall(path):
+            place = place.below.setdefault(step, _Place())
+        return place
+
+    def of_item(self, where: Column) -> Callable[[Column, Column], Column]:
+        return lambda x, i: self.found(x, F.concat(where, F.lit("["), i.cast("string"), F.lit("]")))
+
+    def of_member(self, where: Column, step: str) -> Callable[[Column], Column]:
+        return lambda x: self.found(x, F.concat(where, F.lit(step)))
+
+    def found(self, x: Column, where: Column) -> Column:
+        """Problems of a value and of everything below it; what is not there has none."""
+        def inside(members: Column, items: Column) -> Column:
+            each = [_checks(x, members, items, where, self.wanted)]
+            for step, place in self.below.items():
+                if step == "[*]":
+                    each.append(F.flatten(F.transform(F.coalesce(items, F.array().cast("array<variant>")), place.of_item(where))))
+                else:
+                    each.append(_bound(_part(x, members, step), place.of_member(where, step)))
+            return F.concat(*each) if len(each) > 1 else each[0]
 
+        def of_items(members: Column) -> Column:
+            return _bound(F.try_variant_get(x, "$", "array<variant>"), lambda items: inside(members, items)) if listed else inside(members, F.lit(None).cast("array<variant>"))
 
-def _each(head: str, tail: str, wanted: list[tuple[str, object]]):
-    """The checks of a path inside every element of a list."""
-    def of(x: Column, i: Column) -> Column:
-        return _checks(F.try_variant_get(x, "$" + tail, "variant") if tail else x, F.concat(F.lit(head + "["), i.cast("string"), F.lit("]" + tail)), wanted)
-    return of
+        kinds = {argument for what, argument in self.wanted if what == "type"}
+        listed = "array" in kinds or "[*]" in self.below
+        named = "object" in kinds or set(self.below) - {"[*]"} or any(what in ("required", "keys") for what, _ in self.wanted)
+        whole = _bound(F.try_variant_get(x, "$", "map<string,variant>"), of_items) if named else of_items(F.lit(None).cast("map<string,variant>"))
+        return F.when(x.isNull(), F.array().cast(_FOUND)).otherwise(whole)
 
 
 def violations(documents: DataFrame, expectations: list[Expectation], id_: str = "id", value: str = "value") -> DataFrame:
@@ -91,18 +141,10 @@ def violations(documents: DataFrame, expectations: list[Expectation], id_: str =
 
     Problems: json (no JSON, or null), type, required, enum, pattern, minimum, maximum, additional.  What is not there breaks only ``required``.
     """
-    by_path: dict[str, list[tuple[str, object]]] = {}
+    root = _Place()
     for path, kind, argument in expectations:
-        by_path.setdefault(path, []).append((kind, argument))
+        root.at(path).wanted.append((kind, argument))
     v = F.col("_v")
-    found: list[Column] = []
-    for path, wanted in by_path.items():
-        head, star, tail = path.partition("[*]")
-        if star:
-            own = F.coalesce(F.try_variant_get(v, head, "array<variant>"), F.array().cast("array<variant>"))
-            found.append(F.flatten(F.transform(own, _each(head, tail, wanted))))
-        else:
-            found.append(_checks(F.try_variant_get(v, path, "variant"), F.lit(path), wanted))
-    whole = F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("problem")))).otherwise(F.concat(*found))
+    whole = F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("problem")))).otherwise(root.found(v, F.lit("$")))
     parsed = documents.select(F.col(id_).alias("id"), F.try_parse_json(value).alias("_v"))
     return parsed.select("id", F.explode(whole).alias("p")).select("id", "p.path", "p.problem")

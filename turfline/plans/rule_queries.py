@@ -130,7 +130,7 @@ def record_quality(spark, d):
     for i, (old, new, _, _) in enumerate(PLANTED):
         broken, own = F.replace(right, F.lit(old), F.lit(new)), k % (len(PLANTED) + 1) == i + 1
         value = F.when(own, broken) if value is None else value.when(own, broken)
-    raw = ft.read(spark, d, "part").select(k.alias("id"), value.otherwise(right).alias("value"))
+    raw = dealt(ft.read(spark, d, "part").select("p_partkey")).select(k.alias("id"), value.otherwise(right).alias("value"))
     return expectations.violations(raw, [*expectations.of_schema(RR.RULE_RECORD), *expectations.RULE_EXPECTATIONS])
 
 

@@ -54,12 +54,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Session setting: into how many partitions compute-heavy scans are dealt.  Unset (as on a cluster, whose files have many
-#: splits) a scan stays as it is; a local session sets it to its cores, because small tables are single row groups.
+#: Session setting: into how many partitions compute-heavy scans are dealt.  A local session sets it to its cores, because small
+#: tables are single row groups; where it is unset, files fewer than cores are dealt, because a row group is read by one task
+#: however many splits its file has.
 SCAN_PARTITIONS = "spark.turfline.scanPartitions"
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """The scan in as many partitions as the session asks for."""
-    wanted = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
-    return df.repartition(int(wanted)) if wanted else df
+    """The scan in as many partitions as the session asks for, or in enough for every core."""
+    spark = df.sparkSession
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    if wanted:
+        return df.repartition(int(wanted))
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
