@@ -231,3 +231,18 @@ def test_scan_of_one_file_is_dealt_over_the_cores(spark, tmp_path):
     finally:
         if asked is not None:
             spark.conf.set(SCAN_PARTITIONS, asked)
+
+
+def test_tiles_are_written_by_every_core(spark):
+    """Many small tiles are few bytes, which must not put all their files into one task."""
+    out, tiles = scratch(spark, "tiles"), spark.range(200).selectExpr("CAST(id % 100 AS string) AS tile", "id", "id AS position")
+    merged = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    try:
+        artifacts.write_tiles(tiles, out)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    files = [f for _, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
+    assert len(files) == 100 and len({f.split("-")[1] for f in files}) >= spark.sparkContext.defaultParallelism / 2
+    back = spark.read.schema(tiles.schema).parquet(out)
+    assert back.where("tile = '07'").count() == 0 and back.count() == 200

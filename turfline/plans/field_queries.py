@@ -227,8 +227,9 @@ def tile_stats(spark, d):
 def tile_files(spark, d):
     """Write the tile artifacts and read them back by folder."""
     out = scratch(spark, "tiles")
-    artifacts.write_tiles(_tiles(spark, d), out)
-    back = spark.read.parquet(out).select(F.col("tile").cast("string").alias("tile"), "id", "position")
+    tiles = _tiles(spark, d)
+    artifacts.write_tiles(tiles, out)
+    back = spark.read.schema(tiles.schema).parquet(out).select("tile", "id", "position")
     return back.groupBy("tile").agg(
         F.count(F.lit(1)).alias("voters"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda s: s["id"]), " ").alias("ids"))

@@ -60,13 +60,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 SCAN_PARTITIONS = "spark.turfline.scanPartitions"
 
 
+def enough_tasks(spark: SparkSession) -> int:
+    """A number of partitions that keeps every core busy and grows with the session's setting."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The scan in as many partitions as the session asks for, or in enough for every core."""
     spark = df.sparkSession
     wanted = spark.conf.get(SCAN_PARTITIONS, None)
     if wanted:
         return df.repartition(int(wanted))
-    cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism else df.repartition(enough_tasks(spark))
