@@ -246,3 +246,16 @@ def test_tiles_are_written_by_every_core(spark):
     assert len(files) == 100 and len({f.split("-")[1] for f in files}) >= spark.sparkContext.defaultParallelism / 2
     back = spark.read.schema(tiles.schema).parquet(out)
     assert back.where("tile = '07'").count() == 0 and back.count() == 200
+
+
+def test_non_members_are_made_by_every_core(spark):
+    from turfline.plans import field_queries
+
+    asked = spark.conf.get(SCAN_PARTITIONS, None)
+    spark.conf.unset(SCAN_PARTITIONS)
+    try:
+        absent = field_queries._absent(spark, SF)
+        assert absent.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+    finally:
+        if asked is not None:
+            spark.conf.set(SCAN_PARTITIONS, asked)

@@ -11,7 +11,7 @@ from turfline.operators import artifacts, sync, yields
 from turfline.operators.validity import StateContext, validate_rows
 from turfline.plans import oracle_parts as O
 from turfline.plans.registry import query
-from turfline.session import scratch, stage
+from turfline.session import dealt, scratch, stage
 from turfline.functions import people as P
 from turfline.sources import field_tables as ft
 from turfline.sources import rolls, snapshots
@@ -285,7 +285,7 @@ def _absent(spark, d):
     """One person that no roll has for every order: its customer with the last name read backwards."""
     k = F.col("o_custkey")
     address = F.concat(ft.house(k), F.lit(" "), ft.street_line(k), F.lit(", Springfield "), ft.zip5(k))
-    return ft.read(spark, d, "orders").select(
+    return dealt(ft.read(spark, d, "orders").select("o_orderkey", "o_custkey")).select(
         F.col("o_orderkey").alias("id"), F.concat(ft.first_name(k), F.lit(" "), F.reverse(ft.last_name(k))).alias("name"), address.alias("address"))
 
 
@@ -305,8 +305,9 @@ def membership_fpr(spark, d):
 
 
 def _campaign_members(spark, d):
-    roll = artifacts.scope_by_campaign(ft.roll(spark, d).where("status = 'active'"), _campaign_zips(spark, d))
-    return artifacts.member_keys(roll.drop("zip5")).select("campaign_id", "id", "member_key")
+    """A voter is standardized once, whatever the number of campaigns that hold the ZIP."""
+    people = artifacts.member_keys(ft.roll(spark, d).where("status = 'active'")).drop("zip5")
+    return artifacts.scope_by_campaign(people, _campaign_zips(spark, d)).select("campaign_id", "id", "member_key")
 
 
 @query("membership_artifact", f"""WITH {O.roll()}, {ZIPS}, {O.std('roll', 'r')},
