@@ -20,8 +20,9 @@ def _direction(order: list) -> list[Column]:
 def in_group_order(df: DataFrame, keys: list[str], order: list, amount: str | None = None) -> DataFrame:
     """Add ``position`` (1-based), ``group_size`` and, with ``amount``, ``before``: the sum of earlier rows."""
     order = _direction(order)
+    rows = stage(df, "rows")  # a range partitioning reads its input twice, once for the bounds
     ranged = stage(
-        df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ordered")
+        rows.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ordered")
     value = F.col(amount) if amount else F.lit(0.0)
     parts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
