@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from turfline.functions import text as X
 from turfline.operators.ordering import in_group_order
 
 
@@ -18,3 +22,20 @@ def test_ordering_evaluates_its_input_once(spark):
     got = in_group_order(rows, ["g"], ["k"]).collect()
     assert seen.value == 500
     assert sorted((r.g, r.k, r.position, r.group_size) for r in got) == sorted((k % 3, k, k // 3 + 1, 167 - (k % 3 == 2)) for k in range(500))
+
+
+def _printed(column) -> str:
+    return column._jc.toString() if hasattr(column, "_jc") else str(column)
+
+
+def test_folds_test_no_ranges_and_keep_their_results(spark):
+    assert "a-z" not in _printed(X.basic("s")) and "u2000-" not in _printed(X.quote_fold("s"))
+    random.seed(3)
+    given = ["".join(random.choice(" \t\n\x0b\f\r\x1c\x85\xa0   　﻿aZ9-_.,'\"`é中") for _ in range(random.randrange(12))) for _ in range(3000)]
+    white = "[ \t\n\x0b\f\r\xa0  -     　﻿]+"
+    rows = spark.createDataFrame([(g,) for g in given], "s string").select("s", X.squeeze("s").alias("q"), X.basic("s").alias("b")).collect()
+    for r in rows:
+        assert r.q == re.sub(white, " ", r.s).strip(" ")
+        plain = re.sub("[.,'\"`]", "", r.s.replace("é", "e")).lower()
+        plain = plain.replace("\xa0", " ").replace(" ", " ").replace("　", " ")
+        assert r.b == re.sub("[^a-z0-9-]+", " ", plain).strip(" ")

@@ -28,22 +28,11 @@ def _decompositions(form: str) -> dict[str, str]:
     return out
 
 
-def _near_ranges(characters) -> str:
-    """A pattern of a few ranges that hold all of the characters, and others between them."""
-    codes = sorted(map(ord, characters))
-    ranges = [[codes[0], codes[0]]]
-    for code in codes[1:]:
-        if code - ranges[-1][1] > 40:
-            ranges.append([code, code])
-        ranges[-1][1] = code
-    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) + "]"
-
-
 def _spelled_out(column: Column, table: dict[str, str]) -> Column:
     """Replace characters by several; texts without any of them are not taken apart."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     letters = F.transform(F.split(column, ""), lambda c: F.when(c >= "\u0080", F.coalesce(F.element_at(pairs, c), c)).otherwise(c))
-    present = column.rlike(_near_ranges(table)) & (F.translate(column, "".join(table), "") != column)
+    present = F.translate(column, "".join(table), "") != column
     return F.when(present, F.array_join(letters, "")).otherwise(column)
 
 
@@ -70,10 +59,14 @@ def strip_accents(value, delete: str = "") -> Column:
     return F.translate(plain, delete, "") if delete else plain
 
 
+#: Spelled out, because a class of single characters is one table lookup and a class of ranges is tested range by range.
+_WORD = "abcdefghijklmnopqrstuvwxyz0123456789-"
+
+
 def basic(value) -> Column:
     """Lower-case ASCII words: accents and ``.,'"` `` dropped, other marks to spaces."""
     plain = F.lower(strip_accents(value, delete=".,'\"`"))
-    return F.trim(F.regexp_replace(plain, "[^a-z0-9-]+", " "))
+    return F.trim(F.regexp_replace(plain, f" [^{_WORD}]+|[^ {_WORD}][^{_WORD}]*", " "))  # a single space is one already
 
 
 def words(value) -> Column:
@@ -83,11 +76,16 @@ def words(value) -> Column:
 
 
 #: White space as a web page's reader sees it, the no-break spaces too.
-_WHITE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+_WIDE = "\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_BLANK = "\\t\\n\\x0b\\f\\r"
+#: Runs of white space that are not a single space already.
+_RUNS = f" [ {_BLANK}]+|[{_BLANK}][ {_BLANK}]*"
 
 
 def squeeze(value) -> Column:
-    return F.trim(F.regexp_replace(text(value), _WHITE, " "))
+    given = text(value)
+    plain = F.when(_ascii(given), given).otherwise(F.translate(given, _WIDE, " " * len(_WIDE)))
+    return F.trim(F.regexp_replace(plain, _RUNS, " "))
 
 
 def join_present(sep: str, *parts) -> Column:
@@ -117,7 +115,7 @@ def quote_fold(value) -> Column:
     given = text(value)
     folded = _spelled_out(given, {**_SEVERAL, "\u2033": "''"})
     folded = F.translate(folded, _QUOTE_FROM + "".join(_COMPAT), _QUOTE_TO + "".join(_COMPAT.values()))
-    return squeeze(F.lower(F.when(_ascii(given), F.translate(given, "`", "'")).otherwise(folded)))
+    return squeeze(F.lower(F.when(_ascii(given), F.replace(given, F.lit("`"), F.lit("'"))).otherwise(folded)))
 
 
 def page_text(html) -> Column:

@@ -64,8 +64,8 @@ def window_scores(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     parts = tokens.groupBy("url").agg(F.ceil(F.count(F.lit(1)) / TOKENS_PER_COPY).alias("_parts"))
     wanted = tokens.join(parts, "url").groupBy("url", F.pmod(F.xxhash64("token"), "_parts").alias("_part")).agg(F.collect_list("token").alias("_wanted"))
     page = texts.where("content IS NOT NULL").join(wanted, "url").withColumn("w", F.split("content", " "))
-    place = F.transform("w", lambda t, i: F.struct(i.alias("pos"), t.alias("token"), F.get("w", i + 1).alias("next")))
-    found = F.explode(F.filter(place, lambda x: F.array_contains("_wanted", x["token"]))).alias("x")
+    place = F.transform("w", lambda t, i: F.when(F.array_contains("_wanted", t), F.struct(i.alias("pos"), t.alias("token"), F.get("w", i + 1).alias("next"))))
+    found = F.explode(F.filter(place, lambda x: x.isNotNull())).alias("x")
     index = stage(page.select("url", F.size("w").alias("n"), found).select("url", "n", "x.*"), "positions")
 
     counts = index.groupBy("url", "token").agg(F.count(F.lit(1)).alias("times"))

@@ -314,7 +314,7 @@ def citations(spark, d):
     """
     pages = _documents(spark, d)
     k = F.col("doc_id") % 6
-    w = F.split(F.col("folded"), " ")
+    w = F.split(F.col("folded"), " ", 21)  # the words that quotes take, and the rest of the text
     own = F.array_join(F.slice(w, 3, 18), " ")
     dropped = F.array_join(F.concat(F.slice(w, 3, 6), F.slice(w, 10, 9)), " ")
     base = pages.select("doc_id", "url", X.quote_fold("content").alias("folded"))
