@@ -19,18 +19,25 @@ def fold(word: str, table: dict[str, str]) -> str:
     return f"CASE WHEN {word} IN ({keys}) THEN element_at(str_to_map('{pairs}', ' ', ':'), {word}) ELSE {word} END"
 
 
-def name_words(raw) -> Column:
-    """Words of a name in first..last order without generational suffixes."""
+def name_line(raw) -> Column:
+    """A name in first..last order."""
     raw = text(raw)
     parts = F.split(raw, ",", -1)
     reordered = F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))
-    line = basic(F.when(raw.contains(","), reordered).otherwise(raw))
-    return F.filter(words(line), lambda w: ~w.isin(*fixed.GENERATIONS))
+    return F.when(raw.contains(","), reordered).otherwise(raw)
+
+
+def line_words(line) -> Column:
+    """Words of a line of :func:`name_line` without generational suffixes."""
+    return F.filter(words(basic(line)), lambda w: ~w.isin(*fixed.GENERATIONS))
 
 
 def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
-    """Add ``first``, ``middle``, ``last`` and ``full``."""
-    df = df.withColumn("_nw", name_words(name))
+    """Add ``first``, ``middle``, ``last`` and ``full``.
+
+    Lines are columns of their own, because Spark evaluates below a lambda anew for every mention.
+    """
+    df = df.withColumn("_nl", name_line(name)).withColumn("_nw", line_words("_nl"))
     size = F.size("_nw")
     df = df.withColumn("_given", F.coalesce(F.get("_nw", F.lit(0)), F.lit("")))
     first = F.expr(fold("_given", fixed.NICKNAMES))
@@ -39,7 +46,7 @@ def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
     return (
         df.withColumn("first", first).withColumn("middle", middle).withColumn("last", last)
         .withColumn("full", join_present(" ", "first", "middle", "last"))
-        .drop("_nw", "_given")
+        .drop("_nl", "_nw", "_given")
     )
 
 
@@ -52,7 +59,7 @@ def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
     df = df.withColumn("unit", F.regexp_extract("_line", "(?i)" + _UNIT, 1)).withColumn("zip5", zip_anywhere(address))
     rest = F.when(F.col("unit") == "", F.col("_line")).otherwise(
         F.regexp_replace("_line", "(?is)^(.*?)" + _UNIT + "(.*)$", "$1 $3"))
-    df = df.withColumn("_aw", words(basic(rest)))
+    df = df.withColumn("_rest", rest).withColumn("_aw", words(basic("_rest")))
     head = F.coalesce(F.get("_aw", F.lit(0)), F.lit(""))
     numbered = head.rlike("^\\d+[a-z]?$")
     tail = F.when(numbered, F.slice("_aw", F.lit(2), F.greatest(F.size("_aw") - 1, F.lit(0)))).otherwise(F.col("_aw"))
@@ -60,7 +67,7 @@ def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
     street = F.expr(f"array_join(transform(_tail, w -> {fold('w', fixed.STREET_WORDS)}), ' ')")
     return (
         df.withColumn("number", number).withColumn("_tail", tail).withColumn("street", street)
-        .drop("_aw", "_line", "_tail")
+        .drop("_aw", "_line", "_rest", "_tail")
     )
 
 
