@@ -7,8 +7,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from turfline.functions import text as X
 from turfline.operators.ordering import in_group_order
+from turfline.sources import field_tables as ft
 
 
 def test_ordering_evaluates_its_input_once(spark):
@@ -39,3 +41,15 @@ def test_folds_test_no_ranges_and_keep_their_results(spark):
         plain = re.sub("[.,'\"`]", "", r.s.replace("é", "e")).lower()
         plain = plain.replace("\xa0", " ").replace(" ", " ").replace("　", " ")
         assert r.b == re.sub("[^a-z0-9-]+", " ", plain).strip(" ")
+
+
+def test_reconcile_deals_its_captures(spark, tmp_path):
+    d = str(tmp_path)
+    spark.range(0, 400, 1, 1).select(
+        F.col("id").alias("event_id"), F.current_timestamp().alias("ts"), (F.col("id") % 50).alias("user_id"), F.lit("click").alias("event_type"),
+        F.lit(0.5).alias("value")).coalesce(1).write.parquet(f"{d}/events.parquet")
+    spark.range(40).select(F.col("id").alias("c_custkey"), F.lit(0).alias("c_nationkey"), F.lit("AUTOMOBILE").alias("c_mktsegment")).write.parquet(f"{d}/customer.parquet")
+    spark.range(1).select(F.lit(0).alias("n_nationkey"), F.lit("A").alias("n_name"), F.lit(0).alias("n_regionkey")).write.parquet(f"{d}/nation.parquet")
+    assert ft.captures(spark, d, spread=True).rdd.getNumPartitions() > 1
+    assert sorted(map(tuple, ft.captures(spark, d, spread=True).collect())) == sorted(map(tuple, ft.captures(spark, d).collect()))
+    assert queries()["reconcile"](spark, d).count() == 400

@@ -149,10 +149,13 @@ def signers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field captures over ``events``; a third of the VALID ones name the same voter per campaign."""
+def captures(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Field captures over ``events``; a third of the VALID ones name the same voter per campaign.
+
+    ``spread`` deals the scan over all cores, for work that costs far more per row than the shuffle.
+    """
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return capture_columns(e)
+    return capture_columns(dealt(e) if spread else e)
 
 
 def capture_columns(e: DataFrame) -> DataFrame:
