@@ -8,6 +8,8 @@ import random
 import subprocess
 import sys
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from turfline.operators import artifacts, expectations, opportunities, yields
@@ -248,6 +250,63 @@ def test_tiles_are_written_by_every_core(spark):
     assert back.where("tile = '07'").count() == 0 and back.count() == 200
 
 
+def _started() -> int:
+    """Processes and threads started on this machine so far."""
+    with open("/proc/stat") as stat:
+        return next(int(line.split()[1]) for line in stat if line.startswith("processes "))
+
+
+def test_tile_files_start_no_process_each(spark):
+    """Hadoop's local file system starts several processes for every file; at 900,000 tiles that was the time of the job."""
+    tiles = spark.range(6000).selectExpr("'t' || (id % 2000) AS tile", "id", "id AS position")
+    out, before = scratch(spark, "tiles"), _started()
+    artifacts.write_tiles(tiles, out)
+    assert _started() - before < 2000
+    back = artifacts.read_tiles(spark, out, tiles.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, tiles.collect()))
+
+
+def test_tile_folders_are_those_of_spark(spark):
+    """Odd names, no name, odd values and a tile of several batches; both readers see what Spark's writer wrote."""
+    names = ["a b", "a/b", "x%2F", 'q"#\'*:=?', "{[^]}\\", "\x01\x7f", "\u00e9", "007", "", None]
+    few = [(n, i, p, None if p else ["u", None], bool(p)) for i, n in enumerate(names) for p in range(3)]
+    many = [("large", i, 24_999 - i, [str(i)], None) for i in range(25_000)]
+    tiles = spark.createDataFrame(few + many, "tile string, id long, position long, t array<string>, b boolean").repartition(3)
+    out, by_spark = scratch(spark, "tiles"), scratch(spark, "tiles")
+    artifacts.write_tiles(tiles, out)
+    tiles.repartition(4, "tile").write.partitionBy("tile").parquet(by_spark)
+    assert {n for n in os.listdir(out) if "=" in n} == {n for n in os.listdir(by_spark) if "=" in n}
+    rows = lambda df: sorted((str(tuple(r)) for r in df.select(*tiles.columns).collect()))
+    want = rows(spark.read.schema(tiles.schema).parquet(by_spark))
+    assert rows(spark.read.schema(tiles.schema).parquet(out)) == want
+    assert rows(artifacts.read_tiles(spark, out, tiles.schema)) == want
+    assert spark.read.parquet(out).drop("tile").schema == tiles.drop("tile").schema
+    (large,) = [f for f in os.listdir(f"{out}/tile=large") if f.startswith("part-")]
+    assert [r.position for r in spark.read.parquet(f"{out}/tile=large/{large}").coalesce(1).collect()] == list(range(25_000))
+    with pytest.raises(FileExistsError):
+        artifacts.write_tiles(tiles, out)
+
+
+def test_tiles_broken_off_are_not_there(spark):
+    fails = spark.range(100).selectExpr("'t' || (id % 10) AS tile", "id", "id AS position", "IF(id = 99, raise_error('x'), 1) AS n")
+    out = scratch(spark, "tiles")
+    with pytest.raises(Exception):
+        artifacts.write_tiles(fails, out)
+    try:
+        assert artifacts.read_tiles(spark, out, fails.schema).count() == 0
+    except AnalysisException as error:
+        assert error.getCondition() == "PATH_NOT_FOUND"
+
+
+def test_tiles_of_other_stores_take_sparks_writer(spark, monkeypatch):
+    from turfline.sources import tile_folders
+
+    monkeypatch.setattr(tile_folders, "file_system_folder", lambda spark, path: None)
+    out, tiles = scratch(spark, "tiles"), spark.range(60).selectExpr("CAST(id % 20 AS string) AS tile", "id", "id AS position")
+    artifacts.write_tiles(tiles, out)
+    assert sorted(map(tuple, artifacts.read_tiles(spark, out, tiles.schema).collect())) == sorted(map(tuple, tiles.collect()))
+
+
 def test_non_members_are_made_by_every_core(spark):
     from turfline.plans import field_queries
 

@@ -12,7 +12,8 @@ from turfline import fixed
 from turfline.functions.people import member_key, search_tokens, standardize
 from turfline.functions.text import slug, text, zip_trailing, zip_trailing_loose
 from turfline.operators.ordering import in_group_order
-from turfline.session import enough_tasks, stage
+from turfline.session import stage
+from turfline.sources import tile_folders
 
 RECORD = ["id", "name", "address", "status", "registered_on", "county", "district"]
 
@@ -141,11 +142,13 @@ def _upper_median(df: DataFrame, column: str) -> DataFrame:
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
-    """One folder per tile, rows inside in tile order.
+    """One folder per tile, rows inside in tile order."""
+    tile_folders.write(tiles, path)
 
-    The cost lies in the number of files, so the tasks are counted and not merged by bytes.
-    """
-    tiles.repartition(enough_tasks(tiles.sparkSession), "tile").sortWithinPartitions("tile", "position").write.partitionBy("tile").parquet(path)
+
+def read_tiles(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` of all tiles that :func:`write_tiles` wrote."""
+    return tile_folders.read(spark, path, schema)
 
 
 # --- ZIP shards --------------------------------------------------------------------------

@@ -229,7 +229,7 @@ def tile_files(spark, d):
     out = scratch(spark, "tiles")
     tiles = _tiles(spark, d)
     artifacts.write_tiles(tiles, out)
-    back = spark.read.schema(tiles.schema).parquet(out).select("tile", "id", "position")
+    back = artifacts.read_tiles(spark, out, tiles.select("tile", "id", "position").schema)
     return back.groupBy("tile").agg(
         F.count(F.lit(1)).alias("voters"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda s: s["id"]), " ").alias("ids"))

@@ -43,6 +43,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def file_system_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of the file system that a path names; ``None`` where only Hadoop's clients reach it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toUri()
+    return full.getPath() if full.getScheme() == "file" else None
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
